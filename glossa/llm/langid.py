@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER_TO_LOWER, flat, fold, ids_of, slices
+from .common import UPPER_TO_LOWER, flat, fold, slices
 
 SAMPLE_PER_LANG, SAMPLE_CHARS = 500, 20_000
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)

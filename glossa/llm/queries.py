@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .langid import op10_language_id
+from .quality import op1_quality
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}

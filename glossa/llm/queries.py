@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .langid import op10_language_id
+from .media import op8_media
 from .quality import op1_quality
+from .urlfilter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_url_filter": op3_url_filter,
+    "op8_media": op8_media,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL}

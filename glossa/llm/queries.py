@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op4_decontaminate
 from .langid import op10_language_id
 from .media import op8_media
 from .quality import op1_quality
@@ -10,6 +11,7 @@ from .urlfilter import OP3_SQL, op3_url_filter
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_url_filter": op3_url_filter,
+    "op4_decontaminate": op4_decontaminate,
     "op8_media": op8_media,
     "op10_language_id": op10_language_id,
 }

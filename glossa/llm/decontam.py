@@ -133,7 +133,7 @@ def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, limit: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, distance, and the passage in the normalised text."""
-    schema = docs.select("doc_id").schema.add("item_id", "long").add("distance", "int").add("start", "int").add("stop", "int")
+    schema = docs.select("doc_id").schema.add("item_id", "long").add("distance", "integer").add("start", "integer").add("stop", "integer")
     parts = []
     for items in blocks(benchmark, limit):
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -43,7 +44,7 @@ def digest(rule: str) -> int:
 
 
 def write_store(rules: Iterable[tuple[str, str, str]], folder: str) -> str:
-    """The rules as one file, its name made from its contents."""
+    """The rules as one file, under a new name: Spark sends a name only once."""
     verdicts: dict[str, str] = {}
     for host, path, verdict in rules:
         name = host.translate(LOWER) + path
@@ -56,7 +57,7 @@ def write_store(rules: Iterable[tuple[str, str, str]], folder: str) -> str:
     out = np.array([len(entries), len(lengths)], "<i8").tobytes() + np.array(lengths, "<i8").tobytes() + np.array([e[0] for e in entries], "<u8").tobytes() + at.tobytes() + np.array([e[2] for e in entries], "u1").tobytes() + blob
     if len(out) > MAX_STORE:
         raise ValueError("more rules than one store may hold")
-    path = os.path.join(folder, f"urls-{xxhash.xxh64_hexdigest(out)}.bin")
+    path = os.path.join(folder, f"urls-{uuid.uuid4().hex}.bin")
     with open(path, "wb") as f:
         f.write(out)
     return path
@@ -113,6 +114,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, key: str
 
     def run(batches):
         if name not in _stores:
+            _stores.clear()
             _stores[name] = Store(SparkFiles.get(name))
         store = _stores[name]
         for batch in batches:

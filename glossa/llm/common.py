@@ -25,10 +25,10 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/glossa-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared work folder and read it back: lineage ends here."""
     path = f"{work_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,14 +5,18 @@ from __future__ import annotations
 from .decontam import op4_decontaminate
 from .langid import op10_language_id
 from .media import op8_media
+from .packing import op6_packing
 from .quality import op1_quality
+from .tokenbin import op9_token_binary
 from .urlfilter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
+    "op6_packing": op6_packing,
     "op8_media": op8_media,
+    "op9_token_binary": op9_token_binary,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL}

@@ -104,3 +104,18 @@ def range_hash(letters: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     total = np.zeros(len(letters) + 1, np.uint64)
     np.cumsum(letters * up[: len(letters)], out=total[1:])
     return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64) * MIX_2)
+
+
+BROADCAST_ROWS = 2_000_000
+
+
+def join_sized(docs: DataFrame, side: DataFrame, key: str, value: str, *, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with side's value of the same key (null where there is none; null keys match).
+
+    side, a written table, is broadcast if it has few rows and small arrays; beyond that both sides are shuffled.
+    """
+    weight = side.agg(F.count("*"), F.coalesce(F.sum(F.size(value)), F.lit(0)) if dict(side.dtypes)[value].startswith("array") else F.lit(0)).first()
+    side = side.withColumnRenamed(key, "__key")
+    if weight[0] <= rows // 4 and weight[1] <= rows:
+        side = F.broadcast(side)
+    return docs.join(side, docs[key].eqNullSafe(side["__key"]), "left").drop("__key")

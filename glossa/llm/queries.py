@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op4_decontaminate
 from .langid import op10_language_id
+from .linededup import OP2_SQL, op2_line_dedup
 from .media import op8_media
 from .packing import op6_packing
 from .quality import op1_quality
@@ -12,6 +13,7 @@ from .urlfilter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op6_packing": op6_packing,
@@ -19,4 +21,4 @@ QUERIES = {
     "op9_token_binary": op9_token_binary,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_url_filter": OP3_SQL}

@@ -6,6 +6,7 @@ from .decontam import op4_decontaminate
 from .langid import op10_language_id
 from .linededup import OP2_SQL, op2_line_dedup
 from .media import op8_media
+from .neardup import op7_near_duplicates
 from .packing import op6_packing
 from .quality import op1_quality
 from .tokenbin import op9_token_binary
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op6_packing": op6_packing,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_media": op8_media,
     "op9_token_binary": op9_token_binary,
     "op10_language_id": op10_language_id,

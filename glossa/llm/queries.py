@@ -9,6 +9,7 @@ from .media import op8_media
 from .neardup import op7_near_duplicates
 from .packing import op6_packing
 from .quality import op1_quality
+from .sufdedup import op5_suffix_dedup
 from .tokenbin import op9_token_binary
 from .urlfilter import OP3_SQL, op3_url_filter
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_media": op8_media,

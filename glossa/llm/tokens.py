@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 250_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ž"
 UNKNOWN = re.compile(f"[^\\t\\n\\r\\x20-\\x7e×÷¡«»¿–—‘’“”…€{LETTERS}]|<\\|")
 ENDS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -24,6 +24,13 @@ WORD_ENDS = re.compile(f"{ENDS}|[{LETTERS}]+|[0-9]|[^\\t\\n\\r {LETTERS}0-9]+")
 CLIP_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def byte_characters() -> dict[int, str]:
+    """The character by which byte-level models write each byte: itself if it prints, else the next one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder(dict):
     """Calls give a text's ids as little-endian bytes of ``self.dtype``; the dict is the cache of words."""
 
@@ -37,7 +44,7 @@ class Encoder(dict):
             rules = json.load(f)
         self.vocab = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
-        self.words, self.lower = None, False
+        self.words, self.lower, self.old, self.written = None, False, {}, byte_characters()
         before, norm = rules["pre_tokenizer"] or {}, rules["normalizer"]
         if rules["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and norm is None:
             self.words = BYTE_LEVEL
@@ -49,8 +56,12 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        got = self[word] = self.whole(word)
+        got = self.old.get(word)
+        if got is None:
+            got = np.array([t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(self.written))], self.dtype).tobytes()
+        self[word] = got
         return got
 
     def __call__(self, text: str | None) -> bytes:

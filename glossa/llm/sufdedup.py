@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import BASE, flat, join_sized, materialize, mix, powers, slices
 
 LENGTH, GRAM, HOT, BATCH = 100, 32, 2_000, 2 << 20
+SMALL = 100_000  # rows and spans that may be broadcast; beyond that texts are dealt by doc_id
 BLOCK = 1 << 19
 PLACE_BITS = np.uint64(22)
 PLACES = np.uint64((1 << 22) - 1)
@@ -228,7 +229,7 @@ def refine(runs_: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = materialize(runs_.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).withColumn("hot", F.lit(1)).select("bucket", "hot"), "hot")
     flagged = join_sized(runs_, sizes, "bucket", "hot")
     lists = materialize(flagged.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "start", "many", F.coalesce("hot", F.lit(0)).alias("hot"))).alias("runs")), "lists")
-    texts = join_sized(docs.select("doc_id", "text"), lists, "doc_id", "runs").where("runs IS NOT NULL")
+    texts = join_sized(docs.select("doc_id", "text"), lists, "doc_id", "runs", rows=SMALL).where("runs IS NOT NULL")
 
     def cut(batches):
         for batch in batches:
@@ -301,7 +302,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     more = materialize(refine(found.where(F.col("kind") == NEW).drop("kind"), keyed), "refined")
     gone = found.where(F.col("kind") == REPEATED).select("doc_id", "start", "many").unionByName(more)
     lists = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "many")).alias("gone")), "gone")
-    joined = join_sized(docs, lists, "doc_id", "gone")
+    joined = join_sized(docs, lists, "doc_id", "gone", rows=SMALL)
 
     def take(batches):
         for batch in batches:

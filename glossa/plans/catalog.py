@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import table_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

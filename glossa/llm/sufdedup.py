@@ -17,7 +17,8 @@ run's bytes, doc_id, start, number of windows; about one row in thirty bytes, wi
    document are found there again.
 
 Edge cases: null and empty texts and those of fewer bytes than LENGTH keep everything; very long texts are scanned in
-blocks; rows that repeat a doc_id count as one document (of the same text); an empty table gives an empty result;
+blocks; rows that repeat a doc_id count as one document (of the same text); rows with a null doc_id lose only what they
+repeat themselves and give nothing to others; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -98,12 +99,20 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def beyond_first(new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which rows of sorted groups (new: a group begins) are at another place than their group's first row."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (doc != doc[first]) | (start != start[first])
+
+
 def earlier_first(bucket: np.ndarray, whole: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which runs come after another of the same bytes in the order of (doc, start)."""
     order = np.lexsort((start, doc, whole, bucket))
-    same = np.zeros(len(order), bool)
-    same[order[1:]] = (bucket[order[1:]] == bucket[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]])
-    return same
+    bucket, whole = bucket[order], whole[order]
+    new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (whole[1:] != whole[:-1])])[: len(order)]
+    out = np.zeros(len(order), bool)
+    out[order] = beyond_first(new, doc[order], start[order])
+    return out
 
 
 NEW, REPEATED = 0, 1
@@ -141,7 +150,8 @@ def marked(rows: DataFrame) -> DataFrame:
     """Repeated runs, and the first runs of buckets with several kinds of bytes, from rows streaming by in order."""
 
     def run(batches):
-        last, held = None, None  # last row's (bucket, whole); a bucket's first run until a second kind turns up
+        # last row's (bucket, whole), its kind's first place, a bucket's first run until a second kind turns up
+        last, head, held = None, (0, 0), None
         for batch in batches:
             if not len(batch):
                 continue
@@ -149,7 +159,15 @@ def marked(rows: DataFrame) -> DataFrame:
             known = (size & 1).astype(bool)
             new_bucket = np.concatenate([[last is None or bucket[0] != last[0]], bucket[1:] != bucket[:-1]])
             new_whole = new_bucket | np.concatenate([[last is None or whole[0] != last[1]], whole[1:] != whole[:-1]])
-            again = known | ~new_whole
+            start = size >> 8
+            again = beyond_first(new_whole, doc, start)
+            if not new_whole[0]:
+                lead = int(np.argmax(new_whole)) if new_whole.any() else len(new_whole)
+                again[:lead] = (doc[:lead] != head[0]) | (start[:lead] != head[1])
+            if new_whole.any():
+                at = len(new_whole) - 1 - int(np.argmax(new_whole[::-1]))
+                head = (doc[at], start[at])
+            again |= known
             second = new_whole & ~new_bucket  # a further kind of bytes in the bucket
             first = np.flatnonzero(new_bucket & ~known)
             number = np.cumsum(new_bucket)
@@ -205,9 +223,11 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, many: np.ndarray, data:
     first = np.repeat(np.cumsum(many) - many, many)
     step = np.arange(len(first)) - first
     here = bucket[np.repeat(offsets[:-1], many) + step]
-    order = np.lexsort((np.repeat(start, many) + step, np.repeat(doc, many), here))
+    place, owner = np.repeat(start, many) + step, np.repeat(doc, many)
+    order = np.lexsort((place, owner, here))
+    new = np.concatenate([[True], here[order[1:]] != here[order[:-1]]])[: len(order)]
     out = np.zeros(len(order), bool)
-    out[order[1:]] = here[order[1:]] == here[order[:-1]]
+    out[order] = beyond_first(new, owner[order], place[order])
     return out
 
 

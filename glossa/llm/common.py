@@ -62,10 +62,6 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def ids_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer."""
     h = h ^ (h >> np.uint64(33))
@@ -119,3 +115,10 @@ def join_sized(docs: DataFrame, side: DataFrame, key: str, value: str, *, rows:
     if weight[0] <= rows // 4 and weight[1] <= rows:
         side = F.broadcast(side)
     return docs.join(side, docs[key].eqNullSafe(side["__key"]), "left").drop("__key")
+
+
+def shielded(docs: DataFrame, *need: str):
+    """docs with all columns but the needed ones under names that clash with nothing, and a function that undoes it."""
+    names = [c if c in need else f"__column_{i}" for i, c in enumerate(docs.columns)]
+    back = list(docs.columns)
+    return docs.toDF(*names), lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, back, strict=True)])

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER_TO_LOWER, flat, fold, slices
+from .common import UPPER_TO_LOWER, flat, fold, shielded, slices
 
 SAMPLE_PER_LANG, SAMPLE_CHARS = 500, 20_000
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)
@@ -151,5 +151,6 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
 
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the method rejects go."""
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    return predict_language(docs, fit_language(docs), keep=keep).where(~F.col("rejected")).select(*docs.columns)
+    plain, restore = shielded(docs, "doc_id", "text", "lang")
+    keep = tuple(c for c in plain.columns if c != "doc_id")
+    return restore(predict_language(plain, fit_language(plain), keep=keep).where(~F.col("rejected")))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, materialize, mix
+from .common import join_sized, materialize, mix, shielded
 
 RUN, GRAM = 3, 2
 BLANK = " \t\r"
@@ -134,9 +134,10 @@ GROUP BY r.doc_id
 
 def stage_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: later repeated runs of lines go, and documents of which nothing but blanks is left by that."""
-    out = dedup_lines(docs)
+    plain, restore = shielded(docs, "doc_id", "text", "n_chars")
+    out = dedup_lines(plain)
     out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return restore(out)

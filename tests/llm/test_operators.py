@@ -1,0 +1,423 @@
+"""Each operator against brute force, exact round trips or held-out accuracy, over small tables of edge cases."""
+
+import hashlib
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from glossa.llm import decontam, media, neardup, packing, queries, sufdedup, tokenbin, urlfilter
+from glossa.llm.common import work_folder
+from glossa.llm.linededup import OP2_SQL
+from glossa.llm.tokens import Encoder
+
+SF = "/root/testdata/sf0.01"
+OPERATORS = list(queries.QUERIES)
+
+
+def run(spark, name, folder):
+    return queries.QUERIES[name](spark, folder).collect()
+
+
+def tokenizer(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables_give_empty_results(spark, empty, name):
+    df = queries.QUERIES[name](spark, empty)
+    assert df.collect() == [] and len(df.columns) >= 2
+
+
+def test_work_folder_is_the_sessions(spark):
+    assert work_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+# ---- 1 and 10: classifiers
+
+
+def test_quality_is_learned_and_bounded(spark):
+    got = spark.createDataFrame(run(spark, "op1_quality", SF)).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    assert sum(r["predicted"] == r["quality"] for r in got) / len(got) > 0.9
+
+
+def test_quality_of_edge_cases(spark, folder, rows):
+    got = run(spark, "op1_quality", folder)
+    assert len(got) == len(rows) + 2 and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    by = defaultdict(set)
+    texts = dict(rows)
+    for r in got:
+        by[texts[r["doc_id"]] or ""].add(round(r["score"], 4))
+    assert all(len(s) == 1 for s in by.values())
+
+
+def test_quality_blocks_do_not_change_scores(spark):
+    from glossa.llm.quality import padded, train
+
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)).decode() for n in (0, 1, 17, 300, 5000)] * 4
+    net = train(texts, [i % 2 for i in range(len(texts))], passes=60)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    rows, first = padded(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert np.allclose(net.pooled(rows, first, block=64), net.pooled(rows, first, block=1 << 16))
+    for t, pooled in zip(texts, net.pooled(rows, first), strict=True):
+        own = padded(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        assert np.allclose(net.responses(own[0]).max(0), pooled, atol=1e-5)
+
+
+def test_language_is_learned(spark):
+    docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r for r in run(spark, "op10_language_id", SF) if r["held_out"]]
+    assert sum(r["lang_pred"] == docs[r["doc_id"]] for r in got) / len(got) > 0.98
+
+
+def test_texts_without_letters_are_undetermined(spark, folder, rows):
+    import regex
+
+    texts = dict(rows)
+    for r in run(spark, "op10_language_id", folder):
+        assert (r["lang_pred"] == "und") == (not regex.search(r"\p{L}", texts[r["doc_id"]] or "")) and 0 <= r["score"] <= 1
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+# ---- 2: line dedup
+
+
+def distinct_rows(spark, folder):
+    return duckdb.sql(f"SELECT DISTINCT doc_id, text FROM '{folder}/documents.parquet/*.parquet'").fetchall()
+
+
+def test_line_dedup_equals_its_sql(spark, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT DISTINCT doc_id, text FROM '{folder}/documents.parquet/*.parquet'")
+    want = set(con.execute(f"SELECT doc_id, n_lines, n_removed, kept_md5 FROM ({OP2_SQL})").fetchall())
+    got = {(r["doc_id"], r["n_lines"], r["n_removed"], r["kept_md5"]) for r in run(spark, "op2_line_dedup", folder)}
+    assert got == want and any(r[2] for r in got)
+
+
+# ---- 3: urls
+
+
+def test_urls_equal_their_sql(spark, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    want = sorted(map(repr, con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urlfilter.OP3_SQL})").fetchall()))
+    assert sorted(repr(tuple(r)) for r in run(spark, "op3_url_filter", folder)) == want
+
+
+def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
+    monkeypatch.setattr(urlfilter, "digest", lambda rule: len(rule))
+    store = urlfilter.Store(urlfilter.write_store([("ab", "/", "allow"), ("cd", "/", "block"), ("ef", "/", "block")], str(tmp_path)))
+    found = store.probe(["cd/", "xy/", "ab/", "long/"])
+    assert [f >= 0 for f in found] == [True, False, True, False] and store.block[found[0]] and not store.block[found[2]]
+
+
+def test_rules_must_agree(tmp_path):
+    with pytest.raises(ValueError):
+        urlfilter.write_store([("a", "/", "allow"), ("A", "/", "block")], str(tmp_path))
+
+
+# ---- 4: decontamination
+
+
+def levenshtein_in(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != t)))
+        row = new
+    return min(row)
+
+
+def test_myers_equals_dynamic_programming():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        p, t = ("".join(rng.choice(list("abc"), n)) for n in (rng.integers(1, 90), rng.integers(0, 120)))
+        assert decontam.myers(p, t)[0] == levenshtein_in(p, t)
+
+
+def test_every_passage_within_the_budget_is_found():
+    rng = np.random.default_rng(4)
+    item = "".join(rng.choice(list("abcdefgh "), 200)).strip()
+    item = decontam.normalised(item)
+    k = int(len(item) * decontam.RATE)
+    matcher = decontam.Matcher([(7, item)], decontam.RATE)
+    for _ in range(30):
+        text = list(item)
+        for _ in range(k):
+            at = rng.integers(1, len(text) - 1)
+            text[at : at + rng.integers(0, 2)] = list("z" * rng.integers(0, 2))
+        text = decontam.normalised("noise " * 5 + "".join(text) + " more noise")
+        best = levenshtein_in(item, text)
+        assert [h[:2] for h in matcher.find(text)] == ([(7, best)] if best <= k else [])
+
+
+def test_contaminated_documents(spark, folder, rows):
+    got = run(spark, "op4_decontaminate", folder)
+    long = max(rows, key=lambda r: len(r[1] or ""))
+    texts = dict(rows)
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["item_id"] == 1} == {(long[0], 1)}
+    assert {r["doc_id"] for r in got if r["item_id"] == 4} == {d for d, t in texts.items() if t == "one two"}
+    assert {r["item_id"] for r in got} == {1, 4}
+
+
+# ---- 5: repeated bytes
+
+
+def repeated_bytes(rows):
+    seen, out = set(), {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        raw = (t or "").encode()
+        bad = np.zeros(len(raw), bool)
+        for i in range(len(raw) - 99):
+            if raw[i : i + 100] in seen:
+                bad[i : i + 100] = True
+            seen.add(raw[i : i + 100])
+        kept = bytes(b for b, x in zip(raw, bad, strict=True) if not x)
+        out[d] = (len(raw), int(bad.sum()), int((np.diff(bad.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_repeated_bytes_equal_brute_force(spark, folder, rows, monkeypatch, hot):
+    monkeypatch.setattr(sufdedup, "HOT", hot)
+    want = repeated_bytes(rows)
+    for r in run(spark, "op5_suffix_dedup", folder):
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+
+
+def test_refined_buckets_are_classes_of_equal_strings():
+    rng = np.random.default_rng(0)
+    text = rng.integers(0, 2, 2000).astype(np.uint8)
+    text[900:1300], text[1500:1900] = text[100:500], 7
+    bucket, padded = sufdedup.refined(text), text.tobytes() + bytes(100)
+    classes = defaultdict(set)
+    for i in range(len(text)):
+        classes[padded[i : i + 100]].add(bucket[i])
+    assert all(len(c) == 1 for c in classes.values()) and len({next(iter(c)) for c in classes.values()}) == len(classes)
+
+
+def test_blocks_of_long_texts_do_not_change_runs(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    windows = lambda: {i + k for _, i, m, *_ in zip(*sufdedup.runs(data, np.array([0, 5000])), strict=True) for k in range(m)}
+    whole = windows()
+    monkeypatch.setattr(sufdedup, "BLOCK", 700)
+    assert windows() == whole == set(range(5000 - 99))
+
+
+# ---- 6 and 9: tokens
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cached_words_give_the_librarys_ids(name, rows, monkeypatch):
+    from glossa.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    e = Encoder(tokenizer(name))
+    texts = [t for _, t in rows if t] + ["  a\n\n b\tc  ", "don't 'S it's I'LL 12 345 x²", "Ünï ŉ ſ", "\n", "a\x1cy", "nb\u00a0sp", "Á \u0130I"]
+    assert e.words is not None and all(e(t) == e.whole(t) for t in texts)
+
+
+def test_packing_keeps_every_id_once_without_padding(spark, folder):
+    library = Encoder(tokenizer("byte_bpe_50k.json")).library
+    docs = distinct_rows(spark, folder)
+    got = run(spark, "op6_packing", folder)
+    by, sequences, times = defaultdict(list), defaultdict(list), Counter()
+    for r in got:
+        by[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for d, t in docs:
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        covered = Counter()
+        for r in by[d]:
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+            covered.update(range(r["start"], r["start"] + r["length"]))
+        times[d] = covered[0]
+        assert set(covered) == set(range(len(ids))) and len(set(covered.values())) == 1
+    assert Counter(times.values())[2] == 2  # the two repeated rows
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024 and at & (at - 1) == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 1023, 1024, 1025, 5000])
+def test_cuts_cover(n):
+    pieces = packing.cuts(n, 1024)
+    assert sum(s for _, s in pieces) == n and all(s & (s - 1) == 0 for _, s in pieces)
+    assert [a for a, _ in pieces] == list(np.cumsum([0] + [s for _, s in pieces[:-1]]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 200, 30000])
+def test_huffman_round_trip_and_limit(n):
+    rng = np.random.default_rng(n)
+    counts = rng.zipf(1.2, n) % 1_000_000 + 1
+    lengths = tokenbin.code_lengths(counts)
+    assert lengths.max() <= tokenbin.LIMIT and sum(2.0 ** -int(x) for x in lengths) <= 1
+    book, ids = tokenbin.Book(lengths), rng.integers(0, n, 4001)
+    payload, checkpoints = book.encode(ids)
+    assert (book.decode(payload, checkpoints, len(ids)) == ids).all()
+
+
+def test_code_lengths_are_optimal_without_a_limit():
+    import heapq
+
+    counts = np.array([5, 9, 12, 13, 16, 45, 1, 1, 2])
+    heap = [(int(c), i, 0) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    cost, k = 0, 100
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        cost += a[0] + b[0]
+        heapq.heappush(heap, (a[0] + b[0], k := k + 1, 0))
+    assert int((counts * tokenbin.code_lengths(counts)).sum()) == cost
+
+
+def test_damaged_blocks_are_noticed():
+    book = tokenbin.Book(tokenbin.code_lengths(np.array([3, 2, 1])))
+    block, _ = tokenbin.write_block(book, [(5, np.array([0, 1, 2], "<u2").tobytes()), (None, b"")], np.dtype("<u2"), 0)
+    doc, null, start, size, ids = tokenbin.read_block(book, block)
+    assert (doc.tolist(), null.tolist(), size.tolist(), ids.tolist()) == ([5, 0], [0, 1], [3, 0], [0, 1, 2])
+    with pytest.raises(ValueError):
+        tokenbin.read_block(book, block[:30] + b"\xff" + block[31:])
+
+
+def test_token_files_round_trip(spark, folder):
+    library = Encoder(tokenizer("word_bpe_49k.json")).library
+    rows = sorted(duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet/*.parquet'").fetchall(), key=lambda r: r[0])
+    got = sorted(run(spark, "op9_token_binary", folder), key=lambda r: r["start"])
+    at = 0
+    for (d, t), r in zip(rows, got, strict=True):
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        assert tuple(r) == (d, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+# ---- 7: near duplicates
+
+
+def classes(rows):
+    lower, sets = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def test_near_duplicates_equal_brute_force(spark, folder, rows):
+    want = classes(rows)
+    got = run(spark, "op7_near_duplicates", folder)
+    assert len(got) == len(rows) + 2
+    for r in got:
+        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
+
+
+def test_links_that_stars_miss_are_found(spark):
+    """A chain whose ends are unlike, in an order in which the first of a key is the wrong one."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[20 * k : 20 * k + 200]) for k in (0, 5, 2, 4, 1, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = classes(list(enumerate(texts)))
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == {d: c for d, (_, c) in want.items()}
+
+
+def test_components_of_a_long_path(spark):
+    from glossa.llm.components import components
+
+    links = spark.range(300).selectExpr("id AS u", "id + 1 AS v")
+    got = {r["node"]: r["component"] for r in components(links).collect()}
+    assert got == dict.fromkeys(range(1, 301), 0)
+
+
+def test_no_links_give_no_components(spark):
+    from glossa.llm.components import components
+
+    assert components(spark.createDataFrame([(1, 1)], "u long, v long")).collect() == []
+
+
+# ---- 8: media
+
+
+def test_media_round_trip(spark, folder, rows):
+    texts = dict(rows)
+    for r in run(spark, "op8_media", folder):
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+
+
+def test_all_five_filters_are_undone():
+    rng = np.random.default_rng(2)
+    image = rng.integers(0, 256, (11, 9)).astype(int)
+    lines = np.zeros((11, 10), np.uint8)
+    for y in range(11):
+        kind = lines[y, 0] = y % 5
+        for x in range(9):
+            a, b, c = (image[y, x - 1] if x else 0), (image[y - 1, x] if y else 0), (image[y - 1, x - 1] if x and y else 0)
+            p = a + b - c
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            lines[y, x + 1] = (image[y, x] - (0, a, b, (a + b) // 2, near)[kind]) & 255
+    assert (media.unfiltered(lines) == image).all()
+
+
+def test_damaged_images_are_noticed():
+    png = media.encode_png(np.zeros((2, 64), np.uint8))
+    assert (media.decode_png(png) == 0).all()
+    for bad in (png[:-3], png[:40] + b"\x01" + png[41:], b"GIF" + png[3:]):
+        with pytest.raises(ValueError):
+            media.decode_png(bad)
+    size = struct.pack(">IIBBBBB", 64, 3, 8, 0, 0, 0, 0)
+    with pytest.raises(ValueError):
+        media.decode_png(png[:8] + media.chunk(b"IHDR", size) + png[33:])
+
+
+# ---- the pipeline
+
+
+def test_pipeline_stages(spark, folder):
+    from glossa.llm.common import materialize
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()} if "text" in docs.columns else {}
+        out = materialize(stage(spark, docs, folder), name)
+        if name == "pack":
+            assert {r["doc_id"] for r in out.select("doc_id").collect()} == set(before)
+            break
+        assert out.columns == columns
+        after = {r["doc_id"]: r["text"] for r in out.select("doc_id", "text").collect()}
+        assert set(after) <= set(before)
+        if name == "near_dedup":
+            assert set(after) == {d for d, (_, c) in classes(list(before.items())).items() if d == c}
+        docs = out
+
+
+def test_pipeline_of_empty_tables(spark, empty):
+    assert corpus_pipeline.run(spark, empty).collect() == []

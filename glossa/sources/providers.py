@@ -1,0 +1,162 @@
+"""Edges of the engine: page fetching, dictionaries, language models. Interfaces, deterministic fakes, and routing."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+NOT_FOUND = "_not_found"
+
+
+class Provider(Protocol):
+    """Answers a key (a url, a word, a prompt) or raises LookupError."""
+
+    def __call__(self, key: str) -> str: ...
+
+
+@dataclass
+class Fake:
+    """A provider over given answers; it counts its calls."""
+
+    answers: dict[str, str]
+    calls: list[str] = field(default_factory=list)
+
+    def __call__(self, key: str) -> str:
+        self.calls.append(key)
+        return self.answers[key]
+
+
+@dataclass
+class Breaker:
+    """A provider that isn't asked again after a number of consecutive failures."""
+
+    provider: Callable[[str], str]
+    limit: int = 3
+    failures: int = 0
+
+    def __call__(self, key: str) -> str:
+        if self.failures >= self.limit:
+            raise LookupError("switched off")
+        try:
+            answer = self.provider(key)
+        except LookupError:
+            raise
+        except Exception as e:
+            self.failures += 1
+            raise LookupError(key) from e
+        self.failures = 0
+        return answer
+
+
+def phrase_like(word: str) -> bool:
+    return any(c in word for c in " -'")
+
+
+def asks_remote(word: str) -> bool:
+    return not phrase_like(word) and bool(re.fullmatch("[a-z]{3,24}", word))
+
+
+def asks_model(word: str, *, enabled: bool = False) -> bool:
+    """Phrases of two to six words; single words only if that is enabled."""
+    if phrase_like(word):
+        return 2 <= len(re.findall("[a-z]+", word)) <= 6
+    return enabled and asks_remote(word)
+
+
+@dataclass
+class Dictionary:
+    """Cache, local dictionaries in order, remote ones, the model; what nobody knows is remembered as such."""
+
+    local: list[Callable[[str], str]] = field(default_factory=list)
+    remote: list[Callable[[str], str]] = field(default_factory=list)
+    model: Callable[[str], str] | None = None
+    model_for_words: bool = False
+    policy: str = "v1"
+    cache: dict[str, dict] = field(default_factory=dict)
+
+    def lookup(self, word: str) -> str | None:
+        key = " ".join(word.lower().split())
+        known = self.cache.get(key)
+        if known is not None and not known.get(NOT_FOUND):
+            return known["entry"]
+        if known is not None and (not phrase_like(key) or known.get("policy") == self.policy):
+            return None
+        asked: Iterable[Callable[[str], str]] = [*self.local, *(self.remote if asks_remote(key) else []), *([self.model] if self.model and asks_model(key, enabled=self.model_for_words) else [])]
+        for provider in asked:
+            try:
+                entry = provider(key)
+            except LookupError:
+                continue
+            self.cache[key] = {"entry": entry}
+            return entry
+        self.cache[key] = {NOT_FOUND: True, "policy": self.policy}
+        return None
+
+
+def entry_fields(content: str, word: str) -> dict[str, str]:
+    """Fields of an answer that is nearly JSON."""
+    out = {}
+    for name in ("phonetic", "zh", "en", "pos"):
+        m = re.search(rf'"{name}"\s*:\s*"([^"]*)"', content)
+        out[name] = m[1].strip() if m else ""
+    out["pos"] = out["pos"] or ("phrase" if phrase_like(word) else "")
+    return out
+
+
+def dictionary_entries(words: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """The table form: each word's entry from the first table (word, entry) that has one."""
+    out = words
+    names = []
+    for i, t in enumerate(tables):
+        names.append(f"__e{i}")
+        out = out.join(t.groupBy("word").agg(F.min("entry").alias(names[-1])), "word", "left")
+    return out.select(*words.columns, F.coalesce(*names).alias("entry"))
+
+
+def answered(rows: DataFrame, key: str, make: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """rows with the provider's answer in ``answer``, null where it has none; make builds one provider a task."""
+    schema = rows.select("*").schema.add("answer", "string")  # a copy: a frame's own schema is cached
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = make()
+
+        def ask(k):
+            try:
+                return provider(k)
+            except LookupError:
+                return None
+
+        for batch in batches:
+            yield batch.assign(answer=[ask(k) for k in batch[key]])
+
+    return rows.mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class Paper:
+    slug: str
+    title: str
+    url: str
+
+
+def listed_papers(pages: DataFrame) -> DataFrame:
+    """(slug, title) of all papers that saved index pages (html) link to, the latest first."""
+    links = pages.select(F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<a\s[^>]*href=\"[^\"]*/paper/[0-9]{4}-[12][^>]*>.*?</a>)"), F.lit(1))).alias("a"))
+    rows = links.select(F.regexp_extract("a", r"/paper/([0-9]{4}-[12])", 1).alias("slug"), F.btrim(F.regexp_replace("a", r"<[^>]*>", " ")).alias("title"))
+    return rows.groupBy("slug").agg(F.min("title").alias("title")).select("slug", F.when(F.col("title") == "", F.col("slug")).otherwise(F.col("title")).alias("title")).orderBy(F.desc("slug"))
+
+
+def probed_papers(exists: Callable[[str], bool], first: int, last: int) -> list[Paper]:
+    """The papers of a range of years, two a year, for which the provider finds a page."""
+    slugs = (f"{year}-{series}" for year in range(last, first - 1, -1) for series in (1, 2))
+    return [Paper(s, s, f"/paper/{s}") for s in slugs if exists(s)]
+
+
+def merged_papers(first: list[Paper], second: list[Paper]) -> list[Paper]:
+    return sorted(({p.slug: p for p in second} | {p.slug: p for p in first}).values(), key=lambda p: p.slug, reverse=True)

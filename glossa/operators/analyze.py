@@ -259,6 +259,8 @@ def quality(articles: DataFrame, *, prefer: Sequence[str] = (), exclude: Sequenc
     base = articles.withColumns({"w": words, "s": T.sentences(F.col("text"))}).withColumns({"token_count": F.size("w"), "sentence_count": F.size("s"), "title_blob": F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))))})
     codes = F.slice(F.flatten(F.transform("s", lambda x: T.pattern_codes(x))), 1, 60)
     senses = F.size(F.filter(F.array(*[F.exists("s", has_sense(w, p)) for w, _, _, p in L.SENSES]), lambda b: b))
+    base = base.withColumn("codes", codes)  # steps of their own, so that each is computed once
+    codes = F.col("codes")
     mean = F.col("token_count") / F.greatest(F.col("sentence_count"), F.lit(1))
     blob = F.concat(F.col("title_blob"), F.lit(" "), F.array_join(F.slice("w", 1, 250), " "))
     base = base.withColumns({

@@ -144,7 +144,9 @@ def classify(entries: DataFrame, profiles: dict[str, Sequence[str]], aliases: di
     sure = F.when(some, F.bround((best - second) / F.greatest(best, F.lit(1.0)), 3)).otherwise(0.0)
     fallback = F.coalesce(home, F.lit(general))
     domain = F.when(~some, fallback).when((best < 2.5) | (sure < 0.18), general).otherwise(first)
-    return ranked.withColumns({"domain": domain, "score": F.bround(best, 2), "confidence": sure}).drop("__r")
+    # by a generator of one row: filters on the outcome are not pushed below it, which would repeat these expressions
+    found = F.struct(domain.alias("domain"), F.bround(best, 2).alias("score"), sure.alias("confidence"))
+    return ranked.select(*entries.columns, F.inline(F.array(found)))
 
 
 def payload_words(payloads: DataFrame, tiers: DataFrame, docs: DataFrame) -> DataFrame:

@@ -25,11 +25,25 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/glossa-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet into the shared work folder and read it back: lineage ends here."""
-    path = f"{work_folder(df.sparkSession)}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+ARROW_ROWS = 2_000
+
+
+def materialize(df: DataFrame, name: str, compression: str = "snappy", *, light: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared work folder and read it back: lineage ends here.
+
+    Python workers get at most ARROW_ROWS rows at once meanwhile. light: the rows of a last stage with little work are
+    written by about as many tasks as there are cores, so that small tables don't become many files.
+    """
+    if light:
+        df = df.coalesce(max(8, df.sparkSession.sparkContext.defaultParallelism))
+    spark, path, rows = df.sparkSession, f"{work_folder(df.sparkSession)}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    schema, before = df.schema, spark.conf.get(rows)
+    spark.conf.set(rows, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(rows, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def fold(column: str, buckets: int):

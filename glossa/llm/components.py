@@ -22,10 +22,10 @@ def stars(links: DataFrame, *, both: bool) -> DataFrame:
 
 def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest reachable node, for every node of links (u, v) that isn't its own component."""
-    links = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links")
+    links = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links", light=True)
     before = None
     for _ in range(rounds):
-        links = materialize(stars(stars(links, both=True), both=False), "links")
+        links = materialize(stars(stars(links, both=True), both=False), "links", light=True)
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -5,14 +5,16 @@ of the one with a sub-key of the other: KEYS ** 2 tables of 2 * ROWS minhashes f
 the square root of what as many independent tables take. A pair at similarity 0.75 shares a table with probability
 (1 - (1 - 0.75 ** ROWS) ** KEYS) ** 2 = 0.9999, more similar pairs with more.
 
-1. One scan of the texts: set size, a 128-bit digest of the set and the minhashes of every document (a small table).
+1. One scan of the texts: set size, a 128-bit digest of the set, the sub-keys, and a sketch (the least shingle of each of
+   ``BINS`` ranges of hashes, a byte each) of every document: a table without texts.
 2. Documents of equal sets are linked to the smallest; only that one goes on.
 3. Table keys: each task keeps one document a key and batch, and pairs the others with it; then one shuffle by key, in
    which each key's documents are paired with the key's first one as they stream by. Pairs grow linearly.
-4. Pairs whose minhashes agree too little, or whose set sizes rule 0.75 out, go; each document's best pair is verified on
-   full sets; components are formed.
-5. What stars can miss: in each table key that still holds several components, all pairs of different components are
-   compared by their minhashes, and those that agree enough are verified too. Then components are formed anew.
+4. Pairs whose sketches agree too little, or whose set sizes rule 0.75 out, go; the others are verified on full sets;
+   components are formed.
+5. What stars can miss: in each table key that still holds several components, pairs of different components are
+   compared by their sketches, each in the first table that it shares, and those that agree enough are verified too.
+   Then components are formed anew.
 
 Verification deals pairs by their first document, salted by the number of its pairs. No link reaches the driver.
 
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, join_sized, materialize, mix, slices
+from .common import flat, join_sized, materialize, mix, shielded, slices
 from .components import components
 from .shingles import shingle_sets
 
 KEYS, ROWS, PERCENT = 12, 2, 75
 HASHES = 2 * KEYS * ROWS
-AGREE = 22  # of HASHES; a pair at 0.75 has fewer with probability 1e-5
+BINS, SIGMAS = 512, 4.75  # a pair at 0.75 agrees too little with probability 1e-6 or less
 MEMBERS = 256  # pairs of one document in one verifying group
 _random = np.random.default_rng(20)
 FACTOR = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,10 +52,40 @@ def minhashes(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def sub_keys(mins: np.ndarray) -> np.ndarray:
+    """KEYS sub-keys of ROWS minhashes for each of the two collections."""
+    sub = np.zeros((len(mins), 2 * KEYS), np.uint64)
+    for r in range(ROWS):
+        sub = mix(sub + mins[:, r::ROWS])
+    return sub
+
+
+def sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A byte for the least hash in each of BINS equal ranges, 0 where there is none; sets are sorted."""
+    out = np.zeros((len(at) - 1, BINS), np.uint8)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = row * BINS + (sets >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out.reshape(-1)[place[first]] = (mix(sets[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def agreement(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """By how many ranges sketches (rows) agree beyond what they would at the similarity asked for, less SIGMAS deviations.
+
+    The ranges' least hashes are a sample of the union without replacement, nearly all of it for small sets.
+    """
+    p = PERCENT / 100
+    same, some = ((a == b) & (a > 0)).sum(1), ((a | b) > 0).sum(1)
+    union = np.maximum((n_a + n_b) / (1 + p), some)
+    spread = some * p * (1 - p) * (union - some + 1) / union
+    return same - p * some + SIGMAS * np.sqrt(spread)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), d1 and d2 (the set's digest) and mins (minhashes as bytes) of every whole text."""
+    """doc_id, n (set size), d1 and d2 (the set's digest), subs (sub-keys) and sketch of every whole text."""
     schema = docs.select("doc_id").schema
-    for name, kind in (("n", "long"), ("d1", "long"), ("d2", "long"), ("mins", "binary")):
+    for name, kind in (("n", "long"), ("d1", "long"), ("d2", "long"), ("subs", "binary"), ("sketch", "binary")):
         schema = schema.add(name, kind)
 
     def run(batches):
@@ -64,23 +96,24 @@ def signatures(docs: DataFrame) -> DataFrame:
                 size = np.diff(at)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ TERM[k]), dtype=np.uint64)]) for k in (0, 1)]
                 digest = [mix((s[at[1:]] - s[at[:-1]]) + size.astype(np.uint64)).view(np.int64) for s in sums]
-                mins = minhashes(sets, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), *map(pa.array, digest), pa.array([m.tobytes() for m in mins], pa.binary())], names=schema.names)
+                rows = [pa.array([m.tobytes() for m in x], pa.binary()) for x in (sub_keys(minhashes(sets, at)), sketches(sets, at))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), *map(pa.array, digest), *rows], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def unpack(column) -> np.ndarray:
-    return flat(column)[0].view(np.uint64).reshape(-1, HASHES)
+    return flat(column)[0].view(np.uint64).reshape(-1, 2 * KEYS)
+
 
+def unpack_sketch(column) -> np.ndarray:
+    return flat(column)[0].reshape(-1, BINS)
 
-def table_keys(mins: np.ndarray) -> np.ndarray:
+
+def table_keys(sub: np.ndarray) -> np.ndarray:
     """KEYS ** 2 keys a document: every sub-key of the first collection with every one of the second."""
-    sub = np.zeros((len(mins), 2 * KEYS), np.uint64)
-    for r in range(ROWS):
-        sub = mix(sub + mins[:, r::ROWS])
     tables = (np.arange(KEYS * KEYS, dtype=np.uint64) + np.uint64(1)).reshape(KEYS, KEYS)
-    return mix(sub[:, :KEYS, None] * np.uint64(3) + sub[:, None, KEYS:] + mix(tables)).reshape(len(mins), -1)
+    return mix(sub[:, :KEYS, None] * np.uint64(3) + sub[:, None, KEYS:] + mix(tables)).reshape(len(sub), -1)
 
 
 def keyed(signed: DataFrame) -> DataFrame:
@@ -101,7 +134,7 @@ def keyed(signed: DataFrame) -> DataFrame:
             salt = mix(pair[:, 0].astype(np.uint64) * np.uint64(31) + mix(pair[:, 1].astype(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[new], salt]).view(np.int64)), pa.array(np.concatenate([who[new], pair[:, 1]])), pa.array(np.concatenate([np.zeros(new.sum(), np.int64), pair[:, 0]]), mask=np.arange(new.sum() + len(pair)) < new.sum())], names=["key", "doc", "with"])
 
-    return signed.select("doc_id", "mins").mapInArrow(run, "key long, doc long, with long")
+    return signed.select("doc_id", "subs").mapInArrow(run, "key long, doc long, with long")
 
 
 def star_pairs(keys: DataFrame) -> DataFrame:
@@ -134,28 +167,29 @@ def star_pairs(keys: DataFrame) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs whose minhashes agree enough and whose set sizes allow the similarity, with their agreement."""
-    side = signed.select("doc_id", "n", "mins")
-    both = pairs.join(side.toDF("a", "na", "ma"), "a").join(side.toDF("b", "nb", "mb"), "b")
+    """Pairs whose sketches agree enough and whose set sizes allow the similarity."""
+    size, side = signed.select("doc_id", "n"), signed.select("doc_id", "sketch")
+    both = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
     both = both.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    both = both.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
 
     def run(batches):
         for batch in batches:
-            same = (unpack(batch.column(2)) == unpack(batch.column(3))).sum(1)
-            keep = pa.array(same >= AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(same).filter(keep)], names=["a", "b", "same"])
+            sizes = [batch.column(k).to_numpy() for k in (4, 5)]
+            keep = pa.array(agreement(unpack_sketch(batch.column(2)), unpack_sketch(batch.column(3)), *sizes) >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long, same long")
+    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= PERCENT * union on full sets."""
     pairs = materialize(pairs.select("a", "b"), "pairs")
-    groups = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts")), "groups")
+    groups = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts")), "groups", light=True)
     member = pairs.join(groups, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     head = groups.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     tasks = member.unionByName(head).groupBy("doc_id").agg(F.collect_set(F.struct("a", "salt", "role")).alias("tasks"))
-    with_text = join_sized(docs.select("doc_id", "text"), materialize(tasks, "tasks"), "doc_id", "tasks").where("tasks IS NOT NULL")
+    with_text = join_sized(docs.select("doc_id", "text"), materialize(tasks, "tasks", light=True), "doc_id", "tasks").where("tasks IS NOT NULL")
     rows = with_text.select("doc_id", "text", F.explode("tasks").alias("t")).select("t.a", "t.salt", "t.role", "doc_id", "text")
 
     def run(batches):
@@ -184,56 +218,59 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def cross_pairs(reps: DataFrame, stars: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of different components under one table key whose minhashes agree enough: what stars can miss.
+    """Pairs of different components under one table key whose sketches agree enough: what stars can miss.
 
     Two documents of one key are both paired with its first one, so only documents in star pairs need be looked at.
-    In each key that holds several components, documents outside its largest component are held, the others stream by.
+    In each key that holds several components, documents outside its largest component are held, the others stream by;
+    a pair is looked at in the first table that it shares only.
     """
     paired = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
     some = join_sized(reps.join(paired, "doc_id", "left_semi"), found, "doc_id", "component").withColumn("component", F.coalesce("component", "doc_id"))
     some = materialize(some, "paired")
 
     def spread(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
             keys = table_keys(unpack(batch.column(2)))
             doc, component = (np.repeat(batch.column(k).to_numpy(), keys.shape[1]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(doc), pa.array(component)], names=["key", "doc_id", "component"])
+            table = np.tile(np.arange(keys.shape[1]), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(table), pa.array(doc), pa.array(component)], names=["key", "table", "doc_id", "component"])
 
-    rows = some.select("doc_id", "component", "mins").mapInArrow(spread, "key long, doc_id long, component long")
+    rows = some.select("doc_id", "component", "subs").mapInArrow(spread, "key long, table long, doc_id long, component long")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("most")).where("parts > 1")
-    held = rows.join(mixed.select("key", "most"), "key").withColumn("large", (F.col("component") == F.col("most")).cast("int"))
-    held = held.join(some.select("doc_id", "n", "mins"), "doc_id").select("key", "large", "component", "doc_id", "n", "mins")
+    held = rows.join(mixed.select("key", "most"), "key").withColumn("large", (F.col("component") == F.col("most")).cast("long"))
+    held = held.join(some.select("doc_id", "n", "subs", "sketch"), "doc_id").select("key", "large", "table", "component", "doc_id", "n", "subs", "sketch")
 
     def compare(batches):
         key, kept = None, None
         for batch in batches:
             if not len(batch):
                 continue
-            keys = batch.column(0).to_numpy()
-            large, component, doc, n = (batch.column(k).to_numpy() for k in range(1, 5))
-            mins = unpack(batch.column(5))
+            keys, large, table, component, doc, n = (batch.column(k).to_numpy() for k in range(6))
+            subs, sketch = unpack(batch.column(6)), unpack_sketch(batch.column(7))
             us, vs = [], []
             cut = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 if keys[i] != key:
-                    key, kept = keys[i], (component[:0], doc[:0], n[:0], mins[:0])
+                    key, kept = keys[i], tuple(x[:0] for x in (component, doc, n, subs, sketch))
                 few = j if large[j - 1] == 0 else i + int(np.searchsorted(large[i:j], 1))
                 base = len(kept[0])
-                kept = tuple(np.concatenate([x, y[i:few]]) for x, y in zip(kept, (component, doc, n, mins), strict=True))
+                kept = tuple(np.concatenate([x, y[i:few]]) for x, y in zip(kept, (component, doc, n, subs, sketch), strict=True))
                 for k in range(i, j):  # each row against the documents held before it, or all held if it streams by
                     upto = base + k - i if k < few else len(kept[0])
                     near = (kept[0][:upto] != component[k]) & (100 * np.minimum(kept[2][:upto], n[k]) >= PERCENT * np.maximum(kept[2][:upto], n[k]))
                     at = np.flatnonzero(near)
                     if len(at):
-                        at = at[(kept[3][at] == mins[k]).sum(1) >= AGREE]
+                        shared = kept[3][at] == subs[k]
+                        at = at[(shared[:, :KEYS].argmax(1) == table[k] // KEYS) & (shared[:, KEYS:].argmax(1) == table[k] % KEYS)]
+                    if len(at):
+                        at = at[agreement(kept[4][at], sketch[k : k + 1], kept[2][at], n[k]) >= 0]
                         us.append(np.full(len(at), doc[k]))
                         vs.append(kept[1][at])
             u, v = (np.concatenate([doc[:0], *x]) for x in (us, vs))
-            pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
-    return held.repartition("key").sortWithinPartitions("key", "large").mapInArrow(compare, "a long, b long").distinct()
+    return held.repartition("key").sortWithinPartitions("key", "large").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -241,18 +278,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = {"doc_id": F.col("doc_id").cast("long")}
     signed = materialize(signatures(docs.withColumns(whole)), "signatures")
     full = signed.where("n > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    first = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"))
-    equal = materialize(full.join(first, ["d1", "d2"]).select(F.col("doc_id").alias("u"), "v"), "equal")
-    reps = materialize(full.join(equal.where("u = v").select(F.col("u").alias("doc_id")), "doc_id", "left_semi"), "representatives")
+    # written tables on both sides of a join: adaptive execution can split a hot group of copies
+    first = materialize(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "first", light=True)
+    equal = materialize(full.join(first, ["d1", "d2"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v"), "equal", light=True)
+    reps = materialize(full.join(equal.select(F.col("u").alias("doc_id")), "doc_id", "left_anti"), "representatives")
     stars = materialize(star_pairs(keyed(reps)), "stars")
     pairs = materialize(agreeing(stars, reps), "candidates")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")).select("a", "b")
-    links = materialize(verified(best, docs.withColumns(whole)), "links")
-    found = components(links).withColumnRenamed("node", "doc_id")
-    more = cross_pairs(reps, stars, found).join(best, ["a", "b"], "left_anti")
-    late = materialize(verified(more, docs.withColumns(whole)), "links")
-    found = components(equal.where("u <> v").unionByName(links).unionByName(late))
-    out = join_sized(signed.select("doc_id", F.col("n").alias("n_shingles")), materialize(found.withColumnRenamed("node", "doc_id"), "components"), "doc_id", "component")
+    whole_docs = docs.withColumns(whole)
+    links = materialize(verified(pairs, whole_docs), "links")
+    found = materialize(components(links).withColumnRenamed("node", "doc_id"), "components", light=True)
+    more = cross_pairs(reps, stars, found).join(pairs, ["a", "b"], "left_anti")
+    late = materialize(verified(more, whole_docs), "links")
+    found = components(equal.unionByName(links).unionByName(late))
+    out = join_sized(signed.select("doc_id", F.col("n").alias("n_shingles")), materialize(found.withColumnRenamed("node", "doc_id"), "components", light=True), "doc_id", "component")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -265,4 +303,5 @@ def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near duplicates, the smallest doc_id, stays."""
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = materialize(found.where("doc_id <> component_id").select("doc_id", F.lit(True).alias("gone")).distinct(), "gone")
-    return join_sized(docs, gone, "doc_id", "gone").where("gone IS NULL").select(*docs.columns)
+    plain, restore = shielded(docs, "doc_id")
+    return restore(join_sized(plain, gone, "doc_id", "gone").where("gone IS NULL"))

@@ -21,7 +21,6 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 RATE, MIN_ITEM, BLOCK_CHARS = 0.05, 16, 1_000_000
 APART = regex.compile(r"[^\p{L}\p{N}]+")

@@ -70,9 +70,10 @@ def deleted_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM) -> DataF
 
     seen = materialize(docs.select("doc_id", "text").mapInArrow(found, schema), "windows")
     # a fingerprint at work in one window only marks no match; one in several is joined with all its places
-    twice = seen.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    # (both found first and written, so that adaptive execution can split the joins at hot keys)
+    twice = materialize(seen.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "twice", light=True)
     placed = seen.join(twice, "print")
-    first = placed.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialize(placed.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first", light=True)
     later = placed.join(first, ["one", "two"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
@@ -80,7 +81,7 @@ def deleted_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM) -> DataF
 def dedup_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """docs with n_lines, n_removed and the text without its deleted lines."""
     gone = deleted_lines(docs, run=run, gram=gram)
-    joined = join_sized(docs, materialize(gone, "lines"), "doc_id", "starts")
+    joined = join_sized(docs, materialize(gone, "lines", light=True), "doc_id", "starts")
     names = docs.columns
     schema = joined.drop("starts").schema.add("n_lines", "long").add("n_removed", "long")
 

@@ -11,7 +11,6 @@ Edge cases: null and empty texts are 64 zero bytes; equal texts give equal value
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 

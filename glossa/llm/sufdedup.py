@@ -246,7 +246,7 @@ SPAN = "doc_id long, start long, many long"
 
 def refine(runs_: DataFrame, docs: DataFrame) -> DataFrame:
     """Repeated windows of the given first runs, told apart by their bytes."""
-    sizes = materialize(runs_.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).withColumn("hot", F.lit(1)).select("bucket", "hot"), "hot")
+    sizes = materialize(runs_.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).withColumn("hot", F.lit(1)).select("bucket", "hot"), "hot", light=True)
     flagged = join_sized(runs_, sizes, "bucket", "hot")
     lists = materialize(flagged.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "start", "many", F.coalesce("hot", F.lit(0)).alias("hot"))).alias("runs")), "lists")
     texts = join_sized(docs.select("doc_id", "text"), lists, "doc_id", "runs", rows=SMALL).where("runs IS NOT NULL")

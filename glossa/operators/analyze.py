@@ -281,9 +281,10 @@ def quality(articles: DataFrame, *, prefer: Sequence[str] = (), exclude: Sequenc
         - F.when(T.wire_brief(F.col("text"), F.col("sentence_count")), 1.0).otherwise(0.0)
     ) * weight
     exam = F.coalesce(F.col("corpus_type") == "kaoyan_exam", F.lit(False))
-    return base.select(
-        "doc_id", "token_count", "sentence_count", "avg_sentence_len", "polysemy_count", "pattern_count", "pattern_diversity",
+    gate = F.struct(
         F.when(exam, 10.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(score, F.lit(10.0))), 2)).alias("quality_score"),
         (exam | ((F.size("excluded") == 0) & (F.col("token_count") >= 450))).alias("quality_keep"),
         F.array_join("boilerplate_hits", ",").alias("boilerplate"),
-    )
+    )
+    # by a generator of one row: filters on the score are not pushed below it, which would repeat these expressions
+    return base.select("doc_id", "token_count", "sentence_count", "avg_sentence_len", "polysemy_count", "pattern_count", "pattern_diversity", F.inline(F.array(gate)))

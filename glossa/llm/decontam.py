@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-RATE, MIN_ITEM, BLOCK_CHARS = 0.05, 16, 1_000_000
+RATE, MIN_ITEM, BLOCK_CHARS = 0.08, 16, 1_000_000
 APART = regex.compile(r"[^\p{L}\p{N}]+")
 
 

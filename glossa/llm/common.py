@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,6 +30,23 @@ def work_folder(spark: SparkSession) -> str:
 ARROW_ROWS = 2_000
 
 
+def tidy(run):
+    """The generator function, after which the Python worker gives back memory that it has freed but still holds.
+
+    Workers are used again by later tasks, of other operators too.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # the C library may be another one
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy", *, light: bool = False) -> DataFrame:
     """Write df as Parquet into the shared work folder and read it back: lineage ends here.
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 RATE, MIN_ITEM, BLOCK_CHARS = 0.08, 16, 1_000_000
 APART = regex.compile(r"[^\p{L}\p{N}]+")
 
@@ -147,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, l
                 columns = list(zip(*hits, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, f.type) for c, f in zip(columns, (pa.field("", t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())), strict=True)]], names=schema.names)
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+        parts.append(docs.select("doc_id", "text").mapInArrow(tidy(run), schema))
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     out = parts[0]

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER_TO_LOWER, flat, fold, shielded, slices
+from .common import UPPER_TO_LOWER, flat, fold, shielded, slices, tidy
 
 SAMPLE_PER_LANG, SAMPLE_CHARS = 500, 20_000
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)
@@ -140,7 +140,7 @@ def predict_language(docs: DataFrame, model: LangModel | None, *, keep: tuple[st
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(bad)], names=[*names, "lang_pred", "score", "rejected"])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(tidy(run), schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

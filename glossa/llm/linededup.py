@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, materialize, mix, shielded
+from .common import join_sized, materialize, mix, shielded, tidy
 
 RUN, GRAM = 3, 2
 BLANK = " \t\r"
@@ -68,7 +68,7 @@ def deleted_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM) -> DataF
             columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate([np.empty(0, np.int64), *row]).astype(np.int64))), *map(pa.array, columns)], names=schema.names)
 
-    seen = materialize(docs.select("doc_id", "text").mapInArrow(found, schema), "windows")
+    seen = materialize(docs.select("doc_id", "text").mapInArrow(tidy(found), schema), "windows")
     # a fingerprint at work in one window only marks no match; one in several is joined with all its places
     # (both found first and written, so that adaptive execution can split the joins at hot keys)
     twice = materialize(seen.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "twice", light=True)
@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM) -> DataFra
             columns = [pa.array(texts, batch.column(at).type) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

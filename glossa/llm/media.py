@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat
+from .common import flat, tidy
 
 WIDTH, LEVEL = 64, 4
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -161,7 +161,7 @@ def media_columns(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, i + 1 - a), pa.array(np.diff(offsets[a : i + 2])), *[pa.array(c, pa.binary()) for c in out]], names=schema.names)
                     out = [[], [], []]
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(tidy(run), schema)
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:

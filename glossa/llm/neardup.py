@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, join_sized, materialize, mix, shielded, slices
+from .common import flat, join_sized, materialize, mix, shielded, slices, tidy
 from .components import components
 from .shingles import shingle_sets
 
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 rows = [pa.array([m.tobytes() for m in x], pa.binary()) for x in (sub_keys(minhashes(sets, at)), sketches(sets, at))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), *map(pa.array, digest), *rows], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def unpack(column) -> np.ndarray:
@@ -134,7 +134,7 @@ def keyed(signed: DataFrame) -> DataFrame:
             salt = mix(pair[:, 0].astype(np.uint64) * np.uint64(31) + mix(pair[:, 1].astype(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[new], salt]).view(np.int64)), pa.array(np.concatenate([who[new], pair[:, 1]])), pa.array(np.concatenate([np.zeros(new.sum(), np.int64), pair[:, 0]]), mask=np.arange(new.sum() + len(pair)) < new.sum())], names=["key", "doc", "with"])
 
-    return signed.select("doc_id", "subs").mapInArrow(run, "key long, doc long, with long")
+    return signed.select("doc_id", "subs").mapInArrow(tidy(run), "key long, doc long, with long")
 
 
 def star_pairs(keys: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def star_pairs(keys: DataFrame) -> DataFrame:
             pair = pair[pair[:, 0] != pair[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(pair.min(1) if len(pair) else pair[:, 0]), pa.array(pair.max(1) if len(pair) else pair[:, 0])], names=["a", "b"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "a long, b long").distinct()
+    return keys.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             keep = pa.array(agreement(unpack_sketch(batch.column(2)), unpack_sketch(batch.column(3)), *sizes) >= 0)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(tidy(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                             vs.append(doc[k])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "u long, v long")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(tidy(run), "u long, v long")
 
 
 def cross_pairs(reps: DataFrame, stars: DataFrame, found: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def cross_pairs(reps: DataFrame, stars: DataFrame, found: DataFrame) -> DataFram
             table = np.tile(np.arange(keys.shape[1]), len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(table), pa.array(doc), pa.array(component)], names=["key", "table", "doc_id", "component"])
 
-    rows = some.select("doc_id", "component", "subs").mapInArrow(spread, "key long, table long, doc_id long, component long")
+    rows = some.select("doc_id", "component", "subs").mapInArrow(tidy(spread), "key long, table long, doc_id long, component long")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("most")).where("parts > 1")
     held = rows.join(mixed.select("key", "most"), "key").withColumn("large", (F.col("component") == F.col("most")).cast("long"))
@@ -270,7 +270,7 @@ def cross_pairs(reps: DataFrame, stars: DataFrame, found: DataFrame) -> DataFram
             u, v = (np.concatenate([doc[:0], *x]) for x in (us, vs))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
-    return held.repartition("key").sortWithinPartitions("key", "large").mapInArrow(compare, "a long, b long")
+    return held.repartition("key").sortWithinPartitions("key", "large").mapInArrow(tidy(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .tokens import encoder, ids_crc32
 
 CAPACITY, END = 1024, 0
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, path: str, *, end: int = END, capacity: int = CAPACI
             columns = np.array(out, np.int64).reshape(-1, 6).T
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *map(pa.array, np.ascontiguousarray(columns))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, path: str, *, end: int = END, capacity: int = CAPACITY) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, fold, slices
+from .common import flat, fold, slices, tidy
 
 SAMPLE, SAMPLE_CHARS, THRESHOLD = 2_500, 12_000, 0.7
 STEP, CHUNK, EMBED, FILTERS, HIDDEN = 4, 16, 6, 32, 16
@@ -147,7 +147,7 @@ def score_quality(docs: DataFrame, net: ConvNet | None) -> DataFrame:
                     score[i:j] = net.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, flat, join_sized, materialize, mix, powers, slices
+from .common import BASE, flat, join_sized, materialize, mix, powers, slices, tidy
 
 LENGTH, GRAM, HOT, BATCH = 100, 32, 2_000, 2 << 20
 SMALL = 100_000  # rows and spans that may be broadcast; beyond that texts are dealt by doc_id
@@ -143,7 +143,7 @@ def anchored(docs: DataFrame) -> DataFrame:
             size = (start << 8 | many << 1 | again)[keep]
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(whole[keep].view(np.int64)), pa.array(doc[keep]), pa.array(size)], names=["bucket", "whole", "doc_id", "size"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, whole long, doc_id long, size long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "bucket long, whole long, doc_id long, size long")
 
 
 def marked(rows: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def marked(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "doc_id", "start", "many", "kind"])
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "whole", "doc_id", "size")
-    return dealt.mapInArrow(run, "bucket long, doc_id long, start long, many long, kind long")
+    return dealt.mapInArrow(tidy(run), "bucket long, doc_id long, start long, many long, kind long")
 
 
 def refined(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -278,7 +278,7 @@ def refine(runs_: DataFrame, docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == 4 else pa.int64()) for n, c in enumerate(out)], names=["bucket", "doc_id", "start", "many", "raw", "one", "two"])
                     out, held = [[] for _ in range(7)], 0
 
-    rows = materialize(texts.mapInArrow(cut, "bucket long, doc_id long, start long, many long, raw binary, one long, two long"), "runs")
+    rows = materialize(texts.mapInArrow(tidy(cut), "bucket long, doc_id long, start long, many long, raw binary, one long, two long"), "runs")
 
     def sort(batches):
         held, size, last = [], 0, None
@@ -307,7 +307,7 @@ def refine(runs_: DataFrame, docs: DataFrame) -> DataFrame:
             yield flush()
 
     cold = rows.where("raw IS NOT NULL").select("bucket", "doc_id", "start", "many", "raw")
-    out = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, SPAN)
+    out = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(sort), SPAN)
     hot = rows.where("raw IS NULL").select("doc_id", "start", "one", "two")
     first = hot.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = hot.join(first, ["one", "two"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
@@ -348,7 +348,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
                 columns = [np.diff(base), *[t[base[1:]] - t[base[:-1]] for t in total]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(c.astype(np.int64)) for c in columns], pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(take, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidy(take), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

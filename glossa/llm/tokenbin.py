@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import flat, materialize
+from .common import flat, materialize, tidy
 from .tokens import encoder, ids_crc32
 
 LIMIT, END, BLOCK, EVERY = 16, 2, 1 << 17, 64
@@ -139,7 +139,7 @@ def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
                 part = batch.slice(i, 1024)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(t.as_py()) + tail for t in part.column(1)], pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def count_ids(ids: DataFrame, vocab: int, dtype: np.dtype) -> np.ndarray:
@@ -155,7 +155,7 @@ def count_ids(ids: DataFrame, vocab: int, dtype: np.dtype) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
     counts = np.zeros(vocab, np.int64)
-    for id_, n in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for id_, n in ids.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[id_] = n
     return counts
 
@@ -187,7 +187,7 @@ def write_tokens(docs: DataFrame, path: str, *, end: int = END, block: int = BLO
         if held:
             yield put()[0]
 
-    blocks = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, "part long, block long, n_tokens long, body binary")
+    blocks = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(tidy(run), "part long, block long, n_tokens long, body binary")
     return materialize(blocks, "tokens"), lengths
 
 
@@ -203,7 +203,7 @@ def read_tokens(blocks: DataFrame, lengths: bytes) -> DataFrame:
                 crc = [ids_crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(doc), pa.int64()), pa.array(doc, mask=null.astype(bool)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = blocks.select("part", "body").mapInArrow(run, "part long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = blocks.select("part", "body").mapInArrow(tidy(run), "part long, doc_id long, at long, n_tokens long, ids_crc32 long")
     sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -26,6 +26,8 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 MAX_STORE = 1 << 30
 ALLOW, BLOCK = "allow", "block"
 RULES = [("com", "/", ALLOW), ("example.com", "/en/", BLOCK), ("www.example.com", "/en/", ALLOW), ("net", "/es/", BLOCK), ("net", "/fr/", BLOCK)]
@@ -130,7 +132,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, key: str
                     rule[o], verdict[o] = names[i], BLOCK if store.block[found[i]] else ALLOW
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in ([p[0] for p in parts], [p[1] for p in parts], rule, verdict)]], names=schema.names)
 
-    return pages.select(key, url).mapInArrow(run, schema)
+    return pages.select(key, url).mapInArrow(tidy(run), schema)
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:

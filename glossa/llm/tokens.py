@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 
-CACHE = 120_000
+CACHE = 250_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ž"
 UNKNOWN = re.compile(f"[^\\t\\n\\r\\x20-\\x7e×÷¡«»¿–—‘’“”…€{LETTERS}]|<\\|")
 ENDS = "'s|'t|'re|'ve|'m|'ll|'d"

@@ -7,10 +7,14 @@ hash of their ``GRAM``-line shingles, so two equal runs always keep the same fin
 are joined only where a fingerprint occurs twice; there each match is extended both ways, line by line, by the windows
 around the fingerprint, and every window but the first of its content is deleted.
 
+With ``words`` set, shorter runs count too, down to one line, if they hold at least so many words (between blanks) or
+``CHARS`` characters, for scripts without blanks. Each such run is a window that is its own fingerprint.
+``op2_line_dedup`` is the plain rule of its SQL; ``op2_passage_dedup`` and the pipeline have both.
+
 Pre-aggregation by fingerprint and by window runs before each shuffle; joins are plain equality joins that adaptive
 execution can split at hot keys; the texts are joined with their deleted lines in one pass at the end.
 
-Edge cases: null texts stay null, blank lines stay and never count, texts of fewer than ``RUN`` lines stay whole;
+Edge cases: null texts stay null, blank lines stay and never count, texts without a run that counts stay whole;
 rows that repeat a doc_id count as one document (of the same text); an empty table gives an empty result; other
 columns pass through.
 """
@@ -26,11 +30,16 @@ from pyspark.sql import functions as F
 from .common import join_sized, materialize, mix, shielded, tidy
 
 RUN, GRAM = 3, 2
+WORDS, CHARS = 50, 400
 BLANK = " \t\r"
 
 
-def line_hashes(text: str | None) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(s.encode()) for x in (text or "").split("\n") if (s := x.strip(BLANK))], np.uint64)
+def real_lines(text: str | None) -> list[str]:
+    return [s for x in (text or "").split("\n") if (s := x.strip(BLANK))]
+
+
+def line_hashes(lines: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s.encode()) for s in lines], np.uint64)
 
 
 def windows(lines: np.ndarray, run: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,26 +55,47 @@ def windows(lines: np.ndarray, run: int, gram: int) -> tuple[np.ndarray, np.ndar
     least = shingle[:n].copy()
     for k in range(1, run - gram + 1):
         np.minimum(least, shingle[k : k + n], out=least)
-    one, two = np.zeros(n, np.uint64), np.full(n, run, np.uint64)
-    for k in range(run):
-        one, two = mix(one) + lines[k : k + n], mix(two ^ lines[k : k + n])
-    return least, mix(one), two
+    return least, *contents(lines, np.arange(n), run)
 
 
-def deleted_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """doc_id and the sorted starts (numbers among the lines that are not blank) of its windows that occur earlier."""
+def contents(lines: np.ndarray, start: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the content of the windows of run lines at these starts."""
+    one, two = np.zeros(len(start), np.uint64), np.full(len(start), run, np.uint64)
+    for k in range(run):
+        one, two = mix(one) + lines[start + k], mix(two ^ lines[start + k])
+    return mix(one), two
+
+
+def all_windows(text: str | None, run: int, gram: int, words: int) -> list[np.ndarray]:
+    """Start, lines, fingerprint and content of each window of run lines, and (unless words is 0) of the shorter ones of
+    at least so many words or CHARS characters."""
+    real = real_lines(text)
+    lines = line_hashes(real)
+    least, one, two = windows(lines, run, gram)
+    out = [(np.arange(len(one)), np.full(len(one), run), least, one, two)]
+    if words and real:
+        held, chars = (np.concatenate([[0], np.cumsum(x)]) for x in ([len(s.split()) for s in real], [len(s) for s in real]))
+        for n in range(1, min(run - 1, len(real)) + 1):
+            start = np.flatnonzero((held[n:] - held[:-n] >= words) | (chars[n:] - chars[:-n] >= CHARS))
+            one, two = contents(lines, start, n)
+            out.append((start, np.full(len(start), n), mix(one ^ two), one, two))
+    return [np.concatenate(c).astype(c[0].dtype).view(np.int64) for c in zip(*out, strict=True)]
+
+
+def deleted_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM, words: int = 0) -> DataFrame:
+    """doc_id and the sorted numbers (among the lines that are not blank) of its lines in windows that occur earlier."""
     schema = docs.select("doc_id").schema
-    for name in ("start", "print", "one", "two"):
+    for name in ("start", "size", "print", "one", "two"):
         schema = schema.add(name, "long")
 
     def found(batches):
         for batch in batches:
             row, out = [], []
             for i, text in enumerate(batch.column(1)):
-                got = windows(line_hashes(text.as_py()), run, gram)
+                got = all_windows(text.as_py(), run, gram, words)
                 row.append(np.full(len(got[0]), i))
-                out.append([np.arange(len(got[0])), *[x.view(np.int64) for x in got]])
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+                out.append(got)
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate([np.empty(0, np.int64), *row]).astype(np.int64))), *map(pa.array, columns)], names=schema.names)
 
     seen = materialize(docs.select("doc_id", "text").mapInArrow(tidy(found), schema), "windows")
@@ -75,24 +105,25 @@ def deleted_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM) -> DataF
     placed = seen.join(twice, "print")
     first = materialize(placed.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first", light=True)
     later = placed.join(first, ["one", "two"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    lines = later.select("doc_id", F.explode(F.expr("sequence(start, start + size - 1)")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM, words: int = 0) -> DataFrame:
     """docs with n_lines, n_removed and the text without its deleted lines."""
-    gone = deleted_lines(docs, run=run, gram=gram)
-    joined = join_sized(docs, materialize(gone, "lines", light=True), "doc_id", "starts")
+    gone = deleted_lines(docs, run=run, gram=gram, words=words)
+    joined = join_sized(docs, materialize(gone, "lines", light=True), "doc_id", "gone")
     names = docs.columns
-    schema = joined.drop("starts").schema.add("n_lines", "long").add("n_removed", "long")
+    schema = joined.drop("gone").schema.add("n_lines", "long").add("n_removed", "long")
 
     def cut(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts, lines, removed = batch.column(at).to_pylist(), [], []
-            for i, (text, starts) in enumerate(zip(texts, batch.column(batch.schema.get_field_index("starts")), strict=True)):
+            for i, (text, gone) in enumerate(zip(texts, batch.column(batch.schema.get_field_index("gone")), strict=True)):
                 parts = (text or "").split("\n")
                 real = [k for k, x in enumerate(parts) if x.strip(BLANK)]
-                bad = {real[s + k] for s in (starts.as_py() or ()) for k in range(run) if s + k < len(real)}
+                bad = {real[k] for k in (gone.as_py() or ()) if k < len(real)}
                 lines.append(len(real))
                 removed.append(len(bad))
                 if bad:
@@ -108,6 +139,12 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
+def op2_passage_dedup(spark, sf_dir: str) -> DataFrame:
+    """The same with runs of fewer lines that hold at least WORDS words or CHARS characters (no SQL)."""
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=WORDS)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 OP2_SQL = """
 WITH raw AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -134,9 +171,9 @@ GROUP BY r.doc_id
 
 
 def stage_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: later repeated runs of lines go, and documents of which nothing but blanks is left by that."""
+    """Pipeline stage: later repeated runs of lines and long passages go, and documents of which nothing but blanks is left by that."""
     plain, restore = shielded(docs, "doc_id", "text", "n_chars")
-    out = dedup_lines(plain)
+    out = dedup_lines(plain, words=WORDS)
     out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

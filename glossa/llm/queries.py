@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontam import op4_decontaminate
 from .langid import op10_language_id
-from .linededup import OP2_SQL, op2_line_dedup
+from .linededup import OP2_SQL, op2_line_dedup, op2_passage_dedup
 from .media import op8_media
 from .neardup import op7_near_duplicates
 from .packing import op6_packing
@@ -16,6 +16,7 @@ from .urlfilter import OP3_SQL, op3_url_filter
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
+    "op2_passage_dedup": op2_passage_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op5_suffix_dedup": op5_suffix_dedup,

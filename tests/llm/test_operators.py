@@ -104,6 +104,36 @@ def test_line_dedup_equals_its_sql(spark, folder):
     assert got == want and any(r[2] for r in got)
 
 
+def passages_removed(texts):
+    """Brute force: text left of each document, judged on the input, by whole windows of lines."""
+    lines = {d: [(i, s) for i, x in enumerate((t or "").split("\n")) if (s := x.strip(" \t\r"))] for d, t in texts.items()}
+    seen, bad = set(), defaultdict(set)
+    for d in sorted(lines):
+        for p in range(len(lines[d])):
+            for n in (1, 2, 3):
+                window = lines[d][p : p + n]
+                key = tuple(s for _, s in window)
+                if len(window) < n or n < 3 and sum(len(s.split()) for s in key) < 50 and sum(map(len, key)) < 400:
+                    continue
+                if key in seen:
+                    bad[d] |= {i for i, _ in window}
+                seen.add(key)
+    return {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in bad[d]) for d, t in texts.items()}
+
+
+def test_long_passages_on_few_lines_are_removed(spark, rows, tmp_path):
+    one, two = " ".join(f"word{i}" for i in range(52)), " ".join(f"other{i}" for i in range(26))
+    more = [(2001, f"first start\n{one}\nend"), (2002, one), (2003, f"x\n \n{one}\r\ny"), (2004, f"{two}\n{two[::-1]}\nz"), (2005, f"q\n{two}\n\n{two[::-1]}"), (2006, two), (2007, "日本" * 200), (2008, "a\n" + "日本" * 200), (2009, f"end\n{one} and more")]
+    spark.createDataFrame(rows + more, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {d: hashlib.md5(t.encode()).hexdigest() for d, t in passages_removed(dict(rows + more)).items()}
+    got = {r["doc_id"]: r for r in run(spark, "op2_passage_dedup", str(tmp_path))}
+    assert {d: r["kept_md5"] for d, r in got.items()} == want
+    assert [got[2000 + i]["n_removed"] for i in range(1, 10)] == [0, 1, 1, 0, 2, 0, 0, 1, 0]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert 2002 not in kept and kept[2003] == "x\n \ny" and kept[2006] == two
+
+
 # ---- 3: urls
 
 

@@ -146,6 +146,11 @@ def pattern_hits_by_type(spark, d):
     return analyze.pattern_rows(plain).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+@query()  # all languages and characters; DuckDB's word boundaries are ASCII, so there is no SQL
+def pattern_hits_by_type_all(spark, d):
+    return analyze.pattern_rows(table(spark, d, "documents")).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
 SENSES = " UNION ALL ".join(f"SELECT doc_id, pos, sentence, {D.quoted(w)} AS word, {D.quoted(o)} AS ordinary_meaning, {D.quoted(c)} AS contextual_meaning FROM s WHERE list_contains({D.content('sentence')}, {D.quoted(w)}) AND regexp_matches(sentence, {bounded('(?i)' + p)})" for w, o, c, p in L.SENSES)
 SENSE_ROWS = f"sh AS ({SENSES}), sr AS (SELECT doc_id, word, ordinary_meaning, contextual_meaning, first(sentence ORDER BY pos) AS sentence, 'high' AS exam_risk FROM sh GROUP BY doc_id, word, ordinary_meaning, contextual_meaning)"
 
@@ -272,8 +277,10 @@ def review_vocabulary(spark, d):
     return analyze.review_vocabulary(table(spark, d, "documents"), X.tiers(spark), DOMAINS).drop("example_sentence")
 
 
-def scored_articles(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7f]"))  # word boundaries differ beyond ASCII
+def scored_articles(spark, d, *, plain=True):
+    docs = table(spark, d, "documents")
+    # plain: as the SQL has it, since word boundaries differ beyond ASCII
+    docs = docs.where(~F.col("text").rlike(r"[^\x00-\x7f]")) if plain else docs.withColumn("text", F.coalesce("text", F.lit("")))
     return docs.select("doc_id", F.concat(F.lit("Title "), F.substring("text", 1, 20)).alias("title"), F.lit("").alias("url"), F.when(F.col("source") == "src1", "The Guardian").otherwise(F.col("source")).alias("source"), "text", F.when(F.col("doc_id") % 50 == 0, "kaoyan_exam").alias("corpus_type"), F.lit(0.75).alias("reliability"), F.when(F.col("source") == "src1", 1.137).otherwise(0.731).alias("weight"))
 
 
@@ -299,7 +306,21 @@ def quality_score(spark, d):
 
 @query(f"SELECT count(*) AS n, sum(CASE WHEN quality_keep THEN 1 ELSE 0 END)::BIGINT AS kept FROM ({GATE}) WHERE quality_score >= 2.0")
 def quality_gate(spark, d):
-    return analyze.quality(scored_articles(spark, d)).where("quality_score >= 2.0").agg(F.count("*").alias("n"), F.sum(F.col("quality_keep").cast("long")).alias("kept"))
+    return gated(analyze.quality(scored_articles(spark, d)))
+
+
+def gated(scored):
+    return scored.where("quality_score >= 2.0").agg(F.count("*").alias("n"), F.sum(F.col("quality_keep").cast("long")).alias("kept"))
+
+
+@query()
+def quality_score_all(spark, d):
+    return analyze.quality(scored_articles(spark, d, plain=False))
+
+
+@query()
+def quality_gate_all(spark, d):
+    return gated(analyze.quality(scored_articles(spark, d, plain=False)))
 
 
 @query(f"WITH {FX}, b AS (SELECT doc_id, unnest(list_filter({BOILER}, lambda y: y IS NOT NULL)) AS marker FROM articles) SELECT * FROM b")

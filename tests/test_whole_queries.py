@@ -44,3 +44,8 @@ def test_patterns_of_all_languages_and_characters(spark, folder):
     want = Counter(c for c, _ in pairs)
     got = {r["type"]: (r["n"], r["n_docs"]) for r in QUERIES["pattern_hits_by_type_all"](spark, folder).collect()}
     assert got == {c: (n, len({i for k, i in pairs if k == c})) for c, n in want.items()}
+
+
+def test_terms_that_occur_once_count(spark, folder):
+    got = {r["word"]: r["frequency"] for r in QUERIES["merged_vocabulary_all"](spark, folder).collect()}
+    assert got["market"] == 1 and got["judge"] == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -9,13 +11,23 @@ from ..functions import text as T
 from ..operators import aggregate, analyze
 from . import fixtures as X
 from . import fragments as D
-from .registry import query, table
+from .registry import QUERIES, query, table
 
 DOMAINS = X.DOMAINS
 FX = X.ARTICLES_SQL
 FXS = f"{FX}, s0 AS (SELECT doc_id, source, {D.sentences('text')} AS ss FROM articles), s AS (SELECT doc_id, source, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM s0)"
 
 
+def fixture(spark, d):
+    return X.articles(spark)
+
+
+def corpus(spark, d):
+    """All documents, and the fixture's articles under negative ids, as the documents hold few English cue words."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), "source", F.col("lang").alias("field"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.unionByName(X.articles(spark).withColumn("doc_id", -F.col("doc_id")))
+
+
 def bounded(pattern: str) -> str:
     """The pattern for DuckDB's engine, where a word boundary is ASCII, as these texts are."""
     return D.quoted(pattern)
@@ -136,8 +148,8 @@ PATTERNS = f"h AS ({PATTERN_HITS}), pr AS (SELECT doc_id, source, row_number() O
 
 
 @query(f"WITH {FXS}, {PATTERNS} SELECT doc_id, ord, type, function, sentence, pattern, importance FROM pr")
-def pattern_hits(spark, d):
-    return analyze.pattern_rows(X.articles(spark))
+def pattern_hits(spark, d, read=fixture):
+    return analyze.pattern_rows(read(spark, d))
 
 
 @query(f"WITH s0 AS (SELECT doc_id, source, {D.sentences('text')} AS ss FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7f]')), s AS (SELECT doc_id, source, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM s0), {PATTERNS} SELECT type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM pr GROUP BY type")
@@ -156,13 +168,13 @@ SENSE_ROWS = f"sh AS ({SENSES}), sr AS (SELECT doc_id, word, ordinary_meaning, c
 
 
 @query(f"WITH {FXS}, {SENSE_ROWS} SELECT * FROM sr")
-def polysemy_first_hit(spark, d):
-    return analyze.sense_rows(X.articles(spark))
+def polysemy_first_hit(spark, d, read=fixture):
+    return analyze.sense_rows(read(spark, d))
 
 
 @query(f"WITH {FXS}, {SENSE_ROWS} SELECT word, ordinary_meaning, contextual_meaning, count(DISTINCT doc_id) AS article_count, min(sentence) AS sentence, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM sr JOIN articles USING (doc_id) GROUP BY ALL")
-def aggregate_polysemy(spark, d):
-    return aggregate.senses(analyze.sense_rows(X.articles(spark)), X.articles(spark))
+def aggregate_polysemy(spark, d, read=fixture):
+    return aggregate.senses(analyze.sense_rows(read(spark, d)), read(spark, d))
 
 
 TEXT, LENGTH = D.squeezed("sentence"), f"len({D.squeezed('sentence')})"
@@ -178,14 +190,14 @@ pa AS (SELECT pg.*, ex.sentence AS example_sentence, ex.source AS example_source
 
 
 @query(f"WITH {FXS}, {PATTERNS}, {PATTERN_GROUPS} SELECT type, pattern, frequency, importance, article_count, sources, raw_types, {PRIORITY} AS priority, example_sentence, example_source, example_quality, n_examples FROM pa")
-def pattern_aggregate(spark, d):
-    rows = aggregate.patterns(analyze.pattern_rows(X.articles(spark), keep=["source"]))
+def pattern_aggregate(spark, d, read=fixture):
+    rows = aggregate.patterns(analyze.pattern_rows(read(spark, d), keep=["source"]))
     return rows.withColumn("n_examples", F.size("examples")).drop("examples")
 
 
 @query()
-def pattern_diverse_select(spark, d):
-    rows = aggregate.patterns(analyze.pattern_rows(X.articles(spark), keep=["source"]))
+def pattern_diverse_select(spark, d, read=fixture):
+    rows = aggregate.patterns(analyze.pattern_rows(read(spark, d), keep=["source"]))
     picked = aggregate.diversified(rows, per_type=2, limit=20)
     return spark.createDataFrame([(i, r["type"], r["pattern"], r["example_sentence"]) for i, r in enumerate(picked)], "place int, type string, pattern string, example_sentence string")
 
@@ -324,16 +336,16 @@ def quality_gate_all(spark, d):
 
 
 @query(f"WITH {FX}, b AS (SELECT doc_id, unnest(list_filter({BOILER}, lambda y: y IS NOT NULL)) AS marker FROM articles) SELECT * FROM b")
-def boilerplate_hits(spark, d):
-    return X.articles(spark).select("doc_id", F.explode(T.boilerplate(F.col("text"))).alias("marker"))
+def boilerplate_hits(spark, d, read=fixture):
+    return read(spark, d).select("doc_id", F.explode(T.boilerplate(F.col("text"))).alias("marker"))
 
 
 PHRASE_ROWS = " UNION ALL ".join(f"SELECT doc_id, {D.quoted(n)} AS expression, len(regexp_extract_all(lower(text), {bounded(p)})) AS frequency, {D.quoted(k)} AS type, {D.quoted(m)} AS meaning, coalesce(list_filter(ss, lambda x: regexp_matches(lower(x), {bounded(p)}))[1], '') AS example_sentence FROM fs WHERE regexp_matches(lower(text), {bounded(p)})" for n, p, m, k in L.PHRASES)
 
 
 @query(f"WITH {FX}, fs AS (SELECT doc_id, text, {D.sentences('text')} AS ss FROM articles) {PHRASE_ROWS}")
-def exam_phrases(spark, d):
-    rows = analyze.collocations(X.articles(spark)).where("meaning <> ''")
+def exam_phrases(spark, d, read=fixture):
+    rows = analyze.collocations(read(spark, d)).where("meaning <> ''")
     return rows.select("doc_id", "expression", "frequency", "type", "meaning", "example_sentence")
 
 
@@ -344,21 +356,21 @@ co AS (SELECT doc_id, expression, frequency, type, 5 AS importance, meaning, 0 A
 
 
 @query(f"WITH {COLLOCATIONS} SELECT doc_id, expression, frequency, type, importance, meaning FROM co")
-def collocations(spark, d):
-    return analyze.collocations(X.articles(spark), 35).select("doc_id", "expression", "frequency", "type", "importance", "meaning")
+def collocations(spark, d, read=fixture):
+    return analyze.collocations(read(spark, d), 35).select("doc_id", "expression", "frequency", "type", "importance", "meaning")
 
 
 @query(f"WITH {COLLOCATIONS} SELECT expression, type, sum(frequency)::BIGINT AS frequency, max(importance) AS importance, count(DISTINCT co.doc_id) AS article_count, max(meaning) AS meaning, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, CASE WHEN max(meaning) <> '' THEN 3 WHEN type = '3-gram' THEN 2 ELSE 1 END AS class, len(string_split(expression, ' ')) AS n_words, len(expression) AS n_chars FROM co JOIN articles USING (doc_id) GROUP BY expression, type")
-def aggregate_collocations(spark, d):
-    return aggregate.collocations(analyze.collocations(X.articles(spark)), X.articles(spark)).drop("example_sentence")
+def aggregate_collocations(spark, d, read=fixture):
+    return aggregate.collocations(analyze.collocations(read(spark, d)), read(spark, d)).drop("example_sentence")
 
 
 @query(f"WITH {FXS}, {PATTERNS}, {SENSE_ROWS}, n AS (SELECT doc_id, (SELECT count(*) FROM pr WHERE pr.doc_id = a.doc_id) AS p, (SELECT count(*) FROM sr WHERE sr.doc_id = a.doc_id) AS q FROM articles a) SELECT doc_id, round_even(least(300 + 2 * 25 + least(q, 10) * 35 + least(p, 10) * 20, 1000) / 100, 1) AS exam_value FROM n")
-def exam_value(spark, d):
-    docs = X.articles(spark)
+def exam_value(spark, d, read=fixture, terms=lambda docs: docs.select("doc_id", F.lit(2).alias("domain_terms"))):
+    docs = read(spark, d)
     p = analyze.pattern_rows(docs).groupBy("doc_id").agg(F.count("*").alias("patterns"))
     q = analyze.sense_rows(docs).groupBy("doc_id").agg(F.count("*").alias("senses"))
-    return analyze.exam_value(docs.select("doc_id", F.lit(2).alias("domain_terms")).join(p, "doc_id", "left").join(q, "doc_id", "left"))
+    return analyze.exam_value(terms(docs).join(p, "doc_id", "left").join(q, "doc_id", "left"))
 
 
 @query(f"SELECT doc_id, substr(sha1(source || chr(10) || lang || chr(10) || left(text, 500)), 1, 16) AS id FROM documents")
@@ -382,3 +394,19 @@ KINDS = [("Author attitude", ""), ("hedging expressions", ""), ("x", "a causal l
 @query("SELECT * FROM (VALUES " + ", ".join(f"({D.quoted(a)}, {D.quoted(b)}, '{c}')" for (a, b), c in zip(KINDS, ["stance", "hedging", "causality", "relative_clause", "contrast", "other", "nominal_clause", "inversion", "argument_development", "other"], strict=True)) + ") v(value, function, type)")
 def pattern_type_names(spark, d):
     return spark.createDataFrame(KINDS, "value string, function string").withColumn("type", T.pattern_type(F.col("value"), F.col("function")))
+
+
+# ---- the queries over the fixture again, over all documents and the fixture (no SQL)
+
+for name in "pattern_hits pattern_aggregate pattern_diverse_select polysemy_first_hit aggregate_polysemy boilerplate_hits exam_phrases collocations aggregate_collocations".split():
+    QUERIES[f"{name}_all"] = partial(QUERIES[name], read=corpus)
+
+
+@query()
+def exam_value_all(spark, d):
+    def counted(docs):
+        words = analyze.review_vocabulary(docs, X.tiers(spark), L.DOMAINS).where("category = 'domain terminology'")
+        found = words.groupBy("doc_id").agg(F.count("*").alias("domain_terms"))
+        return docs.select("doc_id").join(found, "doc_id", "left")
+
+    return exam_value(spark, d, corpus, counted)

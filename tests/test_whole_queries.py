@@ -49,3 +49,11 @@ def test_patterns_of_all_languages_and_characters(spark, folder):
 def test_terms_that_occur_once_count(spark, folder):
     got = {r["word"]: r["frequency"] for r in QUERIES["merged_vocabulary_all"](spark, folder).collect()}
     assert got["market"] == 1 and got["judge"] == 1
+
+
+def test_documents_are_read_beside_the_fixture(spark, folder):
+    rows = QUERIES["pattern_hits_all"](spark, folder).collect()
+    want = Counter((i, c) for i, ss in enumerate(SENTENCES) for s in ss for c in codes(s))
+    assert want and Counter((r["doc_id"], r["type"]) for r in rows if r["doc_id"] >= 0) == want
+    assert sum(r["doc_id"] < 0 for r in rows) == QUERIES["pattern_hits"](spark, folder).count()
+    assert {r["doc_id"] for r in QUERIES["exam_value_all"](spark, folder).collect()} >= {0, 1, 2, 3, 10, 11, -1}

@@ -3,9 +3,9 @@
 A document is the sequence of its lines that are not blank (a line's identity: its bytes without blanks, tabs and
 carriage returns at both ends). A run of at least ``RUN`` lines that also begins earlier (smaller doc_id, or earlier
 in the same document) is deleted; judged on the input. Of every ``RUN`` consecutive lines, winnowing keeps the least
-hash of their ``GRAM``-line shingles, so two equal runs always keep the same fingerprint at the same place. Positions
-are joined only where a fingerprint occurs twice; there each match is extended both ways, line by line, by the windows
-around the fingerprint, and every window but the first of its content is deleted.
+hash of their ``GRAM``-line shingles, so two equal windows always have the same fingerprint. Every window is written
+with its fingerprint and 128 bits of its content; those whose fingerprint occurs twice are grouped by content, and every
+window but the first of its content is deleted. No positions are selected, joined or extended.
 
 With ``words`` set, shorter runs count too, down to one line, if they hold at least so many words (between blanks) or
 ``CHARS`` characters, for scripts without blanks. Each such run is a window that is its own fingerprint.

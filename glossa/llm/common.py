@@ -19,9 +19,11 @@ UPPER_TO_LOWER[65:91] += 32
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; that is set to a temporary folder only where it is unset."""
+    """A new folder below spark.checkpoint.dir. Only a local session may leave that unset: it gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="glossa-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/glossa-{uuid.uuid4().hex}"
@@ -62,7 +64,16 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy", *, light:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(rows, before)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize that nothing is read from any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.work_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def fold(column: str, buckets: int):
@@ -138,20 +149,27 @@ def range_hash(letters: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
 BROADCAST_ROWS = 2_000_000
 
 
-def join_sized(docs: DataFrame, side: DataFrame, key: str, value: str, *, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with side's value of the same key (null where there is none; null keys match).
+def join_sized(docs: DataFrame, side: DataFrame, keys: str | list[str], value: str, *, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with side's value of the same keys (null where there is none; null keys match).
 
     side, a written table, is broadcast if it has few rows and small arrays; beyond that both sides are shuffled.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     weight = side.agg(F.count("*"), F.coalesce(F.sum(F.size(value)), F.lit(0)) if dict(side.dtypes)[value].startswith("array") else F.lit(0)).first()
-    side = side.withColumnRenamed(key, "__key")
+    side = side.withColumnsRenamed({k: f"__key_{i}" for i, k in enumerate(keys)})
     if weight[0] <= rows // 4 and weight[1] <= rows:
         side = F.broadcast(side)
-    return docs.join(side, docs[key].eqNullSafe(side["__key"]), "left").drop("__key")
+    same = [docs[k].eqNullSafe(side[f"__key_{i}"]) for i, k in enumerate(keys)]
+    return docs.join(side, same, "left").drop(*[f"__key_{i}" for i in range(len(keys))])
+
+
+def text_print(column: str = "text"):
+    """64 bits of a text. doc_id and these tell rows apart: rows of one doc_id with other texts are other documents."""
+    return F.xxhash64(F.col(column))
 
 
 def shielded(docs: DataFrame, *need: str):
-    """docs with all columns but the needed ones under names that clash with nothing, and a function that undoes it."""
+    """docs with all columns but the needed ones under names that clash with nothing, and a function that undoes it (more: names of further columns that stay)."""
     names = [c if c in need else f"__column_{i}" for i, c in enumerate(docs.columns)]
     back = list(docs.columns)
-    return docs.toDF(*names), lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, back, strict=True)])
+    return docs.toDF(*names), lambda out, *more: out.select(*[F.col(n).alias(c) for n, c in zip(names, back, strict=True)], *more)

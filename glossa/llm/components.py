@@ -1,4 +1,10 @@
-"""Connected components of links by alternating star contractions; no link reaches the driver."""
+"""Connected components of links by alternating star contractions; no link reaches the driver.
+
+A node may have any number of links: its least neighbour is found by an aggregate with map-side combine and written,
+so that the join with its links is one of two written tables, which adaptive execution splits at a hot node.
+Edge cases: links of a node with itself and repeated ones don't count, an empty table has no components. The rounds grow
+with the logarithm of the nodes; more than ``ROUNDS`` (far beyond any table) are an error.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +13,27 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+ROUNDS = 200
+
 
 def stars(links: DataFrame, *, both: bool) -> DataFrame:
     """Each node's neighbours (both ways: the larger ones; else the smaller ones) go to its least neighbour or itself."""
     near = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else links
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", light=True)
     met = near.join(least, "u")
     if both:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    return materialize(out.where("u > v").distinct(), "links", light=True)
 
 
-def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """(node, component): the smallest reachable node, for every node of links (u, v) that isn't its own component."""
     links = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links", light=True)
     before = None
     for _ in range(rounds):
-        links = materialize(stars(stars(links, both=True), both=False), "links", light=True)
+        links = stars(stars(links, both=True), both=False)
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -1,8 +1,9 @@
 """Token ids as binary blocks: canonical length-limited Huffman codes from global counts, decoded by table.
 
-Format. A dataset is a code book and blocks, each a binary value in a table that Spark writes and commits (so a lost
-executor's files are written anew, on any file system). Code book: length of each id's code, one byte an id; codes are
-canonical, sorted by (length, id), at most ``LIMIT`` bits. Block: ``HEAD`` (magic, documents, ids, bytes of payload,
+Format. A dataset is a folder with a code book and blocks, each a binary value in a table that Spark writes and commits
+(so a lost executor's files are written anew, on any file system); nothing else is needed to read it. Code book
+(``book``): length of each id's code, one byte an id, and their crc32; codes are canonical, sorted by (length, id), at
+most ``LIMIT`` bits. Block (``blocks``): ``HEAD`` (magic, documents, ids, bytes of payload,
 ids between checkpoints), then doc_id, whether it is null, first id's number in the file, and number of ids of each
 document, bit offsets of the checkpoints, payload (first bit highest), and a crc32 of all that. Blocks decode
 independently, and within one all runs between checkpoints decode in step, by one table look-up an id.
@@ -10,8 +11,8 @@ independently, and within one all runs between checkpoints decode in step, by on
 Ids are computed once and kept in the shared work folder; one scan counts them, another deals them by range of doc_id,
 encodes and writes them in ascending order. Only counts (one row an id of the vocabulary) reach the driver.
 
-Edge cases: null and empty texts have the end id only; repeated doc_ids stay in order of their ids; a document
-longer than a block is a block of its own; an empty table has no blocks and no rows; other columns are not read.
+Edge cases: null and empty texts have the end id only; repeated doc_ids stay in order of their ids; rows without
+doc_id come first; a document longer than a block is a block of its own; an empty table has no blocks and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import flat, materialize, tidy
+from .common import flat, materialize, tidy, work_folder
 from .tokens import encoder, ids_crc32
 
 LIMIT, END, BLOCK, EVERY = 16, 2, 1 << 17, 64
@@ -133,11 +134,11 @@ def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches):
         encode = encoder(path)
-        tail = np.array([end], encode.dtype).tobytes()
-        for batch in batches:
-            for i in range(0, len(batch), 1024):
-                part = batch.slice(i, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(t.as_py()) + tail for t in part.column(1)], pa.binary())], names=["doc_id", "ids"])
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, len(b), 1024)):
+            ids, at = encode.encode(*flat(batch.column(1)), end)
+            raw = memoryview(ids.astype(encode.dtype).tobytes())
+            size = encode.dtype.itemsize
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[size * a : size * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
@@ -160,13 +161,15 @@ def count_ids(ids: DataFrame, vocab: int, dtype: np.dtype) -> np.ndarray:
     return counts
 
 
-def write_tokens(docs: DataFrame, path: str, *, end: int = END, block: int = BLOCK) -> tuple[DataFrame, bytes]:
-    """The written blocks (part, block, n_tokens, body), parts in ascending order of doc_id, and the code book."""
+def write_tokens(docs: DataFrame, path: str, folder: str, *, end: int = END, block: int = BLOCK) -> None:
+    """Write the code book (folder/book) and the blocks (folder/blocks), their parts in ascending order of doc_id."""
     encode = encoder(path)
     dtype, vocab = encode.dtype, max(encode.vocab, end + 1)
     ids = materialize(token_ids(docs, path, end), "ids", compression="zstd")
     lengths = code_lengths(count_ids(ids, vocab, dtype)).tobytes()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spark = docs.sparkSession
+    spark.createDataFrame([(MAGIC.decode(), bytearray(lengths), zlib.crc32(lengths))], "magic string, lengths binary, crc32 long").coalesce(1).write.parquet(f"{folder}/book")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches):
         book, part = Book(np.frombuffer(lengths, np.uint8)), TaskContext.get().partitionId()
@@ -188,11 +191,16 @@ def write_tokens(docs: DataFrame, path: str, *, end: int = END, block: int = BLO
             yield put()[0]
 
     blocks = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(tidy(run), "part long, block long, n_tokens long, body binary")
-    return materialize(blocks, "tokens"), lengths
+    blocks.write.parquet(f"{folder}/blocks")
 
 
-def read_tokens(blocks: DataFrame, lengths: bytes) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document in the blocks."""
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from the files alone."""
+    magic, lengths, crc = spark.read.parquet(f"{folder}/book").first()  # a byte an id of the vocabulary
+    lengths = bytes(lengths)
+    if magic != MAGIC.decode() or zlib.crc32(lengths) != crc:
+        raise ValueError("not a code book of this format")
+    blocks = spark.read.schema("part long, block long, n_tokens long, body binary").parquet(f"{folder}/blocks")
 
     def run(batches):
         book = Book(np.frombuffer(lengths, np.uint8))
@@ -212,5 +220,6 @@ def read_tokens(blocks: DataFrame, lengths: bytes) -> DataFrame:
 def op9_token_binary(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_tokens(*write_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
+    folder = f"{work_folder(spark)}/tokens"
+    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return read_tokens(spark, folder)

@@ -2,21 +2,27 @@
 
 A document is the sequence of its lines that are not blank (a line's identity: its bytes without blanks, tabs and
 carriage returns at both ends). A run of at least ``RUN`` lines that also begins earlier (smaller doc_id, or earlier
-in the same document) is deleted; judged on the input. Of every ``RUN`` consecutive lines, winnowing keeps the least
-hash of their ``GRAM``-line shingles, so two equal windows always have the same fingerprint. Every window is written
-with its fingerprint and 128 bits of its content; those whose fingerprint occurs twice are grouped by content, and every
-window but the first of its content is deleted. No positions are selected, joined or extended.
+in the same document) is deleted; judged on the input.
+
+1. Winnowing: of every ``RUN`` consecutive lines the least line hash (the last of equal ones) is a fingerprint, so two
+   equal runs of that length always select the same line. Each selected line is written once, with its place and the
+   hashes of the lines around it, as far as the windows that selected it reach: fewer rows than lines.
+2. Fingerprints that occur twice, found by an aggregate, are joined with all their places. Each place is extended both
+   ways over the line hashes around it, window by window; a window that equals one at an earlier place (the first is
+   found by an aggregate over windows) is a later repeat. Neighbouring stretches overlap, so repeats of any length grow
+   together; their union is deleted.
 
 With ``words`` set, shorter runs count too, down to one line, if they hold at least so many words (between blanks) or
-``CHARS`` characters, for scripts without blanks. Each such run is a window that is its own fingerprint.
+``CHARS`` characters, for scripts without blanks. Each such run is its own fingerprint.
 ``op2_line_dedup`` is the plain rule of its SQL; ``op2_passage_dedup`` and the pipeline have both.
 
-Pre-aggregation by fingerprint and by window runs before each shuffle; joins are plain equality joins that adaptive
-execution can split at hot keys; the texts are joined with their deleted lines in one pass at the end.
+Pre-aggregation by fingerprint and by window runs before each shuffle; joins are plain equality joins of written tables,
+which adaptive execution can split at hot keys; the texts are joined with their repeats in one pass at the end.
 
 Edge cases: null texts stay null, blank lines stay and never count, texts without a run that counts stay whole;
-rows that repeat a doc_id count as one document (of the same text); an empty table gives an empty result; other
-columns pass through.
+rows equal in doc_id and text are one document; rows of one doc_id with other texts are documents of their own, in the
+order of their texts' hashes; a null doc_id comes before all others; an empty table gives an empty result; other columns
+pass through, but for ones named n_lines and n_removed, which the result replaces.
 """
 
 from __future__ import annotations
@@ -26,10 +32,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import join_sized, materialize, mix, shielded, tidy
+from .common import discard, join_sized, materialize, mix, shielded, text_print, tidy
 
-RUN, GRAM = 3, 2
+RUN = 3
 WORDS, CHARS = 50, 400
 BLANK = " \t\r"
 
@@ -42,88 +49,83 @@ def line_hashes(lines: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s.encode()) for s in lines], np.uint64)
 
 
-def windows(lines: np.ndarray, run: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of run lines: its fingerprint (the least shingle) and 128 bits of its content."""
+def minima(lines: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing: the selected line, the first window that selected it, and the number of these windows."""
     n = len(lines) - run + 1
     if n <= 0:
-        empty = np.empty(0, np.uint64)
-        return empty, empty, empty
-    shingle = lines[: len(lines) - gram + 1].copy()
-    for k in range(1, gram):
-        shingle = mix(shingle) + lines[k : k + len(shingle)]
-    shingle = mix(shingle)
-    least = shingle[:n].copy()
-    for k in range(1, run - gram + 1):
-        np.minimum(least, shingle[k : k + n], out=least)
-    return least, *contents(lines, np.arange(n), run)
-
-
-def contents(lines: np.ndarray, start: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of the content of the windows of run lines at these starts."""
-    one, two = np.zeros(len(start), np.uint64), np.full(len(start), run, np.uint64)
-    for k in range(run):
-        one, two = mix(one) + lines[start + k], mix(two ^ lines[start + k])
-    return mix(one), two
-
-
-def all_windows(text: str | None, run: int, gram: int, words: int) -> list[np.ndarray]:
-    """Start, lines, fingerprint and content of each window of run lines, and (unless words is 0) of the shorter ones of
-    at least so many words or CHARS characters."""
+        return (np.empty(0, np.int64),) * 3
+    window = np.stack([lines[k : k + n] for k in range(run - 1, -1, -1)])
+    place = np.arange(n) + run - 1 - window.argmin(0)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    return place[first], first, np.diff(first, append=n)
+
+
+def fingerprints(text: str | None, run: int, words: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """(fingerprint, first line, lines of a window, hashes of the lines of all its windows) of each selected line, and
+    (unless words is 0) of each shorter run of at least so many words or CHARS characters."""
     real = real_lines(text)
     lines = line_hashes(real)
-    least, one, two = windows(lines, run, gram)
-    out = [(np.arange(len(one)), np.full(len(one), run), least, one, two)]
+    out = [(lines[p], a, run, lines[a : a + n + run - 1]) for p, a, n in zip(*minima(lines, run), strict=True)]
     if words and real:
         held, chars = (np.concatenate([[0], np.cumsum(x)]) for x in ([len(s.split()) for s in real], [len(s) for s in real]))
         for n in range(1, min(run - 1, len(real)) + 1):
-            start = np.flatnonzero((held[n:] - held[:-n] >= words) | (chars[n:] - chars[:-n] >= CHARS))
-            one, two = contents(lines, start, n)
-            out.append((start, np.full(len(start), n), mix(one ^ two), one, two))
-    return [np.concatenate(c).astype(c[0].dtype).view(np.int64) for c in zip(*out, strict=True)]
+            for a in np.flatnonzero((held[n:] - held[:-n] >= words) | (chars[n:] - chars[:-n] >= CHARS)):
+                seed = np.full(1, n, np.uint64)
+                for k in range(n):
+                    seed = mix(seed) + lines[a + k]
+                out.append((mix(seed)[0], a, n, lines[a : a + n]))
+    return out
 
 
-def deleted_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM, words: int = 0) -> DataFrame:
-    """doc_id and the sorted numbers (among the lines that are not blank) of its lines in windows that occur earlier."""
+def repeated_runs(docs: DataFrame, *, run: int = RUN, words: int = 0) -> DataFrame:
+    """doc_id, print (of the text) and its windows (first line, among those that are not blank, and lines) that occur earlier."""
     schema = docs.select("doc_id").schema
-    for name in ("start", "size", "print", "one", "two"):
-        schema = schema.add(name, "long")
+    for name, kind in (("print", "long"), ("seed", "long"), ("start", "long"), ("size", "integer"), ("around", T.ArrayType(T.LongType(), False))):
+        schema = schema.add(name, kind)
 
-    def found(batches):
+    def select(batches):
         for batch in batches:
-            row, out = [], []
-            for i, text in enumerate(batch.column(1)):
-                got = all_windows(text.as_py(), run, gram, words)
-                row.append(np.full(len(got[0]), i))
-                out.append(got)
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate([np.empty(0, np.int64), *row]).astype(np.int64))), *map(pa.array, columns)], names=schema.names)
-
-    seen = materialize(docs.select("doc_id", "text").mapInArrow(tidy(found), schema), "windows")
-    # a fingerprint at work in one window only marks no match; one in several is joined with all its places
-    # (both found first and written, so that adaptive execution can split the joins at hot keys)
-    twice = materialize(seen.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "twice", light=True)
-    placed = seen.join(twice, "print")
-    first = materialize(placed.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first", light=True)
-    later = placed.join(first, ["one", "two"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
-    lines = later.select("doc_id", F.explode(F.expr("sequence(start, start + size - 1)")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM, words: int = 0) -> DataFrame:
-    """docs with n_lines, n_removed and the text without its deleted lines."""
-    gone = deleted_lines(docs, run=run, gram=gram, words=words)
-    joined = join_sized(docs, materialize(gone, "lines", light=True), "doc_id", "gone")
-    names = docs.columns
-    schema = joined.drop("gone").schema.add("n_lines", "long").add("n_removed", "long")
+            row, found = [], []
+            for i, text in enumerate(batch.column(2)):
+                got = fingerprints(text.as_py(), run, words)
+                row += [i] * len(got)
+                found += got
+            seed, start, size, around = zip(*found, strict=True) if found else ((),) * 4
+            at = np.concatenate([[0], np.cumsum([len(a) for a in around], dtype=np.int64)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.uint64), *around]).view(np.int64)))
+            columns = [pa.array(np.array(seed, np.uint64).view(np.int64)), pa.array(np.array(start, np.int64)), pa.array(np.array(size, np.int32)), lists]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row, pa.int64())) for k in (0, 1)), *columns], names=schema.names)
+
+    seen = materialize(docs.select("doc_id", text_print().alias("print"), "text").mapInArrow(tidy(select), schema), "fingerprints")
+    # each found first and written, so that adaptive execution can split the joins at hot keys
+    twice = materialize(seen.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "twice", light=True)
+    places = seen.join(twice, "seed").select("doc_id", "print", "start", "size", "around", F.posexplode(F.expr("sequence(1, size(around) - size + 1)")).alias("k", "from"))
+    place = F.struct("doc_id", "print", (F.col("start") + F.col("k")).alias("start"))
+    windows = materialize(places.select(place.alias("place"), "size", F.slice("around", F.col("from"), F.col("size")).alias("lines")), "windows")
+    first = materialize(windows.groupBy("lines").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first", light=True)
+    later = windows.join(first, "lines").where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*", "size")
+    out = materialize(later.groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "size")).alias("gone")), "gone", light=True)
+    discard(seen, twice, windows, first)
+    return out
+
+
+def dedup_lines(docs: DataFrame, *, run: int = RUN, words: int = 0) -> DataFrame:
+    """docs with n_lines, n_removed and the text without its later repeated runs of lines."""
+    docs = docs.drop("n_lines", "n_removed")
+    plain, restore = shielded(docs, "doc_id", "text")
+    gone = repeated_runs(plain, run=run, words=words)
+    joined = join_sized(plain.withColumn("print", text_print()), gone, ["doc_id", "print"], "gone").drop("print")
+    names, schema = plain.columns, plain.schema.add("n_lines", "long").add("n_removed", "long")
 
     def cut(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts, lines, removed = batch.column(at).to_pylist(), [], []
-            for i, (text, gone) in enumerate(zip(texts, batch.column(batch.schema.get_field_index("gone")), strict=True)):
+            spans = batch.column(batch.schema.get_field_index("gone"))
+            for i, (text, gone) in enumerate(zip(texts, spans, strict=True)):
                 parts = (text or "").split("\n")
                 real = [k for k, x in enumerate(parts) if x.strip(BLANK)]
-                bad = {real[k] for k in (gone.as_py() or ()) if k < len(real)}
+                bad = {real[k] for s in gone.as_py() or () for k in range(s["start"], s["start"] + s["size"])}
                 lines.append(len(real))
                 removed.append(len(bad))
                 if bad:
@@ -131,7 +133,8 @@ def dedup_lines(docs: DataFrame, *, run: int = RUN, gram: int = GRAM, words: int
             columns = [pa.array(texts, batch.column(at).type) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(tidy(cut), schema)
+    out = joined.mapInArrow(tidy(cut), schema)
+    return restore(out, "n_lines", "n_removed")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -171,7 +174,11 @@ GROUP BY r.doc_id
 
 
 def stage_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: later repeated runs of lines and long passages go, and documents of which nothing but blanks is left by that."""
+    """Pipeline stage: later repeated runs of lines and long passages go, and documents of which nothing but blanks is left by that.
+
+    Null and empty texts stay; rows that repeat a document stay as it does; an empty table gives an empty one; columns of
+    any other name pass through.
+    """
     plain, restore = shielded(docs, "doc_id", "text", "n_chars")
     out = dedup_lines(plain, words=WORDS)
     out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))

@@ -4,12 +4,13 @@ Texts and test items are compared lower-cased, with every run of characters that
 space. An item of m characters may differ from a passage by k = floor(m * rate) edits. Cut into k + 1 pieces, at least
 one piece must occur exactly in any such passage; an Aho-Corasick automaton finds all pieces in one scan of the text.
 Around each hit, Myers' bit-parallel algorithm computes the smallest edit distance of the whole item to any part of
-the text there. The items are a stated, small set: they are read in blocks of bounded size, and each block scans all
-documents, without a shuffle.
+the text there. An item of fewer than ``MIN_ITEM`` characters has no budget for an edit and is found as a run of whole
+words. The items are a stated, small set: they are read in blocks of bounded size, and each block scans all documents,
+without a shuffle.
 
-Edge cases: null and empty texts match nothing; items of fewer than ``MIN_ITEM`` normalised characters match only
-texts that equal them whole, empty items nothing; repeated rows are each judged; repeated items are each reported;
-an empty table on either side gives no rows; other columns are not read.
+Edge cases: null and empty texts match nothing, empty items nothing; rows are judged one by one, whether they repeat a
+doc_id or have none; repeated items are each reported; an empty table on either side gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import tidy
+from .common import shielded, tidy
 
 RATE, MIN_ITEM, BLOCK_CHARS = 0.08, 16, 1_000_000
 APART = regex.compile(r"[^\p{L}\p{N}]+")
@@ -86,11 +87,11 @@ def best_match(item: str, k: int, text: str, places: list[int]) -> tuple[int, in
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items]
-        self.whole, by = defaultdict(list), defaultdict(list)
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= MIN_ITEM else -1) for i, t in items]
+        by = defaultdict(list)
         for n, (_, t, k) in enumerate(self.items):
-            if len(t) < MIN_ITEM:
-                self.whole[t].append(n)
+            if k < 0:
+                by[f" {t} "].append((n, 0))
             else:
                 for at, piece in pieces(t, k):
                     by[piece].append((n, at))
@@ -101,22 +102,27 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(by)
 
+    def begins(self, text: str) -> dict[int, set[int]]:
+        """Where in the normalised text each item could begin, by the pieces found; short items are found whole."""
+        out = defaultdict(set)
+        if self.any and text:
+            for end, (size, places) in self.automaton.iter(f" {text} "):
+                for n, at in places:
+                    out[n].add(end - size - at + (self.items[n][2] < 0))
+        return out
+
+    def match(self, n: int, text: str, places: set[int]) -> tuple[int, int, int] | None:
+        _, pattern, k = self.items[n]
+        return best_match(pattern, k, text, list(places)) if k >= 0 else (0, min(places), min(places) + len(pattern))
+
     def find(self, raw: str | None) -> list[tuple[int, int, int, int]]:
         """(item, distance, start, end) for every item that the text holds."""
         text = normalised(raw)
-        if not text:
-            return []
-        out = [(self.items[n][0], 0, 0, len(text)) for n in self.whole.get(text, ())]
-        begins = defaultdict(set)
-        if self.any:
-            for end, (size, places) in self.automaton.iter(text):
-                for n, at in places:
-                    begins[n].add(end + 1 - size - at)
-        for n, places in begins.items():
-            item, pattern, k = self.items[n]
-            if (hit := best_match(pattern, k, text, list(places))) is not None:
-                out.append((item, *hit))
-        return out
+        return [(self.items[n][0], *hit) for n, places in self.begins(text).items() if (hit := self.match(n, text, places)) is not None]
+
+    def holds_any(self, raw: str | None) -> bool:
+        text = normalised(raw)
+        return any(self.match(n, text, places) is not None for n, places in self.begins(text).items())
 
 
 def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
@@ -162,7 +168,25 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, limit: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows that hold a test item; a block of items judges what the one before has left."""
+    for items in blocks(benchmark, limit):
+
+        def run(batches, items=items):
+            matcher = Matcher(items, rate)
+            for batch in batches:
+                text = batch.column(batch.schema.get_field_index("text"))
+                yield batch.filter(pa.array([not matcher.holds_any(t.as_py()) for t in text], pa.bool_()))
+
+        docs = docs.mapInArrow(tidy(run), docs.schema)
+    return docs
+
+
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a test item go."""
-    hit = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that hold a test item go.
+
+    Null and empty texts stay; each row is judged by its own text; an empty table gives an empty one; columns of any other
+    name pass through.
+    """
+    plain, restore = shielded(docs, "text")
+    return restore(clean(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))

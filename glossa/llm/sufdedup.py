@@ -17,9 +17,9 @@ run's bytes, doc_id, start, number of windows; about one row in thirty bytes, wi
    document are found there again.
 
 Edge cases: null and empty texts and those of fewer bytes than LENGTH keep everything; very long texts are scanned in
-blocks; rows that repeat a doc_id count as one document (of the same text); rows with a null doc_id lose only what they
-repeat themselves and give nothing to others; an empty table gives an empty result;
-other columns are not read.
+blocks; rows equal in doc_id and text count as one document; rows of a doc_id that has several texts, and rows without
+doc_id, have no place in the order: they lose only what they repeat themselves and give nothing to others; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, flat, join_sized, materialize, mix, powers, slices, tidy
+from .common import BASE, flat, join_sized, materialize, mix, powers, slices, text_print, tidy
 
 LENGTH, GRAM, HOT, BATCH = 100, 32, 2_000, 2 << 20
 SMALL = 100_000  # rows and spans that may be broadcast; beyond that texts are dealt by doc_id
@@ -241,6 +241,18 @@ def spans(doc: np.ndarray, start: np.ndarray, many: np.ndarray, repeated: np.nda
     return [doc[owner[head]], start[owner[head]] + step[head], np.diff(np.flatnonzero(new), append=len(at))]
 
 
+def own_repeats(text: np.ndarray, start: np.ndarray, many: np.ndarray, bucket: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """First window (plus base) and number of windows of the runs of windows that one text repeats itself."""
+    _, inverse, counts = np.unique(bucket, return_inverse=True, return_counts=True)
+    start, many = (x[counts[inverse] > 1] for x in (start, many))
+    if not len(start):
+        return start, many
+    data = np.concatenate([text[a : a + n + LENGTH - 1] for a, n in zip(start, many, strict=True)])
+    repeated = repeated_windows(np.zeros(len(start), np.int64), start, many, data, np.concatenate([[0], np.cumsum(many + LENGTH - 1)]))
+    _, first, number = spans(np.zeros(len(start), np.int64), start, many, repeated)
+    return base + first, number
+
+
 SPAN = "doc_id long, start long, many long"
 
 
@@ -317,17 +329,20 @@ def refine(runs_: DataFrame, docs: DataFrame) -> DataFrame:
 def dedup_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    prints = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text_print()).alias("one"), F.max(text_print()).alias("two"))
+    several = materialize(prints.where("one <> two").select("doc_id", F.lit(True).alias("alone")), "several", light=True)
+    docs = join_sized(docs, several, "doc_id", "alone").withColumn("alone", F.col("doc_id").isNull() | F.coalesce("alone", F.lit(False)))
+    keyed = docs.where("NOT alone AND text IS NOT NULL").drop("alone")
     found = materialize(marked(anchored(keyed)), "marked")
     more = materialize(refine(found.where(F.col("kind") == NEW).drop("kind"), keyed), "refined")
     gone = found.where(F.col("kind") == REPEATED).select("doc_id", "start", "many").unionByName(more)
     lists = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "many")).alias("gone")), "gone")
-    joined = join_sized(docs, lists, "doc_id", "gone", rows=SMALL)
+    joined = join_sized(docs, lists, "doc_id", "gone", rows=SMALL).select("doc_id", "text", "alone", "gone")
 
     def take(batches):
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            lists = batch.column(2)
+            lists, alone = batch.column(3), batch.column(2).to_numpy(zero_copy_only=False)
             at, rows = lists.offsets.to_numpy().astype(np.int64), lists.is_valid().to_numpy(zero_copy_only=False)
             first, number = (lists.values.field(k).to_numpy() for k in (0, 1))
             for i, j in slices(offsets, 1 << 20):
@@ -336,8 +351,9 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
                 again = earlier_first(bucket ^ mix(row.astype(np.uint64)), whole, row, start)
                 mine = np.arange(at[i], at[j])
                 owner = np.repeat(np.arange(j - i), np.where(rows[i:j], np.diff(at[i : j + 1]), 0))
-                begin = np.concatenate([base[row[again]] + start[again], base[owner] + first[mine]])
-                length = np.concatenate([many[again], number[mine]]) + LENGTH - 1
+                own = [own_repeats(raw[base[k] : base[k + 1]], start[row == k], many[row == k], bucket[row == k], base[k]) for k in np.flatnonzero(alone[i:j])]
+                begin = np.concatenate([base[row[again]] + start[again], base[owner] + first[mine], *(x[0] for x in own)])
+                length = np.concatenate([many[again], number[mine], *(x[1] for x in own)]) + LENGTH - 1
                 edge = np.bincount(begin, minlength=len(raw) + 1) - np.bincount(begin + length, minlength=len(raw) + 1)
                 bad = np.cumsum(edge[:-1]) > 0
                 opens = bad.copy()

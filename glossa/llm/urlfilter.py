@@ -1,22 +1,24 @@
 """URL filters: rules in a sorted array of 64-bit digests, memory-mapped and probed by vectorised binary search.
 
-A rule is (host, path, verdict). The store is one file: sorted xxhash64 keys, offsets, verdicts and the full rule
-strings. For each url the keys of all rules that could fit (each suffix of the host at a dot, with each prefix of the
-path as long as some rule's path) are probed in one binary search a batch; every hit is confirmed by the stored string,
-so digests that collide do no harm. The longest rule wins; without one the store's default verdict holds.
-
-The file is sent by ``SparkContext.addFile``: each executor, also one that joins later, gets its own copy from Spark
-and maps it. Its size is that of the rules and is checked against ``MAX_STORE``.
-
-Edge cases: null urls and urls without ``://`` have empty host and path and get the default; repeated urls get equal
-rows; rules that repeat must agree; extra columns are not read; an empty table gives an empty result.
+A rule is (host, path, verdict). A store is one file: sorted xxhash64 keys, offsets, verdicts and the full rule
+strings; rules beyond ``MAX_STORE`` bytes make further stores. For each url the keys of all rules that could fit (each
+suffix of the host at a dot, with each prefix of the path as long as some rule's path) are probed in one binary search a
+batch and store; every hit is confirmed by the stored string, so digests that collide do no harm. The longest rule of
+all stores wins; without one the default verdict holds.
+
+Stores are sent by ``SparkContext.addFile``: each executor, also one that joins later, gets its own copy from the
+driver and maps it. A file is named by its content, so equal rules are sent once a session.
+
+Edge cases: null urls and urls without ``://`` have empty host and path and get the default; repeated urls, and rows
+with a null key, are judged each by its url; rules that repeat must agree; extra columns are not read; an empty table
+gives an empty result, no rules give the default.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -45,24 +47,25 @@ def digest(rule: str) -> int:
     return xxhash.xxh64_intdigest(rule.encode("utf-8", "surrogatepass"))
 
 
-def write_store(rules: Iterable[tuple[str, str, str]], folder: str) -> str:
-    """The rules as one file, under a new name: Spark sends a name only once."""
+def write_stores(rules: Iterable[tuple[str, str, str]], folder: str, limit: int = 0) -> list[str]:
+    """The rules as files of at most limit bytes (one rule may have more), each named by its content."""
     verdicts: dict[str, str] = {}
+    lengths = set()
     for host, path, verdict in rules:
         name = host.translate(LOWER) + path
+        lengths.add(len(path))
         if verdicts.setdefault(name, verdict) != verdict:
             raise ValueError(f"two verdicts for {name}")
-    lengths = sorted({len(p) for _, p, _ in rules})
-    entries = sorted((digest(name), name.encode(), v == BLOCK) for name, v in verdicts.items())
-    blob = b"".join(e[1] for e in entries)
-    at = np.concatenate([[0], np.cumsum([len(e[1]) for e in entries], dtype=np.int64)]).astype("<i8")
-    out = np.array([len(entries), len(lengths)], "<i8").tobytes() + np.array(lengths, "<i8").tobytes() + np.array([e[0] for e in entries], "<u8").tobytes() + at.tobytes() + np.array([e[2] for e in entries], "u1").tobytes() + blob
-    if len(out) > MAX_STORE:
-        raise ValueError("more rules than one store may hold")
-    path = os.path.join(folder, f"urls-{uuid.uuid4().hex}.bin")
-    with open(path, "wb") as f:
-        f.write(out)
-    return path
+    entries = sorted((digest(name), name.encode("utf-8", "surrogatepass"), v == BLOCK) for name, v in verdicts.items())
+    size, paths = np.cumsum([17 + len(e[1]) for e in entries]), []
+    for part in np.unique(size // (limit or MAX_STORE)):
+        some = [e for e, n in zip(entries, size // (limit or MAX_STORE), strict=True) if n == part]
+        at = np.concatenate([[0], np.cumsum([len(e[1]) for e in some], dtype=np.int64)]).astype("<i8")
+        out = np.array([len(some), len(lengths)], "<i8").tobytes() + np.array(sorted(lengths), "<i8").tobytes() + np.array([e[0] for e in some], "<u8").tobytes() + at.tobytes() + np.array([e[2] for e in some], "u1").tobytes() + b"".join(e[1] for e in some)
+        paths.append(os.path.join(folder, f"urls-{hashlib.sha256(out).hexdigest()}.bin"))
+        with open(paths[-1], "wb") as f:
+            f.write(out)
+    return paths
 
 
 class Store:
@@ -102,34 +105,44 @@ class Store:
 
 
 _stores: dict[str, Store] = {}
+_sent: dict[tuple[str, str], str] = {}
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, key: str = "page_id", url: str = "url", default: str = ALLOW) -> DataFrame:
     """key, host, path, the longest fitting rule and the verdict of every url."""
-    spark = pages.sparkSession
-    path = write_store(rules, tempfile.mkdtemp(prefix="glossa-urls-"))
-    spark.sparkContext.addFile(path)
-    name = os.path.basename(path)
+    context, names = pages.sparkSession.sparkContext, []
+    folder = tempfile.mkdtemp(prefix="glossa-urls-")  # on the driver, which serves the files from there
+    for path in write_stores(rules, folder):
+        name = os.path.basename(path)
+        if (context.applicationId, name) in _sent:
+            os.remove(path)
+        else:
+            context.addFile(path)
+            _sent[context.applicationId, name] = path
+        names.append(name)
+    if not os.listdir(folder):
+        os.rmdir(folder)
     schema = pages.select(key).schema
     for column in ("host", "path", "rule", "verdict"):
         schema = schema.add(column, "string")
 
     def run(batches):
-        if name not in _stores:
-            _stores.clear()
-            _stores[name] = Store(SparkFiles.get(name))
-        store = _stores[name]
+        for name in names:
+            if name not in _stores:
+                _stores[name] = Store(SparkFiles.get(name))
+        stores = [_stores[name] for name in names]
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
-            asked = [store.candidates(*p) for p in parts]
-            names = [x for xs in asked for x in xs]
-            found = store.probe(names)
+            asked = [stores[0].candidates(*p) if stores else [] for p in parts]
+            urls = [x for xs in asked for x in xs]
             owner = np.repeat(np.arange(len(parts)), [len(x) for x in asked])
             rule, verdict = [None] * len(parts), [default] * len(parts)
-            for i in np.flatnonzero(found >= 0):
-                o = owner[i]
-                if rule[o] is None or len(names[i]) > len(rule[o]):
-                    rule[o], verdict[o] = names[i], BLOCK if store.block[found[i]] else ALLOW
+            for store in stores:
+                found = store.probe(urls)
+                for i in np.flatnonzero(found >= 0):
+                    o = owner[i]
+                    if rule[o] is None or len(urls[i]) > len(rule[o]):
+                        rule[o], verdict[o] = urls[i], BLOCK if store.block[found[i]] else ALLOW
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in ([p[0] for p in parts], [p[1] for p in parts], rule, verdict)]], names=schema.names)
 
     return pages.select(key, url).mapInArrow(tidy(run), schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,10 +87,20 @@ def merge_vocabulary(rows: DataFrame) -> DataFrame:
     )
 
 
-def capped(rows: DataFrame, limits: dict[str, int], order: list[Column], *, group: str = "domain", default: int = 160) -> DataFrame:
-    """rows with their rank in the group and whether they are over its limit."""
+def within_caps(rows: DataFrame, limits: dict[str, int], order: list[Column], *, group: str = "domain", default: int = 160) -> DataFrame:
+    """Each group's first rows, up to its limit, with their rank. Spark prunes each task's rows before the shuffle."""
     limit = T.mapped(F.col(group), {g: str(n) for g, n in limits.items()}, F.lit(str(default))).cast("int")
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).withColumn("overflow", F.col("rank") > limit)
+    return top_per_group(rows, [group], order, max([default, *limits.values()])).where(F.col("rank") <= limit)
+
+
+def capped(rows: DataFrame, limits: dict[str, int], order: list[Column], *, key: Sequence[str] = ("word",), group: str = "domain", default: int = 160) -> DataFrame:
+    """All rows: those within their group's limit with their rank, the others without one, as overflow.
+
+    key tells the rows of a group apart. Only the rows within the limits, a bounded number, are ordered.
+    """
+    kept = within_caps(rows, limits, order, group=group, default=default).select(group, *key, "rank")
+    out = rows.join(kept, [group, *key], "left").select(*rows.columns, "rank")
+    return out.withColumn("overflow", F.col("rank").isNull())
 
 
 def diversified(rows: DataFrame, *, per_type: int = 4, limit: int = 40) -> list[dict]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,9 +23,9 @@ def content_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ke
     return docs.select(key, *keep, F.posexplode(T.content_tokens(F.col(text))).alias("pos", "token"))
 
 
-def term_counts(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """Frequency and first place of each content lemma in each text."""
-    return content_rows(docs, key=key).groupBy(key, "token").agg(F.count("*").alias("frequency"), F.min("pos").alias("first_pos"))
+def term_counts(docs: DataFrame, *, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Frequency and first place of each content lemma in each text; keep: columns that the key determines."""
+    return content_rows(docs, key=key, keep=keep).groupBy(key, *keep, "token").agg(F.count("*").alias("frequency"), F.min("pos").alias("first_pos"))
 
 
 def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -36,19 +37,29 @@ def top_terms(docs: DataFrame, k: int = 40) -> DataFrame:
     return top_per_group(term_counts(docs), ["doc_id"], [F.desc("frequency"), F.asc("first_pos")], k)
 
 
-def ngram_rows(docs: DataFrame, n: int, *, key: str = "doc_id", stopwords: Sequence[str] = L.STOPWORDS) -> DataFrame:
-    """(key, n, pos, gram): neighbouring content lemmas, also across sentences; grams with a stopword go."""
-    grams = docs.select(key, T.content_tokens(F.col("text")).alias("w")).select(key, F.posexplode(T.ngrams(F.col("w"), n)).alias("pos", "words"))
-    clean = grams.where(~F.arrays_overlap("words", F.array(*[F.lit(s) for s in stopwords])))
-    return clean.select(key, F.lit(n).alias("n"), "pos", F.array_join("words", " ").alias("gram"))
+def ngram_rows(docs: DataFrame, n: int | Sequence[int], *, key: str = "doc_id", stopwords: Sequence[str] = L.STOPWORDS) -> DataFrame:
+    """(key, n, pos, gram): neighbouring content lemmas, also across sentences; grams with a stopword go.
+
+    One scan for all sizes. A word made into a stopword by its lemma becomes null, and joins with a null are left out.
+    """
+    words = docs.select(key, F.transform(T.content_tokens(F.col("text")), lambda t: F.when(~t.isin(list(stopwords)), t)).alias("w"))
+    sizes = [n] if isinstance(n, int) else list(n)
+    tails = [F.expr(f"slice(w, {i + 1}, greatest(size(w) - {i}, 0))") for i in range(1, max(sizes))]
+    rows = words.select(key, F.posexplode(F.arrays_zip("w", *[t.alias(f"t{i}") for i, t in enumerate(tails, 1)])).alias("pos", "g"))
+    grams = []
+    for size in sizes:
+        parts = [F.col("g.w"), *[F.col("g").getField(f"t{i}") for i in range(1, size)]]
+        whole = parts[0].isNotNull()
+        for part in parts[1:]:
+            whole = whole & part.isNotNull()
+        grams.append(F.when(whole, F.struct(F.lit(size).alias("n"), F.concat_ws(" ", *parts).alias("gram"))))
+    if len(grams) == 1:
+        return rows.select(key, "pos", grams[0].alias("x")).where("x IS NOT NULL").select(key, "x.n", "pos", "x.gram")
+    return rows.select(key, "pos", F.explode(F.array(*grams)).alias("x")).where("x IS NOT NULL").select(key, "x.n", "pos", "x.gram")
 
 
 def ngram_counts(docs: DataFrame, sizes: Sequence[int] = (2, 3), *, key: str = "doc_id") -> DataFrame:
-    out = None
-    for n in sizes:
-        part = ngram_rows(docs, n, key=key)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(key, "n", "gram").agg(F.count("*").alias("frequency"), F.min("pos").alias("first_pos"))
+    return ngram_rows(docs, sizes, key=key).groupBy(key, "n", "gram").agg(F.count("*").alias("frequency"), F.min("pos").alias("first_pos"))
 
 
 def top_ngrams(docs: DataFrame, k: int = 35) -> DataFrame:
@@ -62,15 +73,16 @@ def collocations(docs: DataFrame, k: int = 35, phrases=L.PHRASES, zipf: DataFram
     sents = T.sentences(F.col("text"))
     rows = []
     for i, (name, pattern, meaning, kind) in enumerate(phrases):
-        example = F.coalesce(F.get(F.filter(sents, fits(pattern, lower=True)), F.lit(0)), F.lit(""))
-        found = F.regexp_count(low, F.lit(pattern))
+        example = F.coalesce(F.get(F.filter(sents, fits(T.rule(pattern), lower=True)), F.lit(0)), F.lit(""))
+        found = F.regexp_count(low, F.lit(T.rule(pattern)))
         rows.append(F.when(found > 0, F.struct(F.lit(i).alias("ord"), F.lit(name).alias("expression"), found.cast("long").alias("frequency"), F.lit(kind).alias("type"), F.lit(5).alias("importance"), F.lit(meaning).alias("meaning"), example.alias("example_sentence"))))
     named = docs.select("doc_id", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("doc_id", "r.*")
     grams = top_ngrams(docs, k).join(named.select("doc_id", F.col("expression").alias("gram")), ["doc_id", "gram"], "left_anti")
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.array_join(sents, " \n ")), "[^a-z0-9_\n]+", " "), F.lit(" "))
-    literal = F.contains(F.col("plain"), F.concat(F.lit(" "), F.regexp_replace("gram", "[^a-z0-9_]+", " "), F.lit(" "))) & (F.length("gram") >= 10)
+    # literally in a sentence: with a mark at every word boundary, that is a substring
+    edges = lambda c: F.regexp_replace(c, r"(?U)\b", "\u0001")
+    literal = F.contains(F.col("plain"), edges(F.col("gram"))) & (F.length("gram") >= 10)
     worth = (F.col("frequency") >= 4) | literal
-    joined = grams.join(docs.select("doc_id", spaced.alias("plain"), sents.alias("sents")), "doc_id")
+    joined = grams.join(docs.select("doc_id", edges(F.lower(F.array_join(sents, "\n"))).alias("plain"), sents.alias("sents")), "doc_id")
     if zipf is not None:
         rare = joined.select("doc_id", "gram", F.explode(F.split("gram", " ")).alias("word")).join(zipf, "word", "left").groupBy("doc_id", "gram").agg(F.min(F.coalesce("score", F.lit(0.0))).alias("least"))
         joined, worth = joined.join(rare, ["doc_id", "gram"]), worth | (F.col("least") < 5.0)
@@ -79,18 +91,33 @@ def collocations(docs: DataFrame, k: int = 35, phrases=L.PHRASES, zipf: DataFram
     return top_per_group(named.unionByName(more), ["doc_id"], [F.desc("frequency"), F.desc("importance"), F.asc("ord")], k).drop("ord")
 
 
-def pmi(docs: DataFrame, *, least: int = 2, k: int = 50) -> DataFrame:
+def key_bounds(docs: DataFrame, key: str, parts: int) -> list:
+    """Up to parts - 1 keys that deal the rows into ranges of like size, from a bounded sample of the keys."""
+    ids = docs.select(key).where(F.col(key).isNotNull())
+    share = min(1.0, 50.0 * parts / max(1, ids.count()))
+    sample = sorted(r[0] for r in ids.sample(share, 1).limit(200 * parts).collect())
+    return list(dict.fromkeys(sample[i * len(sample) // parts] for i in range(1, parts) if sample))
+
+
+def pmi(docs: DataFrame, *, least: int = 2, k: int = 50, parts: int | None = None) -> DataFrame:
     """Bigrams by pointwise mutual information over the corpus as one sequence in order of (doc_id, pos).
 
-    Neighbours across texts are each text's last lemma and the next text's first: only these edges are ordered
-    globally, the bigrams inside texts are counted without a global sort.
+    Neighbours across texts are each text's last lemma and the next text's first. These edges are ordered inside ranges of
+    doc_id; only each range's first and last text meet over all ranges. Texts are scanned once for the pairs (a last
+    lemma pairs with null, so that words are counted by the same rows) and once for the edges.
     """
     lists = docs.select("doc_id", T.content_tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    inside = lists.select(F.explode(T.ngrams(F.col("w"), 2)).alias("g")).select(F.col("g")[0].alias("x"), F.col("g")[1].alias("y"))
-    edges = lists.select("doc_id", F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("x"))
-    across = edges.select("x", F.lead("first").over(W.orderBy("doc_id")).alias("y")).where("y IS NOT NULL")
-    pairs = inside.unionByName(across).groupBy("x", "y").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
-    words = lists.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    after = F.concat(F.expr("slice(w, 2, size(w) - 1)"), F.array(F.lit(None).cast("string")))
+    inside = lists.select(F.explode(F.arrays_zip(F.col("w").alias("x"), after.alias("y"))).alias("g")).select("g.x", "g.y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    bounds = key_bounds(docs, "doc_id", parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
+    edges = lists.select("doc_id", part.alias("part"), F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("x"))
+    edges = edges.withColumn("y", F.lead("first").over(W.partitionBy("part").orderBy("doc_id")))
+    ends = edges.groupBy("part").agg(F.min_by("first", "doc_id").alias("first"), F.max_by("x", "doc_id").alias("x"))
+    ends = ends.select("x", F.lead("first").over(W.orderBy("part")).alias("y"))  # one row a range
+    across = edges.select("x", "y").unionByName(ends).where("y IS NOT NULL").groupBy("x", "y").agg(F.count("*").alias("n"))
+    pairs = inside.where("y IS NOT NULL").unionByName(across).groupBy("x", "y").agg(F.sum("n").alias("frequency")).where(F.col("frequency") >= least)
+    words = inside.groupBy("x").agg(F.sum("n").alias("n"))
     total = words.agg(F.sum("n").alias("total"))
     joined = pairs.join(words.toDF("x", "nx"), "x").join(words.toDF("y", "ny"), "y").join(F.broadcast(total))
     score = F.bround(F.log2(F.col("frequency") * F.col("total") / (F.col("nx") * F.col("ny"))), 3)
@@ -115,21 +142,32 @@ def fits(pattern: str, *, lower: bool = False):
     return lambda s: (F.lower(s) if lower else s).rlike(pattern)
 
 
+def sense_stems(senses=L.SENSES) -> str:
+    """A pattern that every sentence with a word of the lexicon fits: the words' beginnings, any of them."""
+    words = {w for w, *_ in senses}
+    forms = {form for form, lemma in L.IRREGULAR.items() if lemma in words}
+    return "(?i)" + "|".join(sorted({re.escape(w[: max(3, len(w) - 2)]) for w in words} | forms))
+
+
 def has_sense(word: str, pattern: str):
-    return lambda s: s.rlike(f"(?i){pattern}") & F.array_contains(T.content_tokens(s), word)
+    return lambda s: s.rlike(f"(?i){T.rule(pattern)}") & F.array_contains(T.content_tokens(s), word)
 
 
 def domain_scores(docs: DataFrame, domains: dict[str, Sequence[str]] = L.DOMAINS) -> DataFrame:
     """Share of each domain's keywords among all keyword hits, and the best (first in order on ties); none: unknown."""
-    words = T.content_tokens(F.col("text"))
-    raw = docs.select("doc_id", words.alias("w")).select("doc_id", *[F.size(F.filter("w", member(keys))).alias(name) for name, keys in domains.items()])
-    total = sum((F.col(d) for d in domains), F.lit(0))
-    shares = raw.select("doc_id", *[F.when(total == 0, 0.0).otherwise(F.bround(F.try_divide(F.col(d).cast("double"), total), 4)).alias(d) for d in domains])
+    return domain_shares(docs.select("doc_id", T.content_tokens(F.col("text")).alias("w")), domains).select("doc_id", *domains, "field")
+
+
+def domain_shares(rows: DataFrame, domains: dict[str, Sequence[str]]) -> DataFrame:
+    """rows, whose column w holds the content lemmas, with each domain's share and the best domain as field."""
+    counted = rows.withColumns({f"__{name}": F.size(F.filter("w", member(keys))) for name, keys in domains.items()})
+    total = sum((F.col(f"__{d}") for d in domains), F.lit(0))
+    shares = counted.withColumns({d: F.when(total == 0, 0.0).otherwise(F.bround(F.try_divide(F.col(f"__{d}").cast("double"), total), 4)) for d in domains})
     best = F.greatest(*[F.col(d) for d in domains])
     field = F.when(best == 0, "unknown")
     for d in domains:
         field = field.when(F.col(d) == best, d)
-    return shares.withColumn("field", field)
+    return shares.withColumn("field", field).drop(*[f"__{d}" for d in domains])
 
 
 def sentence_rows(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -147,36 +185,46 @@ def pattern_rows(docs: DataFrame, *, keep: Sequence[str] = (), k: int = 60) -> D
 
 def sense_rows(docs: DataFrame, senses=L.SENSES) -> DataFrame:
     """The first sentence of each text that has a word in its special sense."""
-    sents = sentence_rows(docs).withColumn("words", T.content_tokens(F.col("sentence")))
-    hits = F.array(*[F.when(F.array_contains("words", w) & F.col("sentence").rlike(f"(?i){p}"), F.struct(F.lit(w).alias("word"), F.lit(o).alias("ordinary_meaning"), F.lit(c).alias("contextual_meaning"))) for w, o, c, p in senses])
+    sents = sentence_rows(docs).where(F.col("sentence").rlike(sense_stems(senses))).withColumn("words", T.content_tokens(F.col("sentence")))
+    hits = F.array(*[F.when(F.array_contains("words", w) & F.col("sentence").rlike(f"(?i){T.rule(p)}"), F.struct(F.lit(w).alias("word"), F.lit(o).alias("ordinary_meaning"), F.lit(c).alias("contextual_meaning"))) for w, o, c, p in senses])
     rows = sents.select("doc_id", "pos", "sentence", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("doc_id", "pos", "sentence", "h.*")
     return rows.groupBy("doc_id", "word", "ordinary_meaning", "contextual_meaning").agg(F.min_by("sentence", "pos").alias("sentence")).withColumn("exam_risk", F.lit("high"))
 
 
-def best_examples(words: DataFrame, docs: DataFrame) -> DataFrame:
+def best_examples(words: DataFrame, docs: DataFrame, *, only: Sequence[str] | None = None) -> DataFrame:
     """For each (doc_id, word): the best-scored sentence with a form of the word; else the first with its lemma; else ''.
 
-    Sentences meet words by an equality join on the forms that occur in them, not word by sentence.
+    Sentences meet words by an equality join on the forms that occur in them, not word by sentence. Forms carry the
+    sentence's place and score; each text's task keeps the best place of a form before the shuffle, and the chosen
+    sentences are fetched by place. only: the words asked for, if these are few and known.
     """
     sents = sentence_rows(docs)
-    stems = sents.select("doc_id", "pos", "sentence", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("form"))
-    cut = F.col("form")
-    bases = F.array_distinct(F.concat(F.array(cut), *[F.when(F.endswith(cut, F.lit(x)), F.array(F.substring(cut, F.lit(1), F.length(cut) - len(x)))).otherwise(F.array().cast("array<string>")) for x in ("s", "es", "ed", "ing", "d")]))
-    forms = stems.select("doc_id", "pos", "sentence", F.explode(bases).alias("word")).distinct()
-    direct = words.join(forms, ["doc_id", "word"]).withColumn("score", T.sentence_quality(F.col("sentence"), F.lit(True)))
-    best = direct.groupBy("doc_id", "word").agg(F.min_by("sentence", F.struct(-F.col("score"), "pos")).alias("best"))
-    lemmas = sents.select("doc_id", "pos", "sentence", F.explode(F.array_distinct(T.content_tokens(F.col("sentence")))).alias("word"))
-    other = words.join(lemmas, ["doc_id", "word"]).groupBy("doc_id", "word").agg(F.min_by("sentence", "pos").alias("other"))
-    return words.join(best, ["doc_id", "word"], "left").join(other, ["doc_id", "word"], "left").select(*words.columns, F.coalesce("best", "other", F.lit("")).alias("example_sentence"))
+    held = sents.withColumns({"forms": F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9_]+"), F.lit(0))), "lemmas": F.array_distinct(T.content_tokens(F.col("sentence"))), "score": -T.sentence_quality(F.col("sentence"), F.lit(True))})
+    bases = lambda f: F.filter(F.array(f, *[F.when(F.endswith(f, F.lit(x)), F.substring(f, F.lit(1), F.length(f) - len(x))) for x in ("s", "es", "ed", "ing", "d")]), lambda b: b.isNotNull())
+    asked = (lambda a: F.filter(a, member(only))) if only is not None else (lambda a: a)
+    direct, other = asked(F.array_distinct(F.flatten(F.transform("forms", bases)))), asked(F.col("lemmas"))
+    place = F.struct("kind", "score", "pos")
+    rows = held.select("doc_id", "pos", "score", direct.alias("direct"), other.alias("other"))
+    rows = rows.select("doc_id", "pos", "score", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("direct").alias("words")), F.struct(F.lit(1).alias("kind"), F.col("other").alias("words")))).alias("r"))
+    rows = rows.select("doc_id", "pos", "r.kind", F.when(F.col("r.kind") == 0, F.col("score")).otherwise(0.0).alias("score"), F.explode("r.words").alias("word"))
+    best = rows.groupBy("doc_id", "word").agg(F.min(place)["pos"].alias("pos"))
+    chosen = words.select("doc_id", "word").distinct().join(best, ["doc_id", "word"])
+    found = chosen.join(sents, ["doc_id", "pos"]).select("doc_id", "word", F.col("sentence").alias("example_sentence"))
+    return words.join(found, ["doc_id", "word"], "left").withColumn("example_sentence", F.coalesce("example_sentence", F.lit("")))
 
 
 def review_vocabulary(docs: DataFrame, tiers: DataFrame, domains: dict[str, Sequence[str]] = L.DOMAINS, k: int = 40) -> DataFrame:
     """The k most frequent eligible lemmas of each text with category, importance and example."""
-    terms = term_counts(docs).withColumnRenamed("token", "word")
-    field = domain_scores(docs, domains).select("doc_id", "field")
-    senses = sense_words(docs)
+    return best_examples(review_terms(docs, tiers, domains, k), docs)
+
+
+def review_terms(docs: DataFrame, tiers: DataFrame, domains: dict[str, Sequence[str]] = L.DOMAINS, k: int = 40) -> DataFrame:
+    """review_vocabulary without examples. Words, field and special senses come from one scan of the texts."""
+    parts = docs.select("doc_id", T.content_tokens(F.col("text")).alias("w"), special_words(F.col("text")).alias("special"))
+    parts = domain_shares(parts, domains).select("doc_id", "field", "special", F.posexplode("w").alias("pos", "word"))
+    terms = parts.groupBy("doc_id", "word").agg(F.count("*").alias("frequency"), F.min("pos").alias("first_pos"), F.first("field").alias("field"), F.first(F.array_contains("special", F.col("word"))).alias("special"))
     found = match_tiers(terms.select("word").distinct(), tiers).select("word", "tier")
-    terms = terms.join(field, "doc_id").join(senses, ["doc_id", "word"], "left").join(found, "word")
+    terms = terms.join(found, "word")
     own = F.lit(False)
     for d, keys in domains.items():
         own = own | ((F.col("field") == d) & F.col("word").isin(list(keys)))
@@ -185,13 +233,41 @@ def review_vocabulary(docs: DataFrame, tiers: DataFrame, domains: dict[str, Sequ
     fit = terms.where(~((F.col("tier") == "high_school") & (F.col("category") != "polysemy")) & ~((F.col("tier") == "rare") & (F.col("category") == "academic/general")))
     top = top_per_group(fit, ["doc_id"], [F.desc("frequency"), F.asc("first_pos")], k)
     importance = F.greatest(T.mapped(F.col("tier"), {t: str(i) for t, i in L.TIERS.items()}, F.lit("1")).cast("int"), F.lit(1))
-    return best_examples(top.select("doc_id", "word", "field", "category", "frequency", importance.alias("importance"), "rank"), docs)
+    return top.select("doc_id", "word", "field", "category", "frequency", importance.alias("importance"), "rank")
+
+
+def special_words(text: Column, senses=L.SENSES) -> Column:
+    """Lexicon words with a sentence that fits their sense's pattern."""
+    found = F.filter(T.sentences(text), fits(sense_stems(senses)))
+    return F.array_distinct(F.flatten(F.transform(found, lambda s: F.filter(F.array(*[F.when(s.rlike(f"(?i){T.rule(p)}"), F.lit(w)) for w, _, _, p in senses]), lambda h: h.isNotNull()))))
+
+
+def shows_sense(word: Column, sentence: Column, senses=L.SENSES) -> Column:
+    """Whether the sentence has the lexicon word in its special sense."""
+    out = F.lit(False)
+    for w, _, _, p in senses:
+        out = out | ((word == w) & sentence.rlike(f"(?i){T.rule(p)}") & F.array_contains(T.content_tokens(sentence), w))
+    return F.coalesce(out, F.lit(False))
+
+
+def review_selection(rows: DataFrame, tiers: DataFrame, k: int = 40) -> DataFrame:
+    """The k review words of each text among rows (doc_id, lemma, category, importance, frequency, example_sentence, ord).
+
+    Words in a special sense first, then domain terms, then by importance and frequency; ties keep their order. Easy words
+    need a special sense that their example shows.
+    """
+    lemmas = rows.select(F.col("lemma").alias("word")).distinct()
+    found = match_tiers(lemmas, tiers).select(F.col("word").alias("lemma"), "tier")
+    sense = F.col("category") == "polysemy"
+    fit = rows.join(found, "lemma").where((F.col("tier") != "high_school") | (sense & shows_sense(F.col("lemma"), F.coalesce("example_sentence", F.lit("")))))
+    order = [F.desc(sense.cast("int")), F.desc((F.col("category") == "domain terminology").cast("int")), F.desc("importance"), F.desc("frequency"), F.asc("ord")]
+    return top_per_group(fit, ["doc_id"], order, k).select(*rows.columns, "tier", "rank")
 
 
 def sense_words(docs: DataFrame, senses=L.SENSES) -> DataFrame:
     """(doc_id, word, special): lexicon words with a sentence that fits their sense's pattern."""
     sents = sentence_rows(docs)
-    hits = F.filter(F.array(*[F.when(F.col("sentence").rlike(f"(?i){p}"), F.lit(w)) for w, _, _, p in senses]), lambda h: h.isNotNull())
+    hits = F.filter(F.array(*[F.when(F.col("sentence").rlike(f"(?i){T.rule(p)}"), F.lit(w)) for w, _, _, p in senses]), lambda h: h.isNotNull())
     return sents.select("doc_id", F.explode(hits).alias("word")).distinct().withColumn("special", F.lit(True))
 
 
@@ -240,10 +316,10 @@ def match_tiers(words: DataFrame, tiers: DataFrame, order: Sequence[str] = tuple
 
 
 def scores(docs: DataFrame, domains: dict[str, Sequence[str]] = L.DOMAINS) -> DataFrame:
-    """Difficulty, and exam value from domain terms among the review words, senses and patterns."""
+    """Difficulty and field of each row, from one scan."""
     parts = docs.select("doc_id", T.content_tokens(F.col("text")).alias("w"), F.size(T.sentences(F.col("text"))).alias("n"))
-    hard = parts.select("doc_id", T.difficulty(F.col("w"), F.col("n")).alias("difficulty"))
-    return hard.join(domain_scores(docs, domains).select("doc_id", "field"), "doc_id")
+    hard = parts.withColumn("difficulty", T.difficulty(F.col("w"), F.col("n")))
+    return domain_shares(hard, domains).select("doc_id", "difficulty", "field")
 
 
 def exam_value(counts: DataFrame) -> DataFrame:
@@ -258,8 +334,9 @@ def quality(articles: DataFrame, *, prefer: Sequence[str] = (), exclude: Sequenc
     words = T.content_tokens(F.col("text"))
     base = articles.withColumns({"w": words, "s": T.sentences(F.col("text"))}).withColumns({"token_count": F.size("w"), "sentence_count": F.size("s"), "title_blob": F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))))})
     codes = F.slice(F.flatten(F.transform("s", lambda x: T.pattern_codes(x))), 1, 60)
-    senses = F.size(F.filter(F.array(*[F.exists("s", has_sense(w, p)) for w, _, _, p in L.SENSES]), lambda b: b))
-    base = base.withColumn("codes", codes)  # steps of their own, so that each is computed once
+    senses = F.size(F.filter(F.array(*[F.exists("stems", has_sense(w, p)) for w, _, _, p in L.SENSES]), lambda b: b))
+    # steps of their own, so that each is computed once
+    base = base.withColumns({"codes": codes, "stems": F.filter("s", fits(sense_stems()))})
     codes = F.col("codes")
     mean = F.col("token_count") / F.greatest(F.col("sentence_count"), F.lit(1))
     blob = F.concat(F.col("title_blob"), F.lit(" "), F.array_join(F.slice("w", 1, 250), " "))

@@ -31,14 +31,25 @@ def category(value: Column) -> Column:
     return F.when(v.rlike("polysemy"), "polysemy").when(v.rlike("idiom|expression"), "phrase").when(v.rlike("legal|political"), "domain terminology").otherwise("academic/general")
 
 
-#: fixed values: hints in order of precedence
-FIELD_HINTS = [("law", "law|political"), ("economics", "econom|market"), ("environment", "environment"), ("education", "education"), ("psychology", "psych"), ("sociology", "soc"), ("health", "health|medical|clinical|patient|disease"), ("technology", "technology|digital|algorithm|ai|data|platform"), ("science", "science|research|postgraduate")]
+#: fixed values: words that tell a field, in order of precedence
+FIELD_HINTS = [
+    ("law", ["law", "political"]),
+    ("economics", ["econom", "market"]),
+    ("environment", ["environment"]),
+    ("education", ["education"]),
+    ("psychology", ["psych"]),
+    ("sociology", ["soc"]),
+    ("health", ["health", "medical", "clinical", "patient", "disease"]),
+    ("technology", ["technology", "digital", "algorithm", "ai", "data", "platform"]),
+    ("science", ["science", "research", "postgraduate"]),
+]
 
 
 def field(text: Column) -> Column:
     low, out = F.lower(text), None
-    for name, hint in FIELD_HINTS:
-        out = F.when(low.rlike(hint), name) if out is None else out.when(low.rlike(hint), name)
+    for name, hints in FIELD_HINTS:
+        hit = low.rlike("|".join(hints))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("unknown")
 
 
@@ -70,6 +81,12 @@ def merged(base: DataFrame, extra: DataFrame, key: list[str]) -> DataFrame:
     return base.unionByName(extra.join(base.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
+def first_of_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first row of each key."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*key, *[f"r.{c}" for c in rest])
+
+
 def digest(payloads: DataFrame) -> DataFrame:
     """Whether a payload is valid, its rhetoric types in order (the first three joined), its domain and model."""
     rhetoric = F.coalesce(F.from_json(F.get_json_object("payload", "$.rhetoric"), RHETORIC), F.array().cast(RHETORIC))

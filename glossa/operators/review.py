@@ -14,7 +14,7 @@ from ..functions import text as T
 COMMON_WORDS = ["can", "people", "thing", "make", "good", "big", "small"]
 KNOWN_SHORT = ["gdp", "ai", "ceo", "r&d", "rd", "it", "pr", "pc", "diy", "dna", "rna", "cpu", "covid"]
 LIMITS = {"politics_law": 320, "economics_business": 240, "research_methods": 240, "technology_ai": 220, "health_biomedicine": 220, "environment": 180, "society_education_psychology": 280, "media_culture": 160, "general_academic": 120}
-ALIASES = {"politics": "politics_law", "law": "politics_law", "economics": "economics_business", "science": "research_methods", "environment": "environment", "education": "society_education_psychology", "psychology": "society_education_psychology", "sociology": "society_education_psychology"}
+ALIASES = L.DOMAIN_ALIASES
 
 
 def number(name: str) -> Column:
@@ -54,7 +54,7 @@ def exportable_word(*, known: Sequence[str] = (), names: Sequence[str] = (), dom
     return out.otherwise((number("importance") >= 4) | (number("article_count") >= 2))
 
 
-def exportable_expression(*, banned: Sequence[str] = (), allowed: Sequence[str] = (), least: str | None = None, common: str | None = None) -> Column:
+def exportable_expression(*, banned: Sequence[str] = L.LOW_VALUE_EXPRESSIONS, allowed: Sequence[str] = L.ALLOWED_EXPRESSIONS, least: str | None = None, common: str | None = None) -> Column:
     """Over columns expression, type, meaning, frequency, article_count.
 
     With Zipf scores: least is the smallest score among the words, common the number of words at 5.5 or more.
@@ -69,7 +69,7 @@ def exportable_expression(*, banned: Sequence[str] = (), allowed: Sequence[str]
     return out.when(F.col("type") == "2-gram", (freq >= 8) & (arts >= 2) & (F.length("expression") >= 10)).when(F.col("type") == "3-gram", (freq >= 4) & (arts >= 2)).otherwise(freq >= 3)
 
 
-def admitted_phrase(word: Column, *, valued: Sequence[str] = (), least: str | None = None) -> Column:
+def admitted_phrase(word: Column, *, valued: Sequence[str] = L.HIGH_VALUE_PHRASES, least: str | None = None) -> Column:
     n = F.size(F.regexp_extract_all(word, F.lit("[a-z]+"), F.lit(0)))
     out = F.when(word.isin(list(valued)), True).when((n > 5) | (n == 0), False)
     if least:
@@ -77,8 +77,11 @@ def admitted_phrase(word: Column, *, valued: Sequence[str] = (), least: str | No
     return out.otherwise((number("importance") >= 5) | ((number("frequency") >= 3) & (number("article_count") >= 2)))
 
 
-def admitted(*, low: Sequence[str] = (), noise: Sequence[str] = (), terms: Sequence[str] = (), phrases: Sequence[str] = (), zipf: str | None = None, domain: str = "domain") -> Column:
-    """Whether an entry (word, category, frequency, article_count, importance, domain) is good enough for review."""
+def admitted(*, low: Sequence[str] = L.LOW_VALUE_WORDS, noise: Sequence[str] = L.NOISE_WORDS, terms: Sequence[str] = L.HIGH_VALUE_TERMS, phrases: Sequence[str] = L.HIGH_VALUE_PHRASES, zipf: str | None = None, least: str | None = None, domain: str = "domain") -> Column:
+    """Whether an entry (word, category, frequency, article_count, importance, domain) is good enough for review.
+
+    zipf: the word's Zipf score; least: the smallest score among the words of a phrase (both null if unknown).
+    """
     word, kind = F.lower(F.btrim(F.coalesce("word", F.lit("")))), F.lower(F.coalesce("category", F.lit("")))
     freq, arts, imp = number("frequency"), number("article_count"), number("importance")
     score = F.coalesce(F.col(zipf), F.lit(4.0)) if zipf else F.lit(4.0)
@@ -90,7 +93,7 @@ def admitted(*, low: Sequence[str] = (), noise: Sequence[str] = (), terms: Seque
         F.when(bad, False)
         .when(has("polysemy"), True)
         .when(word.isin([*phrases, *terms]), (freq >= 1) | (imp >= 4))
-        .when(F.contains(word, F.lit(" ")), admitted_phrase(word, valued=phrases))
+        .when(F.contains(word, F.lit(" ")), admitted_phrase(word, valued=phrases, least=least))
         .when((score <= 2.8) | ((score >= 5.45) & ~word.isin(list(terms))), False)
         .when(F.col(domain) == "general_academic", ((arts >= 4) & (freq >= 6)) | (imp >= 5))
         .when(has("llm"), (imp >= 5) & (word.isin(list(terms)) | (arts >= 2) | (score >= 3.2)))
@@ -100,17 +103,36 @@ def admitted(*, low: Sequence[str] = (), noise: Sequence[str] = (), terms: Seque
     )
 
 
-def appendix_worthy(*, low: Sequence[str] = (), noise: Sequence[str] = (), terms: Sequence[str] = (), phrases: Sequence[str] = (), zipf: str | None = None) -> Column:
+def appendix_worthy(*, low: Sequence[str] = L.LOW_VALUE_WORDS, noise: Sequence[str] = L.NOISE_WORDS, terms: Sequence[str] = L.HIGH_VALUE_TERMS, phrases: Sequence[str] = L.HIGH_VALUE_PHRASES, zipf: str | None = None, least: str | None = None) -> Column:
     word = F.lower(F.btrim(F.coalesce("word", F.lit(""))))
     score = F.coalesce(F.col(zipf), F.lit(4.0)) if zipf else F.lit(4.0)
     return (
         F.when((word == "") | word.isin([*low, *noise]), False)
-        .when(F.contains(word, F.lit(" ")), admitted_phrase(word, valued=phrases))
+        .when(F.contains(word, F.lit(" ")), admitted_phrase(word, valued=phrases, least=least))
         .when(word.rlike("[^a-z0-9'-]") | (score <= 2.8) | (score >= 5.55), False)
         .otherwise(word.isin(list(terms)) | (number("importance") >= 5) | (number("article_count") >= 3) | (number("frequency") >= 8))
     )
 
 
+def domain_of(field: Column, word: Column, gloss: Column, *, aliases: dict[str, str] = L.DOMAIN_ALIASES, keywords: dict[str, Sequence[str]] = L.DOMAINS, votes: dict[str, Sequence[str]] = L.GLOSS_VOTES, general: str = "general_academic") -> Column:
+    """A field's domain by its name; else by the word among the domains' keywords; else by the gloss; else the general one."""
+    named = T.mapped(F.lower(F.btrim(F.coalesce(field, F.lit("")))), aliases, F.lit(None).cast("string"))
+    plain, said = F.lower(F.btrim(F.coalesce(word, F.lit("")))), F.lower(F.coalesce(gloss, F.lit("")))
+    by_word = F.lit(None).cast("string")
+    for name, words in reversed(list(keywords.items())):
+        by_word = F.when(plain.isin(list(words)), aliases.get(name, general)).otherwise(by_word)
+    counts = {d: sum((F.contains(said, F.lit(k)).cast("int") for k in keys), F.lit(0)) for d, keys in votes.items()}
+    most, by_gloss = F.greatest(*counts.values()), F.lit(None).cast("string")
+    for d, n in reversed(list(counts.items())):
+        by_gloss = F.when((n == most) & (most > 0), d).otherwise(by_gloss)
+    return F.when(named.isNotNull(), named).when(plain == "", general).otherwise(F.coalesce(by_word, by_gloss, F.lit(general)))
+
+
+def category_class(category: Column) -> Column:
+    """sense, phrase, term, academic or core."""
+    return T.mapped(F.lower(F.btrim(F.coalesce(category, F.lit("")))), L.CATEGORY_CLASSES, F.lit("core"))
+
+
 def category_priority(category: Column) -> Column:
     c = F.lower(F.coalesce(category, F.lit("")))
     return F.when(c == "polysemy", 5).when(c.rlike("phrase|idiom"), 4).when(c.rlike("term|institutional|legal|political"), 3).when(c.rlike("academic"), 2).otherwise(1)
@@ -142,7 +164,7 @@ def classify(entries: DataFrame, profiles: dict[str, Sequence[str]], aliases: di
     first = F.when(some, F.get("__r", F.lit(0))["name"])
     best = F.when(some, -F.get("__r", F.lit(0))["low"]).otherwise(0.0)
     sure = F.when(some, F.bround((best - second) / F.greatest(best, F.lit(1.0)), 3)).otherwise(0.0)
-    fallback = F.coalesce(home, F.lit(general))
+    fallback = domain_of(F.col("field"), word, F.col("gloss") if "gloss" in entries.columns else F.lit(""), aliases=aliases, general=general)
     domain = F.when(~some, fallback).when((best < 2.5) | (sure < 0.18), general).otherwise(first)
     # by a generator of one row: filters on the outcome are not pushed below it, which would repeat these expressions
     found = F.struct(domain.alias("domain"), F.bround(best, 2).alias("score"), sure.alias("confidence"))

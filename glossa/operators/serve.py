@@ -24,11 +24,12 @@ def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> D
 
 
 def summaries(articles: DataFrame, analyses: DataFrame, progress: DataFrame) -> DataFrame:
-    """Articles with their analysis and progress where there is one, words and a snippet."""
-    joined = articles.join(analyses.select("doc_id", F.col("field").alias("a_field"), "difficulty"), "doc_id", "left").join(progress, "doc_id", "left")
+    """Articles with their analysis and progress where there is one, words and a snippet of the description or else the text."""
+    joined = articles.join(analyses.select("doc_id", F.nullif("field", F.lit("")).alias("a_field"), "difficulty"), "doc_id", "left").join(progress, "doc_id", "left")
+    about = F.nullif(F.get_json_object("metadata_json", "$.description"), F.lit("")) if "metadata_json" in articles.columns else F.lit(None).cast("string")
     return joined.select(
         "doc_id", "title", "source", F.coalesce("a_field", "field").alias("field"), "difficulty", F.coalesce("progress", F.lit(0)).alias("progress"),
-        F.coalesce("last_read_at", "created_at").alias("read_at"), F.size(T.words_by_space(F.col("text"))).alias("word_count"), T.shortened(F.col("text"), 120).alias("snippet"),
+        F.coalesce("last_read_at", "created_at").alias("read_at"), F.size(T.words_by_space(F.col("text"))).alias("word_count"), T.shortened(F.coalesce(about, F.col("text")), 120).alias("snippet"),
     )
 
 
@@ -41,6 +42,80 @@ def nested(parents: DataFrame, children: dict[str, DataFrame], key: str) -> Data
     return out
 
 
+def listed(child: DataFrame, key: str, name: str, order: Sequence[Column]) -> DataFrame:
+    """(key, name): each key's rows as a list of structs in the given order; what is left of ties goes by the values."""
+    rest = [c for c in child.columns if c != key]
+    ranked = child.select(key, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("row")).alias("r"))
+    return ranked.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]).alias(name))
+
+
+def detail(articles: DataFrame, analyses: DataFrame, progress: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
+    """Articles with analysis, progress and their child rows in reading order; one aggregate a child table.
+
+    children: vocabulary (with tier and mastery), collocations, polysemy, sentence_patterns, by doc_id.
+    """
+    said = analyses.select("doc_id", F.nullif("field", F.lit("")).alias("a_field"), *[c for c in analyses.columns if c not in ("doc_id", "field")])
+    out = articles.join(said, "doc_id", "left").join(progress, "doc_id", "left").withColumns({"field": F.coalesce("a_field", "field"), "progress": F.coalesce("progress", F.lit(0)), "last_read_at": F.coalesce("last_read_at", F.lit(""))}).drop("a_field")
+    down = lambda c: -F.coalesce(F.col(c), F.lit(0))
+    orders = {"vocabulary": [down("importance"), down("frequency"), F.col("lemma")], "collocations": [down("importance"), down("frequency")], "polysemy": [F.col("word")], "sentence_patterns": [down("importance")]}
+    for name, child in children.items():
+        out = out.join(listed(child, "doc_id", name, orders.get(name, [])), "doc_id", "left")
+    return out
+
+
+def with_mastery(vocabulary: DataFrame, mastery: DataFrame) -> DataFrame:
+    return vocabulary.join(mastery.select("lemma", F.col("level").alias("mastery")), "lemma", "left")
+
+
+def personal_words(personal: DataFrame, mastery: DataFrame) -> DataFrame:
+    """Personal words that have a mastery level, in the vocabulary list's shape."""
+    return personal.join(mastery.select("lemma", "level"), "lemma").select("lemma", "word", F.lit(0).cast("long").alias("frequency"), F.lit(1).alias("importance"), F.col("article_id").isNotNull().cast("long").alias("article_count"), "example_sentence", F.lit("personal").alias("categories"), "level")
+
+
+def with_payload(articles: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Articles whose analysis has a payload of a language model, in the order of their import."""
+    given = analyses.where(~F.coalesce("llm_json", F.lit("{}")).isin("", "{}")).select("doc_id", "llm_json")
+    return articles.select("doc_id", "source", "url", "published_at", "metadata_json", "created_at").join(given, "doc_id").orderBy("created_at", "doc_id")
+
+
+def word_highlights(docs: DataFrame, vocabulary: DataFrame, tiers: DataFrame) -> DataFrame:
+    """(doc_id, pos, word, lemma, tier): the listed words of each text, and its own special ones as "specialized".
+
+    Words of the lists core, key and gre always count. Rare or easy ones do if the text's vocabulary (doc_id, word, lemma,
+    category) has them in a special sense, or (rare ones) as a domain's term.
+    """
+    from .analyze import match_tiers, token_rows
+
+    surfaces = token_rows(docs).groupBy("doc_id", F.col("token").alias("word")).agg(F.min("pos").alias("pos"))
+    own = vocabulary.where(F.col("category").isin("polysemy", "domain terminology"))
+    own = own.select("doc_id", (F.col("category") == "polysemy").alias("sense"), F.explode(F.array_distinct(F.array(F.lower(F.btrim("word")), F.lower(F.btrim("lemma"))))).alias("word")).where("word <> ''")
+    words = surfaces.select("word").unionByName(own.select("word")).distinct()
+    found = match_tiers(words, tiers)
+    special = own.join(found.select("word", "tier"), "word").where((F.col("tier") == "rare") | ((F.col("tier") == "high_school") & F.col("sense"))).select("doc_id", F.col("word").alias("form")).distinct()
+    tiered = surfaces.join(found, "word")
+    plain = tiered.where(F.col("tier").isin("core", "key", "gre")).select("doc_id", "pos", "word", "lemma", "tier")
+    rest = tiered.where(F.col("tier").isin("rare", "high_school")).withColumn("simple", T.lemma(F.col("word")))
+    forms = rest.select("doc_id", "pos", "word", "simple", F.explode(F.array_distinct(F.array("word", "lemma", "simple"))).alias("form"))
+    extra = forms.join(special, ["doc_id", "form"], "left_semi").select("doc_id", "pos", "word", F.col("simple").alias("lemma"), F.lit("specialized").alias("tier")).distinct()
+    return plain.unionByName(extra)
+
+
+def review_scope(highlights: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The highlights whose word or lemma the text's review vocabulary has."""
+    known = vocabulary.select("doc_id", F.explode(F.array(F.lower("lemma"), F.lower("word"))).alias("form")).distinct()
+    forms = highlights.withColumn("form", F.explode(F.array_distinct(F.array(F.lower("lemma"), F.lower("word")))))
+    return forms.join(known, ["doc_id", "form"], "left_semi").drop("form").distinct()
+
+
+def word_context(docs: DataFrame, word: str, limit: int = 240) -> DataFrame:
+    """(doc_id, context): the first sentence with the word, cut to the limit; '' without one."""
+    import re as _re
+
+    parts = F.split(T.squeezed(F.col("text")), r"(?U)(?<=[.!?])\s+", -1)
+    hit = F.get(F.filter(parts, lambda x: x.rlike(rf"(?iU)\b{_re.escape(word)}\b")), F.lit(0))
+    return docs.select("doc_id", T.shortened(F.coalesce(hit, F.lit("")), limit).alias("context"))
+
+
 def low_quality(articles: DataFrame, analyses: DataFrame, least: float) -> DataFrame:
     """Analysed articles with a low exam value, difficulty or quality score (10 if they have none)."""
     joined = articles.join(analyses, "doc_id")

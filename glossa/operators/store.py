@@ -18,11 +18,18 @@ def latest(rows: DataFrame, key: Sequence[str], version: Column) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, *, keep: Sequence[str] = ("created_at",)) -> DataFrame:
-    """New rows replace old ones of the same key, but for the columns in keep, which the first version sets."""
-    both = old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)), allowMissingColumns=True)
-    fresh = [c for c in both.columns if c not in (key, "__v", *keep)]
-    out = both.groupBy(key).agg(F.max_by(F.struct(*fresh), "__v").alias("r"), *[F.min_by(c, "__v").alias(c) for c in keep])
-    return out.select(*[key if c == key else F.col(c) if c in keep else F.col(f"r.{c}") for c in both.columns if c != "__v"])
+    """New rows replace old ones of the same key, but for the columns in keep, which the first version sets.
+
+    Of several new rows of a key the last one counts: the one with the highest order if new has a column __order, else one
+    by a hash of its values, so that the result doesn't depend on how rows are dealt.
+    """
+    order = F.col("__order").cast("long") if "__order" in new.columns else F.lit(0).cast("long")
+    both = old.withColumns({"__v": F.lit(0), "__o": F.lit(0).cast("long")}).unionByName(new.withColumns({"__v": F.lit(1), "__o": order}).drop("__order"), allowMissingColumns=True)
+    fresh = [c for c in both.columns if c not in (key, "__v", "__o", *keep)]
+    values = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in both.columns if c not in ("__v", "__o")])))
+    rank = F.struct("__v", "__o", values)
+    out = both.groupBy(key).agg(F.max_by(F.struct(*fresh), rank).alias("r"), *[F.min_by(c, rank).alias(c) for c in keep])
+    return out.select(*[key if c == key else F.col(c) if c in keep else F.col(f"r.{c}") for c in both.columns if c not in ("__v", "__o")])
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: str, replaced: DataFrame | None = None) -> DataFrame:
@@ -56,10 +63,12 @@ def with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 class Store:
-    """Tables as versioned Parquet folders below one root; a small pointer file names the current version.
+    """Tables as versioned Parquet folders below one root; numbered, empty pointer files name the versions.
 
-    A write goes to a new folder and moves the pointer last, so a failed job leaves the table as it was. Folders and
-    pointers go through Spark's file system, so the root may be any store that Spark reaches.
+    A write goes to a new folder and adds the next pointer last; the highest pointer is the table. So a failed job, also
+    one that dies between two steps, leaves the table as it was, and of two writers at once the second one fails. Folders
+    and pointers go through Spark's file system, so the root may be any store that Spark reaches. A version is one folder,
+    or a list of folders by bucket of the key, of which merge writes only those that a batch touches.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -70,36 +79,80 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(text)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def _pointers(self, name: str) -> list[str]:
+        fs, path = self._path(f"{self.root}/{name}/pointers")
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _point(self, name: str, version: str) -> None:
+        known = self._pointers(name)
+        number = int(known[-1].split("_")[0]) + 1 if known else 1
+        fs, path = self._path(f"{self.root}/{name}/pointers/{number:012d}_{version}")
+        if not fs.createNewFile(path) or [p for p in self._pointers(name) if p.startswith(f"{number:012d}_")] != [path.getName()]:
+            raise RuntimeError(f"{name} was written by another job at the same time")
+        for old in known[:-1]:
+            fs.delete(self._path(f"{self.root}/{name}/pointers/{old}")[1], False)
+
     def _current(self, name: str) -> str | None:
-        fs, path = self._path(f"{self.root}/{name}/current")
-        if not fs.exists(path):
+        known = self._pointers(name)
+        return known[-1].split("_", 1)[1] if known else None
+
+    def _folders(self, name: str) -> dict[int, str] | None:
+        """The folders of a table in buckets; None for one in a single folder."""
+        version = self._current(name)
+        if version is None or not version.startswith("m-"):
             return None
-        return self.spark.read.text(f"{self.root}/{name}/current").first()[0]
+        return {r["bucket"]: r["folder"] for r in self.spark.read.parquet(f"{self.root}/{name}/{version}").collect()}  # one row a bucket
 
     def exists(self, name: str) -> bool:
         return self._current(name) is not None
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{self._current(name)}")
+        folders = self._folders(name)
+        if folders is None:
+            return self.spark.read.parquet(f"{self.root}/{name}/{self._current(name)}")
+        return self.spark.read.parquet(*[f"{self.root}/{name}/{f}" for f in folders.values()])
 
     def write(self, name: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        fs, path = self._path(f"{self.root}/{name}/current")
-        _, fresh = self._path(f"{self.root}/{name}/current-{version}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
+        self.write_all({name: df})
+
+    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        """Write all folders first, then move the pointers: a job that fails while it computes changes no table."""
+        versions = {name: f"v-{uuid.uuid4().hex}" for name in tables}
+        for name, df in tables.items():
+            df.write.parquet(f"{self.root}/{name}/{versions[name]}")
+        for name, version in versions.items():
+            self._point(name, version)
 
     def upsert(self, name: str, new: DataFrame, key: str, keep: Sequence[str] = ("created_at",)) -> None:
-        self.write(name, upsert(self.read(name), new, key, keep=keep) if self.exists(name) else new)
+        old = self.read(name) if self.exists(name) else new.drop("__order").limit(0)
+        self.write(name, upsert(old, new, key, keep=keep))
+
+    def merge(self, name: str, new: DataFrame, key: str, *, keep: Sequence[str] = (), buckets: int = 64) -> None:
+        """upsert for small batches into a large table: only the buckets of the batch's keys are read and written."""
+        folders = self._folders(name)
+        if folders is None and self.exists(name):
+            raise ValueError(f"{name} is not in buckets")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        new = new.withColumn("__bucket", bucket).persist()
+        touched = sorted(r[0] for r in new.select("__bucket").distinct().collect())  # at most buckets
+        if touched:
+            before = [f"{self.root}/{name}/{folders[b]}" for b in touched if folders and b in folders]
+            old = self.spark.read.parquet(*before) if before else new.drop("__bucket", "__order").limit(0)
+            rows = upsert(old, new.drop("__bucket"), key, keep=keep)
+            version = f"b-{uuid.uuid4().hex}"
+            rows.withColumn("__bucket", bucket).repartition(len(touched), "__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{name}/{version}")
+            after = {**(folders or {}), **{b: f"{version}/__bucket={b}" for b in touched}}
+            listed = f"m-{uuid.uuid4().hex}"
+            self.spark.createDataFrame(list(after.items()), "bucket int, folder string").coalesce(1).write.parquet(f"{self.root}/{name}/{listed}")
+            self._point(name, listed)
+        new.unpersist()
+
+    def replaced(self, name: str, new: DataFrame, key: str, replaced: DataFrame | None = None) -> DataFrame:
+        return replace_by_key(self.read(name), new, key, replaced) if self.exists(name) else new
 
     def replace(self, name: str, new: DataFrame, key: str, replaced: DataFrame | None = None) -> None:
-        self.write(name, replace_by_key(self.read(name), new, key, replaced) if self.exists(name) else new)
+        self.write(name, self.replaced(name, new, key, replaced))
 
     def delete(self, ids: DataFrame, key: str = "doc_id", parent: str = "articles") -> None:
-        for name in [*CHILDREN, parent]:
-            if self.exists(name):
-                self.write(name, cascade_delete({name: self.read(name)}, ids, key)[name])
+        names = [n for n in [*CHILDREN, parent] if self.exists(n)]
+        self.write_all({n: cascade_delete({n: self.read(n)}, ids, key)[n] for n in names})

@@ -34,6 +34,9 @@ def articles(spark: SparkSession) -> DataFrame:
 ARTICLES_SQL = "articles AS (SELECT * FROM (VALUES " + ", ".join(f"({a[0]}::BIGINT, {', '.join(quoted(x) for x in a[1:])})" for a in ARTICLES) + ") AS v(doc_id, title, source, field, text))"
 
 
+CORPUS_SQL = ARTICLES_SQL.replace("articles AS", "fx AS", 1) + ", articles AS (SELECT doc_id, '' AS title, source, lang AS field, coalesce(text, '') AS text FROM main.documents UNION ALL SELECT -doc_id, title, source, field, text FROM fx)"
+
+
 def tiers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TIERS, "word string, tier string")
 

@@ -56,6 +56,15 @@ def trimmed(text: str) -> str:
     return f"regexp_replace({text}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
+def plain(text: str) -> str:
+    """Beyond ASCII: blanks as a blank, letters, digits and marks as _, all else as #.
+
+    DuckDB's word boundaries know ASCII only; with this they lie where Spark's do.
+    """
+    spaces = f"regexp_replace({text}, '[\\x{{85}}\\p{{Z}}]', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({spaces}, '[^\\x00-\\x7f\\p{{L}}\\p{{N}}\\p{{M}}]', '#', 'g'), '[^\\x00-\\x7f]', '_', 'g')"
+
+
 def words(text: str) -> str:
     return f"list_filter(string_split(regexp_replace(coalesce({text}, ''), '{SPACE}+', ' ', 'g'), ' '), lambda w: w <> '')"
 

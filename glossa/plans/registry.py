@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import spread
+
+#: tables whose rows take much work each
+TEXTS = ["documents", "pages", "conversations"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,4 +27,5 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(out) if name in TEXTS else out

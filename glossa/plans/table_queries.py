@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import partial
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,16 +13,16 @@ from ..sources import files
 from ..streaming import flows
 from . import fixtures as X
 from . import fragments as D
-from .registry import ORACLES, QUERIES, query, table
+from .registry import query, table
 
 # child tables made of generated texts: words of each document, a field, a category
 VOCAB = f"""{D.R}, f AS (SELECT doc_id, token, count(*) AS frequency, min(pos) AS first_pos FROM r GROUP BY ALL),
-v AS (SELECT doc_id, token AS word, CASE WHEN ends_with(token, 'e') THEN token ELSE token || 'e' END AS lemma, lang AS field, CASE WHEN len(token) > 6 THEN 'domain terminology' WHEN len(token) = 4 THEN 'polysemy' ELSE 'academic/general' END AS category, frequency, (len(token) % 6)::INT AS importance, CASE WHEN len(token) % 2 = 0 THEN 'About ' || token || ' here.' ELSE '' END AS example_sentence, f.first_pos, source, CASE WHEN d.doc_id % 3 = 0 THEN 'cite ' || (d.doc_id % 7) END AS citation FROM f JOIN documents d USING (doc_id) WHERE frequency >= 3)"""
+v AS (SELECT doc_id, token AS word, CASE WHEN ends_with(token, 'e') THEN token ELSE token || 'e' END AS lemma, lang AS field, CASE WHEN len(token) > 6 THEN 'domain terminology' WHEN len(token) = 4 THEN 'polysemy' ELSE 'academic/general' END AS category, frequency, (len(token) % 6)::INT AS importance, CASE WHEN len(token) % 2 = 0 THEN 'About ' || token || ' here.' ELSE '' END AS example_sentence, f.first_pos, source, CASE WHEN d.doc_id % 3 = 0 THEN 'cite ' || (d.doc_id % 7) END AS citation FROM f JOIN documents d USING (doc_id))"""
 
 
-def vocab(spark, d, least=3):
+def vocab(spark, d):
     docs = table(spark, d, "documents")
-    terms = analyze.term_counts(docs).where(F.col("frequency") >= least).join(docs.select("doc_id", F.col("lang").alias("field")), "doc_id")
+    terms = analyze.term_counts(docs.withColumnRenamed("lang", "field"), keep=["field"])
     n = F.length("token")
     return terms.select(
         "doc_id", F.col("token").alias("word"), F.when(F.endswith("token", F.lit("e")), F.col("token")).otherwise(F.concat("token", F.lit("e"))).alias("lemma"), "field",
@@ -43,55 +41,55 @@ AGG_VOCAB = f"{VOCAB}, av AS (SELECT field, word, lemma, category, sum(frequency
 
 
 @query(f"WITH {AGG_VOCAB} SELECT * FROM av")
-def aggregate_vocabulary(spark, d, least=3):
-    return aggregate.vocabulary(vocab(spark, d, least), articles(spark, d))
+def aggregate_vocabulary(spark, d):
+    return aggregate.vocabulary(vocab(spark, d), articles(spark, d))
 
 
 LIST = f"""{VOCAB}, vl AS (SELECT lemma, min(word) AS word, sum(frequency)::BIGINT AS frequency, max(importance) AS importance, count(DISTINCT doc_id) AS article_count, min(nullif(example_sentence, '')) AS example_sentence, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM v GROUP BY lemma),
 m AS (SELECT lemma, ['learning', 'familiar', 'mastered'][(len(lemma) % 3 + 1)::INT] AS level FROM vl WHERE len(lemma) % 4 < 3), ml AS (SELECT vl.*, level FROM vl LEFT JOIN m USING (lemma))"""
 
 
-def listed(spark, d, least=3):
-    words = vocab(spark, d, least)
+def listed(spark, d):
+    words = vocab(spark, d)
     n = F.length("lemma")
     mastery = words.select("lemma").distinct().where(n % 4 < 3).select("lemma", F.element_at(F.array(*[F.lit(x) for x in ("learning", "familiar", "mastered")]), n % 3 + 1).alias("level"))
     return aggregate.vocabulary_list(words, articles(spark, d), mastery)
 
 
 @query(f"WITH {LIST} SELECT * FROM ml")
-def vocabulary_list(spark, d, least=3):
-    return listed(spark, d, least)
+def vocabulary_list(spark, d):
+    return listed(spark, d)
 
 
 @query(f"WITH {LIST} SELECT lemma, word, frequency, importance, article_count, level FROM ml WHERE contains(word, 'th') AND (level IS NULL OR level = 'learning') AND contains(categories, 'domain') ORDER BY importance DESC, article_count DESC, frequency DESC, lemma LIMIT 40 OFFSET 5")
-def vocabulary_page(spark, d, least=3):
-    rows = listed(spark, d, least).where(F.contains("word", F.lit("th")) & (F.col("level").isNull() | (F.col("level") == "learning")) & F.contains("categories", F.lit("domain")))
+def vocabulary_page(spark, d):
+    rows = listed(spark, d).where(F.contains("word", F.lit("th")) & (F.col("level").isNull() | (F.col("level") == "learning")) & F.contains("categories", F.lit("domain")))
     return serve.page(rows.select("lemma", "word", "frequency", "importance", "article_count", "level"), [F.desc("importance"), F.desc("article_count"), F.desc("frequency"), F.asc("lemma")], 5, 40)
 
 
 @query(f"WITH {LIST}, pw AS (SELECT * FROM (VALUES ('zzz-own'), ('thee')) t(lemma)) SELECT lemma, frequency FROM ml UNION ALL SELECT lemma, NULL FROM pw WHERE lemma NOT IN (SELECT lemma FROM ml)")
-def vocabulary_with_personal(spark, d, least=3):
+def vocabulary_with_personal(spark, d):
     personal = spark.createDataFrame([("zzz-own",), ("thee",)], "lemma string")
-    return serve.with_personal(listed(spark, d, least).select("lemma", "frequency"), personal)
+    return serve.with_personal(listed(spark, d).select("lemma", "frequency"), personal)
 
 
 @query(f"WITH {VOCAB} SELECT (SELECT count(*) FROM documents) AS articles, count(DISTINCT lemma) AS lemmas, count(DISTINCT field) AS fields, count(*) AS vocabulary FROM v")
-def health_counts(spark, d, least=3):
-    words = vocab(spark, d, least).agg(F.count_distinct("lemma").alias("lemmas"), F.count_distinct("field").alias("fields"), F.count("*").alias("vocabulary"))
+def health_counts(spark, d):
+    words = vocab(spark, d).agg(F.count_distinct("lemma").alias("lemmas"), F.count_distinct("field").alias("fields"), F.count("*").alias("vocabulary"))
     return table(spark, d, "documents").agg(F.count("*").alias("articles")).join(F.broadcast(words))
 
 
 MERGED = f"{AGG_VOCAB}, mv AS (SELECT word, min_by(category, field || category) AS category, min_by(field, field || category) AS field, sum(frequency)::BIGINT AS frequency, max(article_count) AS article_count, max(importance) AS importance, coalesce(min_by(example_sentence, field || category) FILTER (WHERE example_sentence <> ''), '') AS example_sentence FROM av GROUP BY word)"
 
 
-def merged(spark, d, least=3):
-    rows = aggregate.vocabulary(vocab(spark, d, least), articles(spark, d)).withColumn("ord", F.concat("field", "category"))
+def merged(spark, d):
+    rows = aggregate.vocabulary(vocab(spark, d), articles(spark, d)).withColumn("ord", F.concat("field", "category"))
     return aggregate.merge_vocabulary(rows)
 
 
 @query(f"WITH {MERGED} SELECT * FROM mv")
-def merged_vocabulary(spark, d, least=3):
-    return merged(spark, d, least)
+def merged_vocabulary(spark, d):
+    return merged(spark, d)
 
 
 KNOWN, NAMES = ["thee", "tion"], ["thth", "rere"]
@@ -101,8 +99,8 @@ WHEN list_contains({D.listing(NAMES)}, word) THEN false WHEN NOT list_contains({
 
 
 @query(f"WITH {MERGED} SELECT word, category, frequency FROM mv WHERE {EXPORTED}")
-def export_filter_vocab(spark, d, least=3):
-    return merged(spark, d, least).where(review.exportable_word(known=KNOWN, names=NAMES)).select("word", "category", "frequency")
+def export_filter_vocab(spark, d):
+    return merged(spark, d).where(review.exportable_word(known=KNOWN, names=NAMES)).select("word", "category", "frequency")
 
 
 CASES = [("Acme", "academic", "They met Acme there.", 5, 3), ("nasa", "academic", "At NASA it began.", 5, 3), ("market", "term", "Market rules. The market grew.", 1, 2), ("can", "term", "", 5, 5), ("gdp", "term", "The GDP fell.", 4, 1), ("xq", "term", "", 5, 5), ("subject", "polysemy", "", 0, 0), ("tiny", "term", "", 1, 1), ("deal", "term", "The Deals were off.", 4, 1)]
@@ -120,8 +118,7 @@ ge AS (SELECT gram AS expression, n || '-gram' AS type, CASE WHEN starts_with(gr
 
 def expressions(spark, d):
     docs = table(spark, d, "documents")
-    both = analyze.ngram_rows(docs, 2).unionByName(analyze.ngram_rows(docs, 3))
-    out = both.groupBy(F.col("gram").alias("expression"), F.concat(F.col("n").cast("string"), F.lit("-gram")).alias("type")).agg(F.count("*").alias("frequency"), F.count_distinct("doc_id").alias("article_count"))
+    out = analyze.ngram_rows(docs, [2, 3]).groupBy(F.col("gram").alias("expression"), F.concat(F.col("n").cast("string"), F.lit("-gram")).alias("type")).agg(F.count("*").alias("frequency"), F.count_distinct("doc_id").alias("article_count"))
     return out.withColumn("meaning", F.when(F.startswith("expression", F.lit("th")), "has a meaning").otherwise(""))
 
 
@@ -154,14 +151,14 @@ cl AS (SELECT * EXCLUDE (rk), CASE WHEN len(rk) = 0 THEN coalesce(map_extract({D
  CASE WHEN len(rk) = 0 THEN 0.0 ELSE round_even(-rk[1].low, 2) END::DOUBLE AS score, CASE WHEN len(rk) = 0 THEN 0.0 ELSE round_even((-rk[1].low - coalesce(-rk[2].low, 0)) / greatest(-rk[1].low, 1.0), 3) END::DOUBLE AS confidence FROM cs)"""
 
 
-def classified(spark, d, least=3):
-    rows = aggregate.vocabulary(vocab(spark, d, least), articles(spark, d))
+def classified(spark, d):
+    rows = aggregate.vocabulary(vocab(spark, d), articles(spark, d))
     return review.classify(rows, PROFILES, ALIAS)
 
 
 @query(f"WITH {CLASSED} SELECT field, word, category, domain, score, confidence FROM cl")
-def review_classify(spark, d, least=3):
-    return classified(spark, d, least).select("field", "word", "category", "domain", "score", "confidence")
+def review_classify(spark, d):
+    return classified(spark, d).select("field", "word", "category", "domain", "score", "confidence")
 
 
 LOW, NOISE, TERMS = ["thee"], ["thre"], ["ment"]
@@ -169,41 +166,41 @@ ADMIT = f"""CASE WHEN word = '' OR list_contains({D.listing([*LOW, *NOISE])}, wo
 WHEN domain = 'general_academic' THEN (article_count >= 4 AND frequency >= 6) OR importance >= 5 WHEN contains(category, 'term') THEN importance >= 4 OR article_count >= 2 WHEN contains(category, 'academic') THEN article_count >= 2 AND frequency >= 3 AND importance >= 4 ELSE importance >= 5 AND article_count >= 2 END"""
 
 
-def entries(spark, d, least=3):
-    return classified(spark, d, least).where(review.admitted(low=LOW, noise=NOISE, terms=TERMS))
+def entries(spark, d):
+    return classified(spark, d).where(review.admitted(low=LOW, noise=NOISE, terms=TERMS))
 
 
 @query(f"WITH {CLASSED} SELECT field, word, category, domain FROM cl WHERE {ADMIT}")
-def review_admit(spark, d, least=3):
-    return entries(spark, d, least).select("field", "word", "category", "domain")
+def review_admit(spark, d):
+    return entries(spark, d).select("field", "word", "category", "domain")
 
 
 CAPS = {"politics_law": 30, "general_academic": 20}
 PRIORITY = "CASE WHEN category = 'polysemy' THEN 5 WHEN contains(category, 'term') THEN 3 WHEN contains(category, 'academic') THEN 2 ELSE 1 END"
-CAPPED = f"{CLASSED}, ca AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, {PRIORITY} DESC, article_count DESC, frequency DESC, field, word, category) AS rank FROM cl WHERE {ADMIT}), co AS (SELECT field, word, category, domain, rank, rank > CASE domain WHEN 'politics_law' THEN 30 WHEN 'general_academic' THEN 20 ELSE 160 END AS overflow FROM ca)"
+CAPPED = f"{CLASSED}, ca AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, {PRIORITY} DESC, article_count DESC, frequency DESC, field, word, category) AS rank FROM cl WHERE {ADMIT}), cb AS (SELECT *, rank > CASE domain WHEN 'politics_law' THEN 30 WHEN 'general_academic' THEN 20 ELSE 160 END AS overflow FROM ca), co AS (SELECT field, word, category, domain, CASE WHEN NOT overflow THEN rank END AS rank, overflow FROM cb)"
 
 
-def capped(spark, d, least=3):
+def capped(spark, d):
     order = [F.desc("score"), F.desc(review.category_priority(F.col("category"))), F.desc("article_count"), F.desc("frequency"), F.asc("field"), F.asc("word"), F.asc("category")]
-    return aggregate.capped(entries(spark, d, least), CAPS, order).select("field", "word", "category", "domain", "rank", "overflow")
+    return aggregate.capped(entries(spark, d), CAPS, order, key=["field", "word", "category"]).select("field", "word", "category", "domain", "rank", "overflow")
 
 
 @query(f"WITH {CAPPED} SELECT * FROM co WHERE NOT overflow")
-def domain_cap(spark, d, least=3):
-    return capped(spark, d, least).where("NOT overflow")
+def domain_cap(spark, d):
+    return capped(spark, d).where("NOT overflow")
 
 
 @query(f"WITH {CAPPED} SELECT * FROM co WHERE overflow")
-def domain_overflow(spark, d, least=3):
-    return capped(spark, d, least).where("overflow")
+def domain_overflow(spark, d):
+    return capped(spark, d).where("overflow")
 
 
 APPENDIX = f"CASE WHEN word = '' OR list_contains({D.listing([*LOW, *NOISE])}, word) THEN false WHEN regexp_matches(word, '[^a-z0-9''-]') THEN false ELSE list_contains({D.listing(TERMS)}, word) OR importance >= 5 OR article_count >= 3 OR frequency >= 8 END"
 
 
 @query(f"WITH {MERGED} SELECT word, frequency, article_count FROM mv WHERE {APPENDIX} ORDER BY article_count DESC, frequency DESC, word LIMIT 120")
-def appendix(spark, d, least=3):
-    rows = merged(spark, d, least).where(review.appendix_worthy(low=LOW, noise=NOISE, terms=TERMS))
+def appendix(spark, d):
+    rows = merged(spark, d).where(review.appendix_worthy(low=LOW, noise=NOISE, terms=TERMS))
     return serve.page(rows.select("word", "frequency", "article_count"), [F.desc("article_count"), F.desc("frequency"), F.asc("word")], 0, 120)
 
 
@@ -375,7 +372,7 @@ BARE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_repla
 
 @query(f"SELECT page_id, {D.squeezed(entities_sql('regexp_extract(html, ' + D.quoted('(?is)<title[^>]*>(.*?)</title>') + ', 1)'))} AS title, {D.squeezed(entities_sql(f'regexp_replace({BARE}, ' + D.quoted('(?s)<[^>]*>') + ', ' + D.quoted(' ') + ', ' + D.quoted('g') + ')'))} AS text FROM pages")
 def html_extract(spark, d):
-    return files.page_articles(table(spark, d, "pages")).drop("url")
+    return files.page_articles(table(spark, d, "pages")).select("page_id", "title", "text")
 
 
 @query(f"WITH p AS (SELECT {NORMAL} AS url, page_id AS ord, page_id % 3 AS part FROM pages), t AS (SELECT url, min(part) AS priority, min_by(ord, part * 10000000 + ord) AS ord FROM p WHERE url <> '' GROUP BY url) SELECT * FROM t ORDER BY priority, ord, url LIMIT 100")
@@ -387,7 +384,21 @@ def crawl_targets(spark, d):
 @query("WITH c AS (SELECT doc_id, source, len(text) AS n FROM documents WHERE doc_id % 5 <> 0 AND len(text) >= 500 AND doc_id % 2 = 0) SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id, 'u' || doc_id) AS rank FROM c QUALIFY rank <= 10")
 def source_accept(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "source", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("doc_id").alias("ord"), F.lit(5.0).alias("quality_score"), (F.col("doc_id") % 2 == 0).alias("quality_keep"))
-    out = files.accepted(docs, docs.where("doc_id % 5 = 0"), least_chars=500, least_score=4.0, target=10)
+    out = files.accepted(docs, docs.where("doc_id % 5 = 0"), least_chars=500, least_score=4.0, target=10, multiplier=10_000_000)
+    return out.select("source", "doc_id", "rank")
+
+
+def accept_sql(rank: str) -> str:
+    return f"row_number() OVER (PARTITION BY source ORDER BY doc_id, 'u' || doc_id) {rank}"
+
+
+@query(f"""WITH c AS (SELECT doc_id, source, length(coalesce(text, '')) AS n, (doc_id % 10)::DOUBLE AS score, CASE WHEN source = 'src1' THEN 8.0 END AS own FROM documents),
+l AS (SELECT *, {accept_sql('AS place')} FROM c QUALIFY place <= 40)
+SELECT source, doc_id, {accept_sql('AS rank')} FROM l WHERE doc_id % 5 <> 0 AND n >= 300 AND doc_id % 2 = 0 AND score >= coalesce(own, 4.0) QUALIFY rank <= 5""")
+def source_limits(spark, d):
+    """A source's own least score, and its first 5 * 8 candidates only."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("doc_id").alias("ord"), (F.col("doc_id") % 10).cast("double").alias("quality_score"), (F.col("doc_id") % 2 == 0).alias("quality_keep"), F.when(F.col("source") == "src1", 8.0).alias("min_quality_score"))
+    out = files.accepted(docs, docs.where("doc_id % 5 = 0"), least_chars=300, least_score=4.0, target=5)
     return out.select("source", "doc_id", "rank")
 
 
@@ -435,24 +446,17 @@ def payload_words(spark, d):
 # ---- exports
 
 @query(f"WITH {AGG_VOCAB} SELECT word || CASE WHEN lemma <> word THEN ' (' || lemma || ')' ELSE '' END AS front, repeat('★', greatest(0, least(importance, 5))) || ' ' || example_sentence AS back, regexp_replace(field || ' ' || category, '[/ ]+', '_', 'g') AS tags FROM av")
-def anki_cards(spark, d, least=3):
+def anki_cards(spark, d):
     from ..operators.export import cards
 
-    return cards(aggregate.vocabulary(vocab(spark, d, least), articles(spark, d)))
+    return cards(aggregate.vocabulary(vocab(spark, d), articles(spark, d)))
 
 
 @query(f"WITH {MERGED} SELECT '| ' || word || ' | ' || frequency || ' | ' || article_count || ' | ' || repeat('★', greatest(0, least(importance, 5))) || ' |' AS line FROM mv")
-def markdown_rows(spark, d, least=3):
+def markdown_rows(spark, d):
     from ..operators.export import table_rows
 
-    return table_rows(merged(spark, d, least), ["word", "frequency", "article_count", T.stars(F.col("importance"))])
-
-
-@query(f"WITH {VOCAB}, k AS (SELECT doc_id, word, frequency, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, first_pos) AS rk FROM v) SELECT doc_id, string_agg(rk || '. ' || word || ' (' || frequency || ')', chr(10) ORDER BY rk) AS body FROM k WHERE rk <= 25 GROUP BY doc_id")
-def article_reports(spark, d, least=3):
-    from ..operators.export import reports
-
-    return reports(vocab(spark, d, least))
+    return table_rows(merged(spark, d), ["word", "frequency", "article_count", T.stars(F.col("importance"))])
 
 
 # ---- streams
@@ -485,10 +489,3 @@ def orders_by_nation(spark, d):
 @query("SELECT user_id, event_id, ts_prev FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS ts_prev FROM events) WHERE ts_prev IS NOT NULL")
 def event_pairs(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id")).alias("ts_prev")).where("ts_prev IS NOT NULL")
-
-
-# ---- the vocabulary queries over all terms, also those that a text has once or twice
-
-for name in "aggregate_vocabulary vocabulary_list vocabulary_page vocabulary_with_personal health_counts merged_vocabulary export_filter_vocab review_classify review_admit domain_cap domain_overflow appendix anki_cards markdown_rows article_reports".split():
-    QUERIES[f"{name}_all"] = partial(QUERIES[name], least=1)
-    ORACLES[f"{name}_all"] = ORACLES[name].replace(" WHERE frequency >= 3)", ")")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -11,15 +9,11 @@ from ..functions import text as T
 from ..operators import aggregate, analyze
 from . import fixtures as X
 from . import fragments as D
-from .registry import QUERIES, query, table
+from .registry import query, table
 
 DOMAINS = X.DOMAINS
-FX = X.ARTICLES_SQL
-FXS = f"{FX}, s0 AS (SELECT doc_id, source, {D.sentences('text')} AS ss FROM articles), s AS (SELECT doc_id, source, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM s0)"
-
-
-def fixture(spark, d):
-    return X.articles(spark)
+FX = X.CORPUS_SQL
+FXS = f"{FX}, s0 AS (SELECT doc_id, source, {D.sentences('text')} AS ss FROM articles), s1 AS (SELECT doc_id, source, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM s0), s AS (SELECT *, {D.plain('sentence')} AS plain_s FROM s1)"
 
 
 def corpus(spark, d):
@@ -28,11 +22,6 @@ def corpus(spark, d):
     return docs.unionByName(X.articles(spark).withColumn("doc_id", -F.col("doc_id")))
 
 
-def bounded(pattern: str) -> str:
-    """The pattern for DuckDB's engine, where a word boundary is ASCII, as these texts are."""
-    return D.quoted(pattern)
-
-
 @query(f"WITH t AS (SELECT unnest({D.tokens('text')}) AS token FROM documents) SELECT token, count(*) AS frequency FROM t GROUP BY token")
 def token_frequency(spark, d):
     return analyze.token_rows(table(spark, d, "documents")).groupBy("token").agg(F.count("*").alias("frequency"))
@@ -133,12 +122,12 @@ def domain_argmax(spark, d):
     return analyze.domain_scores(table(spark, d, "documents"), DOMAINS).groupBy("field").agg(F.count("*").alias("n"))
 
 
-PATTERN_HITS = " UNION ALL ".join(f"SELECT doc_id, source, pos, {i} AS ord, {D.quoted(c)} AS type, {D.quoted(label)} AS function, sentence FROM s WHERE regexp_matches(lower(sentence), {bounded(p)})" for i, (c, label, _, p) in enumerate(L.PATTERNS))
+PATTERN_HITS = " UNION ALL ".join(f"SELECT doc_id, source, pos, {i} AS ord, {D.quoted(c)} AS type, {D.quoted(label)} AS function, sentence FROM s WHERE regexp_matches(lower(plain_s), {D.quoted(p)})" for i, (c, label, _, p) in enumerate(L.PATTERNS))
 
 
 def template_sql(code: str, sentence: str) -> str:
-    low = f"lower({D.squeezed(sentence)})"
-    cases = " ".join(f"WHEN {code} = {D.quoted(k)} AND regexp_matches({low}, {bounded(p)}) THEN {D.quoted(label)}" for k, cues in L.TEMPLATES.items() for label, p in cues)
+    low = f"lower({D.squeezed(D.plain(sentence))})"
+    cases = " ".join(f"WHEN {code} = {D.quoted(k)} AND regexp_matches({low}, {D.quoted(p)}) THEN {D.quoted(label)}" for k, cues in L.TEMPLATES.items() for label, p in cues)
     labels = " ".join(f"WHEN {code} = {D.quoted(c)} THEN {D.quoted(label)}" for c, label, _, _ in L.PATTERNS)
     return f"CASE {cases} {labels} ELSE 'Other structure' END"
 
@@ -148,33 +137,28 @@ PATTERNS = f"h AS ({PATTERN_HITS}), pr AS (SELECT doc_id, source, row_number() O
 
 
 @query(f"WITH {FXS}, {PATTERNS} SELECT doc_id, ord, type, function, sentence, pattern, importance FROM pr")
-def pattern_hits(spark, d, read=fixture):
-    return analyze.pattern_rows(read(spark, d))
+def pattern_hits(spark, d):
+    return analyze.pattern_rows(corpus(spark, d))
 
 
-@query(f"WITH s0 AS (SELECT doc_id, source, {D.sentences('text')} AS ss FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7f]')), s AS (SELECT doc_id, source, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM s0), {PATTERNS} SELECT type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM pr GROUP BY type")
+@query(f"WITH {FXS}, {PATTERNS} SELECT type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM pr GROUP BY type")
 def pattern_hits_by_type(spark, d):
-    plain = table(spark, d, "documents").where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return analyze.pattern_rows(plain).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return analyze.pattern_rows(corpus(spark, d)).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query()  # all languages and characters; DuckDB's word boundaries are ASCII, so there is no SQL
-def pattern_hits_by_type_all(spark, d):
-    return analyze.pattern_rows(table(spark, d, "documents")).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
-
-
-SENSES = " UNION ALL ".join(f"SELECT doc_id, pos, sentence, {D.quoted(w)} AS word, {D.quoted(o)} AS ordinary_meaning, {D.quoted(c)} AS contextual_meaning FROM s WHERE list_contains({D.content('sentence')}, {D.quoted(w)}) AND regexp_matches(sentence, {bounded('(?i)' + p)})" for w, o, c, p in L.SENSES)
+SENSES = " UNION ALL ".join(f"SELECT doc_id, pos, sentence, {D.quoted(w)} AS word, {D.quoted(o)} AS ordinary_meaning, {D.quoted(c)} AS contextual_meaning FROM s WHERE list_contains({D.content('sentence')}, {D.quoted(w)}) AND regexp_matches(plain_s, {D.quoted('(?i)' + p)})" for w, o, c, p in L.SENSES)
 SENSE_ROWS = f"sh AS ({SENSES}), sr AS (SELECT doc_id, word, ordinary_meaning, contextual_meaning, first(sentence ORDER BY pos) AS sentence, 'high' AS exam_risk FROM sh GROUP BY doc_id, word, ordinary_meaning, contextual_meaning)"
 
 
 @query(f"WITH {FXS}, {SENSE_ROWS} SELECT * FROM sr")
-def polysemy_first_hit(spark, d, read=fixture):
-    return analyze.sense_rows(read(spark, d))
+def polysemy_first_hit(spark, d):
+    return analyze.sense_rows(corpus(spark, d))
 
 
 @query(f"WITH {FXS}, {SENSE_ROWS} SELECT word, ordinary_meaning, contextual_meaning, count(DISTINCT doc_id) AS article_count, min(sentence) AS sentence, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM sr JOIN articles USING (doc_id) GROUP BY ALL")
-def aggregate_polysemy(spark, d, read=fixture):
-    return aggregate.senses(analyze.sense_rows(read(spark, d)), read(spark, d))
+def aggregate_polysemy(spark, d):
+    docs = corpus(spark, d)
+    return aggregate.senses(analyze.sense_rows(docs), docs)
 
 
 TEXT, LENGTH = D.squeezed("sentence"), f"len({D.squeezed('sentence')})"
@@ -190,14 +174,14 @@ pa AS (SELECT pg.*, ex.sentence AS example_sentence, ex.source AS example_source
 
 
 @query(f"WITH {FXS}, {PATTERNS}, {PATTERN_GROUPS} SELECT type, pattern, frequency, importance, article_count, sources, raw_types, {PRIORITY} AS priority, example_sentence, example_source, example_quality, n_examples FROM pa")
-def pattern_aggregate(spark, d, read=fixture):
-    rows = aggregate.patterns(analyze.pattern_rows(read(spark, d), keep=["source"]))
+def pattern_aggregate(spark, d):
+    rows = aggregate.patterns(analyze.pattern_rows(corpus(spark, d), keep=["source"]))
     return rows.withColumn("n_examples", F.size("examples")).drop("examples")
 
 
 @query()
-def pattern_diverse_select(spark, d, read=fixture):
-    rows = aggregate.patterns(analyze.pattern_rows(read(spark, d), keep=["source"]))
+def pattern_diverse_select(spark, d):
+    rows = aggregate.patterns(analyze.pattern_rows(corpus(spark, d), keep=["source"]))
     picked = aggregate.diversified(rows, per_type=2, limit=20)
     return spark.createDataFrame([(i, r["type"], r["pattern"], r["example_sentence"]) for i, r in enumerate(picked)], "place int, type string, pattern string, example_sentence string")
 
@@ -217,7 +201,7 @@ SELECT d.doc_id, w.word, coalesce(b.sentence, o.sentence, '') AS example_sentenc
 def best_example_sentence(spark, d):
     docs = table(spark, d, "documents")
     asked = docs.select("doc_id", F.explode(F.array(*[F.lit(w[0]) for w in WORDS])).alias("word"))
-    return analyze.best_examples(asked, docs)
+    return analyze.best_examples(asked, docs, only=[w[0] for w in WORDS])
 
 
 LISTED = "['" + "', '".join(t for t in L.TIERS) + "']"
@@ -286,18 +270,16 @@ ok AS (SELECT * FROM el WHERE tier <> 'high_school' AND NOT (tier = 'rare' AND c
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, first_pos) AS rank FROM ok)
 SELECT doc_id, word, field, category, frequency, greatest(CASE tier WHEN 'core' THEN 5 WHEN 'key' THEN 4 WHEN 'gre' THEN 3 ELSE 1 END, 1) AS importance, rank FROM rk WHERE rank <= 40""".replace("tk AS (SELECT DISTINCT unnest(" + D.tokens("text") + ") AS word FROM documents, (SELECT 1))", f"tk AS (SELECT DISTINCT unnest({D.content('text')}) AS word FROM documents)").replace("LEFT JOIN tl ON", "LEFT JOIN tm AS tl ON"))
 def review_vocabulary(spark, d):
-    return analyze.review_vocabulary(table(spark, d, "documents"), X.tiers(spark), DOMAINS).drop("example_sentence")
+    return analyze.review_terms(table(spark, d, "documents"), X.tiers(spark), DOMAINS)
 
 
-def scored_articles(spark, d, *, plain=True):
-    docs = table(spark, d, "documents")
-    # plain: as the SQL has it, since word boundaries differ beyond ASCII
-    docs = docs.where(~F.col("text").rlike(r"[^\x00-\x7f]")) if plain else docs.withColumn("text", F.coalesce("text", F.lit("")))
+def scored_articles(spark, d):
+    docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return docs.select("doc_id", F.concat(F.lit("Title "), F.substring("text", 1, 20)).alias("title"), F.lit("").alias("url"), F.when(F.col("source") == "src1", "The Guardian").otherwise(F.col("source")).alias("source"), "text", F.when(F.col("doc_id") % 50 == 0, "kaoyan_exam").alias("corpus_type"), F.lit(0.75).alias("reliability"), F.when(F.col("source") == "src1", 1.137).otherwise(0.731).alias("weight"))
 
 
-PATTERN_LIST = "list_slice(flatten(list_transform(ss, lambda x: list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(x), {bounded(p)}) THEN {D.quoted(c)} END" for c, _, _, p in L.PATTERNS) + "], lambda y: y IS NOT NULL))), 1, 60)"
-SENSE_COUNT = " + ".join(f"CASE WHEN len(list_filter(ss, lambda x: regexp_matches(x, {bounded('(?i)' + p)}) AND list_contains({D.content('x')}, {D.quoted(w)}))) > 0 THEN 1 ELSE 0 END" for w, _, _, p in L.SENSES)
+PATTERN_LIST = "list_slice(flatten(list_transform(ps, lambda x: list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(x), {D.quoted(p)}) THEN {D.quoted(c)} END" for c, _, _, p in L.PATTERNS) + "], lambda y: y IS NOT NULL))), 1, 60)"
+SENSE_COUNT = " + ".join(f"CASE WHEN len(list_filter(range(1, len(ss) + 1), lambda i: regexp_matches(ps[i], {D.quoted('(?i)' + p)}) AND list_contains({D.content('ss[i]')}, {D.quoted(w)}))) > 0 THEN 1 ELSE 0 END" for w, _, _, p in L.SENSES)
 
 
 def keyword_count(text: str, words) -> str:
@@ -305,8 +287,9 @@ def keyword_count(text: str, words) -> str:
 
 
 BOILER = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {D.quoted('|'.join(ps))}) THEN {D.quoted(n)} END" for n, ps in L.BOILERPLATE.items()) + "]"
-GATE = f"""WITH a AS (SELECT doc_id, lower('Title ' || left(text, 20) || ' ') AS blob, CASE WHEN source = 'src1' THEN 1.137 ELSE 0.731 END AS weight, doc_id % 50 = 0 AS exam, text, {D.content('text')} AS w, {D.sentences('text')} AS ss FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f]')),
-b AS (SELECT *, {PATTERN_LIST} AS pl, {SENSE_COUNT} AS polysemy_count, list_filter({BOILER}, lambda y: y IS NOT NULL) AS bl, {keyword_count("blob || ' ' || array_to_string(list_slice(w, 1, 250), ' ')", L.TOPICS)} AS pref, {keyword_count('blob', L.EXCLUDED_TOPICS)} AS excl, len(w) / greatest(len(ss), 1) AS mean FROM a),
+GATE = f"""WITH a AS (SELECT doc_id, lower('Title ' || left(text, 20) || ' ') AS blob, CASE WHEN source = 'src1' THEN 1.137 ELSE 0.731 END AS weight, doc_id % 50 = 0 AS exam, text, {D.content('text')} AS w, {D.sentences('text')} AS ss FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
+a2 AS (SELECT *, list_transform(ss, lambda x: {D.plain('x')}) AS ps FROM a),
+b AS (SELECT *, {PATTERN_LIST} AS pl, {SENSE_COUNT} AS polysemy_count, list_filter({BOILER}, lambda y: y IS NOT NULL) AS bl, {keyword_count("blob || ' ' || array_to_string(list_slice(w, 1, 250), ' ')", L.TOPICS)} AS pref, {keyword_count('blob', L.EXCLUDED_TOPICS)} AS excl, len(w) / greatest(len(ss), 1) AS mean FROM a2),
 e AS (SELECT *, (1.5 + CASE WHEN len(w) >= 900 THEN 1.5 WHEN len(w) >= 450 THEN 0.8 ELSE -1.5 END + CASE WHEN mean BETWEEN 18 AND 38 THEN 1.2 WHEN mean > 38 THEN 0.6 ELSE 0 END + least(1.4, 0.25 * pref) - CASE WHEN excl > 0 THEN 3.0 ELSE 0 END + least(1.2, 0.25 * polysemy_count) + least(1.0, 0.16 * len(list_distinct(pl))) - least(2.0, 0.5 * len(bl)) - CASE WHEN len(ss) <= 5 OR regexp_matches(lower(left(text, 400)), 'reuters|associated press') THEN 1.0 ELSE 0 END)::DOUBLE * weight AS score FROM b)
 SELECT doc_id, len(w) AS token_count, len(ss) AS sentence_count, round_even(mean, 2) AS avg_sentence_len, polysemy_count, len(pl) AS pattern_count, len(list_distinct(pl)) AS pattern_diversity, CASE WHEN exam THEN 10.0 ELSE round_even(greatest(0.0, least(score, 10.0)), 2) END::DOUBLE AS quality_score, exam OR (excl = 0 AND len(w) >= 450) AS quality_keep, array_to_string(bl, ',') AS boilerplate FROM e"""
 
@@ -325,52 +308,51 @@ def gated(scored):
     return scored.where("quality_score >= 2.0").agg(F.count("*").alias("n"), F.sum(F.col("quality_keep").cast("long")).alias("kept"))
 
 
-@query()
-def quality_score_all(spark, d):
-    return analyze.quality(scored_articles(spark, d, plain=False))
-
-
-@query()
-def quality_gate_all(spark, d):
-    return gated(analyze.quality(scored_articles(spark, d, plain=False)))
-
-
 @query(f"WITH {FX}, b AS (SELECT doc_id, unnest(list_filter({BOILER}, lambda y: y IS NOT NULL)) AS marker FROM articles) SELECT * FROM b")
-def boilerplate_hits(spark, d, read=fixture):
-    return read(spark, d).select("doc_id", F.explode(T.boilerplate(F.col("text"))).alias("marker"))
+def boilerplate_hits(spark, d):
+    return corpus(spark, d).select("doc_id", F.explode(T.boilerplate(F.col("text"))).alias("marker"))
 
 
-PHRASE_ROWS = " UNION ALL ".join(f"SELECT doc_id, {D.quoted(n)} AS expression, len(regexp_extract_all(lower(text), {bounded(p)})) AS frequency, {D.quoted(k)} AS type, {D.quoted(m)} AS meaning, coalesce(list_filter(ss, lambda x: regexp_matches(lower(x), {bounded(p)}))[1], '') AS example_sentence FROM fs WHERE regexp_matches(lower(text), {bounded(p)})" for n, p, m, k in L.PHRASES)
+PHRASE_ROWS = " UNION ALL ".join(f"SELECT doc_id, {D.quoted(n)} AS expression, len(regexp_extract_all(low, {D.quoted(p)})) AS frequency, {D.quoted(k)} AS type, {D.quoted(m)} AS meaning, coalesce(list_filter(ss, lambda x: regexp_matches(lower({D.plain('x')}), {D.quoted(p)}))[1], '') AS example_sentence FROM fs WHERE regexp_matches(low, {D.quoted(p)})" for n, p, m, k in L.PHRASES)
 
 
-@query(f"WITH {FX}, fs AS (SELECT doc_id, text, {D.sentences('text')} AS ss FROM articles) {PHRASE_ROWS}")
-def exam_phrases(spark, d, read=fixture):
-    rows = analyze.collocations(read(spark, d)).where("meaning <> ''")
+@query(f"WITH {FX}, fs AS (SELECT doc_id, lower({D.plain('text')}) AS low, {D.sentences('text')} AS ss FROM articles) {PHRASE_ROWS}")
+def exam_phrases(spark, d):
+    rows = analyze.collocations(corpus(spark, d)).where("meaning <> ''")
     return rows.select("doc_id", "expression", "frequency", "type", "meaning", "example_sentence")
 
 
-FX_GRAMS = f"{FX}, documents AS (SELECT * FROM articles), {D.R}, g AS ({grams_sql(2)} UNION ALL {grams_sql(3)}), f AS (SELECT doc_id, n, gram, count(*) AS frequency, min(pos) AS first_pos FROM g GROUP BY ALL), k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, n, first_pos) <= 35), fs AS (SELECT doc_id, text, {D.sentences('text')} AS ss FROM articles), ph AS ({PHRASE_ROWS})"
-LITERAL = "len(list_filter(ss, lambda x: contains(' ' || regexp_replace(lower(x), '[^a-z0-9_]+', ' ', 'g') || ' ', ' ' || gram || ' '))) > 0"
-COLLOCATIONS = f"""{FX_GRAMS}, kw AS (SELECT k.*, ss FROM k JOIN fs USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM ph WHERE ph.doc_id = k.doc_id AND expression = gram) AND (frequency >= 4 OR (len(gram) >= 10 AND {LITERAL}))),
-co AS (SELECT doc_id, expression, frequency, type, 5 AS importance, meaning, 0 AS kind, 0 AS n, 0 AS first_pos FROM ph UNION ALL SELECT doc_id, gram, frequency, n || '-gram', least(5, 1 + frequency), '', 1, n, first_pos FROM kw)"""
+FX_GRAMS = f"{FX}, documents AS (SELECT * FROM articles), {D.R}, g AS ({grams_sql(2)} UNION ALL {grams_sql(3)}), f AS (SELECT doc_id, n, gram, count(*) AS frequency, min(pos) AS first_pos FROM g GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, n, first_pos) AS rk FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, n, first_pos) <= 35), fs AS (SELECT doc_id, lower({D.plain('text')}) AS low, {D.sentences('text')} AS ss FROM articles), ph AS ({PHRASE_ROWS})"
+LITERAL = "contains(marked, regexp_replace(gram, '\\b', chr(1), 'g'))"
+COLLOCATIONS = f"""{FX_GRAMS}, fm AS (SELECT doc_id, ss, regexp_replace(lower({D.plain('array_to_string(ss, chr(10))')}), '\\b', chr(1), 'g') AS marked FROM fs), kw AS (SELECT k.*, ss FROM k JOIN fm USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM ph WHERE ph.doc_id = k.doc_id AND expression = gram) AND (frequency >= 4 OR (len(gram) >= 10 AND {LITERAL}))),
+sx AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM fs), sc AS (SELECT *, ' ' || array_to_string({D.content('sentence')}, ' ') || ' ' AS toks FROM sx),
+ke AS (SELECT kw.doc_id, gram, min_by(sentence, pos) AS example_sentence FROM kw JOIN sc ON sc.doc_id = kw.doc_id AND contains(toks, ' ' || gram || ' ') GROUP BY kw.doc_id, gram),
+ca AS (SELECT doc_id, expression, frequency, type, 5 AS importance, meaning, example_sentence, 0 AS kind, o AS n, 0 AS first_pos FROM ph JOIN (VALUES {", ".join(f"({D.quoted(n)}, {i})" for i, (n, *_) in enumerate(L.PHRASES))}) v(e, o) ON e = expression UNION ALL SELECT kw.doc_id, gram, frequency, n || '-gram', least(5, 1 + frequency), '', coalesce(example_sentence, ''), 1, rk, first_pos FROM kw LEFT JOIN ke USING (doc_id, gram)),
+co AS (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, importance DESC, kind, n) <= 35)"""
 
 
-@query(f"WITH {COLLOCATIONS} SELECT doc_id, expression, frequency, type, importance, meaning FROM co")
-def collocations(spark, d, read=fixture):
-    return analyze.collocations(read(spark, d), 35).select("doc_id", "expression", "frequency", "type", "importance", "meaning")
+@query(f"WITH {COLLOCATIONS} SELECT doc_id, expression, frequency, type, importance, meaning, example_sentence FROM co")
+def collocations(spark, d):
+    return analyze.collocations(corpus(spark, d), 35).select("doc_id", "expression", "frequency", "type", "importance", "meaning", "example_sentence")
 
 
-@query(f"WITH {COLLOCATIONS} SELECT expression, type, sum(frequency)::BIGINT AS frequency, max(importance) AS importance, count(DISTINCT co.doc_id) AS article_count, max(meaning) AS meaning, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, CASE WHEN max(meaning) <> '' THEN 3 WHEN type = '3-gram' THEN 2 ELSE 1 END AS class, len(string_split(expression, ' ')) AS n_words, len(expression) AS n_chars FROM co JOIN articles USING (doc_id) GROUP BY expression, type")
-def aggregate_collocations(spark, d, read=fixture):
-    return aggregate.collocations(analyze.collocations(read(spark, d)), read(spark, d)).drop("example_sentence")
+@query(f"WITH {COLLOCATIONS} SELECT expression, type, sum(frequency)::BIGINT AS frequency, max(importance) AS importance, count(DISTINCT co.doc_id) AS article_count, max(meaning) AS meaning, min(example_sentence) AS example_sentence, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, CASE WHEN max(meaning) <> '' THEN 3 WHEN type = '3-gram' THEN 2 ELSE 1 END AS class, len(string_split(expression, ' ')) AS n_words, len(expression) AS n_chars FROM co JOIN articles USING (doc_id) GROUP BY expression, type")
+def aggregate_collocations(spark, d):
+    docs = corpus(spark, d)
+    return aggregate.collocations(analyze.collocations(docs), docs)
 
 
-@query(f"WITH {FXS}, {PATTERNS}, {SENSE_ROWS}, n AS (SELECT doc_id, (SELECT count(*) FROM pr WHERE pr.doc_id = a.doc_id) AS p, (SELECT count(*) FROM sr WHERE sr.doc_id = a.doc_id) AS q FROM articles a) SELECT doc_id, round_even(least(300 + 2 * 25 + least(q, 10) * 35 + least(p, 10) * 20, 1000) / 100, 1) AS exam_value FROM n")
-def exam_value(spark, d, read=fixture, terms=lambda docs: docs.select("doc_id", F.lit(2).alias("domain_terms"))):
-    docs = read(spark, d)
+@query(f"""WITH {FXS}, {PATTERNS}, {SENSE_ROWS}, pn AS (SELECT doc_id, count(*) AS p FROM pr GROUP BY doc_id), qn AS (SELECT doc_id, count(*) AS q FROM sr GROUP BY doc_id),
+tw AS (SELECT doc_id, unnest(list_distinct({D.content('text')})) AS word FROM articles), tn AS (SELECT doc_id, count(*) AS t FROM tw WHERE list_contains({D.listing(sorted({w for ws in L.DOMAINS.values() for w in ws}))}, word) GROUP BY doc_id)
+SELECT a.doc_id, round_even(least(300 + least(coalesce(t, 0), 10) * 25 + least(coalesce(q, 0), 10) * 35 + least(coalesce(p, 0), 10) * 20, 1000) / 100, 1) AS exam_value FROM articles a LEFT JOIN pn USING (doc_id) LEFT JOIN qn USING (doc_id) LEFT JOIN tn USING (doc_id)""")
+def exam_value(spark, d):
+    """Domain terms here: distinct keywords of any domain."""
+    docs = corpus(spark, d)
+    keys = sorted({w for ws in L.DOMAINS.values() for w in ws})
+    terms = docs.select("doc_id", F.size(F.filter(F.array_distinct(T.content_tokens(F.col("text"))), analyze.member(keys))).alias("domain_terms"))
     p = analyze.pattern_rows(docs).groupBy("doc_id").agg(F.count("*").alias("patterns"))
     q = analyze.sense_rows(docs).groupBy("doc_id").agg(F.count("*").alias("senses"))
-    return analyze.exam_value(terms(docs).join(p, "doc_id", "left").join(q, "doc_id", "left"))
+    return analyze.exam_value(terms.join(p, "doc_id", "left").join(q, "doc_id", "left"))
 
 
 @query(f"SELECT doc_id, substr(sha1(source || chr(10) || lang || chr(10) || left(text, 500)), 1, 16) AS id FROM documents")
@@ -396,17 +378,65 @@ def pattern_type_names(spark, d):
     return spark.createDataFrame(KINDS, "value string, function string").withColumn("type", T.pattern_type(F.col("value"), F.col("function")))
 
 
-# ---- the queries over the fixture again, over all documents and the fixture (no SQL)
-
-for name in "pattern_hits pattern_aggregate pattern_diverse_select polysemy_first_hit aggregate_polysemy boilerplate_hits exam_phrases collocations aggregate_collocations".split():
-    QUERIES[f"{name}_all"] = partial(QUERIES[name], read=corpus)
-
-
-@query()
-def exam_value_all(spark, d):
-    def counted(docs):
-        words = analyze.review_vocabulary(docs, X.tiers(spark), L.DOMAINS).where("category = 'domain terminology'")
-        found = words.groupBy("doc_id").agg(F.count("*").alias("domain_terms"))
-        return docs.select("doc_id").join(found, "doc_id", "left")
-
-    return exam_value(spark, d, corpus, counted)
+# ---- rules one by one: sentences of our own with the outcome written out, not taken from the rules
+
+TEMPLATE_CASES = [
+    ("concession", "Even though it rained, they played.", "even though ..."),
+    ("concession", "Despite the rain they played.", "despite / in spite of ..."),
+    ("contrast", "They stayed instead of leaving.", "instead / instead of ..."),
+    ("contrast", "It was late, but they stayed.", "..., but ..."),
+    ("causality", "Prices fell due to weak demand.", "because of / due to ..."),
+    ("causality", "It was so late that they left.", "so ... that ..."),
+    ("condition", "Nobody knows whether it works or not.", "whether ... or ..."),
+    ("stance", "Researchers maintain that it works.", "the author/researchers believe ..."),
+    ("hedging", "The plan is likely to fail.", "be likely / unlikely to ..."),
+    ("emphasis", "It is not so much a rule as a habit.", "not so much A as B"),
+    ("comparison", "The more they read, the more they knew.", "the more ... the more ..."),
+    ("inversion", "Not only does the firm grow, it hires.", "not only + auxiliary + subject ..."),
+    ("inversion", "Rarely does the court reverse itself.", "never/rarely/little + auxiliary + subject ..."),
+    ("inversion", "Had they known, they would have left.", "had/were/should + subject ..."),
+    ("cleft", "It was the delay that hurt them.", "it is/was ... that/who ..."),
+    ("cleft", "What the court said is clear.", "what ... is/was ..."),
+    ("relative_clause", "The plan, which failed, was costly.", "noun, which/who/whose ..."),
+    ("participial_clause", "Having failed before, the student tried again.", "V-ing/V-ed ..., main clause"),
+    ("participial_clause", "Sales fell, leading to losses.", "..., V-ing/V-ed ..."),
+    ("nominal_clause", "What matters here is time.", "what ... + predicate"),
+    ("nominal_clause", "The idea that it works is old.", "the fact/idea/claim that ..."),
+    ("argument_development", "For instance, one firm left.", "for example / for instance ..."),
+    ("argument_development", "They must remedy the damage.", "problem → solution"),
+    ("argument_development", "Critics say it failed.", "counterargument → response"),
+    ("argument_development", "Will it ever end?", "rhetorical question"),
+    ("inversion", "Nothing fits here.", "Inversion"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({D.quoted(a)}, {D.quoted(b)}, {D.quoted(c)})" for a, b, c in TEMPLATE_CASES) + ") v(type, sentence, template)")
+def template_cases(spark, d):
+    rows = spark.createDataFrame([c[:2] for c in TEMPLATE_CASES], "type string, sentence string").withColumn("plain", F.lower(T.squeezed(F.col("sentence"))))
+    return rows.select("type", "sentence", T.pattern_template(F.col("plain"), F.col("type")).alias("template"))
+
+
+RULE_CASES = [
+    ("Although it rained, they played.", ["concession"]),
+    ("However, it ended.", ["contrast"]),
+    ("Prices fell because demand fell.", ["causality"]),
+    ("Unless it rains, they play.", ["condition"]),
+    ("According to her, it ended.", ["stance"]),
+    ("They seem tired.", ["hedging"]),
+    ("Not so much a rule as a habit.", ["emphasis"]),
+    ("It costs more money than before.", ["comparison"]),
+    ("Never did they ask.", ["inversion"]),
+    ("It was the delay that hurt.", ["cleft"]),
+    ("The plan, which failed, ended.", ["relative_clause"]),
+    ("Sales fell, leading to losses.", ["participial_clause"]),
+    ("The idea that counts.", ["nominal_clause"]),
+    ("For example, one left.", ["argument_development"]),
+    ("A plain short line.", []),
+    ("Élbecause is no word.", []),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({D.quoted(a)}, {D.quoted(','.join(b))})" for a, b in RULE_CASES) + ") v(sentence, codes)")
+def rule_cases(spark, d):
+    rows = spark.createDataFrame([c[:1] for c in RULE_CASES], "sentence string")
+    return rows.select("sentence", F.array_join(T.pattern_codes(F.col("sentence")), ",").alias("codes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote_plus
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,11 +21,31 @@ def given(*names: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt to all cores if a scan has fewer tasks than these, as with one small file; larger scans stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows of a file scan with path, block (where the scan's split of the file begins) and the row's place in its task."""
+    return rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """placed rows with their number in the file, from 1. Only one row a split is ordered, the rows themselves don't move."""
+    splits = rows.groupBy("path", "block").agg(F.count("*").alias("__n"), F.min("place").alias("__first"))
+    before = F.sum("__n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("path", "block", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    out = rows.join(splits, ["path", "block"]).withColumn(name, F.col("__before") + F.col("place") - F.col("__first") + 1)
+    return out.drop("__before", "__first")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, value): non-blank lines with their numbers in the file. Whole files are the unit of reading here."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n", -1)).alias("line", "value"))
-    return lines.where(F.btrim("value") != "").withColumn("line", F.col("line") + 1)
+    """(path, line, value): non-blank lines with their numbers in the file. Files are read in splits, line by line."""
+    lines = numbered(placed(spark.read.text(path)), "line")
+    value = F.when(F.col("line") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return lines.select("path", "line", "block", "place", value.alias("value")).where(F.btrim("value") != "")
 
 
 def jsonl_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -52,19 +73,23 @@ def exam_articles(rows: DataFrame) -> DataFrame:
 
 
 def exam_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    rows = numbered_lines(spark, path).select("line", F.from_json("value", EXAM).alias("r")).select(F.row_number().over(W.orderBy("line")).alias("n"), "r.*")
-    return exam_articles(rows)
+    """Rows are numbered in their file, blank lines left out."""
+    bare = F.regexp_replace("value", "^\ufeff", "")
+    lines = numbered(placed(spark.read.text(path).where(F.btrim(bare) != "")), "n")
+    rows = lines.select("n", F.from_json(bare, EXAM).alias("r"))
+    return exam_articles(rows.select("n", "r.*"))
 
 
 def exam_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows are numbered in their file; quoted fields may hold line breaks, so that a file is one split."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    rows = rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns])
-    return exam_articles(rows.withColumn("n", F.row_number().over(W.orderBy(F.monotonically_increasing_id()))))
+    names = {c: c.lstrip("\ufeff").strip() for c in rows.columns}
+    return exam_articles(numbered(placed(rows), "n").withColumnsRenamed(names))
 
 
 def exam_txt(spark: SparkSession, path: str) -> DataFrame:
     """Blocks between lines of three or more dashes or ## headings."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     parts = F.filter(F.transform(F.split("value", r"(?m)^\s*-{3,}\s*$|^##+.*$", -1), T.squeezed), lambda p: p != "")
     return exam_articles(files.select(F.posexplode(parts).alias("n", "text")).withColumn("n", F.col("n") + 1))
 
@@ -108,7 +133,11 @@ def first_by(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def page_articles(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("text"))
+    """Title, text, and what the page says of itself: site_name, author, date, description ('' if it doesn't)."""
+    html = F.coalesce("html", F.lit(""))
+    meta = lambda *names: T.html_meta(html, names)
+    about = [meta("og:site_name").alias("site_name"), meta("author", "article:author").alias("author"), meta("article:published_time", "date").alias("date"), meta("description", "og:description").alias("description")]
+    return pages.select("page_id", "url", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("text"), *about)
 
 
 def page_links(pages: DataFrame, *, hosts: Sequence[str] = (), include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -128,17 +157,80 @@ def targets(parts: Sequence[DataFrame], limit: int) -> DataFrame:
     return first_by(out, ["url"], ["priority", "ord"]).orderBy("priority", "ord", "url").limit(limit)
 
 
-def discovery_urls(spark: SparkSession, archives: Sequence[str], templates: Sequence[str], queries: Sequence[str], *, pages: int, budget: int) -> DataFrame:
-    """A budget of search and archive pages; searches keep min(budget / 3, all of them) for themselves."""
-    searches = [t.replace("{query_plus}", q.replace(" ", "+")).replace("{quoted}", f'%22{q.replace(" ", "+")}%22').replace("{page}", str(p)) for t in templates for q in queries for p in range(1, pages + 1)]
-    kept = min(budget // 3, len(searches))
-    plain = [a.replace("{page}", str(p)) for a in archives for p in (range(1, pages + 1) if "{page}" in a else [1])]
-    urls = list(dict.fromkeys(plain[: budget - kept] + searches))[:budget]
-    return spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, ord int")
+def discovery_urls(source, crawler) -> list[str]:
+    """A source's archive and search pages within the crawler's budget, as settings (config.Source, config.Crawler) say.
+
+    Searches keep a third of the budget for themselves, as far as they need it. Placeholders: {page}, {query},
+    {query_plus} (encoded for a url), {query_quote} (encoded, in quotation marks).
+    """
+    budget, pages = crawler.max_discovery_pages_per_source, crawler.max_search_pages_per_query
+    capacity = len(source.search_url_templates) * len(source.topic_queries) * max(1, pages)
+    plain = budget - (min(budget // 3, capacity) if capacity else 0)
+    each = max(1, plain // max(len(source.archive_url_templates), 1))
+    archives = source.archive_urls + [t.format(page=p) for t in source.archive_url_templates for p in range(1, each + 1)]
+    searches = [t.format(page=p, query=q, query_plus=quote_plus(q), query_quote=quote_plus(f'"{q}"')) for t in source.search_url_templates for q in source.topic_queries for p in range(1, pages + 1)]
+    first = archives[:plain]
+    return first + searches[: max(0, budget - len(first))]
+
+
+def accepted(candidates: DataFrame, known: DataFrame, *, least_chars: int, least_score: float, target: int, multiplier: int = 8) -> DataFrame:
+    """New articles (url, source, ord, text, quality_score, quality_keep) that pass the gates, up to target a source.
+
+    Only a source's first target * multiplier candidates are looked at. A column min_quality_score, where it has a value, is
+    the source's own least score.
+    """
+    target = max(1, target)
+    looked = top_by(candidates, ["source"], [F.asc("ord"), F.asc("url")], target * max(1, multiplier), "place")
+    fresh = looked.join(known.select("url").distinct(), "url", "left_anti")
+    least = F.coalesce(F.col("min_quality_score"), F.lit(least_score)) if "min_quality_score" in candidates.columns else F.lit(least_score)
+    good = fresh.where((F.length("text") >= least_chars) & F.col("quality_keep") & (F.col("quality_score") >= least))
+    return top_by(good, ["source"], [F.asc("ord"), F.asc("url")], target, "rank").drop("place")
+
+
+def top_by(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str) -> DataFrame:
+    return rows.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
+
+
+def seed_book(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame, list[dict]]:
+    """A review book's seed in YAML: metadata, domains (key, ord, title, overview), entries, and sentence patterns.
+
+    A seed is written by hand and small; Spark's file system reads it, so that it may lie anywhere.
+    """
+    import yaml
+
+    from ..operators.material import ENTRY
+
+    text = spark.read.text(path, wholetext=True).first()[0]
+    seed = yaml.safe_load(text) or {}
+    domains, entries = [], []
+    for i, (key, d) in enumerate((seed.get("domains") or {}).items()):
+        domains.append((key, i, d.get("title", key), d.get("overview", "")))
+        for j, e in enumerate(d.get("entries") or []):
+            texts = [e.get(c) for c in ("headword", "kind", "pos")] + [e.get("importance")] + [e.get(c) for c in ("chinese", "english", "common", "exam", "risk")]
+            entries.append((key, j, *texts, e.get("collocations"), [(c.get("term"), c.get("note")) for c in e.get("contrast") or []], [(x.get("sentence"), x.get("zh")) for x in e.get("examples") or []]))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return seed.get("metadata") or {}, frame(domains, "key string, ord int, title string, overview string"), frame(entries, ENTRY), list(seed.get("sentence_patterns") or [])
+
+
+def paper_articles(papers: DataFrame) -> DataFrame:
+    """Printed papers (slug, url, pdf_url, text) as one article a reading passage, with ids and citations.
+
+    Texts of fewer than 1,000 characters are an error: pages that were scanned, not printed.
+    """
+    text = F.when(F.length(T.stripped(F.coalesce("text", F.lit("")))) < 1000, F.raise_error(F.concat(F.lit("no text in paper "), F.col("slug")))).otherwise(T.exam_text(F.col("text")))
+    rows = papers.select("slug", "url", "pdf_url", text.alias("text")).select("slug", "url", "pdf_url", F.posexplode(T.passages(F.col("text"))).alias("n", "text")).withColumn("n", (F.col("n") + 1).cast("string"))
+    year = F.substring("slug", 1, 4)
+    cited = F.concat(F.lit("pastpapers.cn "), "slug", F.lit(" Reading Text "), "n", F.lit(": "), "url")
+    meta = F.to_json(F.struct(F.lit("kaoyan_exam").alias("corpus_type"), year.alias("year"), F.col("slug").alias("paper_slug"), F.concat(F.lit("reading-text-"), "n").alias("section"), cited.alias("citation"), "pdf_url"))
+    return rows.select(F.concat(F.lit("pastpapers-"), "slug", F.lit("-text-"), "n").alias("id"), F.concat("slug", F.lit(" reading, text "), "n").alias("title"), F.lit("pastpapers.cn").alias("source"), "url", year.alias("published_at"), F.lit("unknown").alias("field"), "text", meta.alias("metadata_json"))
+
+
+def import_summary(articles: DataFrame) -> DataFrame:
+    """How many articles, of which years and papers (both sorted)."""
+    slug = F.coalesce(F.get_json_object("metadata_json", "$.paper_slug"), F.lit(""))
+    return articles.agg(F.count("*").alias("articles"), F.sort_array(F.collect_set(F.nullif("published_at", F.lit("")))).alias("years"), F.sort_array(F.collect_set(slug)).alias("papers"))
 
 
-def accepted(candidates: DataFrame, known: DataFrame, *, least_chars: int, least_score: float, target: int) -> DataFrame:
-    """New articles (url, source, ord, text, quality_score, quality_keep) that pass the gates, up to target a source."""
-    fresh = candidates.join(known.select("url").distinct(), "url", "left_anti")
-    good = fresh.where((F.length("text") >= least_chars) & F.col("quality_keep") & (F.col("quality_score") >= least_score))
-    return good.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("ord", "url"))).where(F.col("rank") <= target)
+def pdf_link(html: Column) -> Column:
+    """The address of a paper's file in its page; null without one."""
+    return F.nullif(F.replace(F.regexp_extract(F.coalesce(html, F.lit("")), r"""/uploads/[^"'<> ]+?\.pdf""", 0), F.lit("\\"), F.lit("")), F.lit(""))

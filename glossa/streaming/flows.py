@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,17 +31,23 @@ def new_articles(landing: DataFrame, *, late: str = "7 days") -> DataFrame:
 
 
 def store_batches(stream: DataFrame, store: Store, table: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is merged into a stored table by key; a repeated batch gives the same table."""
+    """Each micro-batch is merged into the buckets of a stored table that it touches; a repeated batch gives the same table."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        store.upsert(table, batch, key, keep=())
+        store.merge(table, batch, key)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is available now, into a table of the session's memory: for tests and small results only."""
+    """All that is available now, into a table of the session's memory: for tests and small results only.
+
+    State is kept below spark.checkpoint.dir where that is set.
+    """
     spark: SparkSession = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        writer = writer.option("checkpointLocation", f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    query = writer.start()
     query.awaitTermination()
     return spark.table(name)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from glossa.config import Crawler, Source
 from glossa.operators import aggregate, analyze, review, serve, store
 from glossa.plans import fixtures as X
 from glossa.sources import files
@@ -43,7 +44,7 @@ def test_diversified_takes_one_of_each_type_before_a_second(spark):
 
 def test_capped_marks_the_rest_as_overflow(spark):
     rows = spark.range(10).select(F.lit("a").alias("domain"), "id")
-    got = aggregate.capped(rows, {"a": 4}, [F.asc("id")]).collect()
+    got = aggregate.capped(rows, {"a": 4}, [F.asc("id")], key=["id"]).collect()
     assert sum(r["overflow"] for r in got) == 6
 
 
@@ -68,6 +69,37 @@ def test_store_upserts_replaces_and_deletes(spark, tmp_path):
     assert sorted(r["doc_id"] for r in s.read("articles").collect()) == [1, 3]
 
 
+def test_store_keeps_the_table_when_a_write_fails(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "db"))
+    s.write("t", spark.range(3))
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        s.write_all({"t": spark.range(9), "u": broken})
+    assert s.read("t").count() == 3 and not s.exists("u")
+    for n in (4, 5, 6):
+        s.write("t", spark.range(n))
+    assert s.read("t").count() == 6 and len(s._pointers("t")) <= 2
+
+
+def test_last_of_several_new_rows_counts(spark):
+    old = spark.createDataFrame([(1, "a", "t0")], "doc_id long, text string, created_at string")
+    rows = [(1, "b", "t1", 1), (1, "d", "t1", 3), (1, "c", "t1", 2), (2, "x", "t1", 4)]
+    for deal in (rows, rows[::-1]):
+        new = spark.createDataFrame(deal, "doc_id long, text string, created_at string, __order long")
+        assert sorted(map(tuple, store.upsert(old, new, "doc_id").collect())) == [(1, "d", "t0"), (2, "x", "t1")]
+
+
+def test_merge_writes_only_the_buckets_it_touches(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "db"))
+    s.merge("t", spark.range(200).withColumn("v", F.lit("old")), "id", buckets=16)
+    before = s._folders("t")
+    s.merge("t", spark.createDataFrame([(7, "new"), (7, "new"), (500, "new")], "id long, v string"), "id", buckets=16)
+    after = s._folders("t")
+    assert len(before) == 16 and sum(before[b] != after[b] for b in before) <= 2
+    rows = {r["id"]: r["v"] for r in s.read("t").collect()}
+    assert len(rows) == 201 == s.read("t").count() and rows[7] == rows[500] == "new" and rows[8] == "old"
+
+
 def test_empty_payload_keeps_the_old_one(spark):
     new = spark.createDataFrame([(1, "{}"), (2, '{"n": 1}'), (3, "")], "doc_id long, llm_json string")
     old = spark.createDataFrame([(1, '{"o": 1}'), (2, '{"o": 2}')], "doc_id long, llm_json string")
@@ -86,13 +118,39 @@ def test_jsonl_articles_get_defaults_and_errors_name_the_line(spark, tmp_path):
         files.jsonl_articles(spark, str(path)).collect()
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    path = tmp_path / "long.jsonl"
+    path.write_text("".join(("\n" if i % 7 == 3 else "") + json.dumps({"text": f"t{i}"}) + "\n" for i in range(3000)))
+    want, n = {}, 0
+    for i in range(3000):
+        n += 2 if i % 7 == 3 else 1
+        want[f"t{i}"] = f"Untitled {n}"
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r["text"]: r["title"] for r in files.jsonl_articles(spark, str(path)).select("text", "title").collect()}
+        exams = {r["text"]: r["id"] for r in files.exam_jsonl(spark, str(path)).select("text", "id").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == want and exams == {f"t{i}": f"kaoyan-unknown-reading-{i + 1}" for i in range(3000)}
+
+
+def test_one_small_file_is_dealt_to_all_cores(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(20).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
+    assert files.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and files.spread(one).count() == 100
+    wide = many.repartition(30)
+    assert files.spread(wide) is wide
+
+
 def test_exam_readers_agree(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"year": "2010", "section": "A", "passage": "One  two", "text": ""}\n')
     (tmp_path / "e.csv").write_text("﻿year,section,passage\n2010,A,One two\n")
-    (tmp_path / "e.txt").write_text("One two\n-----\n\n## head\nThree\n")
+    (tmp_path / "e.txt").write_text("One two\nof  a block\n-----\n\n## head\nThree\n")
     a, b = (files.exams(spark, str(tmp_path / f"e.{x}")).collect() for x in ("jsonl", "csv"))
     assert a[0]["id"] == b[0]["id"] == "kaoyan-2010-A-1" and a[0]["text"] == b[0]["text"] == "One two"
-    assert [r["text"] for r in files.exams(spark, str(tmp_path / "e.txt")).collect()] == ["One two", "Three"]
+    assert [r["text"] for r in files.exams(spark, str(tmp_path / "e.txt")).collect()] == ["One two of a block", "Three"]
 
 
 def test_feed_entries_keep_the_first_of_a_url(spark, tmp_path):
@@ -102,9 +160,12 @@ def test_feed_entries_keep_the_first_of_a_url(spark, tmp_path):
     assert [(r["title"], r["url"]) for r in got] == [("One", "https://x.org/a/1"), ("Two", "https://x.org/a/2")]
 
 
-def test_discovery_keeps_a_third_for_searches(spark):
-    got = files.discovery_urls(spark, [f"https://x.org/{i}" for i in range(9)], ["https://x.org/s?q={query_plus}&p={page}"], ["a b"], pages=4, budget=9).orderBy("ord").collect()
-    assert [r["url"] for r in got][5:8] == ["https://x.org/5", "https://x.org/s?q=a+b&p=1", "https://x.org/s?q=a+b&p=2"] and len(got) == 9
+def test_discovery_keeps_a_third_for_searches():
+    source = Source("s", archive_urls=[f"https://x.org/{i}" for i in range(9)], search_url_templates=["https://x.org/s?q={query_plus}&p={page}"], topic_queries=["a b"])
+    got = files.discovery_urls(source, Crawler(max_discovery_pages_per_source=9, max_search_pages_per_query=4))
+    assert got[5:8] == ["https://x.org/5", "https://x.org/s?q=a+b&p=1", "https://x.org/s?q=a+b&p=2"] and len(got) == 9
+    few = files.discovery_urls(Source("s", archive_url_templates=["a?{page}"], search_url_templates=["s?{query_quote}"], topic_queries=["é"]), Crawler(max_discovery_pages_per_source=4, max_search_pages_per_query=1))
+    assert few == ["a?1", "a?2", "a?3", "s?%22%C3%A9%22"]
 
 
 def test_paragraphs_by_blank_lines_or_four_sentences(spark):
@@ -119,3 +180,61 @@ def test_stream_batches_merge_into_the_store(spark, tmp_path):
         stream = spark.readStream.schema("doc_id long, text string").json(str(source))
         flows.store_batches(stream, s, "articles", "doc_id", str(tmp_path / "cp")).awaitTermination()
     assert sorted((r["doc_id"], r["text"]) for r in s.read("articles").collect()) == [(1, "v1"), (10, "x"), (11, "x")]
+
+
+# ---- analysis
+
+
+def test_scores_give_one_row_a_row(spark):
+    docs = spark.createDataFrame([(1, "The court ruled."), (1, "The market fell.")], "doc_id long, text string")
+    assert sorted(r["field"] for r in analyze.scores(docs).collect()) == ["economics", "law"]
+
+
+def test_pmi_doesnt_depend_on_ranges(spark):
+    docs = spark.createDataFrame([(i, f"alpha{i % 3} beta gamma{i % 2} delta" if i % 4 else "") for i in range(60)], "doc_id long, text string")
+    want = [tuple(r) for r in analyze.pmi(docs, parts=1).collect()]
+    assert want and all([tuple(r) for r in analyze.pmi(docs, parts=n).collect()] == want for n in (2, 7, 50))
+
+
+def test_examples_fall_back_to_lemmas_and_then_to_nothing(spark):
+    docs = spark.createDataFrame([(1, "They went home late at night yesterday. He goes there often with his friends now."), (2, "Nothing here.")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "go"), (1, "friend"), (1, "none"), (2, "go")], "doc_id long, word string")
+    want = {(1, "go"): "He goes there often with his friends now.", (1, "friend"): "He goes there often with his friends now.", (1, "none"): "", (2, "go"): ""}
+    for only in (None, ["go", "friend", "none"]):
+        assert {(r["doc_id"], r["word"]): r["example_sentence"] for r in analyze.best_examples(asked, docs, only=only).collect()} == want
+
+
+def test_review_selection_prefers_senses_and_keeps_easy_words_with_one(spark):
+    """As an old table of words is chosen anew: forty stay, easy words only in a special sense that the example shows."""
+    tiers = spark.createDataFrame([(w, "high_school") for w in ("school", "case", "easy", "plain")] + [(f"core{chr(97 + i % 26)}{chr(97 + i // 26)}", "core") for i in range(45)], "word string, tier string")
+    rows = [(1, f"core{chr(97 + i % 26)}{chr(97 + i // 26)}", "academic/general", 5, 1, "", i) for i in range(45)]
+    rows += [(1, "easy", "academic/general", 5, 9, "", 50), (1, "school", "polysemy", 1, 1, "This school of thought influenced the debate.", 51), (1, "case", "polysemy", 1, 1, "A case of wine.", 52), (1, "rarest", "domain terminology", 1, 1, "", 53)]
+    frame = spark.createDataFrame(rows, "doc_id long, lemma string, category string, importance int, frequency long, example_sentence string, ord int")
+    got = [r["lemma"] for r in analyze.review_selection(frame, tiers).orderBy("rank").collect()]
+    assert len(got) == 40 and got[:3] == ["school", "rarest", "coreaa"] and not {"easy", "plain", "case"} & set(got)
+
+
+# ---- highlights
+
+
+def test_easy_words_are_marked_only_in_a_special_sense(spark):
+    tiers = spark.createDataFrame([("school", "high_school"), ("influence", "core"), ("debate", "key"), ("thesis", "gre")], "word string, tier string")
+    docs = spark.createDataFrame([(1, "The school opens early."), (2, "This school of thought influenced the theses of Zorgons.")], "doc_id long, text string")
+    words = spark.createDataFrame([(2, "school", "school", "polysemy"), (2, "zorgon", "zorgon", "domain terminology"), (2, "early", "early", "academic/general")], "doc_id long, word string, lemma string, category string")
+    got = sorted(tuple(r) for r in serve.word_highlights(docs, words, tiers).select("doc_id", "word", "lemma", "tier").collect())
+    assert got == [(2, "influenced", "influence", "core"), (2, "school", "school", "specialized"), (2, "zorgons", "zorgon", "specialized")]
+    scope = serve.review_scope(serve.word_highlights(docs, words, tiers), words.where("word = 'zorgon'"))
+    assert [r["word"] for r in scope.collect()] == ["zorgons"]
+
+
+def test_phrases_are_judged_by_their_rarest_word(spark):
+    rows = spark.createDataFrame([("odd pairing", "phrase", 9, 9, 5, 1.9), ("fair deal", "phrase", 9, 9, 5, 4.0), ("at stake", "phrase", 1, 0, 0, 1.0), ("no score", "phrase", 9, 9, 5, None)], "word string, category string, frequency int, article_count int, importance int, least double").withColumn("domain", F.lit("law"))
+    for rule in (review.admitted(least="least"), review.appendix_worthy(least="least")):
+        assert {r["word"]: r["ok"] for r in rows.select("word", rule.alias("ok")).collect()} == {"odd pairing": False, "fair deal": True, "at stake": True, "no score": True}
+
+
+def test_classification_and_admission_of_known_cases(spark):
+    rows = [("liability", "unknown", "llm", 5, 5, 1, "legal responsibility for harm or damages"), ("davunetide", "science", "llm", 5, 5, 1, "a compound name"), ("take issue with", "unknown", "llm", 1, 5, 1, "to disagree with a claim")]
+    frame = spark.createDataFrame(rows, "word string, field string, category string, frequency int, importance int, article_count int, example_sentence string").withColumn("sources", F.lit(""))
+    got = {r["word"]: (r["domain"], r["ok"]) for r in review.classify(frame, {"politics_law": ["legal", "liability"], "environment": ["carbon"]}).withColumn("ok", review.admitted()).collect()}
+    assert got["liability"] == ("politics_law", True) and not got["davunetide"][1] and got["take issue with"][1]

@@ -2,10 +2,11 @@
 
 Byte-pair merges never cross the words that a tokenizer's split rule makes. For texts of characters on which the
 library's rule and the tables below agree beyond doubt, many texts at once are cut into words in numpy, equal words are
-found by 64-bit hashes, the library encodes each distinct word once, and a bounded cache keeps its ids. All other texts,
-texts that may hold a special token's string, and tokenizers with another split rule go through the library whole; both
-ways give the same ids. Null and empty texts have no ids; a very long text is cut before white space, where no word goes
-on. The cache holds the words of one process; two of them with one hash (chance below 1e-8) would be taken for one.
+found by 64-bit hashes, the library encodes each word that is new, and a bounded cache keeps its ids. All
+other texts, texts that may hold a special token's string, and tokenizers with another split rule go through the library
+whole; both ways give the same ids. Null and empty texts have no ids; a very long text is cut before white space, where
+no word goes on. The cache holds the words of one process; two of them with one hash (chance below 1e-7) would be taken
+for one.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 
 from .common import UPPER_TO_LOWER, mix, range_hash, slices
 
-CACHE, STEP = 400_000, 1 << 19
+CACHE, STEP = 1_500_000, 1 << 19
 CLIP_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 BLANK, ALPHA, DIGIT, OTHER, INNER, STRANGE = range(6)
@@ -125,7 +126,8 @@ def byte_characters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts as arrays of ``self.dtype``; the cache of words is a dict from hash to place in ``pool``."""
+    """Ids of texts as arrays of ``self.dtype``. The cache of words: their hashes, sorted, and where in ``pool`` their ids
+    lie; about 25 bytes a word."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -145,44 +147,44 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place, self.size = {}, 0
-        self.pool, self.at, self.many = np.empty(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.hashes, self.at, self.many = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
+        self.pool, self.size = np.empty(1 << 16, self.dtype), 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def add(self, hashes: list[int], words: list[bytes]) -> None:
-        """Ids of new words, at the end of the pool."""
-        got = []
-        for word in words:
-            if not self.spaced:
-                word = word.decode().lower().encode()
-            got.append([t.id for t in self.library.model.tokenize(word.decode("latin-1").translate(self.written))])
-        known, lengths = len(self.place), np.array([len(g) for g in got], np.int64)
-        total = int(lengths.sum())
-        while self.size + total > len(self.pool):
+    def add(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Ids of new words (their hashes sorted) by the library's model, at the end of the pool."""
+        if not self.spaced:
+            words = [w.lower() if w.isascii() else w.decode().lower().encode() for w in words]
+        end = np.cumsum([len(w) for w in words]).tolist()
+        letters, tokenize = b"".join(words).decode("latin-1").translate(self.written), self.library.model.tokenize
+        got = [[t.id for t in tokenize(letters[a:b])] for a, b in zip([0, *end], end)]  # noqa: B905
+        many = np.array([len(g) for g in got], np.uint32)
+        ids = np.fromiter(chain.from_iterable(got), self.dtype, int(many.sum()))
+        while self.size + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while known + len(got) > len(self.at):
-            self.at, self.many = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.many))
-        self.pool[self.size : self.size + total] = [i for g in got for i in g]
-        self.at[known : known + len(got)] = self.size + np.cumsum(lengths) - lengths
-        self.many[known : known + len(got)] = lengths
-        self.size += total
-        self.place.update(zip(hashes, range(known, known + len(got)), strict=True))
+        self.pool[self.size : self.size + len(ids)] = ids
+        at = (self.size + np.cumsum(many) - many).astype(np.uint32)
+        self.size += len(ids)
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.many = (np.insert(x, place, y) for x, y in ((self.hashes, hashes), (self.at, at), (self.many, many)))
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts of known characters end to end, and the n + 1 offsets."""
         start, stop = word_bounds(data, offsets, self.spaced)
         hashes, first, inverse = np.unique(range_hash((LETTER if self.spaced else LETTER_FOLDED)[data], start, stop), return_index=True, return_inverse=True)
-        if len(self.place) > CACHE:
+        if len(self.hashes) > CACHE:
             self.clear()
-        listed = hashes.tolist()
-        place = np.fromiter(map(self.place.get, listed, repeat(-1)), np.int64, len(listed))
-        if len(new := np.flatnonzero(place < 0)):
-            known, raw = len(self.place), data.tobytes()
-            self.add([listed[i] for i in new], [raw[a:b] for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
-            place[new] = np.arange(known, known + len(new))
-        at, many = self.at[place][inverse], self.many[place][inverse]
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == hashes[inside]
+        if not known.all():
+            raw, new = data.tobytes(), first[~known]
+            self.add(hashes[~known], [raw[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist(), strict=True)])
+            place = np.searchsorted(self.hashes, hashes)
+        at, many = self.at[place][inverse].astype(np.int64), self.many[place][inverse].astype(np.int64)
         end = np.cumsum(many)
         total = int(end[-1]) if len(end) else 0
         ids = self.pool[np.repeat(at - (end - many), many) + np.arange(total)]

@@ -7,7 +7,9 @@ layers, a table of buckets by languages, goes to the executors. Scores are calib
 part of the sample left out of training, and a text is rejected if its score is below the threshold found there.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and rejected; ties go to the first
-language in byte order; an empty table or one without labels gives ``und`` for all; other columns are not read.
+language in byte order; rows without doc_id are predicted, not held out and never learned from; repeated rows get equal
+results; very long texts run in blocks of texts; an empty table or one without labels gives ``und`` for all; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import UPPER_TO_LOWER, flat, fold, shielded, slices, tidy
 
-SAMPLE_PER_LANG, SAMPLE_CHARS = 500, 20_000
+SAMPLE_PER_LANG, SAMPLE_CHARS = 500, 200_000
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
 PLAIN = UPPER_TO_LOWER.copy()
@@ -146,11 +148,14 @@ def predict_language(docs: DataFrame, model: LangModel | None, *, keep: tuple[st
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = predict_language(docs, fit_language(docs))
-    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the method rejects go."""
+    """Pipeline stage: documents that the method rejects go; those are also null texts and texts without a letter.
+
+    Repeated rows stay or go together; an empty table gives an empty one; columns of any other name pass through.
+    """
     plain, restore = shielded(docs, "doc_id", "text", "lang")
     keep = tuple(c for c in plain.columns if c != "doc_id")
     return restore(predict_language(plain, fit_language(plain), keep=keep).where(~F.col("rejected")))

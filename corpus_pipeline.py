@@ -2,13 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet to
 the shared work folder and read again as the next one's docs. All but the last return the columns of documents.
+
+Edge cases: null texts and texts without a letter go in the first stage, as no language can be told; empty tables give an
+empty result; very long texts, repeated rows, null ids and further columns are handled as each stage states.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm.common import materialize
+from glossa.llm.common import discard, materialize
 from glossa.llm.decontam import stage_decontaminate
 from glossa.llm.langid import stage_language
 from glossa.llm.linededup import stage_lines
@@ -29,6 +32,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES):
+        done = materialize(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(docs)
+        docs = done
     return docs

@@ -32,6 +32,16 @@ def work_folder(spark: SparkSession) -> str:
 ARROW_ROWS = 2_000
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Python workers of this session get at most ARROW_ROWS rows at once from now on: whole texts stay within memory.
+
+    The setting is only lowered and never put back, so that queries that run side by side don't disturb each other.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def tidy(run):
     """The generator function, after which the Python worker gives back memory that it has freed but still holds.
 
@@ -52,19 +62,15 @@ def tidy(run):
 def materialize(df: DataFrame, name: str, compression: str = "snappy", *, light: bool = False) -> DataFrame:
     """Write df as Parquet into the shared work folder and read it back: lineage ends here.
 
-    Python workers get at most ARROW_ROWS rows at once meanwhile. light: the rows of a last stage with little work are
-    written by about as many tasks as there are cores, so that small tables don't become many files.
+    light: a table of few rows, of a last stage with little work, is written by about as many tasks as there are cores
+    instead of one file a partition. Adaptive execution still deals the shuffles before it.
     """
     if light:
         df = df.coalesce(max(8, df.sparkSession.sparkContext.defaultParallelism))
-    spark, path, rows = df.sparkSession, f"{work_folder(df.sparkSession)}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
-    schema, before = df.schema, spark.conf.get(rows)
-    spark.conf.set(rows, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(rows, before)
-    out = spark.read.schema(schema).parquet(path)
+    spark, path = df.sparkSession, f"{work_folder(df.sparkSession)}/{name}"
+    bound_batches(spark)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
     return out
 
@@ -146,18 +152,19 @@ def range_hash(letters: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64) * MIX_2)
 
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 32 << 20
 
 
-def join_sized(docs: DataFrame, side: DataFrame, keys: str | list[str], value: str, *, rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_sized(docs: DataFrame, side: DataFrame, keys: str | list[str], value: str, *, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs with side's value of the same keys (null where there is none; null keys match).
 
-    side, a written table, is broadcast if it has few rows and small arrays; beyond that both sides are shuffled.
+    side, a written table, is broadcast if its rows and array entries take at most limit bytes (counted, 64 bytes a row and
+    40 an entry); beyond that both sides are shuffled. The result is the same.
     """
     keys = [keys] if isinstance(keys, str) else keys
     weight = side.agg(F.count("*"), F.coalesce(F.sum(F.size(value)), F.lit(0)) if dict(side.dtypes)[value].startswith("array") else F.lit(0)).first()
     side = side.withColumnsRenamed({k: f"__key_{i}" for i, k in enumerate(keys)})
-    if weight[0] <= rows // 4 and weight[1] <= rows:
+    if 64 * weight[0] + 40 * weight[1] <= limit:
         side = F.broadcast(side)
     same = [docs[k].eqNullSafe(side[f"__key_{i}"]) for i, k in enumerate(keys)]
     return docs.join(side, same, "left").drop(*[f"__key_{i}" for i in range(len(keys))])

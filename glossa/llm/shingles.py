@@ -1,4 +1,8 @@
-"""Word shingles of whole texts as sets of 64-bit hashes, in numpy over many texts at once."""
+"""Word shingles of whole texts as sets of 64-bit hashes, in numpy over many texts at once.
+
+Edge cases: empty texts and texts of blanks have no words and an empty set; fewer words than a shingle are one shingle of
+all; equal shingles count once; very long texts are hashed in blocks of whole words.
+"""
 
 from __future__ import annotations
 

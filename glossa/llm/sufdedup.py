@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, flat, join_sized, materialize, mix, powers, slices, text_print, tidy
+from .common import BASE, discard, flat, join_sized, materialize, mix, powers, slices, text_print, tidy
 
 LENGTH, GRAM, HOT, BATCH = 100, 32, 2_000, 2 << 20
-SMALL = 100_000  # rows and spans that may be broadcast; beyond that texts are dealt by doc_id
+SMALL = 4 << 20  # bytes of spans that may be broadcast; beyond that texts are dealt by doc_id
 BLOCK = 1 << 19
 PLACE_BITS = np.uint64(22)
 PLACES = np.uint64((1 << 22) - 1)
@@ -256,12 +256,12 @@ def own_repeats(text: np.ndarray, start: np.ndarray, many: np.ndarray, bucket: n
 SPAN = "doc_id long, start long, many long"
 
 
-def refine(runs_: DataFrame, docs: DataFrame) -> DataFrame:
-    """Repeated windows of the given first runs, told apart by their bytes."""
+def refine(runs_: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Repeated windows of the given first runs, told apart by their bytes; and the work tables behind them."""
     sizes = materialize(runs_.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).withColumn("hot", F.lit(1)).select("bucket", "hot"), "hot", light=True)
     flagged = join_sized(runs_, sizes, "bucket", "hot")
     lists = materialize(flagged.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "start", "many", F.coalesce("hot", F.lit(0)).alias("hot"))).alias("runs")), "lists")
-    texts = join_sized(docs.select("doc_id", "text"), lists, "doc_id", "runs", rows=SMALL).where("runs IS NOT NULL")
+    texts = join_sized(docs.select("doc_id", "text"), lists, "doc_id", "runs", limit=SMALL).where("runs IS NOT NULL")
 
     def cut(batches):
         for batch in batches:
@@ -323,7 +323,7 @@ def refine(runs_: DataFrame, docs: DataFrame) -> DataFrame:
     hot = rows.where("raw IS NULL").select("doc_id", "start", "one", "two")
     first = hot.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = hot.join(first, ["one", "two"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
-    return out.unionByName(later.select("doc_id", "start", F.lit(1).cast("long").alias("many")))
+    return out.unionByName(later.select("doc_id", "start", F.lit(1).cast("long").alias("many"))), [sizes, lists, rows]
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
@@ -334,10 +334,13 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     docs = join_sized(docs, several, "doc_id", "alone").withColumn("alone", F.col("doc_id").isNull() | F.coalesce("alone", F.lit(False)))
     keyed = docs.where("NOT alone AND text IS NOT NULL").drop("alone")
     found = materialize(marked(anchored(keyed)), "marked")
-    more = materialize(refine(found.where(F.col("kind") == NEW).drop("kind"), keyed), "refined")
+    more, work = refine(found.where(F.col("kind") == NEW).drop("kind"), keyed)
+    more = materialize(more, "refined")
+    discard(*work)
     gone = found.where(F.col("kind") == REPEATED).select("doc_id", "start", "many").unionByName(more)
     lists = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "many")).alias("gone")), "gone")
-    joined = join_sized(docs, lists, "doc_id", "gone", rows=SMALL).select("doc_id", "text", "alone", "gone")
+    discard(found, more)
+    joined = join_sized(docs, lists, "doc_id", "gone", limit=SMALL).select("doc_id", "text", "alone", "gone")
 
     def take(batches):
         for batch in batches:

@@ -3,16 +3,17 @@
 Format. A dataset is a folder with a code book and blocks, each a binary value in a table that Spark writes and commits
 (so a lost executor's files are written anew, on any file system); nothing else is needed to read it. Code book
 (``book``): length of each id's code, one byte an id, and their crc32; codes are canonical, sorted by (length, id), at
-most ``LIMIT`` bits. Block (``blocks``): ``HEAD`` (magic, documents, ids, bytes of payload,
-ids between checkpoints), then doc_id, whether it is null, first id's number in the file, and number of ids of each
-document, bit offsets of the checkpoints, payload (first bit highest), and a crc32 of all that. Blocks decode
-independently, and within one all runs between checkpoints decode in step, by one table look-up an id.
+most ``LIMIT`` bits. Block (``blocks``): ``HEAD`` (magic, documents, ids, bytes of payload, ids between checkpoints),
+then doc_id, whether it is null, first id's number in the file, and number of ids of each document, bit offsets of the
+checkpoints, payload (first bit highest), and a crc32 of all that. Blocks decode independently, and within one all runs
+between checkpoints decode in step, by one table look-up an id.
 
 Ids are computed once and kept in the shared work folder; one scan counts them, another deals them by range of doc_id,
 encodes and writes them in ascending order. Only counts (one row an id of the vocabulary) reach the driver.
 
 Edge cases: null and empty texts have the end id only; repeated doc_ids stay in order of their ids; rows without
-doc_id come first; a document longer than a block is a block of its own; an empty table has no blocks and no rows; other columns are not read.
+doc_id come first; a document longer than a block is a block of its own; an empty table has no blocks and no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import flat, materialize, tidy, work_folder
+from .common import discard, flat, materialize, tidy, work_folder
 from .tokens import encoder, ids_crc32
 
 LIMIT, END, BLOCK, EVERY = 16, 2, 1 << 17, 64
@@ -192,6 +193,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, *, end: int = END, blo
 
     blocks = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(tidy(run), "part long, block long, n_tokens long, body binary")
     blocks.write.parquet(f"{folder}/blocks")
+    discard(ids)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:

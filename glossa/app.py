@@ -27,8 +27,27 @@ class Corpus:
     def articles(self) -> DataFrame:
         return self.store.read("articles").withColumn("doc_id", F.col("id"))
 
+    def listed(self) -> DataFrame:
+        """All articles in the order of their import."""
+        return self.articles().orderBy("created_at", "id")
+
+    def known_url(self, url: str) -> bool:
+        """Whether an article of this url is here; an empty url never is."""
+        return url != "" and self.store.exists("articles") and self.articles().where(F.col("url") == url).limit(1).count() == 1
+
     # ---- import
 
+    def add_article(self, title: str, text: str, *, source: str = "manual", url: str = "", field: str = "unknown", least_chars: int = 0) -> str:
+        """One article by its text, analysed at once; its id."""
+        if len(text.strip()) < max(1, least_chars):
+            raise ValueError("the text is too short")
+        row = self.spark.createDataFrame([(title, source, url, "", field, text, "{}")], "title string, source string, url string, published_at string, field string, text string, metadata_json string").withColumn("text", T.squeezed(F.col("text")))
+        row = row.withColumn("id", T.stable_id(F.col("source"), F.col("title"), F.col("text")))
+        key = row.first()["id"]
+        self.add(row)
+        self.analyse([key])
+        return key
+
     def add(self, articles: DataFrame) -> int:
         """Insert or replace articles by id; created_at of known ones stays. How many were given."""
         rows = articles.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")).select(*ARTICLE, F.monotonically_increasing_id().alias("__order"))
@@ -83,15 +102,14 @@ class Corpus:
         self.store.write_all({name: self.store.replaced(name, df, "doc_id", done) for name, df in tables.items()})
         docs.unpersist()
 
-    def curate(self, least: float, *, dry_run: bool = False) -> list[str]:
-        """Delete articles of low quality with all that belongs to them; their ids."""
-        poor = serve.low_quality(self.articles(), self.store.read("analyses"), least)
-        ids = [r[0] for r in poor.collect()]
-        if ids and not dry_run:
-            rows = self.spark.createDataFrame([(i,) for i in ids], "doc_id string")
-            self.store.delete(rows, parent="none")
-            self.store.write("articles", self.store.read("articles").join(rows, F.col("id") == F.col("doc_id"), "left_anti"))
-        return ids
+    def curate(self, least: float, *, dry_run: bool = False) -> DataFrame:
+        """Delete articles of low quality with all that belongs to them; their ids (doc_id), which a table of the store keeps."""
+        self.store.write("curated", serve.low_quality(self.articles(), self.store.read("analyses"), least))
+        poor = self.store.read("curated")
+        if not dry_run:
+            self.store.delete(poor, parent="none")
+            self.store.write("articles", self.store.read("articles").join(poor, F.col("id") == F.col("doc_id"), "left_anti"))
+        return poor
 
     # ---- reading
 
@@ -304,7 +322,7 @@ class Corpus:
         return {"counts": counts, "unique_words": words, "fields": fields}
 
     def topics(self, k: int = 24) -> list[str]:
-        exams = self.articles().where(F.lower("source").isin(L.EXAM_SOURCES) | (F.get_json_object("metadata_json", "$.corpus_type") == "kaoyan_exam"))
+        exams = self.articles().where(analyze.exam_text_rows())
         return [r["gram"] for r in analyze.topic_queries(exams.select("doc_id", "text"), k=k).collect()]
 
 
@@ -357,7 +375,8 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "analyse":
         corpus.analyse(args.id, only_missing=args.only_missing, limit=args.limit)
     elif args.command == "curate":
-        print("\n".join(corpus.curate(conf.crawler.min_quality_score if args.least is None else args.least, dry_run=args.dry_run)))
+        for row in corpus.curate(conf.crawler.min_quality_score if args.least is None else args.least, dry_run=args.dry_run).toLocalIterator():
+            print(row["doc_id"])
     elif args.command == "export":
         corpus.export(args.path)
     elif args.command == "book":

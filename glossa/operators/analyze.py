@@ -125,6 +125,11 @@ def pmi(docs: DataFrame, *, least: int = 2, k: int = 50, parts: int | None = Non
     return out.orderBy(F.desc("pmi"), F.desc("frequency"), "expression").limit(k)
 
 
+def exam_text_rows() -> Column:
+    """Whether an article (source, metadata_json) is of an exam: by its kind or its source, without regard to case."""
+    return F.coalesce(F.lower("source").isin(L.EXAM_SOURCES), F.lit(False)) | F.coalesce(F.get_json_object("metadata_json", "$.corpus_type") == "kaoyan_exam", F.lit(False))
+
+
 def topic_queries(docs: DataFrame, *, seeds: Sequence[str] = L.SEEDS, k: int = 24) -> DataFrame:
     """Frequent n-grams of long words with a seed term: the first k of at most 4 k."""
     counts = ngram_counts(docs).groupBy("n", "gram").agg(F.sum("frequency").alias("frequency"))

@@ -50,7 +50,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def jsonl_articles(spark: SparkSession, path: str) -> DataFrame:
     """Articles; a line without text is an error that names it."""
-    rows = numbered_lines(spark, path).select("path", "line", F.from_json("value", ARTICLE, {"mode": "FAILFAST"}).alias("r"))
+    return line_articles(numbered_lines(spark, path))
+
+
+def line_articles(lines: DataFrame) -> DataFrame:
+    """Articles of numbered JSON lines (line, value)."""
+    rows = lines.select("line", F.from_json("value", ARTICLE, {"mode": "FAILFAST"}).alias("r"))
     text = F.when(F.col("r.text").isNull(), F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" has no text")))).otherwise(T.squeezed(F.col("r.text")))
     title = F.coalesce(F.col("r.title"), F.concat(F.lit("Untitled "), F.col("line").cast("string")))
     source = F.coalesce(F.col("r.source"), F.lit("jsonl"))
@@ -89,9 +94,13 @@ def exam_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def exam_txt(spark: SparkSession, path: str) -> DataFrame:
     """Blocks between lines of three or more dashes or ## headings."""
-    files = spark.read.text(path, wholetext=True)
+    return text_exams(spark.read.text(path, wholetext=True))
+
+
+def text_exams(texts: DataFrame) -> DataFrame:
+    """Exam articles of whole texts (value)."""
     parts = F.filter(F.transform(F.split("value", r"(?m)^\s*-{3,}\s*$|^##+.*$", -1), T.squeezed), lambda p: p != "")
-    return exam_articles(files.select(F.posexplode(parts).alias("n", "text")).withColumn("n", F.col("n") + 1))
+    return exam_articles(texts.select(F.posexplode(parts).alias("n", "text")).withColumn("n", F.col("n") + 1))
 
 
 def exams(spark: SparkSession, path: str) -> DataFrame:

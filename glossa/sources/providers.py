@@ -335,6 +335,17 @@ class ChatModel:
         return json.dumps({key: decoded(self.ask(prompt, article, 1000)) for key, prompt in prompts.items()}, ensure_ascii=False)
 
 
+def reachable(model: ChatModel) -> tuple[bool, str]:
+    """Whether a model answers at all, and what it says or what went wrong."""
+    if not model.enabled():
+        return False, "no model is set"
+    try:
+        reply = model.ask("Answer with the word ok.", "ok", 64).strip()
+    except Exception as e:  # whatever the caller's network raises
+        return False, f"{type(e).__name__}: {e}"
+    return bool(reply), reply or "an empty reply"
+
+
 def model_inputs(articles: DataFrame, limit: int = 6500) -> DataFrame:
     """(doc_id, article): title, source and the text's beginning, middle and end as JSON, for answered with a ChatModel."""
     text = T.head_middle_tail(F.col("text"), limit)

@@ -132,6 +132,18 @@ def test_own_words_join_the_notebook(corpus):
     assert corpus.notebook().where("lemma = 'zyzzyva'").count() == 0
 
 
+def test_one_article_by_its_text(corpus):
+    key = corpus.add_article("By hand", "The court held that  the case was weak. However, it may change.", url="https://x.org/hand")
+    assert corpus.article(key).first()["text"].startswith("The court held that the case") and corpus.known_url("https://x.org/hand")
+    assert not corpus.known_url("") and not corpus.known_url("https://x.org/none")
+    with pytest.raises(ValueError):
+        corpus.add_article("t", "  ")
+    order = [(r["created_at"], r["id"]) for r in corpus.listed().collect()]
+    assert order == sorted(order)
+    corpus.store.delete(corpus.spark.createDataFrame([(key,)], "doc_id string"), parent="none")
+    corpus.store.write("articles", corpus.store.read("articles").where(F.col("id") != key))
+
+
 def test_reselection_runs_once(spark, corpus):
     rows = corpus.store.read("vocabulary")
     easy = rows.where("doc_id = '9'").limit(1).withColumns({"lemma": F.lit("appeal"), "word": F.lit("appeal"), "category": F.lit("academic/general"), "importance": F.lit(9)})
@@ -163,7 +175,7 @@ def test_fetch_takes_new_good_articles_within_limits(spark, tmp_path):
 
 
 def test_curation_deletes_children_too(corpus):
-    poor = corpus.curate(3.2, dry_run=True)
+    poor = [r["doc_id"] for r in corpus.curate(3.2, dry_run=True).collect()]
     assert poor and corpus.articles().count() == len(X.ARTICLES)
     corpus.curate(3.2)
     assert corpus.articles().count() == len(X.ARTICLES) - len(poor)
@@ -258,6 +270,17 @@ def test_settings_are_written_over_a_file(tmp_path, name):
 # ---- models and dictionaries
 
 
+def test_settings_are_shown_without_the_key():
+    c = config.from_mapping({"llm": {"model": "m", "api_key": "secret"}})
+    assert config.shown(c) == {"model": "m", "base_url": "", "api_key_set": True}
+
+
+def test_a_model_says_whether_it_answers():
+    ok, down = (lambda u, h, b: {"choices": [{"message": {"content": "ok"}}]}), (lambda u, h, b: 1 / 0)
+    assert P.reachable(P.ChatModel(ok, "m", url="u")) == (True, "ok") and P.reachable(P.ChatModel(ok, "m"))[0] is False
+    assert P.reachable(P.ChatModel(down, "m", url="u"))[1].startswith("ZeroDivisionError") and P.reachable(P.ChatModel(lambda u, h, b: {}, "m", url="u")) == (False, "an empty reply")
+
+
 def test_messages_and_endpoints():
     assert P.message_text({"content": " x "}) == " x " and P.message_text({"content": "", "reasoning_content": "r"}) == "r"
     assert P.message_text({"content": [{"text": "a"}, {"content": "b"}, {}]}) == "a\nb" and P.message_text({}) == ""

@@ -2,7 +2,8 @@
 
 A document is the sequence of its lines that are not blank (a line's identity: its bytes without blanks, tabs and
 carriage returns at both ends). A run of at least ``RUN`` lines that also begins earlier (smaller doc_id, or earlier
-in the same document) is deleted; judged on the input.
+in the same document) is deleted; judged on the input. So is a shorter run, down to one line, of at least ``WORDS`` words
+(between ASCII blanks) or ``CHARS`` characters (for scripts without blanks): a passage counts however its lines break.
 
 1. Winnowing: of every ``RUN`` consecutive lines the least line hash (the last of equal ones) is a fingerprint, so two
    equal runs of that length always select the same line. Each selected line is written once, with its place and the
@@ -12,9 +13,7 @@ in the same document) is deleted; judged on the input.
    found by an aggregate over windows) is a later repeat. Neighbouring stretches overlap, so repeats of any length grow
    together; their union is deleted.
 
-With ``words`` set, shorter runs count too, down to one line, if they hold at least so many words (between blanks) or
-``CHARS`` characters, for scripts without blanks. Each such run is its own fingerprint.
-``op2_line_dedup`` is the plain rule of its SQL; ``op2_passage_dedup`` and the pipeline have both.
+A shorter run that counts is its own fingerprint. With words = 0 only runs of RUN lines count.
 
 Pre-aggregation by fingerprint and by window runs before each shuffle; joins are plain equality joins of written tables,
 which adaptive execution can split at hot keys; the texts are joined with their repeats in one pass at the end.
@@ -45,39 +44,55 @@ def real_lines(text: str | None) -> list[str]:
     return [s for x in (text or "").split("\n") if (s := x.strip(BLANK))]
 
 
-def line_hashes(lines: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(s.encode()) for s in lines], np.uint64)
+def minima(lines: np.ndarray, run: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing: the selected line, the first window that selected it, and the number of these windows.
 
-
-def minima(lines: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Winnowing: the selected line, the first window that selected it, and the number of these windows."""
+    lines may be those of several texts, end to end (owner: whose); windows that cross texts select nothing.
+    """
     n = len(lines) - run + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 3
     window = np.stack([lines[k : k + n] for k in range(run - 1, -1, -1)])
     place = np.arange(n) + run - 1 - window.argmin(0)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    return place[first], first, np.diff(first, append=n)
-
-
-def fingerprints(text: str | None, run: int, words: int) -> list[tuple[int, int, int, np.ndarray]]:
-    """(fingerprint, first line, lines of a window, hashes of the lines of all its windows) of each selected line, and
-    (unless words is 0) of each shorter run of at least so many words or CHARS characters."""
-    real = real_lines(text)
-    lines = line_hashes(real)
-    out = [(lines[p], a, run, lines[a : a + n + run - 1]) for p, a, n in zip(*minima(lines, run), strict=True)]
-    if words and real:
-        held, chars = (np.concatenate([[0], np.cumsum(x)]) for x in ([len(s.split()) for s in real], [len(s) for s in real]))
-        for n in range(1, min(run - 1, len(real)) + 1):
-            for a in np.flatnonzero((held[n:] - held[:-n] >= words) | (chars[n:] - chars[:-n] >= CHARS)):
-                seed = np.full(1, n, np.uint64)
-                for k in range(n):
-                    seed = mix(seed) + lines[a + k]
-                out.append((mix(seed)[0], a, n, lines[a : a + n]))
-    return out
-
-
-def repeated_runs(docs: DataFrame, *, run: int = RUN, words: int = 0) -> DataFrame:
+    if owner is not None:
+        place[owner[:n] != owner[run - 1 :]] = -1
+    first = np.flatnonzero(np.diff(place, prepend=-2))
+    many, place = np.diff(first, append=n), place[first]
+    return place[place >= 0], first[place >= 0], many[place >= 0]
+
+
+def fingerprints(texts: list[str | None], run: int, words: int) -> tuple[np.ndarray, ...]:
+    """Of each selected line of the texts, and (unless words is 0) of each shorter run of at least so many words or CHARS
+    characters: text, fingerprint, first line, lines of a window, lines around, and the hashes of these, end to end."""
+    owner, hashes, held, chars = [], [], [], []
+    for i, text in enumerate(texts):
+        for line in real_lines(text):
+            raw = line.encode()
+            owner.append(i)
+            hashes.append(xxhash.xxh64_intdigest(raw))
+            held.append(len(raw.split()))
+            chars.append(len(line))
+    owner, lines = np.array(owner, np.int64), np.array(hashes, np.uint64)
+    place, start, many = minima(lines, run, owner)
+    parts = [(lines[place], start, np.full(len(start), run), many + run - 1)]
+    if words:
+        words_to, chars_to = (np.concatenate([[0], np.cumsum(x)]) for x in (np.array(held, np.int64), np.array(chars, np.int64)))
+        for n in range(1, min(run - 1, len(lines)) + 1):
+            fits = (words_to[n:] - words_to[:-n] >= words) | (chars_to[n:] - chars_to[:-n] >= CHARS)
+            start = np.flatnonzero(fits & (owner[: len(lines) - n + 1] == owner[n - 1 :]))
+            seed = np.full(len(start), n, np.uint64)
+            for k in range(n):
+                seed = mix(seed) + lines[start + k]
+            parts.append((mix(seed), start, np.full(len(start), n), np.full(len(start), n)))
+    seed, start, size, around = (np.concatenate(c) for c in zip(*parts, strict=True))
+    end = np.cumsum(around)
+    total = int(end[-1]) if len(end) else 0
+    place = np.repeat(start - (end - around), around) + np.arange(total)
+    begins = np.searchsorted(owner, np.arange(len(texts)))
+    return owner[start], seed, start - begins[owner[start]], size, around, lines[place]
+
+
+def repeated_runs(docs: DataFrame, *, run: int = RUN, words: int = WORDS) -> DataFrame:
     """doc_id, print (of the text) and its windows (first line, among those that are not blank, and lines) that occur earlier."""
     schema = docs.select("doc_id").schema
     for name, kind in (("print", "long"), ("seed", "long"), ("start", "long"), ("size", "integer"), ("around", T.ArrayType(T.LongType(), False))):
@@ -85,16 +100,10 @@ def repeated_runs(docs: DataFrame, *, run: int = RUN, words: int = 0) -> DataFra
 
     def select(batches):
         for batch in batches:
-            row, found = [], []
-            for i, text in enumerate(batch.column(2)):
-                got = fingerprints(text.as_py(), run, words)
-                row += [i] * len(got)
-                found += got
-            seed, start, size, around = zip(*found, strict=True) if found else ((),) * 4
-            at = np.concatenate([[0], np.cumsum([len(a) for a in around], dtype=np.int64)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.uint64), *around]).view(np.int64)))
-            columns = [pa.array(np.array(seed, np.uint64).view(np.int64)), pa.array(np.array(start, np.int64)), pa.array(np.array(size, np.int32)), lists]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row, pa.int64())) for k in (0, 1)), *columns], names=schema.names)
+            row, seed, start, size, around, lines = fingerprints(batch.column(2).to_pylist(), run, words)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(around)]).astype(np.int32)), pa.array(lines.view(np.int64)))
+            columns = [pa.array(seed.view(np.int64)), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in (0, 1)), *columns], names=schema.names)
 
     seen = materialize(docs.select("doc_id", text_print().alias("print"), "text").mapInArrow(tidy(select), schema), "fingerprints")
     # each found first and written, so that adaptive execution can split the joins at hot keys
@@ -109,7 +118,7 @@ def repeated_runs(docs: DataFrame, *, run: int = RUN, words: int = 0) -> DataFra
     return out
 
 
-def dedup_lines(docs: DataFrame, *, run: int = RUN, words: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, run: int = RUN, words: int = WORDS) -> DataFrame:
     """docs with n_lines, n_removed and the text without its later repeated runs of lines."""
     docs = docs.drop("n_lines", "n_removed")
     plain, restore = shielded(docs, "doc_id", "text")
@@ -142,30 +151,28 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
-def op2_passage_dedup(spark, sf_dir: str) -> DataFrame:
-    """The same with runs of fewer lines that hold at least WORDS words or CHARS characters (no SQL)."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=WORDS)
-    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
-
-
 OP2_SQL = """
 WITH raw AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
   FROM documents),
 real AS (
-  SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS x,
+  SELECT doc_id, i, x, len(regexp_extract_all(x, '[^ \\t\\r\\x0b\\x0c]+')) AS words, length(x) AS chars,
          row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
-  FROM raw WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+  FROM (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS x FROM raw) WHERE x <> ''),
 win AS (
-  SELECT doc_id, i, p, x, lead(x, 1) OVER d AS x1, lead(x, 2) OVER d AS x2
+  SELECT doc_id, i, p, x, lead(x, 1) OVER d AS x1, lead(x, 2) OVER d AS x2,
+         words >= 50 OR chars >= 400 AS one, words + lead(words) OVER d >= 50 OR chars + lead(chars) OVER d >= 400 AS two
   FROM real WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
 dup AS (
   SELECT doc_id, i, p,
-         CASE WHEN x2 IS NOT NULL AND row_number() OVER (PARTITION BY x, x1, x2 ORDER BY doc_id, p) > 1 THEN 1 ELSE 0 END AS d
+         CASE WHEN one AND row_number() OVER (PARTITION BY x ORDER BY doc_id, p) > 1 THEN 1 ELSE 0 END AS d1,
+         CASE WHEN two AND x1 IS NOT NULL AND row_number() OVER (PARTITION BY x, x1 ORDER BY doc_id, p) > 1 THEN 1 ELSE 0 END AS d2,
+         CASE WHEN x2 IS NOT NULL AND row_number() OVER (PARTITION BY x, x1, x2 ORDER BY doc_id, p) > 1 THEN 1 ELSE 0 END AS d3
   FROM win),
 gone AS (
-  SELECT doc_id, i, max(d) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS g FROM dup)
+  SELECT doc_id, i, greatest(d1, max(d2) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 1 PRECEDING AND CURRENT ROW),
+         max(d3) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS g FROM dup)
 SELECT r.doc_id, count(g.i) AS n_lines, coalesce(sum(g.g), 0)::BIGINT AS n_removed,
        md5(coalesce(string_agg(r.line, chr(10) ORDER BY r.i) FILTER (WHERE coalesce(g.g, 0) = 0), '')) AS kept_md5
 FROM raw r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.i = g.i
@@ -180,7 +187,7 @@ def stage_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     any other name pass through.
     """
     plain, restore = shielded(docs, "doc_id", "text", "n_chars")
-    out = dedup_lines(plain, words=WORDS)
+    out = dedup_lines(plain)
     out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

@@ -168,7 +168,7 @@ def passages_removed(texts):
             for n in (1, 2, 3):
                 window = lines[d][p : p + n]
                 key = tuple(s for _, s in window)
-                if len(window) < n or n < 3 and sum(len(s.split()) for s in key) < 50 and sum(map(len, key)) < 400:
+                if len(window) < n or n < 3 and sum(len(re.findall(r"[^ \t\r\x0b\x0c]+", s)) for s in key) < 50 and sum(map(len, key)) < 400:
                     continue
                 if key in seen:
                     bad[d] |= {i for i, _ in window}
@@ -181,7 +181,7 @@ def test_long_passages_on_few_lines_are_removed(spark, rows, tmp_path):
     more = [(2001, f"first start\n{one}\nend"), (2002, one), (2003, f"x\n \n{one}\r\ny"), (2004, f"{two}\n{two[::-1]}\nz"), (2005, f"q\n{two}\n\n{two[::-1]}"), (2006, two), (2007, "日本" * 200), (2008, "a\n" + "日本" * 200), (2009, f"end\n{one} and more")]
     spark.createDataFrame(rows + more, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {d: hashlib.md5(t.encode()).hexdigest() for d, t in passages_removed(dict(rows + more)).items()}
-    got = {r["doc_id"]: r for r in run(spark, "op2_passage_dedup", str(tmp_path))}
+    got = {r["doc_id"]: r for r in run(spark, "op2_line_dedup", str(tmp_path))}
     assert {d: r["kept_md5"] for d, r in got.items()} == want
     assert [got[2000 + i]["n_removed"] for i in range(1, 10)] == [0, 1, 1, 0, 2, 0, 0, 1, 0]
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")

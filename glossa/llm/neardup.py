@@ -16,8 +16,9 @@ the square root of what as many independent tables take. A pair at similarity 0.
 5. What that leaves apart, in rounds: in each table key that still holds several components, documents outside its
    largest component are compared with those of other components by sketches and set sizes, each pair in the first table
    that it shares. A key is dealt by blocks of ``BLOCK`` documents on either side, so that no task holds or sees more of
-   one key. Of the pairs that agree enough, each component's best ones are verified and components formed anew; the
-   last round takes all that are left between components, so that none is lost.
+   one key. Of the pairs that agree enough, each component's best ones are verified and components formed anew. In these
+   rounds about ``PASSING`` documents speak for a key's largest component; the last round takes all documents and pairs
+   that are left between components, so that none is lost.
 
 Verification deals pairs by their first document, salted by the number of its pairs. No link reaches the driver.
 
@@ -43,7 +44,7 @@ KEYS, ROWS, PERCENT = 22, 4, 75
 HASHES = 2 * KEYS * ROWS
 BINS, SIGMAS = 512, 4.75  # a pair at 0.75 agrees too little with probability 1e-6 or less
 MEMBERS = 256  # pairs of one document in one verifying group
-HEADS, BLOCK, WIDTHS = 2, 2048, (2, 16, None)
+HEADS, BLOCK, WIDTHS, PASSING = 2, 2048, (2, 16, None), 16
 _random = np.random.default_rng(20)
 FACTOR = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERM = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64)
@@ -321,7 +322,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 def apart(sharing: DataFrame, found: DataFrame, width: int | None) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b, owner, score): pairs of different components under one table key whose sketches agree enough, the best width
-    (all if None) of each component that owns them; and the work tables behind them, the documents compared first.
+    (all if None) of each component that owns them; and the work tables behind them.
 
     sharing has the documents to look at. Documents outside a key's largest component are held, in blocks, and own the
     pairs; every document of the key passes each of these blocks, in blocks too; a pair counts in the first table it shares.
@@ -338,9 +339,14 @@ def apart(sharing: DataFrame, found: DataFrame, width: int | None) -> tuple[Data
     rows = some.select("row", "component", "subs", "mask").mapInArrow(tidy(spread), "key long, table long, row long, component long")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = F.max(F.struct("n", "component"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), largest["component"].alias("most"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.sum("n") - largest["n"]) / BLOCK).cast("int").alias("held")).where("parts > 1").drop("parts")
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), largest["component"].alias("most"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.sum("n") - largest["n"]) / BLOCK).cast("int").alias("held"), F.ceil(largest["n"] / PASSING).alias("spread")).where("parts > 1").drop("parts")
     mixed = materialize(mixed, "mixed", light=True)
-    rows = rows.join(mixed, "key").withColumn("small", F.col("component") != F.col("most"))
+    small = F.col("component") != F.col("most")
+    if width is None:
+        rows = rows.join(mixed, "key")
+    else:  # the condition is part of the join: what doesn't pass isn't made
+        rows = rows.join(mixed.withColumnRenamed("key", "__key"), (F.col("key") == F.col("__key")) & (small | (F.pmod(F.xxhash64("key", "row"), F.col("spread")) == 0)))
+    rows = rows.withColumn("small", small)
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.array(F.pmod(F.xxhash64("row"), F.col(n)).cast("int"))
     place = lambda hold, pass_, role: F.transform(hold, lambda h: F.transform(pass_, lambda p: F.struct(h.alias("hold"), p.alias("pass"), F.lit(role).alias("role"))))
@@ -418,19 +424,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = materialize(star_pairs(keyed(sharing)), "stars")
     pairs = materialize(agreeing(first_pairs(stars), sharing), "candidates")
     links = materialize(verified(pairs, sharing, docs), "links", light=True)
-    look = materialize(stars.select(F.explode(F.array("a", "b")).alias("row")).distinct().withColumn("look", F.lit(True)), "look", light=True)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     discard(first, masks, stars)
     for width in WIDTHS:
         found = materialize(components(links).withColumnRenamed("node", "row"), "components", light=True)
-        near, work = apart(join_sized(sharing, look, "row", "look").where("look").drop("look"), found, width)
+        near, work = apart(sharing, found, width)
         pairs = materialize(best_of_owner(near, tried, width), "candidates", light=True)
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # of the documents that spoke; the last round asks all
+            discard(*work)
+            continue
         more = verified(pairs, sharing, docs)
         links = materialize(links.unionByName(more), "links", light=True)
         tried = materialize(tried.unionByName(pairs), "tried", light=True)
-        look = materialize(work[0].select("row").distinct().withColumn("look", F.lit(True)), "look", light=True)
         discard(*work)
     found = materialize(components(equal.unionByName(links)).withColumnRenamed("node", "row"), "components", light=True)
     roots = found.select(F.col("component").alias("row"), "component").distinct()

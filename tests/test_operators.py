@@ -238,3 +238,18 @@ def test_classification_and_admission_of_known_cases(spark):
     frame = spark.createDataFrame(rows, "word string, field string, category string, frequency int, importance int, article_count int, example_sentence string").withColumn("sources", F.lit(""))
     got = {r["word"]: (r["domain"], r["ok"]) for r in review.classify(frame, {"politics_law": ["legal", "liability"], "environment": ["carbon"]}).withColumn("ok", review.admitted()).collect()}
     assert got["liability"] == ("politics_law", True) and not got["davunetide"][1] and got["take issue with"][1]
+
+
+def test_rare_words_make_a_pair_worth_it(spark):
+    docs = spark.createDataFrame([(1, "zorgon, the vexel. plain, word. plain; word.")], "doc_id long, text string")
+    scores = spark.createDataFrame([("plain", 6.0), ("word", 6.0), ("zorgon", 1.0)], "word string, score double")
+    without = {r["expression"] for r in analyze.collocations(docs).collect()}
+    with_scores = {r["expression"] for r in analyze.collocations(docs, zipf=scores).collect()}
+    assert without == set() and "zorgon vexel" in with_scores and "plain word" not in with_scores
+
+
+def test_words_that_a_whole_text_lowers_to_letters_are_not_words(spark):
+    from glossa.functions import text as T
+
+    rows = spark.createDataFrame([("İx Ky ab''- 'tis rock'n'-roll dogs'' a' O’Neil‘s",)], "t string")
+    assert rows.select(T.tokens(F.col("t"))).first()[0] == ["x", "y", "ab''-", "tis", "rock'n'-roll", "dogs", "a", "o'neil's"]

@@ -13,12 +13,14 @@ the square root of what as many independent tables take. A pair at similarity 0.
 4. Each task keeps one document a key and batch; in one shuffle by key these meet the key's first document as they stream
    by. Each document is verified against the ``HEADS`` first documents that it shares the most tables with, one batch's
    and all tables': so many pairs a document, however large its group. Components are formed.
-5. What that leaves apart, in rounds: in each table key that still holds several components, documents outside its
-   largest component are compared with those of other components by sketches and set sizes, each pair in the first table
-   that it shares. A key is dealt by blocks of ``BLOCK`` documents on either side, so that no task holds or sees more of
-   one key. Of the pairs that agree enough, each component's best ones are verified and components formed anew. In these
-   rounds about ``PASSING`` documents speak for a key's largest component; the last round takes all documents and pairs
-   that are left between components, so that none is lost.
+5. What that leaves apart, in rounds. Two documents share a table just where they share a sub-key in both collections,
+   so they meet under the sub-keys of the first one, a row each, and the second is looked at there. In each such key that
+   still holds several components, documents outside its largest component are compared with those of other components by
+   set sizes and sketches, each pair under the first sub-key that it shares. A key is dealt by blocks of ``BLOCK``
+   documents on either side, so that no task holds or sees more of one key. Of the pairs that agree enough, each
+   component's best ones are verified and components formed anew. In these rounds about ``PASSING`` documents speak for a
+   key's largest component; the last round takes all documents and pairs that are left between components, so that none
+   is lost.
 
 Verification deals pairs by their first document, salted by the number of its pairs. No link reaches the driver.
 
@@ -321,18 +323,20 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def apart(sharing: DataFrame, found: DataFrame, width: int | None) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b, owner, score): pairs of different components under one table key whose sketches agree enough, the best width
+    """(a, b, owner, score): pairs of different components that share a table and whose sketches agree enough, the best width
     (all if None) of each component that owns them; and the work tables behind them.
 
     sharing has the documents to look at. Documents outside a key's largest component are held, in blocks, and own the
-    pairs; every document of the key passes each of these blocks, in blocks too; a pair counts in the first table it shares.
+    pairs; every document of the key passes each of these blocks, in blocks too; a pair counts under the first key it shares.
     """
     some = materialize(join_sized(sharing.select("row", "subs", "mask"), found, "row", "component").withColumn("component", F.coalesce("component", "row")), "sharing")
 
+    place_of = mix(np.arange(1, KEYS + 1, dtype=np.uint64))
+
     def spread(batches):
-        for batch in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
-            live = alive(batch.column(3).to_numpy())
-            keys, times = table_keys(unpack(batch.column(2)))[live], live.sum(1)
+        for batch in batches:
+            live = (batch.column(3).to_numpy()[:, None] >> np.arange(KEYS)) & 1 > 0
+            keys, times = mix(unpack(batch.column(2))[:, :KEYS] + place_of)[live], live.sum(1)
             row, component = (np.repeat(batch.column(k).to_numpy(), times) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.nonzero(live)[1]), pa.array(row), pa.array(component)], names=["key", "table", "row", "component"])
 
@@ -380,7 +384,7 @@ def apart(sharing: DataFrame, found: DataFrame, width: int | None) -> tuple[Data
                     close = np.flatnonzero(near)
                     if len(close):
                         shared = kept[3][close] == brief[k]
-                        close = close[(shared[:, :KEYS].argmax(1) == table[k] // KEYS) & (shared[:, KEYS:].argmax(1) == table[k] % KEYS)]
+                        close = close[(shared[:, :KEYS].argmax(1) == table[k]) & shared[:, KEYS:].any(1)]
                     if len(close):
                         score = agreement(kept[4][close], sketch[k : k + 1], kept[2][close], n[k])
                         close, score = close[score >= 0], score[score >= 0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP11_SQL, op11_filter_audit
 from .decontam import op4_decontaminate
 from .langid import op10_language_id
 from .linededup import OP2_SQL, op2_line_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_token_binary": op9_token_binary,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_url_filter": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op11_filter_audit": OP11_SQL}

@@ -9,6 +9,7 @@ from .linededup import OP2_SQL, op2_line_dedup
 from .media import op8_media
 from .merkle import OP13_SQL, op13_merkle_manifest
 from .neardup import op7_near_duplicates
+from .neighbours import op12_nearest_neighbours
 from .packing import op6_packing
 from .quality import op1_quality
 from .sufdedup import op5_suffix_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_binary": op9_token_binary,
     "op10_language_id": op10_language_id,
     "op11_filter_audit": op11_filter_audit,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op11_filter_audit": OP11_SQL, "op13_merkle_manifest": OP13_SQL}

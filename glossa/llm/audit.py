@@ -156,7 +156,7 @@ def with_copies(rows: DataFrame, *, share: int = HOT_SHARE) -> tuple[DataFrame,
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The five filters over docs (doc_id, text, lang) with labels (doc_id, quality, toxic): a row a part, order and step."""
-    rows = materialize(text_filters(docs), "filters", light=True)
+    rows = materialize(text_filters(docs), "filters")
     marked, least = with_copies(rows)
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     counts = materialize(passing_counts(marked.drop("digest").join(known, "doc_id", "left"), list(LETTERS), ["good", "toxic"]), "counts", light=True)

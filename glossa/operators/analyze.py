@@ -120,7 +120,7 @@ def pmi(docs: DataFrame, *, least: int = 2, k: int = 50, parts: int | None = Non
     words = inside.groupBy("x").agg(F.sum("n").alias("n"))
     total = words.agg(F.sum("n").alias("total"))
     joined = pairs.join(words.toDF("x", "nx"), "x").join(words.toDF("y", "ny"), "y").join(F.broadcast(total))
-    score = F.bround(F.log2(F.col("frequency") * F.col("total") / (F.col("nx") * F.col("ny"))), 3)
+    score = T.rounded(F.log2((F.col("frequency") / F.col("total")) / ((F.col("nx") / F.col("total")) * (F.col("ny") / F.col("total")))), 3)
     out = joined.select(F.concat_ws(" ", "x", "y").alias("expression"), "frequency", score.alias("pmi"))
     return out.orderBy(F.desc("pmi"), F.desc("frequency"), "expression").limit(k)
 
@@ -167,7 +167,7 @@ def domain_shares(rows: DataFrame, domains: dict[str, Sequence[str]]) -> DataFra
     """rows, whose column w holds the content lemmas, with each domain's share and the best domain as field."""
     counted = rows.withColumns({f"__{name}": F.size(F.filter("w", member(keys))) for name, keys in domains.items()})
     total = sum((F.col(f"__{d}") for d in domains), F.lit(0))
-    shares = counted.withColumns({d: F.when(total == 0, 0.0).otherwise(F.bround(F.try_divide(F.col(f"__{d}").cast("double"), total), 4)) for d in domains})
+    shares = counted.withColumns({d: F.when(total == 0, 0.0).otherwise(T.rounded(F.try_divide(F.col(f"__{d}").cast("double"), total), 4)) for d in domains})
     best = F.greatest(*[F.col(d) for d in domains])
     field = F.when(best == 0, "unknown")
     for d in domains:
@@ -329,9 +329,9 @@ def scores(docs: DataFrame, domains: dict[str, Sequence[str]] = L.DOMAINS) -> Da
 
 def exam_value(counts: DataFrame) -> DataFrame:
     """counts: doc_id, domain_terms, senses, patterns (nulls are none)."""
-    part = lambda c, w: F.least(F.coalesce(F.col(c), F.lit(0)), F.lit(10)) * w
-    hundredths = F.lit(300) + part("domain_terms", 25) + part("senses", 35) + part("patterns", 20)  # whole numbers: ties round alike
-    return counts.select("doc_id", F.bround(F.least(hundredths, F.lit(1000)) / 100, 1).alias("exam_value"))
+    part = lambda c, w: F.least(F.coalesce(F.col(c), F.lit(0)), F.lit(10)) * F.lit(w)
+    score = F.lit(3.0) + part("domain_terms", 0.25) + part("senses", 0.35) + part("patterns", 0.2)
+    return counts.select("doc_id", T.rounded(F.least(score, F.lit(10.0)), 1).alias("exam_value"))
 
 
 def quality(articles: DataFrame, *, prefer: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -346,7 +346,7 @@ def quality(articles: DataFrame, *, prefer: Sequence[str] = (), exclude: Sequenc
     mean = F.col("token_count") / F.greatest(F.col("sentence_count"), F.lit(1))
     blob = F.concat(F.col("title_blob"), F.lit(" "), F.array_join(F.slice("w", 1, 250), " "))
     base = base.withColumns({
-        "pattern_count": F.size(codes), "pattern_diversity": F.size(F.array_distinct(codes)), "polysemy_count": senses, "avg_sentence_len": F.bround(mean, 2),
+        "pattern_count": F.size(codes), "pattern_diversity": F.size(F.array_distinct(codes)), "polysemy_count": senses, "avg_sentence_len": T.rounded(mean, 2),
         "preferred": T.keyword_hits(blob, [*L.TOPICS, *prefer]), "excluded": T.keyword_hits(F.col("title_blob"), [*L.EXCLUDED_TOPICS, *exclude]), "boilerplate_hits": T.boilerplate(F.col("text")),
     })
     weight = F.when(F.lower("source").isin(L.BOOSTED_SOURCES), F.greatest(F.col("weight"), F.lit(1.1))).otherwise(F.least(F.col("weight"), F.lit(0.75)))
@@ -364,7 +364,7 @@ def quality(articles: DataFrame, *, prefer: Sequence[str] = (), exclude: Sequenc
     ) * weight
     exam = F.coalesce(F.col("corpus_type") == "kaoyan_exam", F.lit(False))
     gate = F.struct(
-        F.when(exam, 10.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(score, F.lit(10.0))), 2)).alias("quality_score"),
+        F.when(exam, 10.0).otherwise(T.rounded(F.greatest(F.lit(0.0), F.least(score, F.lit(10.0))), 2)).alias("quality_score"),
         (exam | ((F.size("excluded") == 0) & (F.col("token_count") >= 450))).alias("quality_keep"),
         F.array_join("boilerplate_hits", ",").alias("boilerplate"),
     )

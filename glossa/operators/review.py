@@ -163,11 +163,11 @@ def classify(entries: DataFrame, profiles: dict[str, Sequence[str]], aliases: di
     some = F.size("__r") > 0
     first = F.when(some, F.get("__r", F.lit(0))["name"])
     best = F.when(some, -F.get("__r", F.lit(0))["low"]).otherwise(0.0)
-    sure = F.when(some, F.bround((best - second) / F.greatest(best, F.lit(1.0)), 3)).otherwise(0.0)
+    sure = F.when(some, T.rounded((best - second) / F.greatest(best, F.lit(1.0)), 3)).otherwise(0.0)
     fallback = domain_of(F.col("field"), word, F.col("gloss") if "gloss" in entries.columns else F.lit(""), aliases=aliases, general=general)
     domain = F.when(~some, fallback).when((best < 2.5) | (sure < 0.18), general).otherwise(first)
     # by a generator of one row: filters on the outcome are not pushed below it, which would repeat these expressions
-    found = F.struct(domain.alias("domain"), F.bround(best, 2).alias("score"), sure.alias("confidence"))
+    found = F.struct(domain.alias("domain"), T.rounded(best, 2).alias("score"), sure.alias("confidence"))
     return ranked.select(*entries.columns, F.inline(F.array(found)))
 
 

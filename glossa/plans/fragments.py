@@ -17,6 +17,11 @@ def mapping(table: dict) -> str:
     return "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in table.items()) + "}"
 
 
+def rounded(value: str, digits: int) -> str:
+    """By the decimal expansion of the double's binary amount."""
+    return f"format('{{:.{digits}f}}', ({value})::DOUBLE)::DOUBLE"
+
+
 SPACE = r"[\s\x0b\x{85}\p{Z}]"
 
 

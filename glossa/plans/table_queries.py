@@ -147,8 +147,8 @@ def score_sql(i: int, name: str) -> str:
 
 
 CLASSED = f"""{AGG_VOCAB}, cs AS (SELECT *, list_sort(list_transform(list_filter([{', '.join(score_sql(i, n) for i, n in enumerate(NAMED))}], lambda x: x IS NOT NULL), lambda x: {{'low': -x.score, 'ord': x.ord, 'name': x.name}})) AS rk FROM av),
-cl AS (SELECT * EXCLUDE (rk), CASE WHEN len(rk) = 0 THEN coalesce(map_extract({D.mapping(ALIAS)}, field)[1], 'general_academic') WHEN -rk[1].low < 2.5 OR round_even((-rk[1].low - coalesce(-rk[2].low, 0)) / greatest(-rk[1].low, 1.0), 3) < 0.18 THEN 'general_academic' ELSE rk[1].name END AS domain,
- CASE WHEN len(rk) = 0 THEN 0.0 ELSE round_even(-rk[1].low, 2) END::DOUBLE AS score, CASE WHEN len(rk) = 0 THEN 0.0 ELSE round_even((-rk[1].low - coalesce(-rk[2].low, 0)) / greatest(-rk[1].low, 1.0), 3) END::DOUBLE AS confidence FROM cs)"""
+cl AS (SELECT * EXCLUDE (rk), CASE WHEN len(rk) = 0 THEN coalesce(map_extract({D.mapping(ALIAS)}, field)[1], 'general_academic') WHEN -rk[1].low < 2.5 OR {D.rounded('(-rk[1].low - coalesce(-rk[2].low, 0)) / greatest(-rk[1].low, 1.0)', 3)} < 0.18 THEN 'general_academic' ELSE rk[1].name END AS domain,
+ CASE WHEN len(rk) = 0 THEN 0.0 ELSE {D.rounded('-rk[1].low', 2)} END::DOUBLE AS score, CASE WHEN len(rk) = 0 THEN 0.0 ELSE {D.rounded('(-rk[1].low - coalesce(-rk[2].low, 0)) / greatest(-rk[1].low, 1.0)', 3)} END::DOUBLE AS confidence FROM cs)"""
 
 
 def classified(spark, d):

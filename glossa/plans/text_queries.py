@@ -65,7 +65,7 @@ def ngram_topk_per_doc(spark, d):
 
 @query(f"""WITH {D.R}, q AS (SELECT token AS x, lead(token) OVER (ORDER BY doc_id, pos) AS y FROM r),
 p AS (SELECT x, y, count(*) AS frequency FROM q WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 2), u AS (SELECT token, count(*) AS n FROM r GROUP BY token), t AS (SELECT count(*) AS total FROM r)
-SELECT x || ' ' || y AS expression, frequency, round_even(log2(frequency * total / (a.n * b.n)), 3) AS pmi FROM p JOIN u a ON a.token = x JOIN u b ON b.token = y, t ORDER BY pmi DESC, frequency DESC, expression LIMIT 50""")
+SELECT x || ' ' || y AS expression, frequency, {D.rounded('log2((frequency / total) / ((a.n / total) * (b.n / total)))', 3)} AS pmi FROM p JOIN u a ON a.token = x JOIN u b ON b.token = y, t ORDER BY pmi DESC, frequency DESC, expression LIMIT 50""")
 def pmi_bigrams(spark, d):
     return analyze.pmi(table(spark, d, "documents"))
 
@@ -98,7 +98,8 @@ def word_context(spark, d):
     return analyze.sentence_rows(table(spark, d, "documents")).where(F.contains(F.lower("sentence"), F.lit("tion"))).groupBy("doc_id").agg(F.min_by("sentence", "pos").alias("sentence"))
 
 
-DIFFICULTY = "CASE WHEN len(w) = 0 THEN 1.0 ELSE round_even(least(2.0 + len(list_distinct(w)) / len(w) * 2.0 + least(len(w) / greatest(len(ss), 1) / 18, 1.5) + len(list_filter(w, lambda x: len(x) >= 9)) / len(w) * 4.0, 10.0), 1) END"
+SCORE = "least(2.0 + len(list_distinct(w)) / len(w) * 2.0 + least(len(w) / greatest(len(ss), 1) / 18, 1.5) + len(list_filter(w, lambda x: len(x) >= 9)) / len(w) * 4.0, 10.0)"
+DIFFICULTY = f"CASE WHEN len(w) = 0 THEN 1.0 ELSE {D.rounded(SCORE, 1)} END"
 
 
 @query(f"WITH c AS (SELECT doc_id, {D.content('text')} AS w, {D.sentences('text')} AS ss FROM documents) SELECT doc_id, ({DIFFICULTY})::DOUBLE AS difficulty FROM c")
@@ -108,7 +109,7 @@ def difficulty(spark, d):
 
 HITS = ", ".join(f"len(list_filter(w, lambda x: list_contains({D.listing(k)}, x))) AS {n}" for n, k in DOMAINS.items())
 TOTAL = " + ".join(DOMAINS)
-DOMAIN = f"{D.C}, h AS (SELECT doc_id, {HITS} FROM c), p AS (SELECT doc_id, {', '.join(f'CASE WHEN {TOTAL} = 0 THEN 0.0 ELSE round_even({n} / ({TOTAL}), 4) END::DOUBLE AS {n}' for n in DOMAINS)} FROM h)"
+DOMAIN = f"{D.C}, h AS (SELECT doc_id, {HITS} FROM c), p AS (SELECT doc_id, {', '.join(f'CASE WHEN {TOTAL} = 0 THEN 0.0 ELSE {D.rounded(f"{n} / ({TOTAL})", 4)} END::DOUBLE AS {n}' for n in DOMAINS)} FROM h)"
 BEST = "CASE WHEN greatest(first, second, third) = 0 THEN 'unknown' WHEN first = greatest(first, second, third) THEN 'first' WHEN second = greatest(first, second, third) THEN 'second' ELSE 'third' END"
 
 
@@ -162,10 +163,10 @@ def aggregate_polysemy(spark, d):
 
 
 TEXT, LENGTH = D.squeezed("sentence"), f"len({D.squeezed('sentence')})"
-QUALITY = f"""round_even((CASE WHEN {LENGTH} BETWEEN 70 AND 240 THEN 4.0 WHEN {LENGTH} BETWEEN 45 AND 320 THEN 2.0 ELSE -least(abs({LENGTH} - 150) / 80, 4.0) END
+QUALITY = D.rounded(f"""(CASE WHEN {LENGTH} BETWEEN 70 AND 240 THEN 4.0 WHEN {LENGTH} BETWEEN 45 AND 320 THEN 2.0 ELSE -least(abs({LENGTH} - 150) / 80, 4.0) END
  + CASE WHEN len(regexp_extract_all({TEXT}, '[A-Za-z]+(?:[-''][A-Za-z]+)?')) BETWEEN 14 AND 42 THEN 3.0 WHEN len(regexp_extract_all({TEXT}, '[A-Za-z]+(?:[-''][A-Za-z]+)?')) BETWEEN 9 AND 55 THEN 1.0 ELSE -1.5 END
  + CASE WHEN right({TEXT}, 1) IN ('.', '!', '?', '"', '”', '’') THEN 0.5 ELSE 0 END + CASE WHEN pattern <> '' AND contains(lower({TEXT}), lower(pattern)) THEN 0.8 ELSE 0 END
- + CASE WHEN lower(source) IN ('kaoyan_exam', 'pastpapers.cn') THEN 1.5 ELSE 0 END - CASE WHEN regexp_matches(lower({TEXT}), 'subscribe|sign up|newsletter|all rights reserved') THEN 6.0 ELSE 0 END - CASE WHEN {LENGTH} > 420 THEN 5.0 ELSE 0 END)::DOUBLE, 3)"""
+ + CASE WHEN lower(source) IN ('kaoyan_exam', 'pastpapers.cn') THEN 1.5 ELSE 0 END - CASE WHEN regexp_matches(lower({TEXT}), 'subscribe|sign up|newsletter|all rights reserved') THEN 6.0 ELSE 0 END - CASE WHEN {LENGTH} > 420 THEN 5.0 ELSE 0 END)""", 3)
 PRIORITY = "CASE type " + " ".join(f"WHEN {D.quoted(c)} THEN {p}" for c, _, p, _ in L.PATTERNS) + " ELSE 1 END"
 PATTERN_GROUPS = f"""o AS (SELECT *, {QUALITY} AS quality, lower({TEXT}) AS plain FROM pr QUALIFY row_number() OVER (PARTITION BY doc_id, type, sentence ORDER BY ord) = 1),
 ex AS (SELECT *, row_number() OVER (PARTITION BY type, lower(pattern) ORDER BY quality DESC, doc_id, ord) AS rk FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY type, lower(pattern), plain ORDER BY quality DESC, doc_id, ord) = 1)),
@@ -290,8 +291,8 @@ BOILER = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {D.quoted('|'.j
 GATE = f"""WITH a AS (SELECT doc_id, lower('Title ' || left(text, 20) || ' ') AS blob, CASE WHEN source = 'src1' THEN 1.137 ELSE 0.731 END AS weight, doc_id % 50 = 0 AS exam, text, {D.content('text')} AS w, {D.sentences('text')} AS ss FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
 a2 AS (SELECT *, list_transform(ss, lambda x: {D.plain('x')}) AS ps FROM a),
 b AS (SELECT *, {PATTERN_LIST} AS pl, {SENSE_COUNT} AS polysemy_count, list_filter({BOILER}, lambda y: y IS NOT NULL) AS bl, {keyword_count("blob || ' ' || array_to_string(list_slice(w, 1, 250), ' ')", L.TOPICS)} AS pref, {keyword_count('blob', L.EXCLUDED_TOPICS)} AS excl, len(w) / greatest(len(ss), 1) AS mean FROM a2),
-e AS (SELECT *, (1.5 + CASE WHEN len(w) >= 900 THEN 1.5 WHEN len(w) >= 450 THEN 0.8 ELSE -1.5 END + CASE WHEN mean BETWEEN 18 AND 38 THEN 1.2 WHEN mean > 38 THEN 0.6 ELSE 0 END + least(1.4, 0.25 * pref) - CASE WHEN excl > 0 THEN 3.0 ELSE 0 END + least(1.2, 0.25 * polysemy_count) + least(1.0, 0.16 * len(list_distinct(pl))) - least(2.0, 0.5 * len(bl)) - CASE WHEN len(ss) <= 5 OR regexp_matches(lower(left(text, 400)), 'reuters|associated press') THEN 1.0 ELSE 0 END)::DOUBLE * weight AS score FROM b)
-SELECT doc_id, len(w) AS token_count, len(ss) AS sentence_count, round_even(mean, 2) AS avg_sentence_len, polysemy_count, len(pl) AS pattern_count, len(list_distinct(pl)) AS pattern_diversity, CASE WHEN exam THEN 10.0 ELSE round_even(greatest(0.0, least(score, 10.0)), 2) END::DOUBLE AS quality_score, exam OR (excl = 0 AND len(w) >= 450) AS quality_keep, array_to_string(bl, ',') AS boilerplate FROM e"""
+e AS (SELECT *, (1.5::DOUBLE + CASE WHEN len(w) >= 900 THEN 1.5 WHEN len(w) >= 450 THEN 0.8 ELSE -1.5 END + CASE WHEN mean BETWEEN 18 AND 38 THEN 1.2 WHEN mean > 38 THEN 0.6 ELSE 0 END + least(1.4, 0.25 * pref) - CASE WHEN excl > 0 THEN 3.0 ELSE 0 END + least(1.2, 0.25 * polysemy_count) + least(1.0, 0.16::DOUBLE * len(list_distinct(pl))) - least(2.0, 0.5 * len(bl)) - CASE WHEN len(ss) <= 5 OR regexp_matches(lower(left(text, 400)), 'reuters|associated press') THEN 1.0 ELSE 0 END)::DOUBLE * weight AS score FROM b)
+SELECT doc_id, len(w) AS token_count, len(ss) AS sentence_count, {D.rounded('mean', 2)} AS avg_sentence_len, polysemy_count, len(pl) AS pattern_count, len(list_distinct(pl)) AS pattern_diversity, CASE WHEN exam THEN 10.0 ELSE {D.rounded('greatest(0.0, least(score, 10.0))', 2)} END::DOUBLE AS quality_score, exam OR (excl = 0 AND len(w) >= 450) AS quality_keep, array_to_string(bl, ',') AS boilerplate FROM e"""
 
 
 @query(GATE)
@@ -344,7 +345,7 @@ def aggregate_collocations(spark, d):
 
 @query(f"""WITH {FXS}, {PATTERNS}, {SENSE_ROWS}, pn AS (SELECT doc_id, count(*) AS p FROM pr GROUP BY doc_id), qn AS (SELECT doc_id, count(*) AS q FROM sr GROUP BY doc_id),
 tw AS (SELECT doc_id, unnest(list_distinct({D.content('text')})) AS word FROM articles), tn AS (SELECT doc_id, count(*) AS t FROM tw WHERE list_contains({D.listing(sorted({w for ws in L.DOMAINS.values() for w in ws}))}, word) GROUP BY doc_id)
-SELECT a.doc_id, round_even(least(300 + least(coalesce(t, 0), 10) * 25 + least(coalesce(q, 0), 10) * 35 + least(coalesce(p, 0), 10) * 20, 1000) / 100, 1) AS exam_value FROM articles a LEFT JOIN pn USING (doc_id) LEFT JOIN qn USING (doc_id) LEFT JOIN tn USING (doc_id)""")
+SELECT a.doc_id, {D.rounded('least(3::DOUBLE + least(coalesce(t, 0), 10) * 0.25::DOUBLE + least(coalesce(q, 0), 10) * 0.35::DOUBLE + least(coalesce(p, 0), 10) * 0.2::DOUBLE, 10::DOUBLE)', 1)} AS exam_value FROM articles a LEFT JOIN pn USING (doc_id) LEFT JOIN qn USING (doc_id) LEFT JOIN tn USING (doc_id)""")
 def exam_value(spark, d):
     """Domain terms here: distinct keywords of any domain."""
     docs = corpus(spark, d)

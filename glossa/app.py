@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from . import config as settings
 from .functions import lexicon as L
 from .functions import text as T
-from .operators import aggregate, analyze, export, material, payloads, review, serve
+from .operators import aggregate, analyze, dictionary, export, material, payloads, review, serve
 from .operators.store import Store, keep_payload, merge_personal
 from .sources import files
+from .sources.work import written
 
 ARTICLE = ["id", "title", "source", "url", "published_at", "field", "text", "metadata_json", "created_at"]
 
@@ -218,14 +219,13 @@ class Corpus:
         rows = first.join(F.broadcast(known), "source").join(read, "url")
         plain = lambda c: F.coalesce(F.col(c), F.lit(""))
         rows = rows.withColumns({"title": F.coalesce(F.nullif("page_title", F.lit("")), F.nullif(T.squeezed(F.col("title")), F.lit("")), F.col("url")), "published_at": plain("published_at")})
-        scored = None
-        for s in chosen:  # a source's own keywords are part of its rules
-            docs = rows.where(F.col("source") == s.name).withColumns({"doc_id": F.col("url"), "corpus_type": F.lit(None).cast("string")})
-            marks = analyze.quality(docs, prefer=s.prefer_keywords, exclude=s.exclude_keywords).select(F.col("doc_id").alias("url"), F.lit(s.name).alias("source"), "quality_score", "quality_keep")
-            scored = marks if scored is None else scored.unionByName(marks)
+        own = [(s.name, kind, k) for s in chosen for kind, keys in (("prefer", s.prefer_keywords), ("exclude", s.exclude_keywords)) for k in keys]
+        rules = analyze.source_rules(self.spark.createDataFrame(own, "source string, kind string, keyword string"))
+        docs = rows.join(rules, "source", "left").withColumns({"doc_id": F.col("url"), "corpus_type": F.lit(None).cast("string")})
+        scored = analyze.quality(docs, keep=rows.columns).select(*rows.columns, "quality_score", "quality_keep")
         seen = self.articles().select("url") if self.store.exists("articles") else self.spark.createDataFrame([], "url string")
         target = crawler.max_articles_per_source if limit is None else limit
-        good = files.accepted(rows.join(scored, ["source", "url"]), seen, least_chars=crawler.min_text_chars, least_score=crawler.min_quality_score, target=target, multiplier=crawler.candidate_multiplier)
+        good = files.accepted(scored, seen, least_chars=crawler.min_text_chars, least_score=crawler.min_quality_score, target=target, multiplier=crawler.candidate_multiplier)
         about = F.to_json(F.struct("site_name", "author", "date", "description", F.col("category").alias("source_category"), F.col("reliability").alias("source_reliability"), F.col("weight").alias("source_quality_weight"), "min_quality_score", "quality_score", "quality_keep"))
         # one article a url, whichever sources lead to it: the first source by name order of the settings
         place = T.mapped(F.col("source"), {s.name: str(i) for i, s in enumerate(chosen)}, F.lit("0")).cast("int")
@@ -257,15 +257,17 @@ class Corpus:
         export.write_lines(export.index_lines(arts, tables["analyses"]), f"{path}/index", "Index", ["Title", "Source", "Field", "Difficulty", "Exam value"], *facts)
         export.write_cards(words, f"{path}/cards")
 
-    def pattern_guide(self, seeds: list[dict] | None = None) -> str:
-        """The guide to sentence patterns in Markdown."""
-        return material.pattern_guide(seeds or [], aggregate.diversified(aggregate.patterns(self.store.read("sentence_patterns"))))
+    def pattern_guide(self, seeds: list[dict] | None = None) -> DataFrame:
+        """(body), one row: the guide to sentence patterns in Markdown."""
+        rows = [(i, *[p.get(c) for c in ("pattern", "function", "chinese", "example")], int(p.get("importance") or 0)) for i, p in enumerate(seeds or [])]
+        chosen = aggregate.diversified(aggregate.patterns(self.store.read("sentence_patterns")))
+        return material.pattern_guide(self.spark.createDataFrame(rows, material.PATTERN), chosen)
 
-    def book(self, profiles: dict, *, seed: str | None = None, limits: dict = review.LIMITS, dictionary: DataFrame | None = None) -> dict[str, str]:
-        """The review book as Markdown by file name: an index, a chapter a domain, patterns, appendix, plan.
+    def book(self, profiles: dict, *, seed: str | None = None, limits: dict = review.LIMITS, glosses: DataFrame | None = None, single: bool = False) -> DataFrame:
+        """(name, body): the review book in Markdown as files: an index, a chapter a domain, patterns, appendix, plan; or one document.
 
         profiles: keywords of each domain. seed: path of a seed book. Chapters hold the seed's entries and the corpus words
-        within the limits, which bounds what reaches the driver.
+        within the limits.
         """
         arts = self.articles()
         if seed:
@@ -285,34 +287,42 @@ class Corpus:
         marked = aggregate.capped(admitted, limits, order)
         kept = marked.where("NOT overflow")
         rejected = rows.where(~F.coalesce(review.admitted(), F.lit(False))).unionByName(marked.where("overflow").select(*rows.columns))
-        if dictionary is None:
-            dictionary = self.spark.createDataFrame([], "word string, phonetic string, zh string, en string")
+        known = glosses if glosses is not None else self.spark.createDataFrame([], "word string, phonetic string, zh string, en string")
         own = entries.withColumns({"word": F.col("headword"), "category": F.col("kind"), "seed": F.lit(True), "frequency": F.lit(0).cast("long"), "article_count": F.lit(0).cast("long"), "example_sentence": F.lit("")})
         corpus = kept.withColumns({"seed": F.lit(False), "ord": F.col("rank"), "pos": F.lit("")}).select("domain", "ord", "word", "category", "importance", "frequency", "article_count", "example_sentence", "seed", "pos")
-        every = material.with_details(own.unionByName(corpus, allowMissingColumns=True), dictionary)
+        every = material.with_details(own.unionByName(corpus, allowMissingColumns=True), known)
         # entries without an example of their own show one of the corpus
         bare = every.where((F.coalesce("example_sentence", F.lit("")) == "") & (F.coalesce(F.size("examples"), F.lit(0)) <= 0))
-        hits = material.corpus_hits(bare.select(F.col("word").alias("headword")), words, found).where("rank = 1")
+        hits = material.corpus_hits(bare.select(F.col("word").alias("headword")), words, found, k=1)
         hits = hits.select(F.col("headword").alias("word"), F.col("example_sentence").alias("__example"), material.hit_source(hits).alias("__source"))
         every = every.withColumn("source", material.hit_source(every)).join(hits, "word", "left")
         need = (F.coalesce("example_sentence", F.lit("")) == "") & (F.coalesce(F.size("examples"), F.lit(0)) <= 0)
         every = every.withColumns({"source": F.when(need, F.col("__source")).otherwise(F.col("source")), "example_sentence": F.when(need, F.col("__example")).otherwise(F.col("example_sentence"))}).drop("__example", "__source")
-        title = about.get("title", "Review book")
-        out = {f"{T.file_name(r['title'])}.md": f"# {title} - {r['title']}\n\n{r['body']}\n" for r in material.chapters(every, domains).orderBy("ord").collect()}
-        titles = [r["title"] for r in domains.orderBy("ord").collect()]
-        quick = [r["line"] for r in material.quick_list(entries, domains).orderBy("place", "ord").collect()]
         labels = material.LABELS
-        out[f"{T.file_name(labels['templates'])}.md"] = f"# {title}\n\n{self.pattern_guide(templates)}\n"
-        late = material.appendix(material.appendix_words(rejected, seeds), material.expression_candidates(found))
-        out[f"{T.file_name(labels['appendix'])}.md"] = f"# {title}\n\n{late}\n"
-        out[f"{T.file_name(labels['plan'])}.md"] = f"# {title}\n\n{material.plan()}\n"
-        out["index.md"] = material.index(about, titles, quick) + "\n"
-        return out
+        late = {
+            labels["templates"]: self.pattern_guide(templates),
+            labels["appendix"]: material.appendix(material.appendix_words(rejected, seeds), material.expression_candidates(found)),
+            labels["plan"]: material.plan(),
+        }
+        pages, quick = material.book_pages(material.chapters(every, domains), domains, late), material.quick_list(entries, domains)
+        return material.whole_book(pages, quick, about) if single else material.book_files(pages, quick, about)
 
     def write_book(self, path: str, profiles: dict, **options) -> list[str]:
-        book = self.book(profiles, **options)
-        export.write_files(self.spark, book, path)
-        return list(book)
+        """The book's files below path, written by the executors; their names."""
+        book = written(self.book(profiles, **options))
+        export.write_files(book, path)
+        return [r["name"] for r in book.select("name").orderBy("name").collect()]  # a row a chapter
+
+    def define(self, words: DataFrame, tables: list[DataFrame], *, remote=None, model=None, **options) -> DataFrame:
+        """(word, phonetic, zh, en, pos) of words (word): from the stored cache, else from tables, a remote dictionary, a model.
+
+        What is learned, also that a word is known nowhere, is merged into the cache's buckets before anything is returned.
+        """
+        cache = self.store.read("dictionary") if self.store.exists("dictionary") else self.spark.createDataFrame([], dictionary.CACHE)
+        found = dictionary.looked_up(words, cache, tables, remote=remote, model=model, **options)
+        self.store.merge("dictionary", dictionary.cache_rows(found), "word", keep=())
+        asked = words.select(dictionary.word_key(F.col("word")).alias("word")).where("word <> ''").distinct()
+        return asked.join(self.store.read("dictionary"), "word", "left").select("word", *[F.coalesce(c, F.lit("")).alias(c) for c in dictionary.FIELDS])
 
     def health(self) -> dict:
         """Row counts of the tables, distinct lemmas, and the fields of the analyses."""
@@ -382,7 +392,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "book":
         print("\n".join(corpus.write_book(args.path, settings.read(args.profiles), seed=args.seed)))
     elif args.command == "patterns":
-        export.write_files(spark, {"patterns.md": corpus.pattern_guide() + "\n"}, args.path)
+        export.write_files(corpus.pattern_guide().withColumn("name", F.lit("patterns.md")), args.path)
     elif args.command == "topics":
         print("\n".join(corpus.topics()))
     elif args.command == "reselect":

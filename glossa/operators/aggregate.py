@@ -87,49 +87,75 @@ def merge_vocabulary(rows: DataFrame) -> DataFrame:
     )
 
 
-def within_caps(rows: DataFrame, limits: dict[str, int], order: list[Column], *, group: str = "domain", default: int = 160) -> DataFrame:
+Order = Sequence[tuple[Column, bool]]
+
+
+def sorting(order: Order) -> list[Column]:
+    """Sort columns of (value, whether large ones come first)."""
+    return [c.desc() if down else c.asc() for c, down in order]
+
+
+def limit_of(group: str, limits: dict[str, int], default: int) -> Column:
+    return T.mapped(F.col(group), {g: str(n) for g, n in limits.items()}, F.lit(str(default))).cast("int")
+
+
+def within_caps(rows: DataFrame, limits: dict[str, int], order: Order, *, group: str = "domain", default: int = 160) -> DataFrame:
     """Each group's first rows, up to its limit, with their rank. Spark prunes each task's rows before the shuffle."""
-    limit = T.mapped(F.col(group), {g: str(n) for g, n in limits.items()}, F.lit(str(default))).cast("int")
-    return top_per_group(rows, [group], order, max([default, *limits.values()])).where(F.col("rank") <= limit)
+    return top_per_group(rows, [group], sorting(order), max([default, *limits.values()])).where(F.col("rank") <= limit_of(group, limits, default))
 
 
-def capped(rows: DataFrame, limits: dict[str, int], order: list[Column], *, key: Sequence[str] = ("word",), group: str = "domain", default: int = 160) -> DataFrame:
-    """All rows: those within their group's limit with their rank, the others without one, as overflow.
+def cut_offs(rows: DataFrame, limits: dict[str, int], order: Order, *, group: str = "domain", default: int = 160) -> DataFrame:
+    """(group, cut): the order's values of the last row within the limit, a row for each group that has more or as many."""
+    values = F.struct(*[c.alias(f"v{i}") for i, (c, _) in enumerate(order)])
+    kept = within_caps(rows.select(group, values.alias("cut")), limits, [(F.col(f"cut.v{i}"), down) for i, (_, down) in enumerate(order)], group=group, default=default)
+    return kept.where(F.col("rank") == limit_of(group, limits, default)).select(group, "cut")
 
-    key tells the rows of a group apart. Only the rows within the limits, a bounded number, are ordered.
+
+def beyond(order: Order, cut: Column) -> Column:
+    """Whether a row comes after the one of the cut. Nulls come last in falling order and first in rising order, as in sorting."""
+    out = F.lit(False)
+    for i, (value, down) in reversed(list(enumerate(order))):
+        last = cut[f"v{i}"]
+        later = (value < last) | (value.isNull() & last.isNotNull()) if down else (value > last) | (value.isNotNull() & last.isNull())
+        out = F.coalesce(later, F.lit(False)) | (value.eqNullSafe(last) & out)
+    return out
+
+
+def capped(rows: DataFrame, limits: dict[str, int], order: Order, *, group: str = "domain", default: int = 160) -> DataFrame:
+    """All rows: those within their group's limit with their rank, the others without one, as overflow. The order must be total.
+
+    The first ones are one pass of a pruned ranking; the others one pass that compares with each group's cut-off, a row a
+    group. A filter on overflow leaves only the one or the other to be computed.
     """
-    kept = within_caps(rows, limits, order, group=group, default=default).select(group, *key, "rank")
-    out = rows.join(kept, [group, *key], "left").select(*rows.columns, "rank")
-    return out.withColumn("overflow", F.col("rank").isNull())
+    kept = within_caps(rows, limits, order, group=group, default=default).select(*rows.columns, "rank", F.lit(False).alias("overflow"))
+    cuts = cut_offs(rows, limits, order, group=group, default=default).withColumnRenamed(group, "__group")
+    over = rows.join(cuts, F.col(group) == F.col("__group")).where(beyond(order, F.col("cut")))
+    return kept.unionByName(over.select(*rows.columns, F.lit(None).cast("int").alias("rank"), F.lit(True).alias("overflow")))
 
 
-def diversified(rows: DataFrame, *, per_type: int = 4, limit: int = 40) -> list[dict]:
-    """Round-robin over types: in each round each type gives its next row whose example hasn't been used.
+def diversified(rows: DataFrame, *, per_type: int = 4, limit: int = 40) -> DataFrame:
+    """Round-robin over types: in each round each type gives its next row whose example hasn't been used; with place, from 0.
 
     rows: type, pattern, priority, article_count, frequency, example_quality, importance, example_sentence. At most
     ``limit`` rows come out; each type's first ``limit + per_type`` rows are enough, as at most ``limit`` examples can
-    be used up; the choice itself is sequential and runs on those on the driver.
+    be used up. The choice is a fold over the turns, in one row of those bounded lists; the type "other" has two turns.
     """
     labels = [label for _, label, _, _ in L.PATTERNS] + ["Other structure"]
     order = [F.desc((~F.col("pattern").isin(labels)).cast("int")), F.desc("article_count"), F.desc("frequency"), F.desc("example_quality"), F.desc("importance"), F.asc("pattern")]
     sizes = rows.groupBy("type").agg(F.count("*").alias("size"))
     some = top_per_group(rows, ["type"], order, limit + per_type).join(sizes, "type").withColumn("plain", F.lower(T.squeezed(F.col("example_sentence"))))
-    buckets: dict[str, list] = {}
-    for row in some.orderBy("type", "rank").collect():
-        buckets.setdefault(row["type"], []).append(row)
-    types = sorted((t for t in buckets if t != "other"), key=lambda t: (-buckets[t][0]["priority"], -buckets[t][0]["size"], t)) + (["other"] if "other" in buckets else [])
-    used, out, next_ = set(), [], dict.fromkeys(types, 0)
-    for turn in range(per_type):
-        for kind in types:
-            if kind == "other" and turn >= 2:
-                continue
-            while next_[kind] < len(buckets[kind]):
-                row = buckets[kind][next_[kind]]
-                next_[kind] += 1
-                if not row["plain"] or row["plain"] not in used:
-                    used.add(row["plain"])
-                    out.append(row.asDict())
-                    break
-            if len(out) >= limit:
-                return out
-    return out
+    entry = F.struct("rank", "plain", F.struct(*rows.columns).alias("row"))
+    lists = some.groupBy("type").agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.max_by("priority", -F.col("rank")).alias("priority"), F.first("size").alias("size"))
+    place = F.struct((F.col("type") == "other").alias("a"), (-F.col("priority")).alias("b"), (-F.col("size")).alias("c"), F.col("type").alias("d"), "entries")
+    whole = lists.groupBy().agg(F.sort_array(F.collect_list(place)).alias("types"))
+    turns = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(per_type - 1)), lambda turn: F.filter(F.col("types"), lambda t: ~t["a"] | (turn < 2))))
+    kind = lists.schema["entries"].dataType.simpleString()
+    start = F.struct(F.expr("array()").cast(kind).alias("taken"), F.expr("array()").cast("array<string>").alias("used"))
+
+    def take(state: Column, kind: Column) -> Column:
+        fit = F.filter(kind["entries"], lambda e: ((e["plain"] == "") | ~F.array_contains(state["used"], e["plain"])) & ~F.array_contains(state["taken"], e))
+        more = F.when(F.size(state["taken"]) < limit, F.slice(fit, 1, 1)).otherwise(F.slice(fit, 1, 0))
+        return F.struct(F.concat(state["taken"], more).alias("taken"), F.concat(state["used"], F.transform(more, lambda e: e["plain"])).alias("used"))
+
+    chosen = whole.select(F.posexplode(F.aggregate(turns, start, take, lambda s: s["taken"])).alias("place", "e"))
+    return chosen.select("place", "e.row.*")

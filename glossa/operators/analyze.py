@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..sources.work import written
 
 
 def token_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,16 +79,19 @@ def collocations(docs: DataFrame, k: int = 35, phrases=L.PHRASES, zipf: DataFram
         rows.append(F.when(found > 0, F.struct(F.lit(i).alias("ord"), F.lit(name).alias("expression"), found.cast("long").alias("frequency"), F.lit(kind).alias("type"), F.lit(5).alias("importance"), F.lit(meaning).alias("meaning"), example.alias("example_sentence"))))
     named = docs.select("doc_id", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("doc_id", "r.*")
     grams = top_ngrams(docs, k).join(named.select("doc_id", F.col("expression").alias("gram")), ["doc_id", "gram"], "left_anti")
-    # literally in a sentence: with a mark at every word boundary, that is a substring
-    edges = lambda c: F.regexp_replace(c, r"(?U)\b", "\u0001")
-    literal = F.contains(F.col("plain"), edges(F.col("gram"))) & (F.length("gram") >= 10)
-    worth = (F.col("frequency") >= 4) | literal
-    joined = grams.join(docs.select("doc_id", edges(F.lower(F.array_join(sents, "\n"))).alias("plain"), sents.alias("sents")), "doc_id")
     if zipf is not None:
-        rare = joined.select("doc_id", "gram", F.explode(F.split("gram", " ")).alias("word")).join(zipf, "word", "left").groupBy("doc_id", "gram").agg(F.min(F.coalesce("score", F.lit(0.0))).alias("least"))
-        joined, worth = joined.join(rare, ["doc_id", "gram"]), worth | (F.col("least") < 5.0)
-    holds = F.filter("sents", lambda s: F.contains(F.concat(F.lit(" "), F.array_join(T.content_tokens(s), " "), F.lit(" ")), F.concat(F.lit(" "), F.col("gram"), F.lit(" "))))
-    more = joined.where(worth).select("doc_id", (F.lit(100) + F.col("rank")).alias("ord"), F.col("gram").alias("expression"), "frequency", F.concat(F.col("n").cast("string"), F.lit("-gram")).alias("type"), F.least(F.lit(5), 1 + F.col("frequency")).cast("int").alias("importance"), F.lit("").alias("meaning"), F.coalesce(F.get(holds, F.lit(0)), F.lit("")).alias("example_sentence"))
+        rare = grams.select("doc_id", "gram", F.explode(F.split("gram", " ")).alias("word")).join(zipf, "word", "left").groupBy("doc_id", "gram").agg(F.min(F.coalesce("score", F.lit(0.0))).alias("least"))
+        grams = grams.join(rare, ["doc_id", "gram"])
+    least = F.col("least") if zipf is not None else F.lit(float("inf"))
+    lists = grams.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "gram", "n", "frequency", least.alias("least")))).alias("grams"))  # at most k
+    # a text meets its n-grams once: its sentences, and their words as one string each, serve all of them
+    edges = lambda c: F.regexp_replace(c, r"(?U)\b", "\u0001")  # noqa: E731  with a mark at every word boundary, "literally in a sentence" is a substring
+    words = lambda s: F.concat(F.lit(" "), F.array_join(T.content_tokens(s), " "), F.lit(" "))
+    texts = docs.select("doc_id", sents.alias("sents")).join(lists, "doc_id").withColumns({"plain": edges(F.lower(F.array_join("sents", "\n"))), "runs": F.transform("sents", words)})
+    worth = lambda g: (g["frequency"] >= 4) | (g["least"] < 5.0) | ((F.length(g["gram"]) >= 10) & F.contains(F.col("plain"), edges(g["gram"])))
+    holds = lambda g: F.filter(F.arrays_zip("sents", "runs"), lambda z: F.contains(z["runs"], F.concat(F.lit(" "), g["gram"], F.lit(" "))))
+    found = F.transform(F.filter("grams", worth), lambda g: F.struct(g["rank"].alias("rank"), g["gram"].alias("gram"), g["n"].alias("n"), g["frequency"].alias("frequency"), F.coalesce(F.get(holds(g), F.lit(0))["sents"], F.lit("")).alias("example")))
+    more = texts.select("doc_id", F.explode(found).alias("g")).select("doc_id", (F.lit(100) + F.col("g.rank")).alias("ord"), F.col("g.gram").alias("expression"), F.col("g.frequency").alias("frequency"), F.concat(F.col("g.n").cast("string"), F.lit("-gram")).alias("type"), F.least(F.lit(5), 1 + F.col("g.frequency")).cast("int").alias("importance"), F.lit("").alias("meaning"), F.col("g.example").alias("example_sentence"))
     return top_per_group(named.unionByName(more), ["doc_id"], [F.desc("frequency"), F.desc("importance"), F.asc("ord")], k).drop("ord")
 
 
@@ -103,16 +107,20 @@ def pmi(docs: DataFrame, *, least: int = 2, k: int = 50, parts: int | None = Non
     """Bigrams by pointwise mutual information over the corpus as one sequence in order of (doc_id, pos).
 
     Neighbours across texts are each text's last lemma and the next text's first. These edges are ordered inside ranges of
-    doc_id; only each range's first and last text meet over all ranges. Texts are scanned once for the pairs (a last
-    lemma pairs with null, so that words are counted by the same rows) and once for the edges.
+    doc_id; only each range's first and last text meet over all ranges. Texts are scanned once: pairs (a last lemma pairs with
+    null, so that words are counted by the same rows) and edges are one written table of counts, from which all else is read.
     """
     lists = docs.select("doc_id", T.content_tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     after = F.concat(F.expr("slice(w, 2, size(w) - 1)"), F.array(F.lit(None).cast("string")))
-    inside = lists.select(F.explode(F.arrays_zip(F.col("w").alias("x"), after.alias("y"))).alias("g")).select("g.x", "g.y").groupBy("x", "y").agg(F.count("*").alias("n"))
-    bounds = key_bounds(docs, "doc_id", parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nobody = F.lit(None).cast(lists.schema["doc_id"].dataType)
+    pair = F.transform(F.arrays_zip(F.col("w").alias("x"), after.alias("y")), lambda g: F.struct(nobody.alias("doc_id"), F.lit(None).cast("string").alias("first"), g["x"].alias("x"), g["y"].alias("y")))
+    edge = F.array(F.struct("doc_id", F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("x"), F.lit(None).cast("string").alias("y")))
+    counted = written(lists.select(F.explode(F.concat(pair, edge)).alias("r")).select("r.*").groupBy("doc_id", "first", "x", "y").agg(F.count("*").alias("n")))
+    inside = counted.where("first IS NULL").select("x", "y", "n")
+    edges = counted.where("first IS NOT NULL").select(F.explode(F.array_repeat(F.struct("doc_id", "first", "x"), F.col("n").cast("int"))).alias("r")).select("r.*")
+    bounds = key_bounds(edges, "doc_id", parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    edges = lists.select("doc_id", part.alias("part"), F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("x"))
-    edges = edges.withColumn("y", F.lead("first").over(W.partitionBy("part").orderBy("doc_id")))
+    edges = edges.withColumn("part", part).withColumn("y", F.lead("first").over(W.partitionBy("part").orderBy("doc_id")))
     ends = edges.groupBy("part").agg(F.min_by("first", "doc_id").alias("first"), F.max_by("x", "doc_id").alias("x"))
     ends = ends.select("x", F.lead("first").over(W.orderBy("part")).alias("y"))  # one row a range
     across = edges.select("x", "y").unionByName(ends).where("y IS NOT NULL").groupBy("x", "y").agg(F.count("*").alias("n"))
@@ -334,8 +342,38 @@ def exam_value(counts: DataFrame) -> DataFrame:
     return counts.select("doc_id", T.rounded(F.least(score, F.lit(10.0)), 1).alias("exam_value"))
 
 
-def quality(articles: DataFrame, *, prefer: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """Quality score and keep flag of articles (doc_id, title, url, source, text, corpus_type, reliability, weight)."""
+RULE = "array<struct<keyword:string,first:string,pattern:string>>"
+
+
+def source_rules(rules: DataFrame) -> DataFrame:
+    """(source, prefer, exclude) for quality, a row a source, from rules (source, kind: prefer or exclude, keyword).
+
+    A rule carries the first run of letters and digits of its keyword, by which a text's words find it, and its pattern.
+    """
+    low = F.lower("keyword")
+    edge = "[A-Za-z0-9_]"
+    pattern = F.concat(F.lit(f"(?<!{edge})"), F.regexp_replace(low, r"([^A-Za-z0-9_ ])", r"\\$1"), F.lit(f"(?!{edge})"))
+    rule = F.struct("keyword", F.regexp_extract(low, f"{edge}+", 0).alias("first"), pattern.alias("pattern"))
+    some = rules.where(F.coalesce("keyword", F.lit("")) != "").distinct()
+    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, rule))).alias(kind)
+    return some.groupBy("source").agg(of("prefer"), of("exclude"))
+
+
+def rule_hits(rules: Column, words: Column, text: Column) -> Column:
+    """Keywords of the rules that occur in the text as whole words; only rules whose first run is among its words are tried."""
+    return F.transform(F.filter(rules, lambda r: F.array_contains(words, r["first"]) & F.rlike(text, r["pattern"])), lambda r: r["keyword"])
+
+
+def runs(text: Column) -> Column:
+    return F.array_append(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0))), "")
+
+
+def quality(articles: DataFrame, *, prefer: Sequence[str] = (), exclude: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Quality score and keep flag of articles (doc_id, title, url, source, text, corpus_type, reliability, weight).
+
+    prefer, exclude: keywords for all; articles may also have columns of these names, of source_rules, with their source's own.
+    keep: further columns to carry along.
+    """
     words = T.content_tokens(F.col("text"))
     base = articles.withColumns({"w": words, "s": T.sentences(F.col("text"))}).withColumns({"token_count": F.size("w"), "sentence_count": F.size("s"), "title_blob": F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))))})
     codes = F.slice(F.flatten(F.transform("s", lambda x: T.pattern_codes(x))), 1, 60)
@@ -347,8 +385,12 @@ def quality(articles: DataFrame, *, prefer: Sequence[str] = (), exclude: Sequenc
     blob = F.concat(F.col("title_blob"), F.lit(" "), F.array_join(F.slice("w", 1, 250), " "))
     base = base.withColumns({
         "pattern_count": F.size(codes), "pattern_diversity": F.size(F.array_distinct(codes)), "polysemy_count": senses, "avg_sentence_len": T.rounded(mean, 2),
-        "preferred": T.keyword_hits(blob, [*L.TOPICS, *prefer]), "excluded": T.keyword_hits(F.col("title_blob"), [*L.EXCLUDED_TOPICS, *exclude]), "boilerplate_hits": T.boilerplate(F.col("text")),
+        "blob": blob, "preferred": T.keyword_hits(blob, [*L.TOPICS, *prefer]), "excluded": T.keyword_hits(F.col("title_blob"), [*L.EXCLUDED_TOPICS, *exclude]), "boilerplate_hits": T.boilerplate(F.col("text")),
     })
+    for own, found, where in (("prefer", "preferred", "blob"), ("exclude", "excluded", "title_blob")):
+        if own in articles.columns:
+            hits = F.when(F.size(own) > 0, rule_hits(F.col(own), runs(F.col(where)), F.col(where)))
+            base = base.withColumn(found, F.array_union(found, F.coalesce(hits, F.expr("array()").cast("array<string>"))))
     weight = F.when(F.lower("source").isin(L.BOOSTED_SOURCES), F.greatest(F.col("weight"), F.lit(1.1))).otherwise(F.least(F.col("weight"), F.lit(0.75)))
     cap = lambda c, by, most: F.least(F.lit(most), by * c)
     score = (
@@ -369,4 +411,4 @@ def quality(articles: DataFrame, *, prefer: Sequence[str] = (), exclude: Sequenc
         F.array_join("boilerplate_hits", ",").alias("boilerplate"),
     )
     # by a generator of one row: filters on the score are not pushed below it, which would repeat these expressions
-    return base.select("doc_id", "token_count", "sentence_count", "avg_sentence_len", "polysemy_count", "pattern_count", "pattern_diversity", F.inline(F.array(gate)))
+    return base.select("doc_id", *keep, "token_count", "sentence_count", "avg_sentence_len", "polysemy_count", "pattern_count", "pattern_diversity", F.inline(F.array(gate)))

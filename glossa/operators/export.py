@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..sources.sink import FileSink
 from .material import table_head as head
 from .material import table_line as line
 from .material import truncated
@@ -125,16 +126,10 @@ def write_lines(rows: DataFrame, path: str, title: str, columns: Sequence[str],
     spark.createDataFrame([(first,)], "value string").unionAll(rows.select(F.col("line").alias("value"))).write.mode("overwrite").text(path)
 
 
-def write_files(spark, files: dict[str, str], path: str) -> None:
-    """Few and bounded texts as files of these names below path, through Spark's file system."""
-    jvm = spark.sparkContext._jvm
-    for name, body in files.items():
-        target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
-        out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-        try:
-            out.write(bytearray(body.encode()))
-        finally:
-            out.close()
+def write_files(rows: DataFrame, path: str) -> None:
+    """Each of rows (name, body) as a file of its own below path, written by the executors and moved into place at the end."""
+    rows.sparkSession.dataSource.register(FileSink)
+    rows.select("name", "body").write.format(FileSink.name()).mode("append").save(path)
 
 
 def write_by(rows: DataFrame, path: str, column: str, body: str) -> None:

@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
 from . import review
+from .aggregate import Order, sorting
 from .analyze import top_per_group
 
 ENTRY = "domain string, ord int, headword string, kind string, pos string, importance int, chinese string, english string, common string, exam string, risk string, collocations array<string>, contrast array<struct<term:string,note:string>>, examples array<struct<sentence:string,zh:string>>"
@@ -35,6 +37,11 @@ LABELS = {
     "checked": ["Entry", "Suggested domain", "Class", "Frequency", "Articles", "Kept for"], "found": ["Expression", "Type", "Meaning", "Frequency", "Example"],
     "day": ["Day", "Task"], "local": "local corpus", "none": "No data.",
 }
+GUIDE = [
+    "Learn the special senses and the fixed pairs of a chapter first, then its domain terms.",
+    "Keep the sense in exams and the risk in mind, not only the translation.",
+    "Examples are the book's own or short excerpts of the corpus.",
+]
 PLAN = [
     ("Day 1", "Politics and law: issue, hold, find, case, challenge; at issue / take issue with."),
     ("Day 2", "Business and finance: acquisition, merger, takeover, capital, yield, regulation."),
@@ -112,9 +119,11 @@ def with_details(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(*values, F.col(f"__{c}"), F.lit("")) for c, values in filled.items()}).drop("__key", "__word", "__phonetic", "__zh", "__en")
 
 
-def corpus_hits(headwords: DataFrame, vocabulary: DataFrame, expressions: DataFrame) -> DataFrame:
+def corpus_hits(headwords: DataFrame, vocabulary: DataFrame, expressions: DataFrame, *, k: int | None = None) -> DataFrame:
     """Examples of the corpus for each headword: aggregated words first, then expressions; rank 1 is the one to show.
 
+    All of them, or the first k of each headword; k = 1 is an aggregate without a ranking.
+
     headwords: headword. vocabulary: word, field, category, frequency, article_count, sources, citation, example_sentence;
     expressions: expression, type, frequency, article_count, sources, example_sentence.
     """
@@ -124,7 +133,12 @@ def corpus_hits(headwords: DataFrame, vocabulary: DataFrame, expressions: DataFr
     rows = rows.where(F.coalesce("example_sentence", F.lit("")) != "")
     asked = headwords.select("headword").distinct().withColumn("key", F.lower("headword"))
     hits = asked.join(rows, "key").drop("key")
-    return top_per_group(hits, ["headword"], [F.asc("kind"), F.asc_nulls_first("field"), F.desc("frequency"), F.asc("group")], 1_000)
+    if k == 1:
+        place = F.struct("kind", F.col("field").isNotNull().alias("some"), "field", (-F.col("frequency")).alias("n"), "group")
+        others = [c for c in hits.columns if c != "headword"]
+        return hits.groupBy("headword").agg(F.min_by(F.struct(*others), place).alias("h")).select("headword", "h.*", F.lit(1).alias("rank"))
+    order = [F.asc("kind"), F.asc_nulls_first("field"), F.desc("frequency"), F.asc("group")]
+    return top_per_group(hits, ["headword"], order, k) if k else hits.withColumn("rank", F.row_number().over(W.partitionBy("headword").orderBy(*order)))
 
 
 def hit_source(rows: DataFrame, *, local: str = LABELS["local"]) -> Column:
@@ -164,14 +178,14 @@ def appendix_words(rejected: DataFrame, seeds: DataFrame, *, limit: int = 120, z
     return ranked_entries(fit).limit(limit)
 
 
-def entry_order(word: Column, category: Column, *, score: str = "score") -> list[Column]:
+def entry_order(word: Column, category: Column, *, score: str = "score") -> Order:
     """Entries by score, value, category, articles and frequency."""
     valued = word.isin([*L.HIGH_VALUE_TERMS, *L.HIGH_VALUE_PHRASES]).cast("int")
-    return [F.desc(score), F.desc(valued), F.desc(review.category_priority(category)), F.desc("article_count"), F.desc("frequency"), F.asc("word")]
+    return [(F.col(score), True), (valued, True), (review.category_priority(category), True), (F.col("article_count"), True), (F.col("frequency"), True), (F.col("word"), False)]
 
 
 def ranked_entries(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(*entry_order(F.lower(F.btrim("word")), F.col("category")))
+    return rows.orderBy(*sorting(entry_order(F.lower(F.btrim("word")), F.col("category"))))
 
 
 def expression_candidates(aggregated: DataFrame, *, limit: int = 80, **rules) -> DataFrame:
@@ -239,41 +253,83 @@ def quick_list(entries: DataFrame, domains: DataFrame, *, labels: dict = LABELS)
     return rows.select("place", "ord", "domain", F.col("headword").alias("word"), table_line(F.col("headword"), F.col("title"), F.col("chinese"), F.col("risk")).alias("line"))
 
 
-def pattern_guide(seeds: Sequence[dict], chosen: Sequence[dict], *, labels: dict = LABELS, names: dict[str, str] | None = None) -> str:
-    """The guide to sentence patterns: the seed's templates, then the chosen patterns of the corpus by type and priority."""
+def lines_of(*parts: Column | str) -> Column:
+    """Texts under each other; nulls are empty lines."""
+    return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def pattern_guide(seeds: DataFrame, chosen: DataFrame, *, labels: dict = LABELS, names: dict[str, str] | None = None) -> DataFrame:
+    """(body), one row: the guide to sentence patterns. seeds: as ``PATTERN``; chosen: of aggregate.diversified.
+
+    The seed's templates, then the chosen patterns of the corpus by type, the types by priority.
+    """
     names = names or {c: label for c, label, *_ in L.PATTERNS}
-    star = lambda n: "★" * max(0, min(5, int(n or 0)))
-    out = [f"## {labels['templates']}", ""]
-    for p in seeds:
-        out += [f"### {p['pattern']}", "", f"- {p['function']}", f"- {p['chinese']}", f"- {star(p['importance'])}", "", f"> {p['example']}", ""]
-    if chosen:
-        out += [f"## {labels['corpus']}", ""]
-    priority = {c: p for c, _, p, _ in L.PATTERNS}
-    for kind in sorted(dict.fromkeys(c["type"] for c in chosen), key=lambda t: -priority.get(t, 1)):
-        out += [f"### {names.get(kind, 'Other structure')}", ""]
-        for c in (c for c in chosen if c["type"] == kind):
-            example = " ".join((c["example_sentence"] or "").split())
-            out += [f"#### {c['pattern']}", "", f"- {int(c['frequency'] or 0)} times in {int(c['article_count'] or 0)} articles", f"- {star(c['importance'] or 3)}", *([f"- {c['example_source']}"] if c.get("example_source") else []), "", f"> {example if len(example) <= 240 else example[:237] + '...'}", ""]
-    return "\n".join(out)
-
-
-def appendix(words: DataFrame, expressions: DataFrame, *, labels: dict = LABELS) -> str:
-    """The appendix from appendix_words (with domain) and expression_candidates: at most their limits are collected."""
+    priority = T.mapped(F.col("type"), {c: str(p) for c, _, p, _ in L.PATTERNS}, F.lit("1")).cast("int")
+    dashed = lambda v: F.concat(F.lit("- "), v)
+    own = lines_of(F.concat(F.lit("### "), "pattern"), "", dashed(F.col("function")), dashed(F.col("chinese")), dashed(T.stars(F.col("importance"))), "", F.concat(F.lit("> "), "example"), "")
+    first = seeds.select("ord", own.alias("text")).groupBy().agg(joined("text", "ord").alias("templates"))
+    counts = F.format_string("- %d times in %d articles", F.coalesce("frequency", F.lit(0)).cast("long"), F.coalesce("article_count", F.lit(0)).cast("long"))
+    value = F.when(F.coalesce("importance", F.lit(0)) == 0, F.lit(3)).otherwise(F.col("importance"))
+    said = F.concat_ws("\n", dashed(T.stars(value)), F.concat(F.lit("- "), F.nullif("example_source", F.lit(""))))
+    text = lines_of(F.concat(F.lit("#### "), "pattern"), "", counts, said, "", F.concat(F.lit("> "), short(F.col("example_sentence"), 240)), "")
+    by_type = chosen.select("type", "place", text.alias("text")).groupBy("type").agg(joined("text", "place").alias("text"), F.min("place").alias("place"))
+    kinds = by_type.select((-priority).alias("p"), "place", lines_of(F.concat(F.lit("### "), T.mapped(F.col("type"), names, F.lit("Other structure"))), "", F.col("text")).alias("text"))
+    second = kinds.groupBy().agg(joined("text", "p", "place").alias("corpus"))
+    parts = [F.lit(f"## {labels['templates']}"), F.lit(""), F.nullif("templates", F.lit("")), F.when(F.col("corpus") != "", F.lit(f"## {labels['corpus']}\n")), F.nullif("corpus", F.lit(""))]
+    return first.join(F.broadcast(second)).select(F.concat_ws("\n", *parts).alias("body"))
+
+
+def appendix(words: DataFrame, expressions: DataFrame, *, labels: dict = LABELS) -> DataFrame:
+    """(body), one row: the appendix from appendix_words (with domain) and expression_candidates, in their order."""
     reason = F.coalesce(F.nullif(F.array_join("reasons", "; "), F.lit("")), F.lit("high_frequency")) if "reasons" in words.columns else F.lit("high_frequency")
     kind = T.mapped(review.category_class(F.col("category")), CLASSES, F.lit("core word"))
-    first = [r[0] for r in words.select(table_line(F.col("word"), F.col("domain"), kind, F.col("frequency"), F.col("article_count"), reason)).collect()]
-    second = [r[0] for r in expressions.select(table_line(F.col("expression"), F.col("type"), F.col("meaning"), F.col("frequency"), short(F.col("example_sentence"), 110))).collect()]
-    part = lambda title, head, lines: [f"## {title}", "", *([table_head(head), *lines] if lines else [labels["none"]]), ""]
-    return "\n".join(part(labels["appendix"], labels["checked"], first) + part(labels["expressions"], labels["found"], second))
+    keyed = words.withColumns({"__place": F.row_number().over(W.orderBy(*sorting(entry_order(F.lower(F.btrim("word")), F.col("category"))))), "__line": table_line(F.col("word"), F.col("domain"), kind, F.col("frequency"), F.col("article_count"), reason)})
+    meaning = (F.coalesce("meaning", F.lit("")) != "").cast("int")
+    other = expressions.withColumns({"__place": F.row_number().over(W.orderBy(F.desc(meaning), F.desc("article_count"), F.desc("frequency"), "expression", "type")), "__line": table_line(F.col("expression"), F.col("type"), F.col("meaning"), F.col("frequency"), short(F.col("example_sentence"), 110))})
+    one = lambda rows, name: rows.groupBy().agg(F.nullif(joined("__line", "__place"), F.lit("")).alias(name))
+    part = lambda title, head, name: lines_of(f"## {title}", "", F.coalesce(F.concat(F.lit(table_head(head) + "\n"), name), F.lit(labels["none"])), "")
+    both = one(keyed, "words").join(F.broadcast(one(other, "expressions")))
+    return both.select(lines_of(part(labels["appendix"], labels["checked"], "words"), part(labels["expressions"], labels["found"], "expressions")).alias("body"))
 
 
 def plan(days: Sequence[tuple[str, str]] = PLAN, *, labels: dict = LABELS) -> str:
     return "\n".join([f"## {labels['plan']}", "", table_head(labels["day"]), *[f"| {a} | {b} |" for a, b in days], ""])
 
 
-def index(metadata: dict, titles: Sequence[str], quick: Sequence[str], *, labels: dict = LABELS) -> str:
-    """The book's first page: title, quick list, contents with a link to each chapter's file."""
-    pages = [*titles, labels["templates"], labels["appendix"], labels["plan"]]
-    name = lambda t: T.file_name(t)
-    table = [table_head(labels["risky"]), *quick] if quick else [labels["none"]]
-    return "\n".join([f"# {metadata.get('title', 'Review book')}", "", metadata.get("subtitle", ""), "", f"## {labels['quick']}", "", *table, "", f"## {labels['contents']}", "", *[f"{i}. [{t}](./{name(t)}.md)" for i, t in enumerate(pages, 1)], ""])
+def contents(pages: DataFrame, quick: DataFrame) -> DataFrame:
+    """(links, anchors, quick), one row: the pages' titles as links to files and to headings, and the quick list's lines."""
+    number = F.row_number().over(W.orderBy("place")).cast("string")  # a row a page
+    entry = lambda target: F.concat(number, F.lit(". ["), "title", F.lit("]("), target, F.lit(")"))
+    listed = pages.select("place", entry(F.concat(F.lit("./"), "name")).alias("link"), entry(F.concat(F.lit("#"), T.anchor(F.col("title")))).alias("anchor"))
+    toc = listed.groupBy().agg(joined("link", "place").alias("links"), joined("anchor", "place").alias("anchors"))
+    return toc.join(F.broadcast(quick.groupBy().agg(F.nullif(joined("line", "place", "ord"), F.lit("")).alias("quick"))))
+
+
+def book_files(pages: DataFrame, quick: DataFrame, about: dict, *, labels: dict = LABELS) -> DataFrame:
+    """(name, body): the pages (place, name, title, body) as a file each, and an index with the quick list and links."""
+    title = about.get("title", "Review book")
+    each = pages.select("name", lines_of(F.concat(F.lit(f"# {title}"), F.when(F.col("chapter"), F.concat(F.lit(" - "), "title")).otherwise("")), "", F.col("body"), "").alias("body"))
+    table = F.coalesce(F.concat(F.lit(table_head(labels["risky"]) + "\n"), "quick"), F.lit(labels["none"]))
+    body = lines_of(f"# {title}", "", about.get("subtitle", ""), "", f"## {labels['quick']}", "", table, "", f"## {labels['contents']}", "", F.col("links"), "", "")
+    return each.unionByName(contents(pages, quick).select(F.lit("index.md").alias("name"), body.alias("body")))
+
+
+def whole_book(pages: DataFrame, quick: DataFrame, about: dict, *, name: str = "book.md", labels: dict = LABELS, guide: Sequence[str] = GUIDE) -> DataFrame:
+    """(name, body), one row: the book as a single document, with how to use it, the quick list, links to its chapters, and all pages."""
+    title = about.get("title", "Review book")
+    table = F.coalesce(F.concat(F.lit(table_head(labels["risky"]) + "\n"), "quick"), F.lit(labels["none"]))
+    head = [f"# {title}", "", about.get("subtitle", ""), "", f"## {labels['guide']}", "", *[f"- {g}" for g in guide], "", f"## {labels['quick']}", "", table, "", f"## {labels['contents']}", "", F.col("anchors"), "", "---", ""]
+    body = pages.groupBy().agg(joined("body", "place").alias("pages"))
+    return contents(pages.where("chapter"), quick).join(F.broadcast(body)).select(F.lit(name).alias("name"), lines_of(*head, F.col("pages")).alias("body"))
+
+
+def book_pages(chapter_rows: DataFrame, domains: DataFrame, late: dict[str, DataFrame], *, labels: dict = LABELS) -> DataFrame:
+    """(place, name, title, body, chapter): the chapters in the domains' order, then the pages of late (title: body of one row)."""
+    spark = domains.sparkSession
+    named = lambda c: F.concat(T.slug(c), F.lit(".md"))
+    out = chapter_rows.select(F.col("ord").cast("int").alias("place"), named(F.col("title")).alias("name"), "title", "body", F.lit(True).alias("chapter"))
+    for i, (title, body) in enumerate(late.items()):
+        if isinstance(body, str):
+            body = spark.createDataFrame([(body,)], "body string")
+        out = out.unionByName(body.select(F.lit(1_000_000 + i).alias("place"), named(F.lit(title)).alias("name"), F.lit(title).alias("title"), "body", F.lit(False).alias("chapter")))
+    return out

@@ -181,8 +181,8 @@ CAPPED = f"{CLASSED}, ca AS (SELECT *, row_number() OVER (PARTITION BY domain OR
 
 
 def capped(spark, d):
-    order = [F.desc("score"), F.desc(review.category_priority(F.col("category"))), F.desc("article_count"), F.desc("frequency"), F.asc("field"), F.asc("word"), F.asc("category")]
-    return aggregate.capped(entries(spark, d), CAPS, order, key=["field", "word", "category"]).select("field", "word", "category", "domain", "rank", "overflow")
+    order = [(F.col("score"), True), (review.category_priority(F.col("category")), True), (F.col("article_count"), True), (F.col("frequency"), True), (F.col("field"), False), (F.col("word"), False), (F.col("category"), False)]
+    return aggregate.capped(entries(spark, d), CAPS, order).select("field", "word", "category", "domain", "rank", "overflow")
 
 
 @query(f"WITH {CAPPED} SELECT * FROM co WHERE NOT overflow")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -180,11 +182,26 @@ def pattern_aggregate(spark, d):
     return rows.withColumn("n_examples", F.size("examples")).drop("examples")
 
 
-@query()
+DIVERSE = f"""WITH RECURSIVE {FXS}, {PATTERNS}, {PATTERN_GROUPS},
+pl AS (SELECT type, pattern, example_sentence, lower({D.squeezed('example_sentence')}) AS plain, {PRIORITY} AS priority, row_number() OVER (PARTITION BY type ORDER BY (pattern NOT IN {tuple([label for _, label, _, _ in L.PATTERNS] + ['Other structure'])})::INT DESC, article_count DESC, frequency DESC, example_quality DESC, importance DESC, pattern) AS rank, count(*) OVER (PARTITION BY type) AS size FROM pa),
+ty AS (SELECT type, row_number() OVER (ORDER BY type = 'other', priority DESC, size DESC, type) AS ty FROM pl WHERE rank = 1),
+tn AS (SELECT row_number() OVER (ORDER BY turn, ty) AS step, type FROM ty, range(2) t(turn)),
+di(step, taken, used) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[]
+  UNION ALL
+  SELECT step, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, CASE WHEN pick IS NULL THEN used ELSE list_append(used, plain) END
+  FROM (SELECT tn.step, di.taken, di.used, first(pl.type || chr(1) || pl.pattern ORDER BY pl.rank) FILTER (WHERE len(di.taken) < 20 AND NOT list_contains(di.taken, pl.type || chr(1) || pl.pattern) AND (pl.plain = '' OR NOT list_contains(di.used, pl.plain))) AS pick,
+      first(pl.plain ORDER BY pl.rank) FILTER (WHERE len(di.taken) < 20 AND NOT list_contains(di.taken, pl.type || chr(1) || pl.pattern) AND (pl.plain = '' OR NOT list_contains(di.used, pl.plain))) AS plain
+    FROM di JOIN tn ON tn.step = di.step + 1 JOIN pl ON pl.type = tn.type GROUP BY tn.step, di.taken, di.used)
+),
+ch AS (SELECT unnest(taken) AS pick, unnest(range(len(taken)))::INT AS place FROM di WHERE step = (SELECT max(step) FROM di))
+SELECT place, type, pattern, example_sentence FROM ch JOIN pl ON pick = type || chr(1) || pattern"""
+
+
+@query(DIVERSE)
 def pattern_diverse_select(spark, d):
     rows = aggregate.patterns(analyze.pattern_rows(corpus(spark, d), keep=["source"]))
-    picked = aggregate.diversified(rows, per_type=2, limit=20)
-    return spark.createDataFrame([(i, r["type"], r["pattern"], r["example_sentence"]) for i, r in enumerate(picked)], "place int, type string, pattern string, example_sentence string")
+    return aggregate.diversified(rows, per_type=2, limit=20).select("place", "type", "pattern", "example_sentence")
 
 
 WORDS = [("tion",), ("thth",), ("thhe",), ("orre",), ("ment",)]
@@ -305,6 +322,25 @@ def quality_gate(spark, d):
     return gated(analyze.quality(scored_articles(spark, d)))
 
 
+OWN_RULES = [("src1", "prefer", "tion"), ("src1", "prefer", "er th"), ("src2", "prefer", "thth"), ("src2", "exclude", "title"), ("src3", "prefer", "orre"), ("src3", "prefer", "c++"), ("src0", "prefer", "ment"), ("src0", "exclude", "the")]
+
+
+def own_count(kind: str, text: str) -> str:
+    return " + ".join(f"CASE WHEN source = {D.quoted(s)} AND regexp_matches({text}, {D.quoted('(^|[^A-Za-z0-9_])' + re.escape(k) + '($|[^A-Za-z0-9_])')}) THEN 1 ELSE 0 END" for s, x, k in OWN_RULES if x == kind)
+
+
+BLOB_250 = "blob || ' ' || array_to_string(list_slice(w, 1, 250), ' ')"
+RULED = GATE.replace("doc_id % 50 = 0 AS exam, text", "doc_id % 50 = 0 AS exam, source, text", 1).replace(f"{keyword_count(BLOB_250, L.TOPICS)} AS pref", f"{keyword_count(BLOB_250, L.TOPICS)} + {own_count('prefer', BLOB_250)} AS pref").replace(f"{keyword_count('blob', L.EXCLUDED_TOPICS)} AS excl", f"{keyword_count('blob', L.EXCLUDED_TOPICS)} + {own_count('exclude', 'blob')} AS excl")
+
+
+@query(f"SELECT doc_id, quality_score, quality_keep FROM ({RULED})")
+def quality_by_source(spark, d):
+    """Each source's own keywords as a table: one scan, whatever the number of sources."""
+    docs = scored_articles(spark, d)
+    rules = analyze.source_rules(spark.createDataFrame([("The Guardian" if s == "src1" else s, kind, k) for s, kind, k in OWN_RULES], "source string, kind string, keyword string"))
+    return analyze.quality(docs.join(rules, "source", "left")).select("doc_id", "quality_score", "quality_keep")
+
+
 def gated(scored):
     return scored.where("quality_score >= 2.0").agg(F.count("*").alias("n"), F.sum(F.col("quality_keep").cast("long")).alias("kept"))
 

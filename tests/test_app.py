@@ -109,8 +109,58 @@ def test_book_has_all_parts(spark, corpus, tmp_path):
     assert "## Quick list" in index and "| issue | Politics and law | dispute | not only a problem |" in index and "| court |" not in index
     assert "[Politics and law](./politics-and-law.md)" in index and "### It is A that B" in read("sentence-templates.md") and "## Patterns of the corpus" in read("sentence-templates.md")
     assert "Day 7" in read("seven-day-plan.md")
-    plain = corpus.book(profiles)
+    plain = {r["name"]: r["body"] for r in corpus.book(profiles).collect()}
     assert "index.md" in plain and "not only a problem" not in "".join(plain.values())
+    assert not (tmp_path / "book" / "_temporary").exists() or not list((tmp_path / "book" / "_temporary").iterdir())
+
+
+def test_the_book_as_one_document(corpus, tmp_path):
+    (tmp_path / "seed.yaml").write_text(SEED)
+    assert corpus.write_book(str(tmp_path), {"politics_law": ["court"]}, seed=str(tmp_path / "seed.yaml"), single=True) == ["book.md"]
+    text = (tmp_path / "book.md").read_text()
+    parts = ["# T", "## How to use", "## Quick list", "| issue | Politics and law | dispute |", "## Contents", "1. [Politics and law](#politics-and-law)", "\n---\n", "## Politics and law", "### issue", "### court", "## Sentence templates", "### It is A that B", "## Patterns of the corpus", "## Frequent words to be checked", "## Seven-day plan", "| Day 7 |"]
+    at = [text.index(p) for p in parts]
+    assert at == sorted(at) and text.count("\n### issue") == 1
+
+
+def test_a_file_a_row_or_none_at_all(spark, tmp_path):
+    from glossa.operators import export
+
+    rows = spark.createDataFrame([("a.md", "A"), ("sub/b.md", None), ("c.md", "é")], "name string, body string").repartition(3)
+    export.write_files(rows, str(tmp_path / "out"))
+    export.write_files(rows.where("name = 'a.md'").withColumn("body", F.lit("new")), f"file://{tmp_path}/out")
+    assert {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*.md")} == {"a.md": "new", "sub/b.md": "", "c.md": "é"}
+    for bad in ([("x.md", "1"), ("x.md", "2")], [("../up.md", "1")]):
+        with pytest.raises(Exception, match="x.md|up.md"):
+            export.write_files(spark.createDataFrame(bad, "name string, body string").repartition(2), str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").rglob("*.md")) and not (tmp_path / "up.md").exists()
+
+
+def test_dictionary_stages_and_cache(spark, corpus):
+    """Tables, then a remote one for plain words, then a model for phrases; what nobody knows isn't asked for again."""
+    words = lambda *ws: spark.createDataFrame([(w,) for w in ws], "word string")
+    first = spark.createDataFrame([("court", "k", "zh court", ""), ("empty", "", "", "")], "word string, phonetic string, zh string, en string")
+    second = spark.createDataFrame([("court", "zh other"), ("empty", "zh second"), ("ad hoc", "zh ad hoc")], "word string, zh string")
+
+    def remote():
+        return lambda w: {"market": '{"zh": "m"}', "blank": '{"zh": "", "en": ""}'}[w]
+
+    def model():
+        return lambda w: {"federal law": '{"en": "of the union", "pos": "phrase"}'}[w]
+
+    asked = words("Court ", "court", "empty", "ad hoc", "market", "blank", "federal law", "a b c d e f g", "x1", "", None)
+    got = {r["word"]: tuple(r)[1:] for r in corpus.define(asked, [first, second], remote=remote, model=model).collect()}
+    assert got == {"court": ("k", "zh court", "", ""), "empty": ("", "zh second", "", ""), "ad hoc": ("", "zh ad hoc", "", ""), "market": ("", "m", "", ""), "federal law": ("", "", "of the union", "phrase"), **dict.fromkeys(["blank", "a b c d e f g", "x1"], ("",) * 4)}
+
+    def forbidden():
+        return lambda w: 1 / 0
+
+    again = corpus.define(asked, [], remote=forbidden, model=forbidden)
+    assert {r["word"]: tuple(r)[1:] for r in again.collect()} == got
+    # a phrase that was not found is asked for again under another policy, a single word is not
+    later = corpus.define(words("a b c", "x1", "blank"), [spark.createDataFrame([("blank", "late")], "word string, zh string")], model=lambda: lambda w: '{"zh": "now"}', policy="v2")
+    assert {r["word"]: r["zh"] for r in later.collect()} == {"a b c": "now", "x1": "", "blank": ""}
+    assert corpus.store.read("dictionary").where("not_found").count() == 3
 
 
 def test_article_detail_is_in_reading_order(corpus):

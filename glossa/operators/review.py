@@ -121,10 +121,8 @@ def domain_of(field: Column, word: Column, gloss: Column, *, aliases: dict[str,
     by_word = F.lit(None).cast("string")
     for name, words in reversed(list(keywords.items())):
         by_word = F.when(plain.isin(list(words)), aliases.get(name, general)).otherwise(by_word)
-    counts = {d: sum((F.contains(said, F.lit(k)).cast("int") for k in keys), F.lit(0)) for d, keys in votes.items()}
-    most, by_gloss = F.greatest(*counts.values()), F.lit(None).cast("string")
-    for d, n in reversed(list(counts.items())):
-        by_gloss = F.when((n == most) & (most > 0), d).otherwise(by_gloss)
+    counts = [F.struct((-sum((F.contains(said, F.lit(k)).cast("int") for k in keys), F.lit(0))).alias("n"), F.lit(i).alias("i"), F.lit(d).alias("domain")) for i, (d, keys) in enumerate(votes.items())]
+    by_gloss = F.get(F.filter(F.slice(F.array_sort(F.array(*counts)), 1, 1), lambda c: c["n"] < 0), F.lit(0))["domain"]
     return F.when(named.isNotNull(), named).when(plain == "", general).otherwise(F.coalesce(by_word, by_gloss, F.lit(general)))
 
 

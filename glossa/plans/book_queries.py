@@ -108,16 +108,6 @@ def seed(spark):
     return material.normalised_domains(domains, spark.createDataFrame(SEED_ENTRIES, "domain string, ord int, headword string"))
 
 
-@query(values([("politics_law", 1, "Politics", "P", "issue"), ("media_culture", 2, "Media of our own", "M", "outlet"), ("research_methods", 3, "Research methods and argument", "old overview", "robust"), ("technology_ai", 4, "Technology, internet and AI", "Core expressions of texts on AI, platforms, data governance, security and copyright.", ""), ("health_biomedicine", 5, "Medicine, health and life science", "Frequent words of reports on public health, medical research, mental health and life science.", ""), ("general_academic", 6, "General academic core", "Words that recur across fields and help to follow an argument.", "")], "key, place, title, overview, headwords"))
-def seed_domains(spark, d):
-    from pyspark.sql import Window as W
-
-    domains, entries = seed(spark)
-    words = entries.groupBy(F.col("domain").alias("key")).agg(F.array_join(F.array_sort(F.collect_list("headword")), ",").alias("headwords"))
-    placed = domains.withColumn("place", F.row_number().over(W.orderBy("ord")))  # a few rows
-    return placed.join(words, "key", "left").select("key", "place", "title", "overview", F.coalesce("headwords", F.lit("")).alias("headwords"))
-
-
 GLOSSED = f"""{Q.AGG_VOCAB}, gv AS (SELECT DISTINCT word FROM av), pw AS (SELECT doc_id, unnest(list_slice(w, 1, 3)) AS word, unnest(range(least(len(w), 3))) AS i FROM c),
 pe AS (SELECT word, doc_id * 10 + i AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'm' || doc_id END AS zh, CASE WHEN (doc_id + i) % 2 = 0 THEN 'c' || doc_id ELSE '' END AS common, 'x' || i AS exam FROM pw),
 pf AS (SELECT word, min_by(zh, ord) FILTER (WHERE zh <> '') AS zh, min_by(common, ord) FILTER (WHERE common <> '') AS common, min_by(exam, ord) AS exam, min_by(coalesce(nullif(zh, ''), nullif(common, ''), word), ord) AS en_short, min_by(coalesce(nullif(common, ''), nullif(zh, ''), word), ord) AS en_long FROM pe GROUP BY word)"""
@@ -151,36 +141,12 @@ def corpus_hits(spark, d):
 HITS = [("a", "cite", "s1", "law", 2, 9), ("b", "", "s1,s2", "law", 2, 9), ("c", None, None, "law", 2, 9), ("d", None, "", "", 0, 9), ("e", "", "", None, 0, 0)]
 
 
-@query(values([("a", "cite"), ("b", "s1,s2"), ("c", "field law, 2 articles, frequency 9"), ("d", "frequency 9"), ("e", "local corpus")], "word, said"))
-def hit_sources(spark, d):
-    rows = spark.createDataFrame(HITS, "word string, citation string, sources string, field string, article_count int, frequency int")
-    return rows.select("word", material.hit_source(rows).alias("said"))
-
-
 PLACES = [("Law", "x", ""), ("sport", "Market", "法"), ("sport", "court", ""), ("sport", "thing", "研究环境的气候"), ("sport", "thing", "诉讼 公司"), ("sport", "thing", "水"), ("sport", "", "法"), (None, "climate", None), ("AI", "court", "")]
 
 
-@query(values([(0, "politics_law"), (1, "economics_business"), (2, "politics_law"), (3, "environment"), (4, "politics_law"), (5, "general_academic"), (6, "general_academic"), (7, "environment"), (8, "technology_ai")], "n, domain"))
-def domain_mapping(spark, d):
-    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(PLACES)], "n int, field string, word string, gloss string")
-    return rows.select("n", review.domain_of(F.col("field"), F.col("word"), F.col("gloss")).alias("domain"))
-
-
 KINDS = [("Polysemy", "sense"), ("熟词生义", "sense"), ("idiomatic expression", "phrase"), ("legal or political vocabulary", "term"), (" term ", "term"), ("academic/general", "academic"), ("terms", "core"), (None, "core")]
 
 
-@query(values(KINDS, "category, class"))
-def category_classes(spark, d):
-    return spark.createDataFrame([(k,) for k, _ in KINDS], "category string").select("category", review.category_class(F.col("category")).alias("class"))
-
-
-@query(values([("Issue", "own", "exam sense", "dictionary english"), ("case", "keis", "chinese sense", "english"), ("none", "", "", "")], "headword, phonetic, zh, en"))
-def resolved_details(spark, d):
-    rows = spark.createDataFrame([("Issue", "own", "exam sense", "chinese", ""), ("case", "", "", "chinese sense", "english"), ("none", None, None, None, None)], "headword string, phonetic string, exam string, chinese string, english string")
-    book = spark.createDataFrame([("issue", "other", "x", "dictionary english"), ("case", "keis", "x", "x")], "word string, phonetic string, zh string, en string")
-    return material.with_details(rows, book).select("headword", "phonetic", "zh", "en")
-
-
 # ---- chapters
 
 SEEN = ["Thth ", "thhe", "orre"]
@@ -244,39 +210,12 @@ def field_reports(spark, d):
 SLUGS = [("2010-1", "u1", "/f1.pdf"), ("2011-2", "u2", "/f2.pdf")]
 
 
-@query(values([(f"pastpapers-{s}-text-{i + 1}", f"{s} reading, text {i + 1}", u, s[:4], t, f"pastpapers.cn {s} Reading Text {i + 1}: {u}", f"reading-text-{i + 1}") for s, u, _ in SLUGS for i, t in enumerate([Q.BODY, Q.BODY + " Third.", Q.BODY + " Fourth."])], "id, title, url, published_at, text, citation, section"))
-def paper_articles(spark, d):
-    rows = spark.createDataFrame([(s, u, f, Q.PAPER) for s, u, f in SLUGS], "slug string, url string, pdf_url string, text string")
-    meta = lambda k: F.get_json_object("metadata_json", f"$.{k}").alias(k)
-    return files.paper_articles(rows).select("id", "title", "url", "published_at", "text", meta("citation"), meta("section"))
-
-
-@query("SELECT 6::BIGINT AS articles, '2010,2011' AS years, '2010-1,2011-2' AS papers")
-def import_summary(spark, d):
-    rows = spark.createDataFrame([(s, u, f, Q.PAPER) for s, u, f in SLUGS], "slug string, url string, pdf_url string, text string")
-    out = files.import_summary(files.paper_articles(rows))
-    return out.select("articles", F.array_join("years", ",").alias("years"), F.array_join("papers", ",").alias("papers"))
-
-
 PAGES_WANTED = ["a1", "a2", "t?p=1", "t?p=2", "s?q=court+of+law&x=%22court+of+law%22&p=1", "s?q=court+of+law&x=%22court+of+law%22&p=2"]
 
 
-@query(values(list(enumerate(PAGES_WANTED)), "place, url"))
-def discovery_pages(spark, d):
-    """A budget of six: two of them for searches; the archives' four leave two pages of the template."""
-    source = Source("s", archive_urls=["a1", "a2"], archive_url_templates=["t?p={page}"], search_url_templates=["s?q={query_plus}&x={query_quote}&p={page}"], topic_queries=["court of law"])
-    return spark.createDataFrame(list(enumerate(files.discovery_urls(source, Crawler(max_discovery_pages_per_source=6)))), "place int, url string")
-
-
 METAS = ['<meta property="og:site_name" content="The Site"><meta name="author" content="A. B."><meta content=\'About &amp; on\' name=\'description\'>', "<META NAME='date' CONTENT='2024-05-01'><meta property='article:author' content='C'>", "<p>none</p>", None]
 
 
-@query(values([(0, "The Site", "A. B.", "", "About & on"), (1, "", "C", "2024-05-01", ""), (2, "", "", "", ""), (3, "", "", "", "")], "page_id, site_name, author, date, description"))
-def page_metadata(spark, d):
-    rows = spark.createDataFrame([(i, "u", h) for i, h in enumerate(METAS)], "page_id int, url string, html string")
-    return files.page_articles(rows).drop("url", "title", "text")
-
-
 REPLIES = [
     ('<think>{"x": 1}</think> {"a": 1}', '{"a": 1}'),
     ('draft {"a": 1} then {"vocabulary": [], "rhetoric": [], "exam_value": {}} and {"b": 2}', '{"vocabulary": [], "rhetoric": [], "exam_value": {}}'),
@@ -287,22 +226,5 @@ REPLIES = [
 ]
 
 
-@query(values([(i, json.dumps(json.loads(j))) for i, (_, j) in enumerate(REPLIES)], "n, json"))
-def decoded_replies(spark, d):
-    rows = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(REPLIES)], "n int, reply string")
-    return providers.decoded_replies(rows, "reply").select("n", "json")
-
-
 NAMES = [("  The Court’s “Case”: 2nd Part_1 ", "the-court-s-case-2nd-part_1", "the-courts-case-2nd-part_1", "thecourtscasendpart"), ("政治法律", "untitled", "政治法律", None), ("Don't-Stop!", "don-t-stop", "dont-stop", "don't-stop"), (None, "untitled", "", None)]
 
-
-@query(values([(i, *n[1:]) for i, n in enumerate(NAMES)], "n, slug, anchor, word"))
-def text_names(spark, d):
-    rows = spark.createDataFrame([(i, n[0]) for i, n in enumerate(NAMES)], "n int, text string")
-    return rows.select("n", T.slug(F.col("text")).alias("slug"), T.anchor(F.col("text")).alias("anchor"), T.client_word(F.col("text")).alias("word"))
-
-
-@query(values([(0, "issue"), (1, "case"), (2, "")], "n, headword"))
-def headwords(spark, d):
-    rows = spark.createDataFrame([(0, " Issue ", "x"), (1, "", "Case"), (2, None, None)], "n int, headword string, word string")
-    return rows.select("n", T.headword(F.col("headword"), F.col("word")).alias("headword"))

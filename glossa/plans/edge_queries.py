@@ -38,19 +38,9 @@ def exam_import(spark, d):
 BLOCKS = "First  block\nof two lines\n---\n\n## head one\nSecond\n#### head\n   \n-----\nThird -- not a rule"
 
 
-@query(values([("kaoyan-unknown-reading-1", "First block of two lines"), ("kaoyan-unknown-reading-2", "Second"), ("kaoyan-unknown-reading-3", "Third -- not a rule")], "id, text"))
-def exam_blocks(spark, d):
-    return files.text_exams(spark.createDataFrame([(BLOCKS,)], "value string")).select("id", "text")
-
-
 INDEX = ['<a href="/paper/2010-1">One <b>paper</b></a><a href="/paper/2011-2"></a><a href="/paper/2010-1">Again</a>', '<a href="/other/2012-1">x</a><a href="/paper/2009-1">Nine</a>']
 
 
-@query(values([("2011-2", "2011-2"), ("2010-1", "Again"), ("2009-1", "Nine")], "slug, title"))
-def paper_index(spark, d):
-    return providers.listed_papers(spark.createDataFrame([(h,) for h in INDEX], "html string"))
-
-
 @query("SELECT n_name AS word, CASE WHEN n_nationkey % 2 = 0 THEN 'a' || n_nationkey WHEN n_nationkey % 3 = 0 THEN 'b' || n_nationkey END AS entry FROM nation")
 def dictionary_lookup(spark, d):
     words = table(spark, d, "nation")
@@ -79,34 +69,9 @@ def given(spark):
     return spark.createDataFrame(GIVEN, "doc_id long, payload string")
 
 
-@query(values([(1, 0, "statute", "domain terminology", "unknown", 5, 5), (1, 1, "at issue", "phrase", "unknown", 3, 4), (1, 2, "go on", "academic/general", "unknown", 2, 0), (1, 3, "algorithm", "polysemy", "technology", 4, 5)], "doc_id, ord, lemma, category, field, frequency, importance"))
-def payload_vocabulary(spark, d):
-    return payloads.vocabulary(given(spark)).select("doc_id", "ord", "lemma", "category", "field", "frequency", "importance")
-
-
-@query(values([(1, "at issue", 3, 4, "in dispute")], "doc_id, expression, frequency, importance, meaning"))
-def payload_expressions(spark, d):
-    return payloads.expressions(given(spark)).select("doc_id", "expression", "frequency", "importance", "meaning")
-
-
-@query(values([(1, "stance", "view", "They argue that it holds.", "argue / claim that ..."), (1, "cleft", "tip", "It was late.", "it was A")], "doc_id, type, function, sentence, pattern"))
-def payload_patterns(spark, d):
-    return payloads.patterns(given(spark)).select("doc_id", "type", "function", "sentence", "pattern")
-
-
-@query(values([(1, "valid", "Author attitude → x → cleft", "law", "m", 3), (2, "invalid", "", "unknown", "", 0), (3, "local", "", "unknown", "", 0), (4, "local", "", "unknown", "", 0)], "doc_id, status, structure, domain, model, rhetoric_count"))
-def payload_digest(spark, d):
-    return payloads.digest(given(spark))
-
-
 TIERED = [("a", "core", "academic/general"), ("b", "high_school", "academic/general"), ("c", "high_school", "polysemy"), ("d", "rare", "domain terminology"), ("e", "rare", "academic/general"), ("f", "high_school", "domain terminology"), ("g", "gre", "polysemy")]
 
 
-@query(values([("a",), ("c",), ("d",), ("g",)], "lemma"))
-def shown_vocabulary(spark, d):
-    return payloads.shown_vocabulary(spark.createDataFrame(TIERED, "lemma string, tier string, category string")).select("lemma")
-
-
 # ---- reading and upkeep
 
 @query(f"SELECT doc_id, greatest(1, round(len({D.words('text')}) / 180)::INT) AS minutes FROM documents")
@@ -122,12 +87,6 @@ def added_columns(spark, d):
 MARKED = [("They held that.", "hold"), ("Cases and caser.", "case"), ("He took issue with it.", "take issue with"), ("Subcase only.", "case"), ("Économie, é.", "é"), ("x", ""), (None, "x")]
 
 
-@query(values([(0, "They **held** that."), (1, "**Cases** and **caser**."), (2, "He **took issue with** it."), (3, "Subcase only."), (4, "Économie, **é**."), (5, "x"), (6, None)], "n, marked"))
-def marked_examples(spark, d):
-    rows = spark.createDataFrame([(i, *m) for i, m in enumerate(MARKED)], "n int, sentence string, word string")
-    return rows.select("n", material.marked(F.col("sentence"), F.col("word")).alias("marked"))
-
-
 # ---- Zipf scores: of the generated words by their length
 
 ZIPF = "CASE WHEN len(word) < 4 THEN 6.0 WHEN len(word) < 8 THEN 4.0 WHEN len(word) < 12 THEN 2.0 ELSE 0.0 END"
@@ -154,18 +113,8 @@ def export_expressions_zipf(spark, d):
     return rows.where(review.exportable_expression(least="least", common="common")).select("expression", "frequency", "article_count")
 
 
-@query(values([("court", 2), ("market", 1)], "lemma, n"))
-def mastery_keys(spark, d):
-    rows = spark.createDataFrame([(" Court ",), ("court",), ("MARKET",)], "lemma string")
-    return rows.groupBy(T.headword(F.col("lemma")).alias("lemma")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT count(*) AS n FROM documents WHERE source IN ('kaoyan_exam', 'pastpapers.cn') OR doc_id % 50 = 0")
 def exam_corpus(spark, d):
     rows = table(spark, d, "documents").withColumn("metadata_json", F.when(F.col("doc_id") % 50 == 0, '{"corpus_type": "kaoyan_exam"}').otherwise("{}"))
     return rows.where(analyze.exam_text_rows()).agg(F.count("*").alias("n"))
 
-
-@query(values([(d, s) for d, s in [(9, "kaoyan_exam")]], "doc_id, source"))
-def exam_fixture(spark, d):
-    return X.articles(spark).withColumn("metadata_json", F.lit("{}")).where(analyze.exam_text_rows()).select("doc_id", "source")

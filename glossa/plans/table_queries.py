@@ -106,12 +106,6 @@ def export_filter_vocab(spark, d):
 CASES = [("Acme", "academic", "They met Acme there.", 5, 3), ("nasa", "academic", "At NASA it began.", 5, 3), ("market", "term", "Market rules. The market grew.", 1, 2), ("can", "term", "", 5, 5), ("gdp", "term", "The GDP fell.", 4, 1), ("xq", "term", "", 5, 5), ("subject", "polysemy", "", 0, 0), ("tiny", "term", "", 1, 1), ("deal", "term", "The Deals were off.", 4, 1)]
 
 
-@query("SELECT * FROM (VALUES ('Acme', false), ('nasa', false), ('market', true), ('can', false), ('gdp', true), ('xq', false), ('subject', true), ('tiny', false), ('deal', false)) t(word, exported)")
-def export_word_cases(spark, d):
-    rows = spark.createDataFrame(CASES, "word string, category string, example_sentence string, importance int, article_count int")
-    return rows.select("word", review.exportable_word().alias("exported"))
-
-
 GRAMS = f"""{D.R}, g2 AS (SELECT doc_id, 2 AS n, token || ' ' || lead(token) OVER w AS gram FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), g3 AS (SELECT doc_id, 3 AS n, token || ' ' || lead(token) OVER w || ' ' || lead(token, 2) OVER w AS gram FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ge AS (SELECT gram AS expression, n || '-gram' AS type, CASE WHEN starts_with(gram, 'th') THEN 'has a meaning' ELSE '' END AS meaning, count(*) AS frequency, count(DISTINCT doc_id) AS article_count FROM (FROM g2 UNION ALL FROM g3) WHERE gram IS NOT NULL AND len(list_filter(string_split(gram, ' '), lambda x: list_contains({D.listing(L.STOPWORDS)}, x))) = 0 GROUP BY ALL)"""
 
@@ -207,12 +201,6 @@ def appendix(spark, d):
 PHRASE_CASES = [("lead to", 1, 0, 0), ("a b c d e f", 9, 9, 9), ("take part", 3, 2, 1), ("take part", 2, 2, 1), ("12 34", 9, 9, 9), ("odd pair", 1, 1, 5)]
 
 
-@query("SELECT * FROM (VALUES ('lead to', 1, true), ('a b c d e f', 9, false), ('take part', 3, true), ('take part', 2, false), ('12 34', 9, false), ('odd pair', 1, true)) t(word, frequency, ok)")
-def phrase_cases(spark, d):
-    rows = spark.createDataFrame(PHRASE_CASES, "word string, frequency int, article_count int, importance int")
-    return rows.select("word", "frequency", review.admitted_phrase(F.col("word"), valued=["lead to"]).alias("ok"))
-
-
 # ---- serving
 
 ANALYSES = "an AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS a_field, (doc_id % 11) * 1.0 AS difficulty, (doc_id % 13) * 1.0 AS exam_value, CASE WHEN toxic = 1 THEN '{}' ELSE '{\"vocabulary\": []}' END AS llm_json FROM labels)"
@@ -309,12 +297,6 @@ def cascade_delete(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query("SELECT * FROM (VALUES ('a', 'A2', 1::BIGINT, 'old a', 't0'), ('b', 'B', 5, 'new b', 't0'), ('c', 'C', NULL, 'new c', 't1')) t(lemma, word, article_id, example_sentence, created_at)")
-def merge_personal_word(spark, d):
-    s = "lemma string, word string, article_id long, example_sentence string, created_at string"
-    return store.merge_personal(spark.createDataFrame([("a", "A", 1, "old a", "t0"), ("b", "B", 2, "old b", "t0")], s), spark.createDataFrame([("a", "A2", None, "", "t1"), ("b", "B", 5, "new b", "t1"), ("c", "C", None, "new c", "t1")], s))
-
-
 @query(f"WITH {PROGRESS} SELECT * FROM pg")
 def progress_last(spark, d):
     return progress(spark, d)
@@ -407,42 +389,16 @@ def source_limits(spark, d):
 LINES = ["abandon", "[v. leave]", "Able/ability", "[adj.]", "some 中文", "  keep going ", "[x]", "Up-to-date", "it's", "123", "Zoo"]
 
 
-@query("SELECT * FROM (VALUES ('plain', 'abandon'), ('plain', 'up-to-date'), ('plain', 'it''s'), ('plain', 'zoo'), ('paired', 'abandon'), ('paired', 'able'), ('paired', 'ability'), ('paired', 'keep'), ('paired', 'going'), ('excluded', 'abandon'), ('excluded', 'able'), ('excluded', 'ability'), ('excluded', 'keep'), ('excluded', 'going'), ('excluded', 'up-to-date'), ('excluded', 'it''s'), ('excluded', 'zoo')) t(kind, word)")
-def word_lists(spark, d):
-    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(LINES)], "path string, line int, value string")
-    parts = [f(lines).select(F.lit(name).alias("kind"), "word") for name, f in (("plain", files.plain_words), ("paired", files.paired_words), ("excluded", files.excluded_words))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 BODY = " ".join(["Some readers believe plain words matter more than ornate ones."] * 20)
 PAPER = f"Section I\nText 9 nothing\nSection II Reading Comprehension\nText 1\n{BODY}\n21. Question\nA. one\nText 2\nshort\n26. Q\nText 3\n{BODY} Third.\n31. Q\nText 4\n{BODY} Fourth.\nPart B\nText 1 {BODY}"
 
 
-@query(f"SELECT * FROM (VALUES (0, {D.quoted(BODY)}), (1, {D.quoted(BODY + ' Third.')}), (2, {D.quoted(BODY + ' Fourth.')})) t(pos, passage)")
-def paper_passages(spark, d):
-    return spark.createDataFrame([(PAPER,)], "text string").select(F.posexplode(T.passages(F.col("text"))).alias("pos", "passage"))
-
-
 REPLIES = ['```json\n{"vocabulary": [], "rhetoric": [], "exam_value": {"primary_domain": "law"}}\n```', 'Well: {"a": 1} done', "<think>{}</think>{\"b\": 2}", "no json", '{"cut": ']
 
 
-@query("SELECT * FROM (VALUES (0, 'json', true), (1, 'json', false), (2, 'json', false), (3, 'raw', false), (4, 'raw', false)) t(id, kind, complete)")
-def reply_parsing(spark, d):
-    rows = spark.createDataFrame(list(enumerate(REPLIES)), "id int, reply string").withColumn("json", T.json_object(F.col("reply")))
-    return rows.select("id", F.when(F.col("json").isNull(), "raw").otherwise("json").alias("kind"), T.complete_analysis(F.col("json")).alias("complete"))
-
-
 PAYLOADS = [(1, json.dumps({"vocabulary": [{"lemma": "Case", "category": "polysemy", "source_sentence": "s"}, {"lemma": "court", "category": "term"}, {"lemma": "odd", "category": "polysemy"}, {"lemma": "odd2", "category": "x"}, {"lemma": "find", "category": "term"}]}))]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0, 'case', 'high_school', 1), (1, 1, 'court', 'core', 5), (1, 2, 'odd', 'rare', 1)) t(doc_id, ord, word, tier, importance)")
-def payload_words(spark, d):
-    lists = spark.createDataFrame([("case", "high_school"), ("find", "high_school"), ("court", "core")], "word string, tier string")
-    docs = X.articles(spark).where("doc_id = 10")
-    rows = review.payload_words(spark.createDataFrame(PAYLOADS, "doc_id long, payload string"), lists, docs.withColumn("doc_id", F.lit(1).cast("long")))
-    return rows.select("doc_id", "ord", "word", "tier", "importance")
-
-
 # ---- exports
 
 @query(f"WITH {AGG_VOCAB} SELECT word || CASE WHEN lemma <> word THEN ' (' || lemma || ')' ELSE '' END AS front, repeat('★', greatest(0, least(importance, 5))) || ' ' || example_sentence AS back, regexp_replace(field || ' ' || category, '[/ ]+', '_', 'g') AS tags FROM av")

@@ -410,11 +410,6 @@ def compact_texts(spark, d):
 KINDS = [("Author attitude", ""), ("hedging expressions", ""), ("x", "a causal link"), ("relative clause!", ""), ("contrast", "concession"), ("odd", "none"), ("Subject Clause", ""), ("inverted order", ""), ("example-evidence", ""), ("other", "stance")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({D.quoted(a)}, {D.quoted(b)}, '{c}')" for (a, b), c in zip(KINDS, ["stance", "hedging", "causality", "relative_clause", "contrast", "other", "nominal_clause", "inversion", "argument_development", "other"], strict=True)) + ") v(value, function, type)")
-def pattern_type_names(spark, d):
-    return spark.createDataFrame(KINDS, "value string, function string").withColumn("type", T.pattern_type(F.col("value"), F.col("function")))
-
-
 # ---- rules one by one: sentences of our own with the outcome written out, not taken from the rules
 
 TEMPLATE_CASES = [
@@ -447,12 +442,6 @@ TEMPLATE_CASES = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({D.quoted(a)}, {D.quoted(b)}, {D.quoted(c)})" for a, b, c in TEMPLATE_CASES) + ") v(type, sentence, template)")
-def template_cases(spark, d):
-    rows = spark.createDataFrame([c[:2] for c in TEMPLATE_CASES], "type string, sentence string").withColumn("plain", F.lower(T.squeezed(F.col("sentence"))))
-    return rows.select("type", "sentence", T.pattern_template(F.col("plain"), F.col("type")).alias("template"))
-
-
 RULE_CASES = [
     ("Although it rained, they played.", ["concession"]),
     ("However, it ended.", ["contrast"]),
@@ -472,8 +461,3 @@ RULE_CASES = [
     ("Élbecause is no word.", []),
 ]
 
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({D.quoted(a)}, {D.quoted(','.join(b))})" for a, b in RULE_CASES) + ") v(sentence, codes)")
-def rule_cases(spark, d):
-    rows = spark.createDataFrame([c[:1] for c in RULE_CASES], "sentence string")
-    return rows.select("sentence", F.array_join(T.pattern_codes(F.col("sentence")), ",").alias("codes"))

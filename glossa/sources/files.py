@@ -182,6 +182,34 @@ def discovery_urls(source, crawler) -> list[str]:
     return first + searches[: max(0, budget - len(first))]
 
 
+def query_encoded(text: Column) -> Column:
+    """As in the query part of a url: blanks as plus signs."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def discovery_rows(sources: DataFrame, crawler) -> DataFrame:
+    """(source, place, url): what discovery_urls gives, for many sources (source, archive_urls, archive_url_templates,
+    search_url_templates, topic_queries: arrays) at once."""
+    budget, pages = F.lit(crawler.max_discovery_pages_per_source), F.lit(max(0, crawler.max_search_pages_per_query))
+    capacity = F.size("search_url_templates") * F.size("topic_queries") * F.greatest(pages, F.lit(1))
+    plain = budget - F.least(F.floor(budget / 3), capacity)
+    each = F.greatest(F.lit(1), F.floor(plain / F.greatest(F.size("archive_url_templates"), F.lit(1)))).cast("int")
+    numbers = lambda n: F.filter(F.sequence(F.lit(0), n), lambda p: p > 0)
+    paged = lambda t, p: F.replace(t, F.lit("{page}"), p.cast("string"))
+    archives = F.concat("archive_urls", F.flatten(F.transform("archive_url_templates", lambda t: F.transform(numbers(each), lambda p: paged(t, p)))))
+
+    def asked(template: Column, words: Column, page: Column) -> Column:
+        out = paged(template, page)
+        for name, value in (("{query_plus}", query_encoded(words)), ("{query_quote}", query_encoded(F.concat(F.lit('"'), words, F.lit('"')))), ("{query}", words)):
+            out = F.replace(out, F.lit(name), value)
+        return out
+
+    searches = F.flatten(F.flatten(F.transform("search_url_templates", lambda t: F.transform("topic_queries", lambda q: F.transform(numbers(pages), lambda p: asked(t, q, p))))))
+    first = F.slice(archives, F.lit(1), plain.cast("int"))
+    urls = F.concat(first, F.slice(searches, F.lit(1), F.greatest(budget - F.size(first), F.lit(0)).cast("int")))
+    return sources.select("source", F.posexplode(urls).alias("place", "url"))
+
+
 def accepted(candidates: DataFrame, known: DataFrame, *, least_chars: int, least_score: float, target: int, multiplier: int = 8) -> DataFrame:
     """New articles (url, source, ord, text, quality_score, quality_keep) that pass the gates, up to target a source.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 ROUNDS = 200
 
@@ -25,17 +25,27 @@ def stars(links: DataFrame, *, both: bool) -> DataFrame:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return materialize(out.where("u > v").distinct(), "links", light=True)
+    done = materialize(out.where("u > v").distinct(), "links", light=True)
+    discard(least)
+    return done
 
 
 def components(links: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
-    """(node, component): the smallest reachable node, for every node of links (u, v) that isn't its own component."""
+    """(node, component): the smallest reachable node, for every node of links (u, v) that isn't its own component.
+
+    The result is a written table, which the caller may discard; those of the rounds are gone by then.
+    """
     links = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links", light=True)
     before = None
     for _ in range(rounds):
-        links = stars(stars(links, both=True), both=False)
+        half = stars(links, both=True)
+        whole = stars(half, both=False)
+        discard(links, half)
+        links = whole
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if now == before:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.work_path = links.work_path
+            return out
         before = now
     raise RuntimeError("components did not settle")

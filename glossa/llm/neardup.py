@@ -287,13 +287,14 @@ def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= PERCENT * union on full sets."""
+    """The pairs (a, b) with 100 * intersection >= PERCENT * union on full sets; read from a written table, which the caller may discard."""
     pairs = materialize(pairs.select("a", "b"), "pairs")
     groups = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts")), "groups", light=True)
     member = pairs.join(groups, "a").select(F.col("b").alias("row"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     head = groups.select(F.col("a").alias("row"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     tasks = member.unionByName(head).groupBy("row").agg(F.collect_set(F.struct("a", "salt", "role")).alias("tasks"))
     tasks = materialize(tasks.join(reps.select("row", "doc_id", "print"), "row"), "tasks", light=True)
+    discard(pairs, groups)
     with_text = join_sized(docs.select("doc_id", "text", text_print().alias("print")), tasks, ["doc_id", "print"], "tasks").where("tasks IS NOT NULL")
     rows = with_text.select("row", "text", F.explode("tasks").alias("t")).select("t.a", "t.salt", "t.role", "row", "text")
 
@@ -319,7 +320,9 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                             vs.append(row[k])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(tidy(run), "u long, v long")
+    out = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(tidy(run), "u long, v long")
+    out.work_path = tasks.work_path
+    return out
 
 
 def apart(sharing: DataFrame, found: DataFrame, width: int | None) -> tuple[DataFrame, list[DataFrame]]:
@@ -427,26 +430,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sharing = materialize(join_sized(full.select("row", "doc_id", "print", "n", "subs", "brief", "sketch"), masks, "row", "mask").where("mask IS NOT NULL"), "sharing")
     stars = materialize(star_pairs(keyed(sharing)), "stars")
     pairs = materialize(agreeing(first_pairs(stars), sharing), "candidates")
-    links = materialize(verified(pairs, sharing, docs), "links", light=True)
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    discard(first, masks, stars)
+    checked = verified(pairs, sharing, docs)
+    links = materialize(checked, "links", light=True)
+    tried = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried", light=True)
+    discard(first, masks, stars, pairs, checked)
     for width in WIDTHS:
-        found = materialize(components(links).withColumnRenamed("node", "row"), "components", light=True)
+        met = components(links)
+        found = materialize(met.withColumnRenamed("node", "row"), "components", light=True)
         near, work = apart(sharing, found, width)
         pairs = materialize(best_of_owner(near, tried, width), "candidates", light=True)
-        if pairs.isEmpty():  # of the documents that spoke; the last round asks all
-            discard(*work)
-            continue
-        more = verified(pairs, sharing, docs)
-        links = materialize(links.unionByName(more), "links", light=True)
-        tried = materialize(tried.unionByName(pairs), "tried", light=True)
-        discard(*work)
-    found = materialize(components(equal.unionByName(links)).withColumnRenamed("node", "row"), "components", light=True)
+        discard(met, found, *work)
+        if not pairs.isEmpty():  # else the documents that spoke have none; the last round asks all
+            before, checked = (links, tried), verified(pairs, sharing, docs)
+            links = materialize(links.unionByName(checked), "links", light=True)
+            tried = materialize(tried.unionByName(pairs), "tried", light=True)
+            discard(*before, checked)
+        discard(pairs)
+    met = components(equal.unionByName(links))
+    found = materialize(met.withColumnRenamed("node", "row"), "components", light=True)
     roots = found.select(F.col("component").alias("row"), "component").distinct()
-    named = materialize(signed.select("row", "doc_id").join(found.unionByName(roots), "row"), "named", light=True)
-    least = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least", light=True)
-    named = materialize(named.join(least, "component").select("row", "component_id"), "named", light=True)
-    discard(sharing, equal, links)
+    members = materialize(signed.select("row", "doc_id").join(found.unionByName(roots), "row"), "members", light=True)
+    least = materialize(members.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least", light=True)
+    named = materialize(members.join(least, "component").select("row", "component_id"), "named", light=True)
+    discard(sharing, equal, links, tried, met, found, members, least)
     out = join_sized(signed.select("row", "doc_id", "print", F.col("n").alias("n_shingles")), named, "row", "component_id")
     return out.select("doc_id", "print", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

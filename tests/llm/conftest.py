@@ -47,12 +47,13 @@ def folder(spark, rows, tmp_path_factory):
     spark.createDataFrame([(1, long[200:420]), (2, None), (3, ""), (4, "one two"), (5, "nothing like this is anywhere in these documents at all")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     urls = ["http://A.Example.COM/en/x?y", "https://www.example.com/en/", "http://example.com", None, "no scheme/en/", "ftp://b.net/es/q#f", "x://net/fr/", "http://notexample.com/en/", "http://c.net", "http://example.com:80/en/"]
     spark.createDataFrame([(i, u, "<html>") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
+    spark.createDataFrame([(5 * i, [float(i % 7), 1.0, float(i)], i % 2) for i in range(30)] + [(7, None, 0), (None, [1.0, 1.0, 1.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
     return str(root)
 
 
 @pytest.fixture(scope="session")
 def empty(spark, folder, tmp_path_factory):
     root = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{root}/{name}.parquet")
     return str(root)

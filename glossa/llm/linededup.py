@@ -63,16 +63,18 @@ def minima(lines: np.ndarray, run: int, owner: np.ndarray | None = None) -> tupl
 
 def fingerprints(texts: list[str | None], run: int, words: int) -> tuple[np.ndarray, ...]:
     """Of each selected line of the texts, and (unless words is 0) of each shorter run of at least so many words or CHARS
-    characters: text, fingerprint, first line, lines of a window, lines around, and the hashes of these, end to end."""
+    characters: text, fingerprint, first line, lines of a window, lines around, and the hashes of these, end to end, as two
+    halves of 128 bits: the first selects and joins, both together say that lines are equal."""
     owner, hashes, held, chars = [], [], [], []
     for i, text in enumerate(texts):
         for line in real_lines(text):
             raw = line.encode()
             owner.append(i)
-            hashes.append(xxhash.xxh64_intdigest(raw))
+            hashes.append(xxhash.xxh3_128_digest(raw))
             held.append(len(raw.split()))
             chars.append(len(line))
-    owner, lines = np.array(owner, np.int64), np.array(hashes, np.uint64)
+    owner, halves = np.array(owner, np.int64), np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)
+    lines, others = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
     place, start, many = minima(lines, run, owner)
     parts = [(lines[place], start, np.full(len(start), run), many + run - 1)]
     if words:
@@ -89,28 +91,30 @@ def fingerprints(texts: list[str | None], run: int, words: int) -> tuple[np.ndar
     total = int(end[-1]) if len(end) else 0
     place = np.repeat(start - (end - around), around) + np.arange(total)
     begins = np.searchsorted(owner, np.arange(len(texts)))
-    return owner[start], seed, start - begins[owner[start]], size, around, lines[place]
+    return owner[start], seed, start - begins[owner[start]], size, around, lines[place], others[place]
 
 
 def repeated_runs(docs: DataFrame, *, run: int = RUN, words: int = WORDS) -> DataFrame:
     """doc_id, print (of the text) and its windows (first line, among those that are not blank, and lines) that occur earlier."""
     schema = docs.select("doc_id").schema
-    for name, kind in (("print", "long"), ("seed", "long"), ("start", "long"), ("size", "integer"), ("around", T.ArrayType(T.LongType(), False))):
+    for name, kind in (("print", "long"), ("seed", "long"), ("start", "long"), ("size", "integer"), ("around", T.ArrayType(T.LongType(), False)), ("others", T.ArrayType(T.LongType(), False))):
         schema = schema.add(name, kind)
 
     def select(batches):
         for batch in batches:
-            row, seed, start, size, around, lines = fingerprints(batch.column(2).to_pylist(), run, words)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(around)]).astype(np.int32)), pa.array(lines.view(np.int64)))
-            columns = [pa.array(seed.view(np.int64)), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int32)), lists]
+            row, seed, start, size, around, *halves = fingerprints(batch.column(2).to_pylist(), run, words)
+            ends = pa.array(np.concatenate([[0], np.cumsum(around)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(half.view(np.int64))) for half in halves]
+            columns = [pa.array(seed.view(np.int64)), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int32)), *lists]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in (0, 1)), *columns], names=schema.names)
 
     seen = materialize(docs.select("doc_id", text_print().alias("print"), "text").mapInArrow(tidy(select), schema), "fingerprints")
     # each found first and written, so that adaptive execution can split the joins at hot keys
     twice = materialize(seen.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "twice", light=True)
-    places = seen.join(twice, "seed").select("doc_id", "print", "start", "size", "around", F.posexplode(F.expr("sequence(1, size(around) - size + 1)")).alias("k", "from"))
+    places = seen.join(twice, "seed").select("doc_id", "print", "start", "size", "around", "others", F.posexplode(F.expr("sequence(1, size(around) - size + 1)")).alias("k", "from"))
     place = F.struct("doc_id", "print", (F.col("start") + F.col("k")).alias("start"))
-    windows = materialize(places.select(place.alias("place"), "size", F.slice("around", F.col("from"), F.col("size")).alias("lines")), "windows")
+    part = lambda c: F.slice(c, F.col("from"), F.col("size"))
+    windows = materialize(places.select(place.alias("place"), "size", F.concat(part("around"), part("others")).alias("lines")), "windows")
     first = materialize(windows.groupBy("lines").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first", light=True)
     later = windows.join(first, "lines").where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*", "size")
     out = materialize(later.groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "size")).alias("gone")), "gone", light=True)

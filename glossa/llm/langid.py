@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import UPPER_TO_LOWER, flat, fold, shielded, slices, tidy
 
-SAMPLE_PER_LANG, SAMPLE_CHARS = 500, 200_000
+SAMPLE_PER_LANG, SAMPLE_CHARS, SAMPLE_LANGS = 500, 200_000, 200
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
 PLAIN = UPPER_TO_LOWER.copy()
@@ -108,16 +108,15 @@ def train(texts: list[str], langs: list[str], *, epochs: int = 6, seed: int = 7)
     return LangModel(names, table.astype(np.float32), bias, float(temperature), threshold)
 
 
-def fit_language(docs: DataFrame, *, per_lang: int = SAMPLE_PER_LANG, max_chars: int = SAMPLE_CHARS) -> LangModel | None:
-    """Learn from text and lang of rows whose fold (crc32 of doc_id, modulo 5) is not 0, by a bounded sample."""
+def fit_language(docs: DataFrame, *, per_lang: int = SAMPLE_PER_LANG, max_chars: int = SAMPLE_CHARS, langs: int = SAMPLE_LANGS) -> LangModel | None:
+    """Learn from text and lang of rows whose fold (crc32 of doc_id, modulo 5) is not 0, by a bounded sample: of the langs most frequent languages, about per_lang texts each."""
     rows = docs.where((fold("doc_id", 5) != 0) & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-    counts = rows.groupBy("lang").count().collect()
-    if not counts:
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs)
+    share = F.floor(1e6 * F.least(F.lit(1.0), per_lang / F.col("count"))).cast("long") + 1
+    some = rows.join(F.broadcast(counts.select("lang", share.alias("__share"))), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("__share"))
+    got = some.select("doc_id", "text", "lang").collect()
+    if not got:
         return None
-    share = F.lit(0)
-    for lang, count in counts:
-        share = F.when(F.col("lang") == lang, F.lit(int(1e6 * min(1.0, per_lang / count)) + 1)).otherwise(share)
-    got = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("doc_id", "text", "lang").collect()
     got.sort(key=lambda r: (r[0], r[1]))
     return train([r[1] for r in got], [r[2] for r in got])
 

@@ -108,8 +108,7 @@ class Corpus:
         self.store.write("curated", serve.low_quality(self.articles(), self.store.read("analyses"), least))
         poor = self.store.read("curated")
         if not dry_run:
-            self.store.delete(poor, parent="none")
-            self.store.write("articles", self.store.read("articles").join(poor, F.col("id") == F.col("doc_id"), "left_anti"))
+            self.store.delete(poor, parent_key="id")
         return poor
 
     # ---- reading
@@ -128,7 +127,7 @@ class Corpus:
     def set_progress(self, doc_id: str, progress: int, at: str) -> None:
         if not 0 <= progress <= 100:
             raise ValueError("progress is 0 to 100")
-        self.store.upsert("reading_progress", self.spark.createDataFrame([(doc_id, progress, at)], "doc_id string, progress int, last_read_at string"), "doc_id", keep=())
+        self.store.merge("reading_progress", self.spark.createDataFrame([(doc_id, progress, at)], "doc_id string, progress int, last_read_at string"), "doc_id")
 
     def clear_progress(self) -> int:
         n = self.progress().count()
@@ -141,7 +140,7 @@ class Corpus:
             raise ValueError(level)
         key = lemma.replace("’", "'").strip().lower()
         rows = self.spark.createDataFrame([(key, level)], "lemma string, level string")
-        self.store.replace("word_mastery", rows.where("level IS NOT NULL"), "lemma", rows)
+        self.store.merge("word_mastery", rows, "lemma", drop="level IS NULL")
 
     def mastery(self) -> DataFrame:
         return self.store.read("word_mastery") if self.store.exists("word_mastery") else self.spark.createDataFrame([], "lemma string, level string")

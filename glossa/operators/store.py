@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -63,88 +65,135 @@ def with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 class Store:
-    """Tables as versioned Parquet folders below one root; numbered, empty pointer files name the versions.
+    """Tables as versioned Parquet folders below one root, named by a manifest of all tables; numbered pointers name the manifests.
 
-    A write goes to a new folder and adds the next pointer last; the highest pointer is the table. So a failed job, also
-    one that dies between two steps, leaves the table as it was, and of two writers at once the second one fails. Folders
-    and pointers go through Spark's file system, so the root may be any store that Spark reaches. A version is one folder,
-    or a list of folders by bucket of the key, of which merge writes only those that a batch touches.
+    A commit writes new folders, then a manifest, and adds the next pointer last: several tables change together or not at
+    all, also when a job dies in between, and of two commits at once one fails at least. The last ``keep`` manifests stay,
+    with the folders that they name, for readers that have begun; older ones are deleted by the commit. Folders and pointers
+    go through Spark's file system. That a pointer is created once only is certain where the file system makes new files
+    atomically (HDFS, local disks); on object stores a commit that lost can be noticed late, so let one job write there.
+
+    A table is one folder, or a folder for each bucket of its key, of which merge writes only those that a batch touches.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, *, keep: int = 20):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), max(1, keep)
+
+    # ---- commits
 
     def _path(self, text: str):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(text)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _pointers(self, name: str) -> list[str]:
-        fs, path = self._path(f"{self.root}/{name}/pointers")
+    def _pointers(self) -> list[str]:
+        """number_manifest of every kept commit, the oldest first."""
+        fs, path = self._path(f"{self.root}/_commits/pointers")
         return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
 
-    def _point(self, name: str, version: str) -> None:
-        known = self._pointers(name)
+    def _manifest(self, pointer: str) -> dict[str, dict]:
+        fs, path = self._path(f"{self.root}/_commits/{pointer.split('_', 1)[1]}.json")
+        return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(fs.open(path))).decode())
+
+    def tables(self) -> dict[str, dict]:
+        """What the last commit says: for each table {"folder": name}, or {"buckets": n, "folders": {bucket: name}}."""
+        known = self._pointers()
+        return self._manifest(known[-1]) if known else {}
+
+    def _commit(self, changes: dict[str, dict]) -> None:
+        known = self._pointers()
         number = int(known[-1].split("_")[0]) + 1 if known else 1
-        fs, path = self._path(f"{self.root}/{name}/pointers/{number:012d}_{version}")
-        if not fs.createNewFile(path) or [p for p in self._pointers(name) if p.startswith(f"{number:012d}_")] != [path.getName()]:
-            raise RuntimeError(f"{name} was written by another job at the same time")
-        for old in known[:-1]:
-            fs.delete(self._path(f"{self.root}/{name}/pointers/{old}")[1], False)
-
-    def _current(self, name: str) -> str | None:
-        known = self._pointers(name)
-        return known[-1].split("_", 1)[1] if known else None
-
-    def _folders(self, name: str) -> dict[int, str] | None:
-        """The folders of a table in buckets; None for one in a single folder."""
-        version = self._current(name)
-        if version is None or not version.startswith("m-"):
-            return None
-        return {r["bucket"]: r["folder"] for r in self.spark.read.parquet(f"{self.root}/{name}/{version}").collect()}  # one row a bucket
+        content = {**(self._manifest(known[-1]) if known else {}), **changes}
+        name = uuid.uuid4().hex
+        fs, path = self._path(f"{self.root}/_commits/{name}.json")
+        out = fs.create(path, False)
+        try:
+            out.write(bytearray(json.dumps(content).encode()))
+        finally:
+            out.close()
+        pointer = self._path(f"{self.root}/_commits/pointers/{number:012d}_{name}")[1]
+        if not fs.createNewFile(pointer) or [p for p in self._pointers() if int(p.split("_")[0]) >= number] != [pointer.getName()]:
+            fs.delete(pointer, False)
+            fs.delete(path, False)
+            raise RuntimeError("the store was written by another job at the same time")
+        self._forget(self._pointers()[: -self.keep])
+
+    def _forget(self, pointers: list[str]) -> None:
+        """Delete old commits, and folders that no later one names."""
+        if not pointers:
+            return
+        kept = {f for p in self._pointers() if p not in pointers for f in folders_of(self._manifest(p))}
+        gone = {f for p in pointers for f in folders_of(self._manifest(p))} - kept
+        fs, _ = self._path(self.root)
+        for p in pointers:  # first what names the folders, so that nobody begins to read them
+            fs.delete(self._path(f"{self.root}/_commits/pointers/{p}")[1], False)
+            fs.delete(self._path(f"{self.root}/_commits/{p.split('_', 1)[1]}.json")[1], False)
+        for folder in gone:
+            fs.delete(self._path(f"{self.root}/{folder}")[1], True)
+
+    def vacuum(self, hours: float = 24.0) -> int:
+        """Delete folders of tables that no kept commit names and that are older than that: what jobs left that died. How many."""
+        named = {f.split("/__bucket=")[0] for p in self._pointers() for f in folders_of(self._manifest(p))}
+        fs, root = self._path(self.root)
+        before, n = (time.time() - 3600 * hours) * 1000, 0
+        for table in [f for f in (fs.listStatus(root) if fs.exists(root) else []) if f.isDirectory() and f.getPath().getName() != "_commits"]:
+            for f in fs.listStatus(table.getPath()):
+                if f"{table.getPath().getName()}/{f.getPath().getName()}" not in named and f.getModificationTime() <= before:
+                    n += bool(fs.delete(f.getPath(), True))
+        return n
+
+    # ---- tables
 
     def exists(self, name: str) -> bool:
-        return self._current(name) is not None
+        return name in self.tables()
 
     def read(self, name: str) -> DataFrame:
-        folders = self._folders(name)
-        if folders is None:
-            return self.spark.read.parquet(f"{self.root}/{name}/{self._current(name)}")
-        return self.spark.read.parquet(*[f"{self.root}/{name}/{f}" for f in folders.values()])
+        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders_of({name: self.tables()[name]})])
 
     def write(self, name: str, df: DataFrame) -> None:
         self.write_all({name: df})
 
     def write_all(self, tables: dict[str, DataFrame]) -> None:
-        """Write all folders first, then move the pointers: a job that fails while it computes changes no table."""
-        versions = {name: f"v-{uuid.uuid4().hex}" for name in tables}
+        """All folders first, then one commit: a job that fails while it computes changes no table."""
+        versions = {name: {"folder": f"{name}/v-{uuid.uuid4().hex}"} for name in tables}
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{name}/{versions[name]}")
-        for name, version in versions.items():
-            self._point(name, version)
+            df.write.parquet(f"{self.root}/{versions[name]['folder']}")
+        self._commit(versions)
 
     def upsert(self, name: str, new: DataFrame, key: str, keep: Sequence[str] = ("created_at",)) -> None:
         old = self.read(name) if self.exists(name) else new.drop("__order").limit(0)
         self.write(name, upsert(old, new, key, keep=keep))
 
-    def merge(self, name: str, new: DataFrame, key: str, *, keep: Sequence[str] = (), buckets: int = 64) -> None:
-        """upsert for small batches into a large table: only the buckets of the batch's keys are read and written."""
-        folders = self._folders(name)
-        if folders is None and self.exists(name):
-            raise ValueError(f"{name} is not in buckets")
+    def merge(self, name: str, new: DataFrame, key: str, *, keep: Sequence[str] = (), buckets: int = 64, drop: str | None = None) -> None:
+        """upsert for small batches into a large table: only the buckets of the batch's keys are read and written.
+
+        drop: rows for which this holds after the merge go. A table in one folder is dealt into buckets by its first merge.
+        """
+        known = self.tables().get(name)
+        folders = {int(b): f for b, f in known["folders"].items()} if known and "folders" in known else {}
+        buckets = known["buckets"] if folders else buckets
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         new = new.withColumn("__bucket", bucket).persist()
         touched = sorted(r[0] for r in new.select("__bucket").distinct().collect())  # at most buckets
+        if known and not folders and touched:
+            before, touched = [known["folder"]], list(range(buckets))
+        else:
+            before = [folders[b] for b in touched if b in folders]
         if touched:
-            before = [f"{self.root}/{name}/{folders[b]}" for b in touched if folders and b in folders]
-            old = self.spark.read.parquet(*before) if before else new.drop("__bucket", "__order").limit(0)
+            old = self.spark.read.parquet(*[f"{self.root}/{f}" for f in before]) if before else new.drop("__bucket", "__order").limit(0)
             rows = upsert(old, new.drop("__bucket"), key, keep=keep)
-            version = f"b-{uuid.uuid4().hex}"
-            rows.withColumn("__bucket", bucket).repartition(len(touched), "__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{name}/{version}")
-            after = {**(folders or {}), **{b: f"{version}/__bucket={b}" for b in touched}}
-            listed = f"m-{uuid.uuid4().hex}"
-            self.spark.createDataFrame(list(after.items()), "bucket int, folder string").coalesce(1).write.parquet(f"{self.root}/{name}/{listed}")
-            self._point(name, listed)
+            if drop:
+                rows = rows.where(~F.coalesce(F.expr(drop), F.lit(False)))
+            version = f"{name}/b-{uuid.uuid4().hex}"
+            dealt = rows.withColumn("__bucket", bucket).repartition(len(touched), "__bucket").persist()
+            there = {r[0] for r in dealt.select("__bucket").distinct().collect()}  # at most buckets
+            dealt.write.partitionBy("__bucket").parquet(f"{self.root}/{version}")
+            after = {**{b: f for b, f in folders.items() if b not in touched}, **{b: f"{version}/__bucket={b}" for b in there}}
+            if after:
+                self._commit({name: {"buckets": buckets, "folders": {str(b): f for b, f in after.items()}}})
+            else:  # no row is left: an empty table keeps its columns
+                self.write(name, rows.limit(0))
+            dealt.unpersist()
         new.unpersist()
 
     def replaced(self, name: str, new: DataFrame, key: str, replaced: DataFrame | None = None) -> DataFrame:
@@ -153,6 +202,16 @@ class Store:
     def replace(self, name: str, new: DataFrame, key: str, replaced: DataFrame | None = None) -> None:
         self.write(name, self.replaced(name, new, key, replaced))
 
-    def delete(self, ids: DataFrame, key: str = "doc_id", parent: str = "articles") -> None:
-        names = [n for n in [*CHILDREN, parent] if self.exists(n)]
-        self.write_all({n: cascade_delete({n: self.read(n)}, ids, key)[n] for n in names})
+    def delete(self, ids: DataFrame, key: str = "doc_id", parent: str = "articles", parent_key: str | None = None) -> None:
+        """The rows of the ids go from the parent and all children, in one commit."""
+        known = self.tables()
+        out = {n: cascade_delete({n: self.read(n)}, ids, key)[n] for n in CHILDREN if n in known}
+        if parent in known:
+            other = parent_key or key
+            out[parent] = self.read(parent).join(ids.select(F.col(key).alias(other)).distinct(), other, "left_anti")
+        self.write_all(out)
+
+
+def folders_of(tables: dict[str, dict]) -> list[str]:
+    """All folders that a manifest's entries name."""
+    return [f for t in tables.values() for f in (t["folders"].values() if "folders" in t else [t["folder"]])]

@@ -6,16 +6,15 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..config import Crawler, Source
+from ..config import Source
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import aggregate, analyze, export, material, review, serve
-from ..sources import files, providers
 from . import fixtures as X
 from . import fragments as D
 from . import table_queries as Q
 from . import text_queries as P
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 
 def values(rows, columns: str) -> str:
@@ -97,16 +96,7 @@ def word_contexts(spark, d):
     return serve.word_context(table(spark, d, "documents"), "tion")
 
 
-# ---- seeds, glosses, examples
-
-SEED_DOMAINS = [("politics_law", 0, "Politics", "P"), ("science_academic", 1, "Science", "old overview"), ("media_culture", 2, "Media of our own", "M")]
-SEED_ENTRIES = [("politics_law", 0, "issue"), ("science_academic", 0, "robust"), ("media_culture", 0, "outlet")]
-
-
-def seed(spark):
-    domains = spark.createDataFrame(SEED_DOMAINS, "key string, ord int, title string, overview string")
-    return material.normalised_domains(domains, spark.createDataFrame(SEED_ENTRIES, "domain string, ord int, headword string"))
-
+# ---- glosses and examples
 
 GLOSSED = f"""{Q.AGG_VOCAB}, gv AS (SELECT DISTINCT word FROM av), pw AS (SELECT doc_id, unnest(list_slice(w, 1, 3)) AS word, unnest(range(least(len(w), 3))) AS i FROM c),
 pe AS (SELECT word, doc_id * 10 + i AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'm' || doc_id END AS zh, CASE WHEN (doc_id + i) % 2 = 0 THEN 'c' || doc_id ELSE '' END AS common, 'x' || i AS exam FROM pw),
@@ -138,15 +128,6 @@ def corpus_hits(spark, d):
     return out.select("headword", "kind", "field", "frequency", "article_count", "example_sentence", "rank")
 
 
-HITS = [("a", "cite", "s1", "law", 2, 9), ("b", "", "s1,s2", "law", 2, 9), ("c", None, None, "law", 2, 9), ("d", None, "", "", 0, 9), ("e", "", "", None, 0, 0)]
-
-
-PLACES = [("Law", "x", ""), ("sport", "Market", "法"), ("sport", "court", ""), ("sport", "thing", "研究环境的气候"), ("sport", "thing", "诉讼 公司"), ("sport", "thing", "水"), ("sport", "", "法"), (None, "climate", None), ("AI", "court", "")]
-
-
-KINDS = [("Polysemy", "sense"), ("熟词生义", "sense"), ("idiomatic expression", "phrase"), ("legal or political vocabulary", "term"), (" term ", "term"), ("academic/general", "academic"), ("terms", "core"), (None, "core")]
-
-
 # ---- chapters
 
 SEEN = ["Thth ", "thhe", "orre"]
@@ -174,10 +155,46 @@ CHAPTER_DOMAINS = [("politics_law", 0, "Politics", "About politics."), ("general
 
 @query(f"WITH {CHAPTERS}, dm AS ({values(CHAPTER_DOMAINS, 'key, ord, title, overview')}) SELECT key, '## ' || title || chr(10) || chr(10) || overview || chr(10) || chr(10) || '| Entry | Class | Part of speech | Importance | Core sense |' || chr(10) || '| --- | --- | --- | --- | --- |' || coalesce(chr(10) || lines, '') || chr(10) || coalesce(chr(10) || sections, '') AS body FROM dm LEFT JOIN eb ON domain = key")
 def book_chapters(spark, d):
-    kept = Q.capped(spark, d).where("NOT overflow").join(Q.entries(spark, d), ["field", "word", "category", "domain"])
-    rows = kept.withColumn("ord", F.col("rank")).withColumns({"seed": F.lit(False), "pos": F.lit(""), "zh": F.lit(""), "phonetic": F.lit(""), "en": F.lit("")})
+    return chapters(spark, d).select("key", "body")
+
+
+def chapters(spark, d):
+    rows = Q.kept(spark, d).withColumn("ord", F.col("rank")).withColumns({"seed": F.lit(False), "pos": F.lit(""), "zh": F.lit(""), "phonetic": F.lit(""), "en": F.lit("")})
     rows = rows.withColumn("source", material.hit_source(rows))
-    return material.chapters(rows, spark.createDataFrame(CHAPTER_DOMAINS, "key string, ord int, title string, overview string")).select("key", "body")
+    return material.chapters(rows, book_domains(spark))
+
+
+def book_domains(spark):
+    return spark.createDataFrame(CHAPTER_DOMAINS, "key string, ord int, title string, overview string")
+
+
+BOOK_HEAD = ["# Whole", "", "All in one", "", "## How to use", "", *[f"- {g}" for g in material.GUIDE], "", "## Quick list", ""]
+
+
+@query(f"""WITH bc AS ({ORACLES['book_chapters']}), dm AS ({values(CHAPTER_DOMAINS, 'key, ord, title, overview')}),
+qk AS (SELECT ord, d.doc_id, '| w' || d.doc_id || ' | ' || title || ' | c | ' || source || ' |' AS line FROM documents d JOIN dm ON dm.ord = d.doc_id % 3 WHERE d.doc_id % 2 = 1)
+SELECT 'book.md' AS name, {D.quoted(chr(10).join(BOOK_HEAD))} || chr(10) || {D.quoted(material.table_head(material.LABELS['risky']))} || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY ord, doc_id) FROM qk) || chr(10) || chr(10) || '## Contents' || chr(10) || chr(10)
+ || '1. [Politics](#politics)' || chr(10) || '2. [General](#general)' || chr(10) || '3. [Media](#media)' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || (SELECT string_agg(body, chr(10) ORDER BY ord) FROM bc JOIN dm USING (key)) || chr(10) || {D.quoted(material.plan())} AS body""")
+def book_whole(spark, d):
+    """The book as one document: chapters of the corpus, a quick list of entries made of documents, and the plan."""
+    docs = table(spark, d, "documents")
+    domain = F.element_at(F.array(*[F.lit(k) for k, *_ in CHAPTER_DOMAINS]), (F.col("doc_id") % 3 + 1).cast("int"))
+    entries = docs.select(domain.alias("domain"), F.col("doc_id").alias("ord"), F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("headword"), (4 + F.col("doc_id") % 2).alias("importance"), F.lit("c").alias("chinese"), F.col("source").alias("risk"))
+    pages = material.book_pages(chapters(spark, d), book_domains(spark), {material.LABELS["plan"]: material.plan()})
+    return material.whole_book(pages, material.quick_list(entries, book_domains(spark)), {"title": "Whole", "subtitle": "All in one"})
+
+
+GUIDE_NAMES = "CASE type " + " ".join(f"WHEN {D.quoted(c)} THEN {D.quoted(label)}" for c, label, _, _ in L.PATTERNS) + " ELSE 'Other structure' END"
+
+
+@query(f"""{P.DIVERSE.split("SELECT place, type, pattern, example_sentence FROM ch")[0].rstrip()},
+gd AS (SELECT ch.place, pa.type, pa.priority_, '#### ' || pa.pattern || chr(10) || chr(10) || '- ' || frequency || ' times in ' || article_count || ' articles' || chr(10) || '- ' || repeat('★', CASE WHEN importance = 0 THEN 3 ELSE least(importance, 5) END) || coalesce(chr(10) || '- ' || nullif(example_source, ''), '') || chr(10) || chr(10) || '> '
+ || CASE WHEN len({D.squeezed('example_sentence')}) <= 240 THEN {D.squeezed('example_sentence')} ELSE left({D.squeezed('example_sentence')}, 237) || '...' END || chr(10) AS text FROM ch JOIN (SELECT *, {P.PRIORITY} AS priority_ FROM pa) pa ON pick = pa.type || chr(1) || pa.pattern),
+gk AS (SELECT type, max(priority_) AS p, min(place) AS place, string_agg(text, chr(10) ORDER BY place) AS text FROM gd GROUP BY type)
+SELECT '## Sentence templates' || chr(10) || chr(10) || '## Patterns of the corpus' || chr(10) || chr(10) || string_agg('### ' || {GUIDE_NAMES} || chr(10) || chr(10) || text, chr(10) ORDER BY p DESC, place) AS body FROM gk""")
+def pattern_guide(spark, d):
+    rows = aggregate.patterns(analyze.pattern_rows(P.corpus(spark, d), keep=["source"]))
+    return material.pattern_guide(spark.createDataFrame([], material.PATTERN), aggregate.diversified(rows, per_type=2, limit=20))
 
 
 # ---- reports
@@ -203,28 +220,3 @@ def article_reports(spark, d):
 def field_reports(spark, d):
     words = aggregate.vocabulary(Q.vocab(spark, d), Q.articles(spark, d)).where("field IS NOT NULL")
     return export.field_reports(words).select("field", "body")
-
-
-# ---- papers, discovery, pages, replies
-
-SLUGS = [("2010-1", "u1", "/f1.pdf"), ("2011-2", "u2", "/f2.pdf")]
-
-
-PAGES_WANTED = ["a1", "a2", "t?p=1", "t?p=2", "s?q=court+of+law&x=%22court+of+law%22&p=1", "s?q=court+of+law&x=%22court+of+law%22&p=2"]
-
-
-METAS = ['<meta property="og:site_name" content="The Site"><meta name="author" content="A. B."><meta content=\'About &amp; on\' name=\'description\'>', "<META NAME='date' CONTENT='2024-05-01'><meta property='article:author' content='C'>", "<p>none</p>", None]
-
-
-REPLIES = [
-    ('<think>{"x": 1}</think> {"a": 1}', '{"a": 1}'),
-    ('draft {"a": 1} then {"vocabulary": [], "rhetoric": [], "exam_value": {}} and {"b": 2}', '{"vocabulary": [], "rhetoric": [], "exam_value": {}}'),
-    ('first {"a": {"c": 3}} last {"b": 2} end', '{"b": 2}'),
-    ('cut {"a": [1, {"b": 2}', '{"b": 2}'),
-    ("nothing here", '{"raw": "nothing here"}'),
-    ("```json\n[1, 2]\n```", "[1, 2]"),
-]
-
-
-NAMES = [("  The Court’s “Case”: 2nd Part_1 ", "the-court-s-case-2nd-part_1", "the-courts-case-2nd-part_1", "thecourtscasendpart"), ("政治法律", "untitled", "政治法律", None), ("Don't-Stop!", "don-t-stop", "dont-stop", "don't-stop"), (None, "untitled", "", None)]
-

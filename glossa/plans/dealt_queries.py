@@ -354,3 +354,28 @@ def admitted_words(df: DataFrame) -> DataFrame:
 
 
 deal("payload_words", [(ENTRIES,), ("{}",)], "payload string", [[(0, "case", "high_school", 1), (1, "court", "core", 5), (2, "odd{w}", "rare", 1)], []], "ord, word, tier, importance", admitted_words)
+
+
+def echo(url: str, headers: dict, body: dict) -> dict:
+    """A model that knows an article's source and title: by which call it is asked, it gives a list or an object."""
+    system, article = body["messages"][0]["content"], json.loads(body["messages"][1]["content"])
+    parts = {"vocabulary": [{"lemma": article["title"]}], "rhetoric": [], "exam_value": {"primary_domain": article["source"]}}
+    own = [k for k, prompt in providers.PART_PROMPTS.items() if prompt == system]
+    text = json.dumps(parts[own[0]] if own else parts)
+    return {"choices": [{"message": {"content": f"<think>hm</think>```json\n{text}\n```" if len(article["title"]) % 2 else text}}]}
+
+
+MODEL_SQL = f"SELECT doc_id, mode, 'valid' AS status, source AS domain, CASE mode WHEN 'one call' THEN 'echo' ELSE '' END AS model, w AS lemma FROM {worded_sql()} JOIN documents USING (doc_id), (VALUES ('one call'), ('three calls')) v(mode)"
+
+
+@query(MODEL_SQL)
+def model_calls(spark, d):
+    """Analyses of all documents by a model, in one call or in three: asked in tasks, decoded, digested."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").join(worded(spark, d).withColumnRenamed("w", "title"), "doc_id")
+    inputs, out = providers.model_inputs(docs), None
+    for mode, parts in (("one call", None), ("three calls", providers.PART_PROMPTS)):
+        got = providers.answered(inputs, "article", lambda parts=parts: providers.ChatModel(echo, "echo", url="http://model", parts=parts)).select("doc_id", F.col("answer").alias("payload"))
+        lemma = F.get_json_object("payload", "$.vocabulary[0].lemma").alias("lemma")
+        rows = payloads.digest(got).join(got.select("doc_id", lemma), "doc_id").select("doc_id", F.lit(mode).alias("mode"), "status", "domain", "model", "lemma")
+        out = rows if out is None else out.unionByName(rows)
+    return out

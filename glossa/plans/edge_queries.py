@@ -1,18 +1,13 @@
-"""Queries of readers, payloads, reading views and upkeep, over the tables or over literal cases with the outcome written out."""
+"""Queries of readers, payloads, reading views and upkeep, over the tables."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import analyze, material, payloads, review, serve, store
+from ..operators import analyze, payloads, review, serve, store
 from ..sources import files, providers
-from . import fixtures as X
 from . import fragments as D
 from . import table_queries as Q
-from .book_queries import values
 from .registry import query, table
 
 # ---- readers
@@ -35,12 +30,6 @@ def exam_import(spark, d):
     return files.exam_articles(rows).select("id", "published_at", "source", "text", F.get_json_object("metadata_json", "$.year").alias("said"))
 
 
-BLOCKS = "First  block\nof two lines\n---\n\n## head one\nSecond\n#### head\n   \n-----\nThird -- not a rule"
-
-
-INDEX = ['<a href="/paper/2010-1">One <b>paper</b></a><a href="/paper/2011-2"></a><a href="/paper/2010-1">Again</a>', '<a href="/other/2012-1">x</a><a href="/paper/2009-1">Nine</a>']
-
-
 @query("SELECT n_name AS word, CASE WHEN n_nationkey % 2 = 0 THEN 'a' || n_nationkey WHEN n_nationkey % 3 = 0 THEN 'b' || n_nationkey END AS entry FROM nation")
 def dictionary_lookup(spark, d):
     words = table(spark, d, "nation")
@@ -51,27 +40,6 @@ def dictionary_lookup(spark, d):
 
 # ---- payloads
 
-ANSWER = {
-    "vocabulary": [
-        {"lemma": " Statute ", "category": "legal or political vocabulary", "exam_importance": "high", "source_sentence": "A statute."},
-        {"lemma": "at issue", "category": "idiomatic expression", "exam_importance": "medium", "meaning_in_context": "in dispute"},
-        {"lemma": "go on", "exam_importance": ""},
-        {"lemma": "algorithm", "classification": "polysemy", "estimated_level": "postgraduate", "exam_importance": "postgraduate"},
-        {"lemma": ""},
-    ],
-    "rhetoric": [{"type": "Author attitude", "original_sentence": " They argue that it holds. ", "explanation": "view"}, {"type": "x", "original_sentence": "No explanation."}, {"canonical_type": "cleft", "original_sentence": "It was late.", "reading_tip_zh": "tip", "template": "Template: it was A"}],
-    "exam_value": {"primary_domain": "law"}, "_meta": {"model": "m"},
-}
-GIVEN = [(1, json.dumps(ANSWER)), (2, "{broken"), (3, "{}"), (4, None)]
-
-
-def given(spark):
-    return spark.createDataFrame(GIVEN, "doc_id long, payload string")
-
-
-TIERED = [("a", "core", "academic/general"), ("b", "high_school", "academic/general"), ("c", "high_school", "polysemy"), ("d", "rare", "domain terminology"), ("e", "rare", "academic/general"), ("f", "high_school", "domain terminology"), ("g", "gre", "polysemy")]
-
-
 # ---- reading and upkeep
 
 @query(f"SELECT doc_id, greatest(1, round(len({D.words('text')}) / 180)::INT) AS minutes FROM documents")
@@ -84,9 +52,6 @@ def added_columns(spark, d):
     return store.with_columns(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), {"o_orderpriority": "'x'", "note": "'none'", "place": "o_orderkey % 7"})
 
 
-MARKED = [("They held that.", "hold"), ("Cases and caser.", "case"), ("He took issue with it.", "take issue with"), ("Subcase only.", "case"), ("Économie, é.", "é"), ("x", ""), (None, "x")]
-
-
 # ---- Zipf scores: of the generated words by their length
 
 ZIPF = "CASE WHEN len(word) < 4 THEN 6.0 WHEN len(word) < 8 THEN 4.0 WHEN len(word) < 12 THEN 2.0 ELSE 0.0 END"

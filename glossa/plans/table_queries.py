@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,7 +10,6 @@ from ..functions import text as T
 from ..operators import aggregate, analyze, review, serve, store
 from ..sources import files
 from ..streaming import flows
-from . import fixtures as X
 from . import fragments as D
 from .registry import query, table
 
@@ -93,7 +91,6 @@ def merged_vocabulary(spark, d):
 
 
 KNOWN, NAMES = ["thee", "tion"], ["thth", "rere"]
-PLAIN_FORM = "regexp_extract(example_sentence, '(?i)(?:^|[^A-Za-z0-9_])(' || word || '(?:s|es|ed|ing|d)?)(?:$|[^A-Za-z0-9_])', 1)"
 EXPORTED = f"""CASE WHEN contains(lower(category), 'polysemy') THEN true WHEN word = '' OR list_contains({D.listing([*review.COMMON_WORDS, *KNOWN])}, word) THEN false
 WHEN list_contains({D.listing(NAMES)}, word) THEN false WHEN NOT list_contains({D.listing(review.KNOWN_SHORT)}, word) AND (contains(word, '.') OR (len(word) <= 3 AND NOT regexp_matches(word, '[aeiouy]'))) THEN false ELSE importance >= 4 OR article_count >= 2 END"""
 
@@ -103,9 +100,6 @@ def export_filter_vocab(spark, d):
     return merged(spark, d).where(review.exportable_word(known=KNOWN, names=NAMES)).select("word", "category", "frequency")
 
 
-CASES = [("Acme", "academic", "They met Acme there.", 5, 3), ("nasa", "academic", "At NASA it began.", 5, 3), ("market", "term", "Market rules. The market grew.", 1, 2), ("can", "term", "", 5, 5), ("gdp", "term", "The GDP fell.", 4, 1), ("xq", "term", "", 5, 5), ("subject", "polysemy", "", 0, 0), ("tiny", "term", "", 1, 1), ("deal", "term", "The Deals were off.", 4, 1)]
-
-
 GRAMS = f"""{D.R}, g2 AS (SELECT doc_id, 2 AS n, token || ' ' || lead(token) OVER w AS gram FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), g3 AS (SELECT doc_id, 3 AS n, token || ' ' || lead(token) OVER w || ' ' || lead(token, 2) OVER w AS gram FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ge AS (SELECT gram AS expression, n || '-gram' AS type, CASE WHEN starts_with(gram, 'th') THEN 'has a meaning' ELSE '' END AS meaning, count(*) AS frequency, count(DISTINCT doc_id) AS article_count FROM (FROM g2 UNION ALL FROM g3) WHERE gram IS NOT NULL AND len(list_filter(string_split(gram, ' '), lambda x: list_contains({D.listing(L.STOPWORDS)}, x))) = 0 GROUP BY ALL)"""
 
@@ -174,9 +168,15 @@ PRIORITY = "CASE WHEN category = 'polysemy' THEN 5 WHEN contains(category, 'term
 CAPPED = f"{CLASSED}, ca AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, {PRIORITY} DESC, article_count DESC, frequency DESC, field, word, category) AS rank FROM cl WHERE {ADMIT}), cb AS (SELECT *, rank > CASE domain WHEN 'politics_law' THEN 30 WHEN 'general_academic' THEN 20 ELSE 160 END AS overflow FROM ca), co AS (SELECT field, word, category, domain, CASE WHEN NOT overflow THEN rank END AS rank, overflow FROM cb)"
 
 
+CAP_ORDER = [(F.col("score"), True), (review.category_priority(F.col("category")), True), (F.col("article_count"), True), (F.col("frequency"), True), (F.col("field"), False), (F.col("word"), False), (F.col("category"), False)]
+
+
+def kept(spark, d):
+    return aggregate.within_caps(entries(spark, d), CAPS, CAP_ORDER)
+
+
 def capped(spark, d):
-    order = [(F.col("score"), True), (review.category_priority(F.col("category")), True), (F.col("article_count"), True), (F.col("frequency"), True), (F.col("field"), False), (F.col("word"), False), (F.col("category"), False)]
-    return aggregate.capped(entries(spark, d), CAPS, order).select("field", "word", "category", "domain", "rank", "overflow")
+    return aggregate.capped(entries(spark, d), CAPS, CAP_ORDER).select("field", "word", "category", "domain", "rank", "overflow")
 
 
 @query(f"WITH {CAPPED} SELECT * FROM co WHERE NOT overflow")
@@ -198,9 +198,6 @@ def appendix(spark, d):
     return serve.page(rows.select("word", "frequency", "article_count"), [F.desc("article_count"), F.desc("frequency"), F.asc("word")], 0, 120)
 
 
-PHRASE_CASES = [("lead to", 1, 0, 0), ("a b c d e f", 9, 9, 9), ("take part", 3, 2, 1), ("take part", 2, 2, 1), ("12 34", 9, 9, 9), ("odd pair", 1, 1, 5)]
-
-
 # ---- serving
 
 ANALYSES = "an AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS a_field, (doc_id % 11) * 1.0 AS difficulty, (doc_id % 13) * 1.0 AS exam_value, CASE WHEN toxic = 1 THEN '{}' ELSE '{\"vocabulary\": []}' END AS llm_json FROM labels)"
@@ -386,19 +383,6 @@ def source_limits(spark, d):
 
 # ---- word lists and papers
 
-LINES = ["abandon", "[v. leave]", "Able/ability", "[adj.]", "some 中文", "  keep going ", "[x]", "Up-to-date", "it's", "123", "Zoo"]
-
-
-BODY = " ".join(["Some readers believe plain words matter more than ornate ones."] * 20)
-PAPER = f"Section I\nText 9 nothing\nSection II Reading Comprehension\nText 1\n{BODY}\n21. Question\nA. one\nText 2\nshort\n26. Q\nText 3\n{BODY} Third.\n31. Q\nText 4\n{BODY} Fourth.\nPart B\nText 1 {BODY}"
-
-
-REPLIES = ['```json\n{"vocabulary": [], "rhetoric": [], "exam_value": {"primary_domain": "law"}}\n```', 'Well: {"a": 1} done', "<think>{}</think>{\"b\": 2}", "no json", '{"cut": ']
-
-
-PAYLOADS = [(1, json.dumps({"vocabulary": [{"lemma": "Case", "category": "polysemy", "source_sentence": "s"}, {"lemma": "court", "category": "term"}, {"lemma": "odd", "category": "polysemy"}, {"lemma": "odd2", "category": "x"}, {"lemma": "find", "category": "term"}]}))]
-
-
 # ---- exports
 
 @query(f"WITH {AGG_VOCAB} SELECT word || CASE WHEN lemma <> word THEN ' (' || lemma || ')' ELSE '' END AS front, repeat('★', greatest(0, least(importance, 5))) || ' ' || example_sentence AS back, regexp_replace(field || ' ' || category, '[/ ]+', '_', 'g') AS tags FROM av")

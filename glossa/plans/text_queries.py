@@ -407,57 +407,4 @@ def compact_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.head_middle_tail(F.col("text"), 600).alias("compact"), T.shortened(F.col("text"), 80).alias("short"))
 
 
-KINDS = [("Author attitude", ""), ("hedging expressions", ""), ("x", "a causal link"), ("relative clause!", ""), ("contrast", "concession"), ("odd", "none"), ("Subject Clause", ""), ("inverted order", ""), ("example-evidence", ""), ("other", "stance")]
-
-
 # ---- rules one by one: sentences of our own with the outcome written out, not taken from the rules
-
-TEMPLATE_CASES = [
-    ("concession", "Even though it rained, they played.", "even though ..."),
-    ("concession", "Despite the rain they played.", "despite / in spite of ..."),
-    ("contrast", "They stayed instead of leaving.", "instead / instead of ..."),
-    ("contrast", "It was late, but they stayed.", "..., but ..."),
-    ("causality", "Prices fell due to weak demand.", "because of / due to ..."),
-    ("causality", "It was so late that they left.", "so ... that ..."),
-    ("condition", "Nobody knows whether it works or not.", "whether ... or ..."),
-    ("stance", "Researchers maintain that it works.", "the author/researchers believe ..."),
-    ("hedging", "The plan is likely to fail.", "be likely / unlikely to ..."),
-    ("emphasis", "It is not so much a rule as a habit.", "not so much A as B"),
-    ("comparison", "The more they read, the more they knew.", "the more ... the more ..."),
-    ("inversion", "Not only does the firm grow, it hires.", "not only + auxiliary + subject ..."),
-    ("inversion", "Rarely does the court reverse itself.", "never/rarely/little + auxiliary + subject ..."),
-    ("inversion", "Had they known, they would have left.", "had/were/should + subject ..."),
-    ("cleft", "It was the delay that hurt them.", "it is/was ... that/who ..."),
-    ("cleft", "What the court said is clear.", "what ... is/was ..."),
-    ("relative_clause", "The plan, which failed, was costly.", "noun, which/who/whose ..."),
-    ("participial_clause", "Having failed before, the student tried again.", "V-ing/V-ed ..., main clause"),
-    ("participial_clause", "Sales fell, leading to losses.", "..., V-ing/V-ed ..."),
-    ("nominal_clause", "What matters here is time.", "what ... + predicate"),
-    ("nominal_clause", "The idea that it works is old.", "the fact/idea/claim that ..."),
-    ("argument_development", "For instance, one firm left.", "for example / for instance ..."),
-    ("argument_development", "They must remedy the damage.", "problem → solution"),
-    ("argument_development", "Critics say it failed.", "counterargument → response"),
-    ("argument_development", "Will it ever end?", "rhetorical question"),
-    ("inversion", "Nothing fits here.", "Inversion"),
-]
-
-
-RULE_CASES = [
-    ("Although it rained, they played.", ["concession"]),
-    ("However, it ended.", ["contrast"]),
-    ("Prices fell because demand fell.", ["causality"]),
-    ("Unless it rains, they play.", ["condition"]),
-    ("According to her, it ended.", ["stance"]),
-    ("They seem tired.", ["hedging"]),
-    ("Not so much a rule as a habit.", ["emphasis"]),
-    ("It costs more money than before.", ["comparison"]),
-    ("Never did they ask.", ["inversion"]),
-    ("It was the delay that hurt.", ["cleft"]),
-    ("The plan, which failed, ended.", ["relative_clause"]),
-    ("Sales fell, leading to losses.", ["participial_clause"]),
-    ("The idea that counts.", ["nominal_clause"]),
-    ("For example, one left.", ["argument_development"]),
-    ("A plain short line.", []),
-    ("Élbecause is no word.", []),
-]
-

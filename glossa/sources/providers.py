@@ -297,11 +297,20 @@ PROMPT = """Analyse an English article for advanced learners who read it in Chin
 canonical_type is one of: concession, contrast, causality, condition, stance, hedging, emphasis, comparison, inversion, cleft, relative_clause, participial_clause, nominal_clause, argument_development."""
 
 
+#: the same in three calls, one a key, for models that can't hold it all in one answer
+PART_PROMPTS = {
+    "vocabulary": "List up to 12 words or expressions of this English article that advanced learners misread. Answer with a JSON array only, of objects with lemma, category, meaning_in_context, common_meaning, source_sentence, estimated_level, exam_importance, domain.",
+    "rhetoric": "List up to 10 sentences of this English article that show how it argues. Answer with a JSON array only, of objects with original_sentence, canonical_type, type, template, explanation_zh.",
+    "exam_value": "Rate this English article for reading exams. Answer with one JSON object only: vocabulary_difficulty, sentence_complexity, logical_structure, domain_knowledge_density, similarity_to_previous_exam_passages (1 to 10), primary_domain, domain_probabilities.",
+}
+
+
 @dataclass
 class ChatModel:
     """A provider of analyses (JSON) for articles (JSON with title, source, text) by a chat endpoint.
 
-    post(url, headers, body) sends a request and gives the answer as a dict: the network is the caller's.
+    post(url, headers, body) sends a request and gives the answer as a dict: the network is the caller's. With parts, an
+    article takes one call a key, each with its own prompt.
     """
 
     post: Callable[[str, dict, dict], dict]
@@ -311,6 +320,7 @@ class ChatModel:
     prompt: str = PROMPT
     version: str = "v1"
     max_tokens: int = 8192
+    parts: dict[str, str] | None = None
 
     def enabled(self) -> bool:
         return bool(self.api_key or self.url)
@@ -324,6 +334,8 @@ class ChatModel:
     def __call__(self, article: str) -> str:
         if not self.enabled():
             raise LookupError("no model is set")
+        if self.parts:
+            return self.in_parts(article, self.parts)
         reply = self.ask(self.prompt, article, self.max_tokens)
         found = decoded(reply)
         if not complete(found):

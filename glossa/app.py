@@ -179,6 +179,13 @@ class Corpus:
         """The vocabulary list, and one's own words that it lacks."""
         return serve.with_personal(self.vocabulary(), serve.personal_words(self.personal(), self.mastery()))
 
+    def vocabulary_page(self, query: str = "", *, mastery: str = "", offset: int = 0, limit: int = 40) -> tuple[DataFrame, int]:
+        """A page of the notebook as a reader sees it, and how many rows there are in all."""
+        words = self.notebook()
+        found = analyze.match_tiers(words.select(F.col("lemma").alias("word")).distinct(), self.tiers).select(F.col("word").alias("lemma"), "tier")
+        rows = serve.visible_vocabulary(words, found, query=query, mastery=mastery)
+        return serve.page(rows, [*[F.desc(c) for c in serve.VOCABULARY_ORDER], F.asc("lemma")], offset, limit), rows.count()
+
     # ---- upkeep
 
     def metadata(self) -> DataFrame:

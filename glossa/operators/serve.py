@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import text as T
 
 
@@ -133,6 +134,29 @@ def with_personal(listed: DataFrame, personal: DataFrame) -> DataFrame:
     return listed.unionByName(personal.join(listed, "lemma", "left_anti"), allowMissingColumns=True)
 
 
+VOCABULARY_ORDER = ("importance", "article_count", "frequency")
+
+
+def visible_vocabulary(listed: DataFrame, tiers: DataFrame, *, query: str = "", mastery: str = "") -> DataFrame:
+    """The rows of a vocabulary list (with level, of its words' mastery) that a reader sees, with tier and the tier's importance.
+
+    Easy words need a special sense or a level, rare ones that or to be a domain term. query: a part of word or lemma,
+    without regard to case; mastery: unmarked, or a level. tiers: (lemma, tier).
+    """
+    kinds, marked = F.coalesce("categories", F.lit("")), F.col("level").isNotNull()
+    sense = F.contains(kinds, F.lit("polysemy"))
+    special = sense | F.contains(kinds, F.lit("domain terminology"))
+    rows = listed.join(tiers.select("lemma", "tier"), "lemma").where(~((F.col("tier") == "high_school") & ~sense & ~marked) & ~((F.col("tier") == "rare") & ~special & ~marked))
+    if part := query.strip().lower():
+        rows = rows.where(F.contains(F.lower("lemma"), F.lit(part)) | F.contains(F.lower("word"), F.lit(part)))
+    if mastery == "unmarked":
+        rows = rows.where(~marked)
+    elif mastery in ("learning", "familiar", "mastered"):
+        rows = rows.where(F.col("level") == mastery)
+    own = T.mapped(F.col("tier"), {t: str(i) for t, i in L.TIERS.items()}, F.lit("0")).cast("int")
+    return rows.withColumn("importance", F.when(own != 0, own).otherwise(F.col("importance")))
+
+
 def tier_counts(highlights: DataFrame) -> DataFrame:
     """Lemmas by tier; a lemma's last highlight counts. highlights: doc_id, pos, lemma, tier."""
     last = highlights.groupBy("doc_id", "lemma").agg(F.max_by("tier", "pos").alias("tier"))

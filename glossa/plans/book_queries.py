@@ -40,6 +40,21 @@ def review_selection(spark, d):
     return selected(spark, d).select("doc_id", "word", "category", "importance", "frequency", "tier", "rank")
 
 
+LIST_TIERS = P.TIER_MATCH.replace(f"tk AS (SELECT DISTINCT unnest({D.tokens('text')}) AS word FROM documents)", "tk AS (SELECT lemma AS word FROM ml)")
+
+
+@query(f"""WITH {Q.LIST}, {LIST_TIERS}, vv AS (SELECT ml.*, coalesce(tm.tier, 'rare') AS tier FROM ml LEFT JOIN tm ON tm.word = ml.lemma)
+SELECT lemma, tier, CASE tier WHEN 'core' THEN 5 WHEN 'key' THEN 4 WHEN 'gre' THEN 3 WHEN 'rare' THEN 1 ELSE importance END AS importance, article_count, frequency, categories FROM vv
+WHERE NOT (tier = 'high_school' AND NOT contains(categories, 'polysemy') AND level IS NULL) AND NOT (tier = 'rare' AND NOT contains(categories, 'polysemy') AND NOT contains(categories, 'domain terminology') AND level IS NULL)
+ AND (contains(lower(lemma), 'th') OR contains(lower(word), 'th')) AND level IS NULL ORDER BY 3 DESC, article_count DESC, frequency DESC, lemma LIMIT 40 OFFSET 5""")
+def vocabulary_filter(spark, d):
+    """A page of unmarked words with a part, as a reader sees the list."""
+    rows = Q.listed(spark, d)
+    tiers = analyze.match_tiers(rows.select(F.col("lemma").alias("word")), X.tiers(spark)).select(F.col("word").alias("lemma"), "tier")
+    seen = serve.visible_vocabulary(rows, tiers, query=" TH ", mastery="unmarked").select("lemma", "tier", "importance", "article_count", "frequency", "categories")
+    return serve.page(seen, [*[F.desc(c) for c in serve.VOCABULARY_ORDER], F.asc("lemma")], 5, 40)
+
+
 MARKS = f"""{Q.VOCAB}, {P.TIER_MATCH.replace("FROM documents)", "FROM documents UNION SELECT DISTINCT word FROM v)", 1)},
 tp AS (SELECT doc_id, unnest({D.tokens('text')}) AS word, unnest(range(len({D.tokens('text')}))) AS pos FROM documents), sf AS (SELECT doc_id, word, min(pos) AS pos FROM tp GROUP BY doc_id, word),
 tt AS (SELECT sf.*, coalesce(tm.lemma, sf.word) AS lemma, coalesce(tm.tier, 'rare') AS tier FROM sf LEFT JOIN tm USING (word)),

@@ -17,7 +17,7 @@ HEADLINE = [
     "token_frequency", "top_terms_per_doc", "bigram_counts", "trigram_counts", "ngram_topk_per_doc", "pmi_bigrams", "topic_queries", "sentence_split", "difficulty",
     "domain_scores", "quality_score", "best_example_sentence", "tier_match", "highlights", "review_vocabulary", "aggregate_vocabulary", "vocabulary_list", "merged_vocabulary",
     "review_classify", "domain_cap", "article_search", "article_page", "article_nested", "upsert_latest", "replace_by_key", "progress_last", "url_normalize", "anchor_discovery",
-    "html_extract", "anki_cards", "stable_ids",
+    "html_extract", "anki_cards", "stable_ids", "collocations", "article_highlights", "gloss_index", "dictionary_chain",
 ]
 
 

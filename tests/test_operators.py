@@ -1,12 +1,13 @@
 """Operators on small tables of our own: ties, caps, stores, readers, streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from glossa.config import Crawler, Source
-from glossa.operators import aggregate, analyze, review, serve, store
+from glossa.operators import aggregate, analyze, material, review, serve, store
 from glossa.plans import fixtures as X
 from glossa.sources import files
 from glossa.streaming import flows
@@ -299,3 +300,71 @@ def test_words_that_a_whole_text_lowers_to_letters_are_not_words(spark):
 
     rows = spark.createDataFrame([("İx Ky ab''- 'tis rock'n'-roll dogs'' a' O’Neil‘s",)], "t string")
     assert rows.select(T.tokens(F.col("t"))).first()[0] == ["x", "y", "ab''-", "tis", "rock'n'-roll", "dogs", "a", "o'neil's"]
+
+
+# ---- rules of sources, caps, round robin, corpus examples
+
+
+def test_own_keywords_of_sources_count_like_patterns(spark):
+    """Against the pattern of each keyword on the whole text, with keywords of signs, several words and other scripts."""
+    import re
+
+    words = ["c++", "court of law", "Market", "a.b", "naïve", "x_y", ".net", "日本", "law", "--"]
+    rules = [(f"s{i % 3}", kind, k) for i, k in enumerate(words) for kind in ("prefer", "exclude")] + [("s1", "prefer", ""), ("s1", "prefer", None), ("s1", "prefer", "c++")]
+    titles = ["The C++ court of law", "market a.b x_y", "naïve .net law --", "lawful c+++ a.bc", "日本 x_yz court  of law", ""]
+    docs = [(i, t, "", f"s{i % 4}", t, None, 0.5, 1.0) for i, t in enumerate(titles * 2)]
+    frame = spark.createDataFrame(docs, "doc_id long, title string, url string, source string, text string, corpus_type string, reliability double, weight double")
+    found = analyze.source_rules(spark.createDataFrame(rules, "source string, kind string, keyword string"))
+    low = F.lower("title")
+    joined = frame.join(found, "source", "left").select("doc_id", *[F.sort_array(F.coalesce(analyze.rule_hits(F.col(c), analyze.runs(low), low), F.array().cast("array<string>"))).alias(c) for c in ("prefer", "exclude")])
+    for r in joined.collect():
+        text, source = docs[r["doc_id"]][1].lower(), docs[r["doc_id"]][3]
+        want = sorted({k for s, kind, k in rules if s == source and k and kind == "prefer" and re.search(rf"(?<![A-Za-z0-9_]){re.escape(k.lower())}(?![A-Za-z0-9_])", text)})
+        assert r["prefer"] == want and set(r["exclude"]) <= set(words), (text, source)
+    scored = analyze.quality(frame.join(found, "source", "left"), keep=["source"])
+    assert scored.count() == len(docs) and "source" in scored.columns
+
+
+def test_caps_with_nulls_and_mixed_orders_equal_a_sort(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice([None, 0.5, 1.0, 2.0]), rng.choice([None, "x", "y"]), i) for i in range(200)]
+    order = [(F.col("score"), True), (F.col("name"), False), (F.col("n"), True)]
+    frame = spark.createDataFrame(rows, "domain string, score double, name string, n long")
+    got = {(r["domain"], r["n"]): (r["rank"], r["overflow"]) for r in aggregate.capped(frame, {"a": 7, "b": 1000}, order, default=5).collect()}
+    for d, limit in (("a", 7), ("b", 1000), ("c", 5)):
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: (r[1] is None, -(r[1] or 0), r[2] is not None, r[2] or "", -r[3]))
+        for i, r in enumerate(own):
+            assert got[d, r[3]] == ((i + 1, False) if i < limit else (None, True))
+    assert len(got) == 200
+
+
+def test_round_robin_equals_a_loop(spark):
+    rng = random.Random(5)
+    kinds = ["cleft", "contrast", "stance", "other", "hedging"]
+    rows = [(rng.choice(kinds), f"p{i}", rng.choice([1, 2, 3]), rng.randint(1, 3), rng.randint(1, 4), 1.0, 4, rng.choice(["", "Same one.", "same  ONE.", f"Own {i % 9}."])) for i in range(120)]
+    rows = [(k, p, {"cleft": 3, "contrast": 3, "stance": 2, "other": 1, "hedging": 2}[k], *rest) for k, p, _, *rest in rows]
+    frame = spark.createDataFrame(rows, "type string, pattern string, priority int, article_count long, frequency long, example_quality double, importance int, example_sentence string")
+    for per_type, limit in ((4, 40), (2, 7), (30, 200)):
+        lists = {k: sorted((r for r in rows if r[0] == k), key=lambda r: (-r[3], -r[4], -r[5], -r[6], r[1])) for k in kinds}
+        turns = sorted((k for k in kinds if k != "other"), key=lambda k: (-lists[k][0][2], -len(lists[k]), k)) + ["other"]
+        want, used = [], set()
+        for turn in range(per_type):
+            for k in turns:
+                while len(want) < limit and (k != "other" or turn < 2) and lists[k]:
+                    r = lists[k].pop(0)
+                    plain = " ".join(r[7].split()).lower()
+                    if not plain or plain not in used:
+                        used.add(plain)
+                        want.append(r[1])
+                        break
+        assert [r["pattern"] for r in aggregate.diversified(frame, per_type=per_type, limit=limit).orderBy("place").collect()] == want
+
+
+def test_all_corpus_examples_or_the_first(spark):
+    words = spark.createDataFrame([("issue", f"f{i % 5}" if i % 4 else None, "c", i, 1, "s", f"Example {i}.") for i in range(1500)], "word string, field string, category string, frequency long, article_count long, sources string, example_sentence string")
+    none = spark.createDataFrame([("none", "2-gram", 1, 1, "", "")], "expression string, type string, frequency long, article_count long, sources string, example_sentence string")
+    asked = spark.createDataFrame([("Issue",), ("none",)], "headword string")
+    every = material.corpus_hits(asked, words, none)
+    assert every.count() == 1500 and material.corpus_hits(asked, words, none, k=3).count() == 3
+    first = material.corpus_hits(asked, words, none, k=1).collect()
+    assert [r["example_sentence"] for r in first] == [r["example_sentence"] for r in every.where("rank = 1").collect()]

@@ -168,15 +168,16 @@ PRIORITY = "CASE WHEN category = 'polysemy' THEN 5 WHEN contains(category, 'term
 CAPPED = f"{CLASSED}, ca AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, {PRIORITY} DESC, article_count DESC, frequency DESC, field, word, category) AS rank FROM cl WHERE {ADMIT}), cb AS (SELECT *, rank > CASE domain WHEN 'politics_law' THEN 30 WHEN 'general_academic' THEN 20 ELSE 160 END AS overflow FROM ca), co AS (SELECT field, word, category, domain, CASE WHEN NOT overflow THEN rank END AS rank, overflow FROM cb)"
 
 
-CAP_ORDER = [(F.col("score"), True), (review.category_priority(F.col("category")), True), (F.col("article_count"), True), (F.col("frequency"), True), (F.col("field"), False), (F.col("word"), False), (F.col("category"), False)]
+def cap_order():
+    return [(F.col("score"), True), (review.category_priority(F.col("category")), True), (F.col("article_count"), True), (F.col("frequency"), True), (F.col("field"), False), (F.col("word"), False), (F.col("category"), False)]
 
 
 def kept(spark, d):
-    return aggregate.within_caps(entries(spark, d), CAPS, CAP_ORDER)
+    return aggregate.within_caps(entries(spark, d), CAPS, cap_order())
 
 
 def capped(spark, d):
-    return aggregate.capped(entries(spark, d), CAPS, CAP_ORDER).select("field", "word", "category", "domain", "rank", "overflow")
+    return aggregate.capped(entries(spark, d), CAPS, cap_order()).select("field", "word", "category", "domain", "rank", "overflow")
 
 
 @query(f"WITH {CAPPED} SELECT * FROM co WHERE NOT overflow")
